@@ -70,7 +70,7 @@ def generated_marker(content: Column, marker: str = fixed.GENERATED_MARKER) -> C
 
 def first_noteworthy_line(text: Column, is_noise) -> Column:
     """First non-blank trimmed line that is not noise, else the first non-blank line."""
-    lines = F.filter(F.transform(lines_of(text), F.trim), lambda line: line != "")
+    lines = F.filter(F.transform(lines_of(text), lambda line: F.trim(line)), lambda line: line != "")
     useful = F.filter(lines, lambda line: ~is_noise(line))
     return F.coalesce(F.get(useful, F.lit(0)), F.get(lines, F.lit(0)))
 

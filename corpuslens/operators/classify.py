@@ -27,7 +27,7 @@ def without_ignored_names(files: DataFrame, globs: list[str]) -> DataFrame:
 
 def gitignore_globs(content: Column) -> Column:
     """patterns of a .gitignore text: trimmed, no blanks, no comments."""
-    lines = F.transform(fn.lines_of(content), F.trim)
+    lines = F.transform(fn.lines_of(content), lambda line: F.trim(line))
     return F.filter(lines, lambda line: (line != "") & ~line.startswith("#"))
 
 

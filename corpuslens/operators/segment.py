@@ -285,7 +285,7 @@ def block_spans(lines: DataFrame) -> DataFrame:
 
 def _text(first: Column, last: Column) -> Column:
     part = F.slice(F.col("_lines"), first, F.greatest(last - first + 1, F.lit(0)))
-    return F.array_join(F.transform(part, F.rtrim), "\n")
+    return F.array_join(F.transform(part, lambda line: F.rtrim(line)), "\n")
 
 
 def code_blocks(files: DataFrame, spans: DataFrame) -> DataFrame:
@@ -376,7 +376,7 @@ def module_documentation(content: Column, language: Column) -> Column:
     other = F.transform(lines, lambda line: (F.trim(line) != "") & ~F.ltrim(line).startswith("%"))
     code_at = F.array_position(other, True)
     leading = F.when(code_at > 0, F.slice(lines, F.lit(1), code_at - 1)).otherwise(lines)
-    comments = F.filter(F.transform(leading, F.trim), lambda line: line.startswith("%"))
+    comments = F.filter(F.transform(leading, lambda line: F.trim(line)), lambda line: line.startswith("%"))
     matlab_doc = F.array_join(F.transform(comments, lambda line: F.trim(F.substring(line, 2, 1 << 30))), "\n")
 
     julia_doc = F.regexp_extract(content, r'(?ms)^\s*"""(.*?)"""', 1)
