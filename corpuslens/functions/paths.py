@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from corpuslens import fixed_values as fixed
+from corpuslens.functions.text import strip
 
 __all__ = [
     "suffix", "splitext", "file_name", "top_segment", "map_lookup", "supported_language", "reporting_language",
@@ -63,8 +64,7 @@ def _strip(text: Column, characters: str) -> Column:
 
 def normalise_folder(folder: Column) -> Column:
     """trim blanks, quotes, blanks, then slashes."""
-    blanks = " \t\n\r\x0b\x0c"
-    return _strip(_strip(_strip(_strip(folder, blanks), "\"'"), blanks), "/")
+    return _strip(strip(_strip(strip(folder), "\"'")), "/")
 
 
 def parse_folders(text: Column) -> Column:
@@ -130,14 +130,14 @@ def repo_path_from_url(url: Column) -> Column:
 
 def repo_key(repo_path: Column) -> Column:
     """Key safe in a file name; 'unknown' for nothing."""
-    clean = _strip(F.trim(F.coalesce(repo_path, F.lit(""))), "/")
+    clean = _strip(strip(F.coalesce(repo_path, F.lit(""))), "/")
     return F.coalesce(F.nullif(F.regexp_replace(clean, r"[^A-Za-z0-9._-]+", "__"), F.lit("")), F.lit("unknown"))
 
 
 def project_title(repo_path: Column) -> Column:
     """Last segment with '-' and '_' as blanks, in title case; 'Project' for nothing."""
     last = F.substring_index(F.rtrim(repo_path, F.lit("/")), "/", -1)
-    title = F.initcap(F.trim(F.translate(last, "-_", "  ")))
+    title = F.initcap(strip(F.translate(last, "-_", "  ")))
     return F.coalesce(F.nullif(title, F.lit("")), F.lit("Project"))
 
 

@@ -7,12 +7,27 @@ from pyspark.sql import Column, functions as F
 from corpuslens import fixed_values as fixed
 
 __all__ = [
-    "redact_secrets", "redact_with", "lines_of", "indent_width", "nonblank_line_count", "bounded_text",
+    "strip", "rstrip", "lstrip", "redact_secrets", "redact_with", "lines_of", "indent_width", "nonblank_line_count", "bounded_text",
     "truncated", "preview", "generated_marker", "failure_summary", "first_noteworthy_line",
 ]
 
 LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
+WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+
+
+def strip(text: Column) -> Column:
+    """Text without whitespace of any kind on both sides; ``trim`` alone takes blanks only."""
+    return F.btrim(text, F.lit(WHITESPACE))
+
+
+def rstrip(text: Column) -> Column:
+    return F.rtrim(text, F.lit(WHITESPACE))
+
+
+def lstrip(text: Column) -> Column:
+    return F.ltrim(text, F.lit(WHITESPACE))
+
 
 def redact_secrets(text: Column) -> Column:
     """URL credentials, then known token formats, then Bearer/Basic values. Null and '' pass through."""
@@ -70,16 +85,16 @@ def generated_marker(content: Column, marker: str = fixed.GENERATED_MARKER) -> C
 
 def first_noteworthy_line(text: Column, is_noise) -> Column:
     """First non-blank trimmed line that is not noise, else the first non-blank line."""
-    lines = F.filter(F.transform(lines_of(text), lambda line: F.trim(line)), lambda line: line != "")
+    lines = F.filter(F.transform(lines_of(text), lambda line: strip(line)), lambda line: line != "")
     useful = F.filter(lines, lambda line: ~is_noise(line))
     return F.coalesce(F.get(useful, F.lit(0)), F.get(lines, F.lit(0)))
 
 
 def failure_summary(reason: Column, limit: int = fixed.SUMMARY_CHARS) -> Column:
     """Short reason for a failed API documentation build."""
-    text = F.trim(F.coalesce(reason, F.lit("")))
+    text = strip(F.coalesce(reason, F.lit("")))
     has_attribute_error = text.rlike(r"AttributeError:\s*[^\n]+")
-    attribute = F.trim(F.regexp_extract(text, r"AttributeError:\s*([^\n]+)", 1))
+    attribute = strip(F.regexp_extract(text, r"AttributeError:\s*([^\n]+)", 1))
     first = first_noteworthy_line(text, lambda line: line.startswith("[AutoAPI] Reading files"))
     return (
         F.when(text == "", F.lit("AutoAPI build failure"))

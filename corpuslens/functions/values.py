@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from corpuslens.functions.text import strip
+
 __all__ = ["clamp", "lenient_int", "confidence_bucket", "duration_seconds", "sorted_distinct"]
 
 
@@ -14,7 +16,7 @@ def clamp(value: Column, low: float = 0.0, high: float = 100.0) -> Column:
 
 def lenient_int(value: Column) -> Column:
     """Whole number in a text, 0 for anything else."""
-    return F.coalesce(F.trim(value).try_cast("int"), F.lit(0))
+    return F.coalesce(strip(value).try_cast("int"), F.lit(0))
 
 
 def confidence_bucket(count: Column) -> Column:

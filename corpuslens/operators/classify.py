@@ -27,7 +27,7 @@ def without_ignored_names(files: DataFrame, globs: list[str]) -> DataFrame:
 
 def gitignore_globs(content: Column) -> Column:
     """patterns of a .gitignore text: trimmed, no blanks, no comments."""
-    lines = F.transform(fn.lines_of(content), lambda line: F.trim(line))
+    lines = F.transform(fn.lines_of(content), lambda line: fn.strip(line))
     return F.filter(lines, lambda line: (line != "") & ~line.startswith("#"))
 
 
@@ -164,8 +164,8 @@ def quality_violations(
 ) -> Column:
     """reason codes of a repository configuration, in rule order; an empty array is a clean row."""
     hosts = allowed_hosts or fixed.ALLOWED_HOSTS
-    key = F.lower(F.trim(provider))
-    url = F.trim(F.coalesce(repo_url, F.lit("")))
+    key = F.lower(fn.strip(provider))
+    url = fn.strip(F.coalesce(repo_url, F.lit("")))
     absolute = url.rlike(r"^https?://")
     authority = F.regexp_extract(url, r"^https?://([^/?#]*)", 1)
     host = F.lower(F.regexp_extract(authority, r"(?:^|@)([^@:]*)(?::\d*)?$", 1))
@@ -176,10 +176,10 @@ def quality_violations(
     allowed = F.lit(False)
     for one, names in hosts.items():
         allowed = allowed | ((key == one) & host.isin(*names))
-    target = F.btrim(F.trim(F.coalesce(output_path, F.lit(""))), F.lit("/"))
+    target = F.btrim(fn.strip(F.coalesce(output_path, F.lit(""))), F.lit("/"))
 
     def blank(value: Column) -> Column:
-        return F.trim(F.coalesce(value, F.lit(""))) == ""
+        return fn.strip(F.coalesce(value, F.lit(""))) == ""
 
     rules = [
         (blank(name), "name_missing"),

@@ -125,9 +125,9 @@ def manifest_signals(path: Column, content: Column) -> Column:
     """SR9: dependencies declared in a manifest, in manifest order."""
     name = fn.file_name(path)
     manager = fn.map_lookup(name, fixed.MANIFEST_MANAGERS)
-    lines = F.transform(fn.lines_of(content), lambda line: F.trim(line))
+    lines = F.transform(fn.lines_of(content), lambda line: fn.strip(line))
     wanted = F.filter(lines, lambda line: (line != "") & ~line.startswith("#") & ~line.startswith("-"))
-    pinned = F.transform(wanted, lambda line: F.trim(F.split(line, r"[<>=!~\[; ]", 2)[0]))
+    pinned = F.transform(wanted, lambda line: fn.strip(F.split(line, r"[<>=!~\[; ]", 2)[0]))
     payload = F.from_json(
         F.when(name == "package.json", content),
         "dependencies map<string,variant>, devDependencies map<string,variant>",

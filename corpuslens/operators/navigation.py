@@ -30,7 +30,7 @@ def failing_modules(output: Column) -> Column:
 
 def log_issue_summary(output: Column) -> Column:
     """First relevant line of a lint run, with its E402 count if there are any."""
-    lines = F.filter(F.transform(fn.lines_of(output), lambda line: F.trim(line)), lambda line: line != "")
+    lines = F.filter(F.transform(fn.lines_of(output), lambda line: fn.strip(line)), lambda line: line != "")
     relevant = F.filter(lines, lambda line: F.contains(line, F.lit(":")) & ~F.contains(line, F.lit("Found ")))
     first = F.coalesce(F.get(relevant, F.lit(0)), F.get(lines, F.lit(0)))
     issues = F.regexp_count(output, F.lit(r"\bE402\b"))
@@ -112,7 +112,7 @@ def navigation_conflicts(entries: DataFrame, index_lines: DataFrame) -> DataFram
     however often a leaf is listed.
     """
     listed = (
-        index_lines.select("repo", F.trim("line").alias("listed"), "line_no")
+        index_lines.select("repo", fn.strip(F.col("line")).alias("listed"), "line_no")
         .filter(F.col("listed") != "")
         .groupBy("repo", "listed")
         .agg(F.min("line_no").alias("line_no"))

@@ -94,7 +94,7 @@ def _header(language: Column, line: Column) -> Column:
 
 def blueprint(lines: DataFrame) -> DataFrame:
     """Class and function signatures of every file, in line order."""
-    signature = F.struct("line_no", F.trim("line").alias("signature"))
+    signature = F.struct("line_no", fn.strip(F.col("line")).alias("signature"))
     return (
         header_lines(lines)
         .groupBy(*FILE)
@@ -105,8 +105,8 @@ def blueprint(lines: DataFrame) -> DataFrame:
 
 def _flags(lines: DataFrame) -> DataFrame:
     language, line = F.col("language"), F.col("line")
-    stripped = F.trim(line)
-    uncommented = F.rtrim(F.regexp_replace(line, r"\s#.*$", ""))
+    stripped = fn.strip(line)
+    uncommented = fn.rstrip(F.regexp_replace(line, r"\s#.*$", ""))
     keyword = language.isin(*KEYWORD_LANGUAGES)
     opener = F.coalesce(
         _by_language(language, {name: line.rlike(pattern) for name, pattern in OPENERS.items()}), F.lit(False)
@@ -285,7 +285,7 @@ def block_spans(lines: DataFrame) -> DataFrame:
 
 def _text(first: Column, last: Column) -> Column:
     part = F.slice(F.col("_lines"), first, F.greatest(last - first + 1, F.lit(0)))
-    return F.array_join(F.transform(part, lambda line: F.rtrim(line)), "\n")
+    return F.array_join(F.transform(part, lambda line: fn.rstrip(line)), "\n")
 
 
 def code_blocks(files: DataFrame, spans: DataFrame) -> DataFrame:
@@ -331,10 +331,10 @@ def analyse_blocks(blocks: DataFrame) -> DataFrame:
     )
     class_name = _by_language(language, {name: _group(code, pattern, 1) for name, pattern in CLASS_NAME.items()})
     documents = {
-        name: F.coalesce(*[F.when(code.rlike(p), F.trim(F.regexp_extract(code, p, 1))) for p in patterns])
+        name: F.coalesce(*[F.when(code.rlike(p), fn.strip(F.regexp_extract(code, p, 1))) for p in patterns])
         for name, patterns in DOCUMENTATION.items()
     }
-    python_doc = F.nullif(F.trim(first_string(F.col("body"))), F.lit(""))
+    python_doc = F.nullif(fn.strip(first_string(F.col("body"))), F.lit(""))
     header = F.col("header_text")
     python_kind = (
         F.when(header.rlike(r"^\s*class\b"), "class")
@@ -367,17 +367,17 @@ def module_documentation(content: Column, language: Column) -> Column:
         start = F.when(position > 0, position)
         return F.array_join(F.slice(lines, start, F.size(lines)), "\n")
 
-    statement = F.transform(lines, lambda line: (F.trim(line) != "") & ~F.ltrim(line).startswith("#"))
+    statement = F.transform(lines, lambda line: (fn.strip(line) != "") & ~fn.lstrip(line).startswith("#"))
     python_doc = first_string(from_line(F.array_position(statement, True)))
 
     block = F.regexp_extract(content, r"(?ms)^\s*/\*\*\s*\n(.*?)\n\s*\*/", 1)
     script_doc = F.regexp_replace(block, r"(?m)^\s*\*\s?", "")
 
-    other = F.transform(lines, lambda line: (F.trim(line) != "") & ~F.ltrim(line).startswith("%"))
+    other = F.transform(lines, lambda line: (fn.strip(line) != "") & ~fn.lstrip(line).startswith("%"))
     code_at = F.array_position(other, True)
     leading = F.when(code_at > 0, F.slice(lines, F.lit(1), code_at - 1)).otherwise(lines)
-    comments = F.filter(F.transform(leading, lambda line: F.trim(line)), lambda line: line.startswith("%"))
-    matlab_doc = F.array_join(F.transform(comments, lambda line: F.trim(F.substring(line, 2, 1 << 30))), "\n")
+    comments = F.filter(F.transform(leading, lambda line: fn.strip(line)), lambda line: line.startswith("%"))
+    matlab_doc = F.array_join(F.transform(comments, lambda line: fn.strip(F.substring(line, 2, 1 << 30))), "\n")
 
     julia_doc = F.regexp_extract(content, r'(?ms)^\s*"""(.*?)"""', 1)
     text = _by_language(
