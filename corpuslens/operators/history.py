@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens import fixed_values as fixed
 from corpuslens import functions as fn
 from corpuslens.operators.ranking import first_per_key, top_n_per_key
+from corpuslens.schemas import RUNS
 
 
 def with_repository(runs: DataFrame, repositories: DataFrame, key: str = "repository_id") -> DataFrame:
@@ -210,9 +211,9 @@ def lifecycle(events: DataFrame, key: str = "run_id", time: str = "ts", tiebreak
     )
 
 
-def with_missing_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
+def with_missing_columns(df: DataFrame, columns: dict[str, str] = RUNS) -> DataFrame:
     """SR6: columns a newer schema added, as nulls; columns the schema does not name are kept."""
-    missing = {f.name: F.lit(None).cast(f.dataType) for f in schema if f.name not in df.columns}
+    missing = {name: F.lit(None).cast(kind) for name, kind in columns.items() if name not in df.columns}
     return df.withColumns(missing) if missing else df
 
 

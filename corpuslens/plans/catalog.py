@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from corpuslens.plans import blocks, corpus, coverage, hygiene  # noqa: F401
+from corpuslens.plans import blocks, changes, corpus, coverage, hygiene, mining, reuse, runs  # noqa: F401
 from corpuslens.plans.registry import ORACLES, QUERIES
 
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -32,8 +32,13 @@ def local_session(app: str, cpus: int | str = 8, shuffle_partitions: int = 8, **
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table; column pruning and filters reach this parquet scan."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One driver table; column pruning and filters reach this parquet scan.
+
+    The files hold timestamps without a zone; they are taken in the session's zone, which is UTC here.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    zoneless = {column: F.col(column).cast("timestamp") for column, kind in df.dtypes if kind == "timestamp_ntz"}
+    return df.withColumns(zoneless) if zoneless else df
 
 
 def shared_dir(spark: SparkSession) -> str:

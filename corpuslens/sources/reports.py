@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpuslens import functions as fn
-from corpuslens.schemas import BLOCK_ANALYSIS, SUGGESTION_DOCUMENT
+from corpuslens.schemas import BLOCK_ANALYSIS, SUGGESTION, SUGGESTION_DOCUMENT, ddl
 
-FIELDS = ["file_path", "file_name", "function_name", "block_type", "line_number", "language", "generated_docstring"]
+FIELDS = list(SUGGESTION)
 
 
 def write_analysis_csv(analysis: DataFrame, path: str, mode: str = "overwrite") -> None:
     """SR2: the seven columns, with a header; written by every task on its own."""
-    columns = [F.col(field.name).cast(field.dataType) for field in BLOCK_ANALYSIS]
+    columns = [F.col(name).cast(kind).alias(name) for name, kind in BLOCK_ANALYSIS.items()]
     analysis.select(*columns).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def read_analysis_csv(spark: SparkSession, path: str) -> DataFrame:
     """SR2 with its declared schema."""
-    reader = spark.read.schema(BLOCK_ANALYSIS).option("header", True).option("escape", '"').option("multiLine", True)
+    reader = spark.read.schema(ddl(BLOCK_ANALYSIS)).option("header", True).option("escape", '"').option("multiLine", True)
     return reader.csv(path)
 
 
