@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpuslens import fixed_values as fixed
 
-OUTPUT = "run_id STRING, status STRING, message STRING, at BIGINT"
+OUTPUT = "run_id STRING, status STRING, message STRING, at BIGINT, position BIGINT"
+COLUMNS = ["run_id", "status", "message", "at", "position"]
 
 
 def next_status(current: str | None, event: str) -> str:
@@ -23,17 +24,17 @@ def next_status(current: str | None, event: str) -> str:
 
 
 class Lifecycle(StatefulProcessor):
-    """Emits a row whenever a run's status changes; an unfinished run that falls silent has failed."""
+    """Emits a numbered row whenever a run's status changes; an unfinished run that falls silent has failed."""
 
     def __init__(self, timeout_seconds: int):
         self.timeout = timeout_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "status STRING, at BIGINT")
+        self.state = handle.getValueState("state", "status STRING, at BIGINT, position BIGINT")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, last = self.state.get() if self.state.exists() else (None, 0)
+        status, last, position = self.state.get() if self.state.exists() else (None, 0, 0)
         out = []
         for row in pd.concat(list(rows)).sort_values(["at", "seq"]).itertuples():
             new = next_status(status, row.status)
@@ -43,21 +44,22 @@ class Lifecycle(StatefulProcessor):
             elif new == "cancelled" and status != "cancelled":
                 message = fixed.CANCELLED_RUNNING if status == "running" else fixed.CANCELLED_QUEUED
             if new != status:
-                out.append((key[0], new, message, int(row.at)))
+                position += 1
+                out.append((key[0], new, message, int(row.at), position))
             status, last = new, max(last, int(row.at))
-        self.state.update((status, last))
+        self.state.update((status, last, position))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if status in ("queued", "running"):
             self.handle.registerTimer(last // 1000 + self.timeout)
-        yield pd.DataFrame(out, columns=["run_id", "status", "message", "at"])
+        yield pd.DataFrame(out, columns=COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, _ = self.state.get()
+        status, _, position = self.state.get()
         message = fixed.RUNNING_INTERRUPTED if status == "running" else fixed.QUEUED_INTERRUPTED
         at = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        self.state.update(("failed", at))
-        yield pd.DataFrame([(key[0], "failed", message, at)], columns=["run_id", "status", "message", "at"])
+        self.state.update(("failed", at, position + 1))
+        yield pd.DataFrame([(key[0], "failed", message, at, position + 1)], columns=COLUMNS)
 
     def close(self) -> None:
         pass
