@@ -11,7 +11,8 @@ __all__ = [
     "truncated", "preview", "generated_marker", "failure_summary", "first_noteworthy_line",
 ]
 
-LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+LINE_BREAK = r"[\n\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]|\r\n?"
+LINE_BREAKS = "\n\x0b\f\r\x1c\x1d\x1e\x85\u2028\u2029"
 
 WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
@@ -45,7 +46,9 @@ def redact_with(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 def lines_of(content: Column) -> Column:
     """Line array: a final line break starts no extra line, and empty content has no lines."""
-    body = F.regexp_replace(content, f"(?:{LINE_BREAK})\\z", "")
+    ends = F.contains(F.lit(LINE_BREAKS), F.right(content, F.lit(1)))
+    final = F.when(F.endswith(content, F.lit("\r\n")), 2).when(ends, 1).otherwise(0)
+    body = F.when(final > 0, F.left(content, F.length(content) - final)).otherwise(content)
     return F.when(content == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAK))
 
 

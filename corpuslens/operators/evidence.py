@@ -156,9 +156,9 @@ def manifest_signals(path: Column, content: Column) -> Column:
 
 
 def _exploded(files: DataFrame, signals: Column) -> DataFrame:
-    return files.select("repo", "path", F.explode(signals).alias("_s")).select(
-        "repo", "_s.category", "_s.name", "path", "_s.attrs"
-    )
+    # The outer form keeps Spark from deriving a "not empty" filter that would run every pattern a second time.
+    rows = files.select("repo", "path", F.explode_outer(signals).alias("_s")).filter(F.col("_s").isNotNull())
+    return rows.select("repo", "_s.category", "_s.name", "path", "_s.attrs")
 
 
 def dependencies(files: DataFrame) -> DataFrame:
@@ -186,30 +186,29 @@ def import_edges(imports: DataFrame, folders: DataFrame) -> DataFrame:
 
 
 def evidence(files: DataFrame, folders: DataFrame | None = None) -> DataFrame:
-    """The long evidence table of scanned files.
+    """The long evidence table of scanned files, from one pass over their content.
 
-    Content is read once. Imports become 'internal dependencies' edges by a semi join with the root folders.
+    Imports become 'internal dependencies' edges where a root folder of the repository has their name. All rows take part
+    in that look-up, under their own names, so the content need not be read again for imports alone.
     """
     path, content = F.col("path"), F.col("content")
     signals = F.concat(
         path_signals(path), category_signals(path, content), content_signals(path, content),
         manifest_signals(path, content),
     )
-    rows = _exploded(files, signals)
     folders = top_level_folders(files) if folders is None else folders
+    rows = _exploded(files, signals).join(folders.withColumn("_root", F.lit(True)), ["repo", "name"], "left")
     is_import = F.col("category") == "import"
-    edges = (
-        rows.filter(is_import)
-        .join(folders, ["repo", "name"], "left_semi")
-        .select(
-            "repo",
-            F.lit("internal dependencies").alias("category"),
-            F.concat(F.col("attrs")["module"], F.lit(" -> "), F.col("name")).alias("name"),
-            "path",
-            F.create_map(F.lit("module"), F.col("attrs")["module"], F.lit("package"), F.col("name")).alias("attrs"),
-        )
+    module = F.col("attrs")["module"]
+    return rows.filter(~is_import | F.col("_root")).select(
+        "repo",
+        F.when(is_import, "internal dependencies").otherwise(F.col("category")).alias("category"),
+        F.when(is_import, F.concat(module, F.lit(" -> "), F.col("name"))).otherwise(F.col("name")).alias("name"),
+        "path",
+        F.when(is_import, F.create_map(F.lit("module"), module, F.lit("package"), F.col("name")))
+        .otherwise(F.col("attrs"))
+        .alias("attrs"),
     )
-    return rows.filter(~is_import).unionByName(edges)
 
 
 def variable_files(evidence_rows: DataFrame) -> DataFrame:

@@ -11,20 +11,35 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuslens import fixed_values as fixed
 
 
-def decide(log: deque, now: int, max_requests: int, window: int) -> tuple[bool, int]:
-    """One request at ``now`` (microseconds): purge, then accept or reject with seconds to wait."""
-    while log and log[0] < now - window:
-        log.popleft()
-    if len(log) >= max_requests:
-        return False, max(1, int((window - (now - log[0])) / 1_000_000))
-    log.append(now)
-    return True, 0
+def decide(log: deque, at: np.ndarray, max_requests: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Decisions for sorted request times (microseconds) of one caller, given and updating its log.
+
+    While the log is full nothing is accepted until its oldest entry leaves the window, so that
+    stretch is rejected in one step; the loop runs once per accepted request, not per request.
+    """
+    accepted = np.zeros(len(at), dtype=bool)
+    wait = np.zeros(len(at), dtype="int64")
+    i = 0
+    while i < len(at):
+        now = int(at[i])
+        while log and log[0] < now - window:
+            log.popleft()
+        if len(log) < max_requests:
+            log.append(now)
+            accepted[i] = True
+            i += 1
+            continue
+        until = int(np.searchsorted(at, log[0] + window, side="right"))
+        wait[i:until] = np.maximum(1, (window - (at[i:until] - log[0])) // 1_000_000)
+        i = until
+    return accepted, wait
 
 
 def busy_periods(requests: DataFrame, caller: str, time: Column, window_seconds: int) -> DataFrame:
@@ -64,18 +79,16 @@ def rate_limited(
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, log = None, deque()
         for batch in batches:
-            decisions = []
-            for one_caller, period, now in zip(batch[caller], batch["period"], batch["_now"]):
-                if (one_caller, period) != group:
-                    group, log = (one_caller, period), deque()
-                decisions.append(decide(log, now, max_requests, window))
+            keys, at = batch[[caller, "period"]], batch["_now"].to_numpy()
+            starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+            accepted, wait = np.zeros(len(batch), dtype=bool), np.zeros(len(batch), dtype="int64")
+            for start, end in zip(starts, [*starts[1:], len(batch)]):
+                key = tuple(keys.iloc[start])
+                if key != group:
+                    group, log = key, deque()
+                accepted[start:end], wait[start:end] = decide(log, at[start:end], max_requests, window)
             yield pd.DataFrame(
-                {
-                    caller: batch[caller],
-                    tiebreak: batch[tiebreak],
-                    "accepted": [ok for ok, _ in decisions],
-                    "retry_after": [wait for _, wait in decisions],
-                }
+                {caller: batch[caller], tiebreak: batch[tiebreak], "accepted": accepted, "retry_after": wait}
             )
 
     types = dict(requests.dtypes)

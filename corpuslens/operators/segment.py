@@ -77,8 +77,9 @@ def line_table(files: DataFrame) -> DataFrame:
     """``repo, path, language, line_no, line, n_lines`` of files with a language and content."""
     readable = files.filter(F.col("language").isNotNull() & (F.coalesce(F.col("content"), F.lit("")) != ""))
     split = readable.repartition(*FILE).select(*FILE, "language", fn.lines_of(F.col("content")).alias("_lines"))
+    # Content is not empty, so there is a line; the outer form spares a derived filter that would split twice.
     return split.select(
-        *FILE, "language", F.size("_lines").alias("n_lines"), F.posexplode("_lines").alias("_pos", "line")
+        *FILE, "language", F.size("_lines").alias("n_lines"), F.posexplode_outer("_lines").alias("_pos", "line")
     ).withColumn("line_no", F.col("_pos") + 1).drop("_pos")
 
 
@@ -155,132 +156,129 @@ def _backward(upto: int, *more: str):
     return Window.partitionBy(*FILE, *more).orderBy(order).rowsBetween(Window.unboundedPreceding, upto)
 
 
-def _next(value: Column, upto: int) -> Column:
-    return F.last(value, ignorenulls=True).over(_backward(upto))
+def _last(test: Column | str, value: Column, window) -> Column:
+    return F.last(F.when(F.col(test) if isinstance(test, str) else test, value), ignorenulls=True).over(window)
 
 
-def _python_blocks(flags: DataFrame) -> DataFrame:
-    """B2: a block ends before the next statement line indented no deeper than its header."""
+def _with_context(flags: DataFrame) -> DataFrame:
+    """What the lines above say: running depth, an open signature, the documentation right above."""
     line_no = F.col("line_no")
-    lines = flags.filter(F.col("language") == "python")
-    lines = lines.withColumn("_next_statement", _next(F.when(F.col("statement"), line_no), -1))
-    here = F.struct(line_no.alias("at"), F.col("_next_statement").alias("body"))
-    signature = F.when(F.col("header") & F.col("whole_signature"), here).when(
-        F.col("header"), _next(F.when(F.col("ends_signature"), here), 0)
-    )
-    lines = lines.withColumn("_signature", signature)
-    continued = F.coalesce(F.max("_signature.at").over(_forward(-1)) >= line_no, F.lit(False))
-    lines = lines.withColumn("_continued", continued)
-    lines = lines.withColumn("header", F.col("_signature").isNotNull() & ~F.col("_continued"))
-    levels = F.collect_set(F.when(F.col("header"), F.col("indent"))).over(Window.partitionBy(*FILE))
-    closers = (
-        lines.withColumn("_levels", levels)
-        .filter(~F.col("blank") & ~F.col("_continued"))
-        .withColumn("level", F.explode(F.filter("_levels", lambda k: k >= F.col("indent"))))
-    )
-    next_closer = F.last("line_no").over(_backward(-1, "level"))
-    return (
-        closers.withColumn("_next", next_closer)
-        .filter(F.col("header") & (F.col("level") == F.col("indent")))
-        .select(
-            *FILE, "language", "header_text",
-            line_no.alias("start_line"),
-            F.coalesce(F.col("_next") - 1, F.col("n_lines")).alias("end_line"),
-            F.col("_signature.body").alias("body_line"),
-            line_no.alias("code_line"),
-        )
-    )
-
-
-def _doc_line(lines: DataFrame) -> DataFrame:
-    """First line of the documentation that ends right above a header."""
     order = Window.partitionBy(*FILE).orderBy("line_no")
-    earlier = F.last(F.when(F.col("doc_open"), F.col("line_no")), ignorenulls=True).over(
-        order.rowsBetween(Window.unboundedPreceding, -2)
-    )
-    above = (
-        F.when(F.lag("doc_single").over(order), F.col("line_no") - 1)
-        .when(F.lag("doc_close").over(order), earlier)
-    )
-    return lines.withColumn("code_line", F.coalesce(above, F.col("line_no")))
-
-
-def _outermost(blocks: DataFrame) -> DataFrame:
-    """Blocks outside any earlier block; MATLAB methods inside a classdef are kept."""
-    earlier = Window.partitionBy(*FILE).orderBy("start_line").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(F.when(~F.col("is_classdef"), F.col("end_line"))).over(earlier)
-    return blocks.withColumn("_reach", reach).filter(
-        F.col("_reach").isNull() | (F.col("_reach") < F.col("start_line"))
-    )
-
-
-def _block_columns(blocks: DataFrame) -> DataFrame:
-    return _outermost(blocks).select(
-        *FILE, "language", "header_text", "start_line", "end_line",
-        F.lit(None).cast("int").alias("body_line"), "code_line",
-    )
-
-
-def _keyword_blocks(flags: DataFrame) -> DataFrame:
-    """A block ends at the line that brings the running depth back to where its header found it."""
-    lines = _doc_line(flags.filter(F.col("language").isin(*KEYWORD_LANGUAGES)))
-    delta = F.when(F.col("opener"), 1).when(F.col("closer"), -1).otherwise(0)
-    lines = lines.withColumn("_delta", delta).withColumn("_after", F.sum("_delta").over(_forward(0)))
-    events = lines.filter(F.col("header") | F.col("closer")).withColumn(
-        "level", F.when(F.col("closer"), F.col("_after")).otherwise(F.col("_after") - F.col("_delta"))
+    delta = F.when(F.col("opener"), 1).when(F.col("closer"), -1).otherwise(F.col("net"))
+    ended = F.col("ends_signature") | (F.col("header") & F.col("whole_signature"))
+    lines = flags.withColumn("_delta", delta).withColumns(
+        {
+            "_after": F.sum("_delta").over(_forward(0)),
+            "_header_above": _last("header", line_no, _forward(-1)),
+            "_ended_above": _last(ended, line_no, _forward(-1)),
+            "_doc_above": _last("doc_open", line_no, order.rowsBetween(Window.unboundedPreceding, -2)),
+            "_single_above": F.lag("doc_single").over(order),
+            "_close_above": F.lag("doc_close").over(order),
+        }
     )
-    next_end = F.last(F.when(F.col("closer"), F.col("line_no")), ignorenulls=True).over(_backward(-1, "level"))
-    blocks = events.withColumn("end_line", F.coalesce(next_end, F.col("n_lines"))).filter("header")
-    return _block_columns(blocks.withColumnRenamed("line_no", "start_line"))
+    return lines.withColumns(
+        {
+            "_before": F.col("_after") - F.col("_delta"),
+            # A signature that goes on: its lines neither start nor end blocks.
+            "_continued": F.coalesce(
+                (F.col("language") == "python") & (F.col("_header_above") > F.coalesce("_ended_above", F.lit(0))),
+                F.lit(False),
+            ),
+            # Documentation that ends on the line above belongs to the header.
+            "code_line": F.when(F.col("_single_above"), line_no - 1)
+            .when(F.col("_close_above"), F.coalesce("_doc_above", line_no))
+            .otherwise(line_no),
+        }
+    ).drop("_header_above", "_ended_above", "_doc_above", "_single_above", "_close_above")
 
 
-def _brace_blocks(flags: DataFrame) -> DataFrame:
-    """As B3 with the brace balance; a line may close several levels at once."""
-    lines = _doc_line(flags.filter(F.col("language").isin(*BRACE_LANGUAGES)))
-    lines = lines.withColumn("_after", F.sum("net").over(_forward(0)))
-    lines = lines.withColumn("_before", F.col("_after") - F.col("net"))
-    opening = F.struct(F.col("line_no").alias("at"), F.col("_before").alias("before"), F.col("_after").alias("after"))
+def _with_headers(lines: DataFrame) -> DataFrame:
+    """What the lines below say: where a signature and a body start; headers without either are none."""
+    line_no = F.col("line_no")
+    lines = lines.withColumn("_statement_below", _last("statement", line_no, _backward(-1)))
+    here = F.struct(line_no.alias("at"), F.col("_statement_below").alias("body"))
+    opening = F.struct(line_no.alias("at"), F.col("_before").alias("before"), F.col("_after").alias("after"))
     lines = lines.withColumns(
         {
-            "_open": _next(F.when(F.col("opens") > 0, opening), 0),
-            "_next_header": _next(F.when(F.col("header"), F.col("line_no")), -1),
+            "_signature": _last("ends_signature", here, _backward(0)),
+            "_open": _last(F.col("opens") > 0, opening, _backward(0)),
+            "_header_below": _last("header", line_no, _backward(-1)),
         }
+    ).withColumn("_signature", F.when(F.col("whole_signature"), here).otherwise(F.col("_signature")))
+    braced = (
+        F.col("_open").isNotNull()
+        & (F.col("_open.before") >= F.col("_before"))
+        & (F.col("_header_below").isNull() | (F.col("_header_below") > F.col("_open.at")))
     )
     valid = (
-        F.col("header")
-        & F.col("_open").isNotNull()
-        & (F.col("_open.before") >= F.col("_before"))
-        & (F.col("_next_header").isNull() | (F.col("_next_header") > F.col("_open.at")))
+        F.when(F.col("language") == "python", F.col("_signature").isNotNull() & ~F.col("_continued"))
+        .when(F.col("language").isin(*BRACE_LANGUAGES), braced)
+        .otherwise(True)
     )
-    lines = lines.withColumn("header", valid)
-    header_level = F.when(F.col("header"), F.array(F.col("_before")))
-    closed_levels = F.when(F.col("net") < 0, F.sequence(F.col("_after"), F.col("_before") - 1))
-    events = lines.filter(F.col("header") | (F.col("net") < 0)).withColumn(
-        "level",
-        F.explode(
-            F.array_distinct(
-                F.concat(
-                    F.coalesce(header_level, F.array().cast("array<bigint>")),
-                    F.coalesce(closed_levels, F.array().cast("array<bigint>")),
-                )
-            )
-        ),
+    return lines.withColumn("header", F.col("header") & valid).drop("_statement_below", "_header_below")
+
+
+def _with_levels(lines: DataFrame) -> DataFrame:
+    """Headers and closing lines, one row per level they open or close.
+
+    B2: a Python line closes the header indents of its file that are not smaller than its own.
+    B3: an ``end`` closes the depth it falls back to. B4: a line closes every depth its braces leave.
+    """
+    none = F.array().cast("array<bigint>")
+    is_python = F.col("language") == "python"
+    is_brace = F.col("language").isin(*BRACE_LANGUAGES)
+    indents = F.collect_set(F.when(is_python & F.col("header"), F.col("indent").cast("bigint"))).over(
+        Window.partitionBy(*FILE)
     )
-    next_close = F.last(F.when(F.col("net") < 0, F.col("line_no")), ignorenulls=True).over(_backward(-1, "level"))
-    at_once = F.when(F.col("_open.after") <= F.col("_before"), F.col("_open.at"))
-    blocks = (
-        events.withColumn("end_line", F.coalesce(at_once, next_close, F.col("n_lines")))
-        .filter(F.col("header") & (F.col("level") == F.col("_before")))
+    own = F.when(is_python, F.col("indent").cast("bigint")).otherwise(F.col("_before"))
+    closes = (
+        F.when(
+            is_python & ~F.col("blank") & ~F.col("_continued"),
+            F.filter("_indents", lambda k: k >= F.col("indent")),
+        )
+        .when(F.col("closer"), F.array(F.col("_after")))
+        .when(is_brace & (F.col("net") < 0), F.sequence(F.col("_after"), F.col("_before") - 1))
+        .otherwise(none)
+    )
+    leveled = lines.withColumn("_indents", indents).withColumns({"_own": own, "_closes": closes})
+    opened = F.when(F.col("header"), F.array(F.col("_own"))).otherwise(none)
+    exploded = leveled.withColumn("level", F.explode_outer(F.array_distinct(F.concat(opened, F.col("_closes")))))
+    return exploded.filter(F.col("level").isNotNull()).withColumn(
+        "_closing", F.array_contains("_closes", F.col("level"))
     )
-    return _block_columns(blocks.withColumnRenamed("line_no", "start_line"))
 
 
 def block_spans(lines: DataFrame) -> DataFrame:
-    """Every block of every file as line numbers, numbered in line order."""
-    flags = _flags(lines)
-    spans = _python_blocks(flags).unionByName(_keyword_blocks(flags)).unionByName(_brace_blocks(flags))
-    number = F.row_number().over(Window.partitionBy(*FILE).orderBy("start_line"))
-    return spans.withColumn("block_number", number)
+    """Every block of every file as line numbers, numbered in line order.
+
+    Python blocks nest and are all kept. Of other languages the outermost blocks are kept, and MATLAB methods
+    inside a classdef. A block that never ends reaches to the end of its file.
+    """
+    events = _with_levels(_with_headers(_with_context(_flags(lines))))
+    below = _last("_closing", F.col("line_no"), _backward(-1, "level"))
+    is_python = F.col("language") == "python"
+    at_once = F.when(F.col("_open.after") <= F.col("_before"), F.col("_open.at"))
+    end = F.when(is_python, F.coalesce(F.col("_below") - 1, F.col("n_lines"))).otherwise(
+        F.coalesce(at_once, F.col("_below"), F.col("n_lines"))
+    )
+    blocks = (
+        events.withColumn("_below", below)
+        .filter(F.col("header") & (F.col("level") == F.col("_own")))
+        .select(
+            *FILE, "language", "header_text", "is_classdef",
+            F.col("line_no").alias("start_line"),
+            end.alias("end_line"),
+            F.when(is_python, F.col("_signature.body")).alias("body_line"),
+            "code_line",
+        )
+    )
+    order = Window.partitionBy(*FILE).orderBy("start_line")
+    covers = ~F.col("is_classdef") & (F.col("language") != "python")
+    reach = F.max(F.when(covers, F.col("end_line"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    outermost = blocks.withColumn("_reach", reach).filter(
+        F.col("_reach").isNull() | (F.col("_reach") < F.col("start_line"))
+    )
+    return outermost.withColumn("block_number", F.row_number().over(order)).drop("_reach", "is_classdef")
 
 
 def _text(first: Column, last: Column) -> Column:
@@ -359,26 +357,30 @@ def analyse_blocks(blocks: DataFrame) -> DataFrame:
     ).withColumn("missing_docstring", F.col("docstring").isNull())
 
 
-def module_documentation(content: Column, language: Column) -> Column:
-    """Documentation of a file as a whole."""
-    lines = fn.lines_of(content)
+def _from_line(position: Column) -> Column:
+    start = F.when(position > 0, position)
+    return F.array_join(F.slice(F.col("_lines"), start, F.size("_lines")), "\n")
 
-    def from_line(position: Column) -> Column:
-        start = F.when(position > 0, position)
-        return F.array_join(F.slice(lines, start, F.size(lines)), "\n")
 
-    statement = F.transform(lines, lambda line: (fn.strip(line) != "") & ~fn.lstrip(line).startswith("#"))
-    python_doc = first_string(from_line(F.array_position(statement, True)))
-
-    block = F.regexp_extract(content, r"(?ms)^\s*/\*\*\s*\n(.*?)\n\s*\*/", 1)
-    script_doc = F.regexp_replace(block, r"(?m)^\s*\*\s?", "")
-
-    other = F.transform(lines, lambda line: (fn.strip(line) != "") & ~fn.lstrip(line).startswith("%"))
-    code_at = F.array_position(other, True)
-    leading = F.when(code_at > 0, F.slice(lines, F.lit(1), code_at - 1)).otherwise(lines)
+def with_module_documentation(files: DataFrame) -> DataFrame:
+    """Documentation of a file as a whole, as column ``docstring``."""
+    content, language = F.col("content"), F.col("language")
+    # Only the line-based languages need the lines, and only up to their first line of code.
+    marker = F.when(language == "python", "#").otherwise("%")
+    code = F.transform(
+        "_lines", lambda line: (fn.strip(line) != "") & ~F.startswith(fn.lstrip(line), marker)
+    )
+    lines = F.when(language.isin("python", "matlab"), fn.lines_of(content))
+    staged = files.withColumn("_lines", lines).withColumn("_code_at", F.array_position(code, True))
+    python_doc = first_string(_from_line(F.col("_code_at")))
+    leading = F.when(F.col("_code_at") > 0, F.slice("_lines", F.lit(1), F.col("_code_at") - 1)).otherwise(
+        F.col("_lines")
+    )
     comments = F.filter(F.transform(leading, lambda line: fn.strip(line)), lambda line: line.startswith("%"))
     matlab_doc = F.array_join(F.transform(comments, lambda line: fn.strip(F.substring(line, 2, 1 << 30))), "\n")
-
+    script_doc = F.regexp_replace(
+        F.regexp_extract(content, r"(?ms)^\s*/\*\*\s*\n(.*?)\n\s*\*/", 1), r"(?m)^\s*\*\s?", ""
+    )
     julia_doc = F.regexp_extract(content, r'(?ms)^\s*"""(.*?)"""', 1)
     text = _by_language(
         language,
@@ -390,20 +392,20 @@ def module_documentation(content: Column, language: Column) -> Column:
             "julia": julia_doc,
         },
     )
-    return F.nullif(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit(""))
+    return staged.withColumn("docstring", F.nullif(fn.strip(text), F.lit(""))).drop("_lines", "_code_at")
 
 
 def module_blocks(files: DataFrame, spans: DataFrame) -> DataFrame:
     """One module row for every analysable file without blocks."""
     analysable = files.filter(F.col("language").isNotNull() & (F.coalesce(F.col("content"), F.lit("")) != ""))
     rest = analysable.join(spans.select(*FILE).distinct(), FILE, "left_anti")
-    out = rest.select(
+    out = with_module_documentation(rest).select(
         *FILE, "language",
         F.lit(1).alias("block_number"),
         F.lit(1).alias("start_line"),
         F.concat(F.lit("Module: "), F.col("name")).alias("function_name"),
         F.lit("module").alias("block_type"),
-        module_documentation(F.col("content"), F.col("language")).alias("docstring"),
+        "docstring",
     )
     return out.withColumn("missing_docstring", F.col("docstring").isNull())
 

@@ -94,7 +94,7 @@ def _insertions(spark, sf_dir):
 
 def _lines(spark, sf_dir):
     lines = fn.lines_of(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines).alias("p", "line")).select(
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(lines).alias("p", "line")).select(
         "doc_id", (F.col("p") + 1).alias("line_no"), "line"
     )
 

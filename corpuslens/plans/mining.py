@@ -8,7 +8,7 @@ from corpuslens import fixed_values as fixed
 from corpuslens import functions as fn
 from corpuslens.operators import bounded, evidence, navigation, sections
 from corpuslens.plans.registry import query, sql_case, sql_list
-from corpuslens.session import table
+from corpuslens.session import table, written
 
 # Documents as files of a code base: the folder, the name and a few code lines depend on the id, the
 # document's own text follows as comment lines. One repository per source.
@@ -96,7 +96,7 @@ def import_edges(spark, sf_dir):
     imports = scanned.select(
         "repo",
         F.translate(F.regexp_replace("path", r"\.py$", ""), "/", ".").alias("module"),
-        F.explode(F.regexp_extract_all("content", F.lit(fixed.IMPORT_PATTERN), F.lit(1))).alias("_import"),
+        F.explode_outer(F.regexp_extract_all("content", F.lit(fixed.IMPORT_PATTERN), F.lit(1))).alias("_import"),
     ).select("repo", "module", F.substring_index("_import", ".", 1).alias("name"))
     return evidence.import_edges(imports, evidence.top_level_folders(files))
 
@@ -121,7 +121,7 @@ UNION ALL SELECT repo, {sql_case('name', fixed.MANIFEST_MANAGERS)}, NULL, path F
 )
 def technology_stack(spark, sf_dir):
     """A10."""
-    return evidence.technology_stack(evidence.evidence(code_base(spark, sf_dir)))
+    return evidence.technology_stack(evidence_table(spark, sf_dir))
 
 
 _COUNTS_SQL = f"""{_EVIDENCE_SQL},
@@ -242,9 +242,13 @@ sections AS (
   UNION ALL {_simple_sql('technology stack', '(languages + manifests)', "'Identified ' || (languages + manifests) || ' technology signal(s).'", 'technology_none', 'No technology stack evidence found.')})"""
 
 
+def evidence_table(spark, sf_dir):
+    """Evidence written once: reports read it several times, and it is far smaller than the content."""
+    return written(evidence.evidence(code_base(spark, sf_dir)), "evidence")
+
+
 def report(spark, sf_dir):
-    files = code_base(spark, sf_dir)
-    rows = evidence.evidence(files)
+    rows = evidence_table(spark, sf_dir)
     counts = sections.evidence_counts(rows, _totals(spark, sf_dir))
     return sections.sections(counts, sections.path_previews(rows), max_edges=5, max_dependencies=12)
 
@@ -309,7 +313,7 @@ UNION ALL SELECT g.repo, category, 'module', name, 'inferred', CASE WHEN edges >
 )
 def finding_rows(spark, sf_dir):
     """Listed findings; inferred ones carry a confidence."""
-    rows = evidence.evidence(code_base(spark, sf_dir))
+    rows = evidence_table(spark, sf_dir)
     counts = sections.evidence_counts(rows, _totals(spark, sf_dir))
     return sections.findings(rows, counts, max_edges=5, max_dependencies=12)
 
@@ -435,7 +439,8 @@ def ordered_distinct_links(spark, sf_dir):
     from corpuslens.operators.ranking import ordered_distinct
 
     links = F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))
-    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(links).alias("position", "href"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode_outer(links).alias("position", "href"))
+    rows = rows.filter(F.col("href").isNotNull())
     return ordered_distinct(rows, "page_id", "href", "position")
 
 
@@ -450,7 +455,8 @@ def last_link(spark, sf_dir):
     from corpuslens.operators.ranking import last_match
 
     links = F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))
-    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(links).alias("position", "href"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode_outer(links).alias("position", "href"))
+    rows = rows.filter(F.col("href").isNotNull())
     return last_match(rows, "page_id", "href", "position")
 
 
@@ -466,6 +472,6 @@ def link_pages(spark, sf_dir):
     """Link targets with the number of their pages and the first of them."""
     targets = F.regexp_extract_all("html", F.lit('href="/([^"/]+)"'), F.lit(1))
     rows = table(spark, sf_dir, "pages").select(
-        F.explode(targets).alias("name"), F.lpad(F.col("page_id").cast("string"), 9, "0").alias("item")
-    )
+        F.explode_outer(targets).alias("name"), F.lpad(F.col("page_id").cast("string"), 9, "0").alias("item")
+    ).filter(F.col("name").isNotNull())
     return bounded.listing_preview(rows, ["name"], "item")

@@ -27,10 +27,11 @@ class SlidingLog(StatefulProcessor):
         self.log = handle.getListState("log", "at BIGINT")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # Rows of one micro-batch may come in several Arrow batches and in any order.
+        # Rows of one micro-batch may come in several Arrow batches and in any order. Two numbers per request are
+        # held; the source's own per-trigger limit bounds how many a caller can have in one micro-batch.
         pending = pd.concat(list(rows)).sort_values(["at", "request_id"])
         log = deque(value[0] for value in self.log.get()) if self.log.exists() else deque()
-        decisions = [decide(log, now, self.max_requests, self.window) for now in pending["at"]]
+        accepted, wait = decide(log, pending["at"].to_numpy(), self.max_requests, self.window)
         self.log.put([(int(value),) for value in log])
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
@@ -41,8 +42,8 @@ class SlidingLog(StatefulProcessor):
             {
                 "caller": key[0],
                 "request_id": pending["request_id"].to_numpy(),
-                "accepted": [ok for ok, _ in decisions],
-                "retry_after": [wait for _, wait in decisions],
+                "accepted": accepted,
+                "retry_after": wait,
             }
         )
 
