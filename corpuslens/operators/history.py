@@ -177,38 +177,33 @@ def reconciled(runs: DataFrame, recovered_at: Column) -> DataFrame:
 def lifecycle(events: DataFrame, key: str = "run_id", time: str = "ts", tiebreak: str = "seq") -> DataFrame:
     """Final state of every run from its events, in one map-side combined aggregate.
 
-    Statuses: queued, running, completed, failed, cancelled, exited (the process is gone).
-    After a cancellation, running and failed are ignored. A run still running when its process exits has failed.
+    Statuses: queued, running, completed, failed, cancelled, exited (the process is gone). While a run is cancelled,
+    running and failed are ignored; so if the last of queued, completed and cancelled is a cancellation, that
+    is the final state, else the last event is. A run still running when its process exits has failed.
     """
     status = F.col("status")
     at = F.struct(F.col(time), F.col(tiebreak))
     state = F.struct(at.alias("at"), status.alias("status"))
-
-    def when(*names: str) -> Column:
-        return status.isin(*names)
-
     folded = events.groupBy(key).agg(
-        F.min(F.when(when("cancelled"), at)).alias("_cancelled"),
-        F.max(F.when(when("queued", "cancelled", "completed"), state)).alias("_sticky"),
-        F.max(F.when(~when("exited"), state)).alias("_last"),
-        F.max(F.when(when("exited"), at)).alias("_exited"),
-        F.min(F.when(when("running"), at)).alias("_first_running"),
-        F.min(F.when(when("running"), F.col(time))).alias("started_at"),
+        F.max(F.when(status.isin("queued", "cancelled", "completed"), state)).alias("_sticky"),
+        F.max(F.when(status != "exited", state)).alias("_last"),
+        F.max(F.when(status == "exited", at)).alias("_exited"),
+        F.min(F.when(status == "running", at)).alias("_first_running"),
+        F.min(F.when(status == "running", F.col(time))).alias("started_at"),
         F.max(F.col(time)).alias("last_event_at"),
     )
-    cancelled = F.col("_cancelled").isNotNull()
-    current = F.when(cancelled, F.col("_sticky.status")).otherwise(F.col("_last.status"))
-    died = ~cancelled & (F.col("_last.status") == "running") & (F.col("_exited") > F.col("_last.at"))
-    final = F.when(F.coalesce(died, F.lit(False)), "failed").otherwise(current)
-    ran_before = F.coalesce(F.col("_first_running") < F.col("_cancelled"), F.lit(False))
-    message = (
-        F.when(F.coalesce(died, F.lit(False)), fixed.UNEXPECTED_EXIT)
-        .when((final == "cancelled") & ran_before, fixed.CANCELLED_RUNNING)
-        .when(final == "cancelled", fixed.CANCELLED_QUEUED)
+    cancelled = F.coalesce(F.col("_sticky.status") == "cancelled", F.lit(False))
+    died = F.coalesce(
+        ~cancelled & (F.col("_last.status") == "running") & (F.col("_exited") > F.col("_last.at")), F.lit(False)
     )
-    return folded.select(
-        key, final.alias("status"), message.alias("message"), "started_at", "last_event_at"
+    final = F.when(cancelled, "cancelled").when(died, "failed").otherwise(F.col("_last.status"))
+    ran_before = F.coalesce(F.col("_first_running") < F.col("_sticky.at"), F.lit(False))
+    message = (
+        F.when(died, fixed.UNEXPECTED_EXIT)
+        .when(cancelled & ran_before, fixed.CANCELLED_RUNNING)
+        .when(cancelled, fixed.CANCELLED_QUEUED)
     )
+    return folded.select(key, final.alias("status"), message.alias("message"), "started_at", "last_event_at")
 
 
 def with_missing_columns(df: DataFrame, columns: dict[str, str] = RUNS) -> DataFrame:

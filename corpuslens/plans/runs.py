@@ -211,22 +211,24 @@ def lifecycle_events(spark, sf_dir):
     )
 
 
-@query(
-    "r7_lifecycle",
-    f"""
+LIFECYCLE_SQL = f"""
 WITH e AS ({_EVENTS}),
-c AS (SELECT *, min(CASE WHEN status = 'cancelled' THEN row(ts, seq) END) OVER (PARTITION BY run_id) AS cut,
-   min(CASE WHEN status = 'running' THEN row(ts, seq) END) OVER (PARTITION BY run_id) AS began FROM e),
-k AS (SELECT * FROM c WHERE cut IS NULL OR row(ts, seq) <= cut OR status NOT IN ('running', 'failed')),
-l AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, seq DESC) AS rn FROM k WHERE status <> 'exited'),
+k AS (SELECT run_id, status, ts, seq FROM e WHERE status IN ('queued', 'cancelled', 'completed')
+  QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, seq DESC) = 1),
+l AS (SELECT run_id, status, ts, seq FROM e WHERE status <> 'exited'
+  QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, seq DESC) = 1),
 x AS (SELECT run_id, max(row(ts, seq)) AS gone FROM e WHERE status = 'exited' GROUP BY run_id),
+b AS (SELECT run_id, min(row(ts, seq)) AS began FROM e WHERE status = 'running' GROUP BY run_id),
 a AS (SELECT run_id, epoch_us(min(CASE WHEN status = 'running' THEN ts END)) AS started_us, epoch_us(max(ts)) AS last_us FROM e GROUP BY run_id),
-f AS (SELECT run_id, CASE WHEN cut IS NULL AND l.status = 'running' AND gone > row(ts, seq) THEN 'died' ELSE l.status END AS s, cut, began
-   FROM l LEFT JOIN x USING (run_id) WHERE rn = 1)
+f AS (SELECT l.run_id, CASE WHEN k.status = 'cancelled' THEN 'cancelled' WHEN l.status = 'running' AND gone > row(l.ts, l.seq) THEN 'died' ELSE l.status END AS s,
+   row(k.ts, k.seq) AS cut, began
+   FROM l LEFT JOIN k USING (run_id) LEFT JOIN x USING (run_id) LEFT JOIN b USING (run_id))
 SELECT run_id, CASE WHEN s = 'died' THEN 'failed' ELSE s END AS status,
   CASE WHEN s = 'died' THEN '{fixed.UNEXPECTED_EXIT}' WHEN s = 'cancelled' THEN CASE WHEN began < cut THEN '{fixed.CANCELLED_RUNNING}' ELSE '{fixed.CANCELLED_QUEUED}' END END AS message,
-  started_us, last_us FROM a LEFT JOIN f USING (run_id)""",
-)
+  started_us, last_us FROM a LEFT JOIN f USING (run_id)"""
+
+
+@query("r7_lifecycle", LIFECYCLE_SQL)
 def lifecycle(spark, sf_dir):
     """Final state per run, folded by one aggregate."""
     out = history.lifecycle(lifecycle_events(spark, sf_dir))

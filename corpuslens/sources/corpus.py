@@ -24,7 +24,8 @@ def list_files(spark: SparkSession, root: str, name_glob: str | None = None) ->
 def scan_corpus(
     spark: SparkSession, root: str, branch: str = "main", folders: list[str] | None = None, name_glob: str | None = None
 ) -> DataFrame:
-    """SR1: files below ``root/<repo>/`` with their text; text that is not UTF-8 is null.
+    """SR1: files below ``root/<repo>/`` with their text; text that is not UTF-8 is null, and files of no bytes are not
+    listed (see ``with_listing``).
 
     Folders and the name pattern limit what is listed and read, because a filter on the path
     column comes after the bytes were read.
@@ -50,6 +51,17 @@ def scan_corpus(
     )
 
 
+def with_listing(files: DataFrame, listing: DataFrame) -> DataFrame:
+    """SR1: every listed (repo, path) with its content, null where nothing was read.
+
+    Spark's file sources leave out files of no bytes; a listing from the version control system brings them back,
+    so they are counted as empty.
+    """
+    content = files.select("repo", "path", "content")
+    listed = listing.select("repo", "path", fn.file_name(F.col("path")).alias("name"))
+    return listed.join(content, ["repo", "path"], "left")
+
+
 def write_run_output(df: DataFrame, base: str, provider: str, repo_path: Column, run_id: str, mode: str = "append") -> None:
     """SR7: Parquet below provider, repository key and sortable run id."""
     keyed = df.withColumns(

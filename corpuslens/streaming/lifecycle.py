@@ -14,10 +14,10 @@ OUTPUT = "run_id STRING, status STRING, message STRING, at BIGINT, position BIGI
 COLUMNS = ["run_id", "status", "message", "at", "position"]
 
 
-def next_status(current: str | None, event: str) -> str:
+def next_status(current: str | None, event: str) -> str | None:
     """One event applied to a status, as the batch fold does for a whole run."""
     if event == "exited":
-        return "failed" if current == "running" else (current or "exited")
+        return "failed" if current == "running" else current
     if current == "cancelled" and event in ("running", "failed"):
         return current
     return event
