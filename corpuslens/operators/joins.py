@@ -1,0 +1,36 @@
+"""Joins of a large table with one row per key of another.
+
+Spark broadcasts a side by its own size estimate and splits skewed partitions at run time (AQE). What is here is for the one
+case it plans badly: the small side is derived, so its estimate is that of its source, and the large side carries content
+that should not be shuffled.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+BROADCAST_BYTES = 64 * 1024 * 1024
+SALTS = 16
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of the rows, by one aggregate: text lengths plus a fixed amount per value."""
+    sizes = [
+        F.coalesce(F.octet_length(F.col(name)), F.lit(0)) if kind == "string" else F.lit(0) for name, kind in df.dtypes
+    ]
+    per_row = reduce(Column.__add__, sizes) + F.lit(16 * len(sizes))
+    return df.agg(F.coalesce(F.sum(per_row), F.lit(0)).alias("bytes")).first()["bytes"]
+
+
+def look_up(large: DataFrame, small: DataFrame, keys: list[str], spread: Column, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Left join with a side of one row per key: broadcast if it was measured to fit, else joined by salted keys.
+
+    ``spread`` is hashed into the salt; the small side is repeated once per salt, so a hot key meets it in 16 tasks.
+    """
+    if measured_bytes(small) <= max_bytes:
+        return large.join(F.broadcast(small), keys, "left")
+    salted = large.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return salted.join(repeated, [*keys, "_salt"], "left").drop("_salt")

@@ -2,15 +2,15 @@
 
 ``row_number() <= n`` lets Spark keep only n rows per key and map task before the shuffle
 (WindowGroupLimit), so a hot key sends at most n rows per task to its reducer. Spark does that for
-n up to ``spark.sql.optimizer.windowGroupLimitThreshold``; above it ``top_n_per_key`` ranks
-inside deterministic salts first. A full rank of a hot key is cut into ordered chunks.
+n up to ``spark.sql.optimizer.windowGroupLimitThreshold``; above it ``top_n_per_key`` narrows down in
+steps of its own. A full rank of a hot key is cut into ordered chunks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-GROUP_LIMIT_THRESHOLD = 1000
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 SALTS = 64
 
 
@@ -18,21 +18,24 @@ def _names(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+def _top(df: DataFrame, keys: list[str], order: list[Column], n: int, column: str) -> DataFrame:
+    ranked = df.withColumn(column, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.filter(F.col(column) <= n)
+
+
 def top_n_per_key(df: DataFrame, keys, order: list[Column], n: int, rank: str | None = None) -> DataFrame:
-    """The first n rows of every key in a total order; with ``rank`` the 1-based rank is kept."""
+    """The first n rows of every key in a total order; with ``rank`` the 1-based rank is kept.
+
+    For an n above Spark's own limit the rows of one input partition are cut to n per key first, then those of a
+    64th of the partitions, then the rest. Partitions bound the first groups even where all rows are copies.
+    """
     keys = _names(keys)
-    if n > GROUP_LIMIT_THRESHOLD:
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
-        within = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = (
-            df.withColumn("_salt", salt)
-            .withColumn("_rank", F.row_number().over(within))
-            .filter(F.col("_rank") <= n)
-            .drop("_salt", "_rank")
-        )
+    if n > int(df.sparkSession.conf.get(GROUP_LIMIT, "1000")):
+        df = df.withColumn("_part", F.spark_partition_id())
+        df = _top(df, [*keys, "_part"], order, n, "_rank").withColumn("_part", F.pmod("_part", F.lit(SALTS)))
+        df = _top(df, [*keys, "_part"], order, n, "_rank").drop("_part", "_rank")
     column = rank or "_rank"
-    ranked = df.withColumn(column, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    ranked = ranked.filter(F.col(column) <= n)
+    ranked = _top(df, keys, order, n, column)
     return ranked if rank else ranked.drop(column)
 
 
@@ -41,36 +44,51 @@ def first_per_key(df: DataFrame, keys, order: list[Column]) -> DataFrame:
     return top_n_per_key(df, keys, order, 1)
 
 
+def _prefixed(keys: list[str]) -> list[str]:
+    return [f"_b_{key}" for key in keys]
+
+
+def _rows_before(chunks: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Per key and chunk the number of rows in earlier chunks.
+
+    Chunks are summed inside groups of ``width`` chunks and the groups are summed up, so sparse positions,
+    where every row is a chunk of its own, do not gather a hot key in one window either.
+    """
+    grouped = chunks.withColumn("_group", F.floor(F.col("_b_chunk") / F.lit(width)))
+    earlier = Window.unboundedPreceding, -1
+    inside = Window.partitionBy(*keys, "_group").orderBy("_b_chunk").rowsBetween(*earlier)
+    groups = grouped.groupBy(*[F.col(k).alias(f"_g{k}") for k in keys], F.col("_group").alias("_g_group")).agg(
+        F.sum("_n").alias("_g_n")
+    )
+    across = Window.partitionBy(*[f"_g{k}" for k in keys]).orderBy("_g_group").rowsBetween(*earlier)
+    groups = groups.withColumn("_g_before", F.sum("_g_n").over(across)).filter(F.col("_g_before") > 0)
+    same = [F.col(k).eqNullSafe(F.col(f"_g{k}")) for k in keys] + [F.col("_group") == F.col("_g_group")]
+    before = F.coalesce(F.sum("_n").over(inside), F.lit(0)) + F.coalesce("_g_before", F.lit(0))
+    joined = grouped.join(groups, same, "left").withColumn("_offset", before)
+    return joined.filter(F.col("_offset") > 0).select(*keys, "_b_chunk", "_offset")
+
+
 def chunked_row_number(
     df: DataFrame, keys, position: str, tiebreak: list[Column], rank: str, width: int = 100_000
 ) -> DataFrame:
     """Exact row_number per key, ordered by an integer position.
 
-    Each key is cut into chunks of ``width`` consecutive positions. Rows are ranked inside a
-    chunk, chunk counts are summed up, and the count before a chunk is added. No task holds more of
-    a key than one chunk; the prefix sum runs over one row per chunk.
+    Each key is cut into chunks of ``width`` consecutive positions. Rows are ranked inside a chunk, chunk
+    counts are summed up, and the count before a chunk is added. No task holds more of a key than one chunk.
     """
     keys = _names(keys)
     chunked = df.withColumn("_chunk", F.floor(F.col(position) / F.lit(width)))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(F.col(position), *tiebreak)
     local = chunked.withColumn("_local", F.row_number().over(inside))
-    before = (
-        Window.partitionBy(*[F.col(f"_b_{k}") for k in keys])
-        .orderBy("_b_chunk")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        chunked.groupBy(*[F.col(k).alias(f"_b_{k}") for k in keys], F.col("_chunk").alias("_b_chunk"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-        .filter(F.col("_offset") > 0)
-    )
-    same = [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys] + [F.col("_chunk") == F.col("_b_chunk")]
-    ranked = local.join(offsets, same, "left").withColumn(
+    chunks = chunked.groupBy(
+        *[F.col(key).alias(name) for key, name in zip(keys, _prefixed(keys))], F.col("_chunk").alias("_b_chunk")
+    ).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = _rows_before(chunks, _prefixed(keys), width)
+    same = [F.col(key).eqNullSafe(F.col(name)) for key, name in zip(keys, _prefixed(keys))]
+    ranked = local.join(offsets, [*same, F.col("_chunk") == F.col("_b_chunk")], "left").withColumn(
         rank, (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("bigint")
     )
-    return ranked.drop("_chunk", "_local", "_offset", "_b_chunk", *[f"_b_{k}" for k in keys])
+    return ranked.drop("_chunk", "_local", "_offset", "_b_chunk", *_prefixed(keys))
 
 
 def ordered_distinct(df: DataFrame, keys, value: str, position: str) -> DataFrame:

@@ -23,6 +23,8 @@ def local_session(app: str, cpus: int | str = 8, shuffle_partitions: int = 8, **
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Lets the 3000-path scan limit prune inside map tasks, too.
+        .config("spark.sql.optimizer.windowGroupLimitThreshold", "5000")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

@@ -28,14 +28,15 @@ def write_suggestions(
     """SR4: suggestion documents per (repo_path, branch), one JSON document per line.
 
     A repository with more than about ``per_document`` suggestions gets several documents; readers take the union of
-    all documents anyway, so no document grows with the largest repository.
+    all documents anyway, so no document grows with the largest repository. Rows are dealt out by the hash of all their
+    columns, list position included, so copies of one suggestion do not end up together.
     """
     scope = ["repo_path", "branch"]
     sizes = suggestions.groupBy(*scope).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(per_document)).cast("int").alias("_documents")
     )
     numbered = suggestions.join(sizes, scope).withColumn(
-        "_document", F.pmod(F.xxhash64(*FIELDS), F.col("_documents"))
+        "_document", F.pmod(F.xxhash64(*suggestions.columns), F.col("_documents"))
     )
     documents = numbered.groupBy(*scope, "_document").agg(
         F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("suggestions")

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import Window, functions as F
 
-from corpuslens.operators import bounded, history, ranking
+from corpuslens.operators import bounded, history, joins, ranking
 
 
 def skewed(spark, n=3000):
@@ -24,8 +24,57 @@ def test_top_n_prunes_before_the_shuffle(spark):
     order = [F.col("pos"), F.col("id")]
     small = ranking.top_n_per_key(skewed(spark), "k", order, 5)._jdf.queryExecution().executedPlan().toString()
     assert small.index("WindowGroupLimit") < small.index("Exchange") < small.rindex("WindowGroupLimit")
-    large = ranking.top_n_per_key(skewed(spark), "k", order, 3000)._jdf.queryExecution().executedPlan().toString()
-    assert "_salt" in large
+    large = ranking.top_n_per_key(skewed(spark), "k", order, 2000)._jdf.queryExecution().executedPlan().toString()
+    assert "_part" not in large and large.index("WindowGroupLimit") < large.index("Exchange")
+
+
+def test_top_n_narrows_down_where_spark_does_not(spark):
+    before = spark.conf.get(ranking.GROUP_LIMIT)
+    spark.conf.set(ranking.GROUP_LIMIT, "2")
+    try:
+        order = [F.col("pos").desc(), F.col("id")]
+        df = skewed(spark)
+        plain = df.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(*order))).filter("r <= 40")
+        got = ranking.top_n_per_key(df.repartition(9), "k", order, 40, "r")
+        assert "_part" in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.select("k", "id", "r").collect())) == sorted(map(tuple, plain.select("k", "id", "r").collect()))
+    finally:
+        spark.conf.set(ranking.GROUP_LIMIT, before)
+
+
+def test_look_up_broadcasts_only_what_fits(spark):
+    large = skewed(spark)
+    small = spark.createDataFrame([("hot", "h"), ("k1", "one")], "k string, label string")
+    fits = joins.look_up(large, small, ["k"], F.col("id"))
+    salted = joins.look_up(large, small, ["k"], F.col("id"), max_bytes=1)
+    assert "ResolvedHint" in fits._jdf.queryExecution().analyzed().toString()
+    assert "_salt" in salted._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(str, fits.collect())) == sorted(map(str, salted.collect()))
+    assert fits.count() == 3000
+
+
+def test_hot_keys_are_split_at_run_time(spark):
+    """AQE splits the hot partition of a join; thresholds are lowered to the size of the test."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        runs = spark.range(60_000, numPartitions=8).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS repository_id")
+        repositories = spark.range(60_000).selectExpr("id", "'n' || id AS name")
+        out = history.with_repository(runs, repositories)
+        rows = out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+        assert len(rows) == 60_000 and all(r.repository_name == f"n{r.repository_id}" for r in rows)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 @pytest.mark.parametrize("width", [1, 10, 100_000])
