@@ -56,7 +56,7 @@ def match_top_down(spark, sf_dir):
     "w5_budget",
     _MATCH.format(direction="DESC")
     + """, b AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY file_path, item_pos DESC) AS budget_no FROM matched)
-SELECT file_path, kind, item_pos, text, budget_no FROM b WHERE budget_no <= 50""",
+SELECT file_path, kind, item_pos, text, CAST(budget_no AS INT) AS budget_no FROM b WHERE budget_no <= 50""",
 )
 def budget(spark, sf_dir):
     """Matches accepted file by file, bottom-up, until each kind has spent its 50."""
@@ -70,7 +70,7 @@ def budget(spark, sf_dir):
     """
 WITH g AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'doc ' || l_partkey END AS text FROM lineitem),
 b AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS budget_no FROM g WHERE text IS NOT NULL)
-SELECT * FROM b WHERE budget_no <= 5""",
+SELECT * REPLACE (CAST(budget_no AS INT) AS budget_no) FROM b WHERE budget_no <= 5""",
 )
 def generated_items(spark, sf_dir):
     """A generator column that answers some items only; null answers cost no budget."""
@@ -134,7 +134,7 @@ def patched_lines(spark, sf_dir):
     """
 WITH new AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' ' ELSE text END AS content FROM documents),
 base AS (SELECT doc_id, text AS content FROM documents WHERE doc_id % 5 <> 0)
-SELECT doc_id, length(new.content) AS n_chars FROM new LEFT JOIN base USING (doc_id) WHERE new.content <> coalesce(base.content, '')""",
+SELECT doc_id, CAST(length(new.content) AS INT) AS n_chars FROM new LEFT JOIN base USING (doc_id) WHERE new.content <> coalesce(base.content, '')""",
 )
 def changed_only(spark, sf_dir):
     """documents that differ from their base; a missing base is empty."""

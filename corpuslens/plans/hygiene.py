@@ -37,7 +37,7 @@ def redacted_sql(text: str) -> str:
     "s1_redact_documents",
     f"""
 WITH t AS (SELECT doc_id, {planted('doc_id', 'VARCHAR')} AS message FROM documents)
-SELECT doc_id, md5({redacted_sql('message')}) AS digest, length({redacted_sql('message')}) AS n_chars FROM t""",
+SELECT doc_id, md5({redacted_sql('message')}) AS digest, CAST(length({redacted_sql('message')}) AS INT) AS n_chars FROM t""",
 )
 def redact_documents(spark, sf_dir):
     """S1 over whole documents with planted secrets."""

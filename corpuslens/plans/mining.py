@@ -475,3 +475,19 @@ def link_pages(spark, sf_dir):
         F.explode_outer(targets).alias("name"), F.lpad(F.col("page_id").cast("string"), 9, "0").alias("item")
     ).filter(F.col("name").isNotNull())
     return bounded.listing_preview(rows, ["name"], "item")
+
+
+@query(
+    "s18_sorted_links",
+    """
+WITH t AS (SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, 'href="/([a-zA-Z]+)', 1))) AS l FROM pages)
+SELECT page_id, CAST(len(l) AS INT) AS n, array_to_string(l, ',') AS links,
+  array_to_string(l[1:8], ', ') || CASE WHEN len(l) > 8 THEN ', ...' ELSE '' END AS preview FROM t""",
+)
+def sorted_links(spark, sf_dir):
+    """Sorted distinct items inside one row, and their preview."""
+    links = fn.sorted_distinct(F.regexp_extract_all("html", F.lit('href="/([a-zA-Z]+)'), F.lit(1)))
+    df = table(spark, sf_dir, "pages").select("page_id", links.alias("l"))
+    return df.select(
+        "page_id", F.size("l").alias("n"), F.array_join("l", ",").alias("links"), fn.preview(F.col("l")).alias("preview")
+    )

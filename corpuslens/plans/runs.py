@@ -92,7 +92,7 @@ def filtered_runs(spark, sf_dir):
 @query(
     "w9_recent_per_repository",
     f"""{_WITH}
-SELECT id, repository_id, recent_no FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY created_at DESC, id DESC) AS recent_no FROM runs)
+SELECT id, repository_id, CAST(recent_no AS INT) AS recent_no FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY created_at DESC, id DESC) AS recent_no FROM runs)
 WHERE recent_no <= 10""",
 )
 def recent_per_repository(spark, sf_dir):
@@ -163,7 +163,7 @@ _RECOVERED = "TIMESTAMP '2002-01-01 00:00:00'"
 @query(
     "r6_reconciled",
     f"""{_WITH}
-SELECT id, CASE WHEN i THEN 'failed' ELSE status END AS status, CASE WHEN i THEN 100.0 ELSE 12.0 END AS progress_percent,
+SELECT id, CASE WHEN i THEN 'failed' ELSE status END AS status, CAST(CASE WHEN i THEN 100.0 ELSE 12.0 END AS DOUBLE) AS progress_percent,
   CASE WHEN i THEN 'Failed' END AS progress_message,
   CASE WHEN i THEN epoch_us({_RECOVERED}) END AS completed_us,
   CASE WHEN i THEN CASE WHEN id % 2 = 0 THEN 0.0 ELSE CAST(epoch_us({_RECOVERED}) - epoch_us(created_at) AS DOUBLE) / 1e6 END END AS duration_seconds,

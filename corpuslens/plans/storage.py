@@ -16,7 +16,7 @@ from corpuslens.sources import corpus, reports
 @query(
     "sr1_corpus_scan",
     """
-SELECT source AS repo, lang AS folder, sum(len(string_split(text, chr(10)))) AS n_lines, sum(length(replace(text, chr(10), ''))) AS n_chars
+SELECT source AS repo, lang AS folder, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS n_lines, CAST(sum(length(replace(text, chr(10), ''))) AS BIGINT) AS n_chars
 FROM documents GROUP BY ALL""",
 )
 def corpus_scan(spark, sf_dir):
