@@ -44,51 +44,33 @@ def first_per_key(df: DataFrame, keys, order: list[Column]) -> DataFrame:
     return top_n_per_key(df, keys, order, 1)
 
 
-def _prefixed(keys: list[str]) -> list[str]:
-    return [f"_b_{key}" for key in keys]
-
-
-def _rows_before(chunks: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Per key and chunk the number of rows in earlier chunks.
-
-    Chunks are summed inside groups of ``width`` chunks and the groups are summed up, so sparse positions,
-    where every row is a chunk of its own, do not gather a hot key in one window either.
-    """
-    grouped = chunks.withColumn("_group", F.floor(F.col("_b_chunk") / F.lit(width)))
-    earlier = Window.unboundedPreceding, -1
-    inside = Window.partitionBy(*keys, "_group").orderBy("_b_chunk").rowsBetween(*earlier)
-    groups = grouped.groupBy(*[F.col(k).alias(f"_g{k}") for k in keys], F.col("_group").alias("_g_group")).agg(
-        F.sum("_n").alias("_g_n")
-    )
-    across = Window.partitionBy(*[f"_g{k}" for k in keys]).orderBy("_g_group").rowsBetween(*earlier)
-    groups = groups.withColumn("_g_before", F.sum("_g_n").over(across)).filter(F.col("_g_before") > 0)
-    same = [F.col(k).eqNullSafe(F.col(f"_g{k}")) for k in keys] + [F.col("_group") == F.col("_g_group")]
-    before = F.coalesce(F.sum("_n").over(inside), F.lit(0)) + F.coalesce("_g_before", F.lit(0))
-    joined = grouped.join(groups, same, "left").withColumn("_offset", before)
-    return joined.filter(F.col("_offset") > 0).select(*keys, "_b_chunk", "_offset")
-
-
 def chunked_row_number(
     df: DataFrame, keys, position: str, tiebreak: list[Column], rank: str, width: int = 100_000
 ) -> DataFrame:
-    """Exact row_number per key, ordered by an integer position.
+    """Exact row_number per key, ordered by an integer position such as a line number or a place in a list.
 
     Each key is cut into chunks of ``width`` consecutive positions. Rows are ranked inside a chunk, chunk
-    counts are summed up, and the count before a chunk is added. No task holds more of a key than one chunk.
+    counts are summed up, and the count before a chunk is added. No task holds more of a key than one chunk; the prefix
+    sum runs over one row per chunk, so ``width`` should span many positions in use.
     """
     keys = _names(keys)
     chunked = df.withColumn("_chunk", F.floor(F.col(position) / F.lit(width)))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(F.col(position), *tiebreak)
     local = chunked.withColumn("_local", F.row_number().over(inside))
-    chunks = chunked.groupBy(
-        *[F.col(key).alias(name) for key, name in zip(keys, _prefixed(keys))], F.col("_chunk").alias("_b_chunk")
-    ).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = _rows_before(chunks, _prefixed(keys), width)
-    same = [F.col(key).eqNullSafe(F.col(name)) for key, name in zip(keys, _prefixed(keys))]
+    chunk_keys = [f"_b_{key}" for key in keys]
+    before = Window.partitionBy(*chunk_keys).orderBy("_b_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        chunked.groupBy(*[F.col(key).alias(name) for key, name in zip(keys, chunk_keys)], F.col("_chunk").alias("_b_chunk"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_offset", F.sum("_n").over(before))
+        .drop("_n")
+        .filter(F.col("_offset") > 0)
+    )
+    same = [F.col(key).eqNullSafe(F.col(name)) for key, name in zip(keys, chunk_keys)]
     ranked = local.join(offsets, [*same, F.col("_chunk") == F.col("_b_chunk")], "left").withColumn(
         rank, (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("bigint")
     )
-    return ranked.drop("_chunk", "_local", "_offset", "_b_chunk", *_prefixed(keys))
+    return ranked.drop("_chunk", "_local", "_offset", "_b_chunk", *chunk_keys)
 
 
 def ordered_distinct(df: DataFrame, keys, value: str, position: str) -> DataFrame:

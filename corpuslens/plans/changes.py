@@ -14,21 +14,21 @@ from corpuslens.session import table
 def _items(spark, sf_dir):
     """Items: lines by supplier and flag, positioned by order and line."""
     return table(spark, sf_dir, "lineitem").filter("l_linestatus = 'O'").selectExpr(
-        "l_suppkey AS file_path", "l_returnflag AS kind", "l_orderkey * 1000000 + l_partkey * 8 + l_linenumber AS item_pos"
+        "l_suppkey AS file_path", "l_returnflag AS kind", "l_orderkey * 8 + l_linenumber AS item_pos"
     ).distinct()
 
 
 def _suggestions(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").filter("l_linestatus = 'F'").selectExpr(
-        "l_suppkey AS file_path", "l_returnflag AS kind", "l_orderkey * 1000000 + l_partkey * 8 + l_linenumber AS list_pos",
+        "l_suppkey AS file_path", "l_returnflag AS kind", "l_orderkey * 8 + l_linenumber AS list_pos",
         "'doc ' || l_orderkey || '/' || l_partkey AS text",
     ).distinct()
 
 
 _MATCH = """
-WITH i AS (SELECT DISTINCT l_suppkey AS file_path, l_returnflag AS kind, l_orderkey * 1000000 + l_partkey * 8 + l_linenumber AS item_pos
+WITH i AS (SELECT DISTINCT l_suppkey AS file_path, l_returnflag AS kind, l_orderkey * 8 + l_linenumber AS item_pos
   FROM lineitem WHERE l_linestatus = 'O'),
-s AS (SELECT DISTINCT l_suppkey AS file_path, l_returnflag AS kind, l_orderkey * 1000000 + l_partkey * 8 + l_linenumber AS list_pos,
+s AS (SELECT DISTINCT l_suppkey AS file_path, l_returnflag AS kind, l_orderkey * 8 + l_linenumber AS list_pos,
   'doc ' || l_orderkey || '/' || l_partkey AS text FROM lineitem WHERE l_linestatus = 'F'),
 ri AS (SELECT *, row_number() OVER (PARTITION BY file_path, kind ORDER BY item_pos {direction}) AS occurrence FROM i),
 rs AS (SELECT *, row_number() OVER (PARTITION BY file_path, kind ORDER BY list_pos, text) AS occurrence FROM s),
