@@ -1,9 +1,9 @@
 """ST1, batch form: a sliding-log rate limiter.
 
 Whether a request is accepted depends on which earlier ones were, so one busy period of one caller
-is a sequence. It is cut exactly where it can be: an empty time bucket as long as the window empties the
-log, so runs of occupied buckets are independent groups. Inside a group rows arrive sorted in
-Arrow batches and only the log, at most ``max_requests`` numbers, is kept.
+is a sequence. It is cut exactly where it can be: a request after an empty time bucket as long as the window
+meets no earlier one in its window, so runs of occupied buckets are independent groups. Inside a group rows arrive
+sorted in Arrow batches and only the log, at most ``max_requests`` numbers, is kept.
 """
 
 from __future__ import annotations
@@ -18,27 +18,31 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpuslens import fixed_values as fixed
 
 
-def decide(log: deque, at: np.ndarray, max_requests: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+def accepted_log(max_requests: int, accepted=()) -> deque:
+    """The last ``max_requests`` accepted times; older ones cannot matter."""
+    return deque(accepted, maxlen=max_requests)
+
+
+def decide(log: deque, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Decisions for sorted request times (microseconds) of one caller, given and updating its log.
 
-    While the log is full nothing is accepted until its oldest entry leaves the window, so that
-    stretch is rejected in one step; the loop runs once per accepted request, not per request.
+    A request is accepted if the log is not full or its oldest entry lies before the window. Otherwise nothing is
+    accepted up to the end of that entry's window, so the whole stretch is rejected in one step: the loop runs once per
+    accepted request and not once per request.
     """
     accepted = np.zeros(len(at), dtype=bool)
     wait = np.zeros(len(at), dtype="int64")
     i = 0
     while i < len(at):
-        now = int(at[i])
-        while log and log[0] < now - window:
-            log.popleft()
-        if len(log) < max_requests:
-            log.append(now)
+        if len(log) == log.maxlen and at[i] <= log[0] + window:
+            until = int(np.searchsorted(at, log[0] + window, side="right"))
+            left = window - (at[i:until] - log[0])
+            wait[i:until] = np.maximum(1, left // 1_000_000)
+            i = until
+        else:
+            log.append(int(at[i]))
             accepted[i] = True
             i += 1
-            continue
-        until = int(np.searchsorted(at, log[0] + window, side="right"))
-        wait[i:until] = np.maximum(1, (window - (at[i:until] - log[0])) // 1_000_000)
-        i = until
     return accepted, wait
 
 
@@ -77,7 +81,7 @@ def rate_limited(
     )
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, log = None, deque()
+        group, log = None, accepted_log(max_requests)
         for batch in batches:
             keys, at = batch[[caller, "period"]], batch["_now"].to_numpy()
             starts = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
@@ -85,8 +89,8 @@ def rate_limited(
             for start, end in zip(starts, [*starts[1:], len(batch)]):
                 key = tuple(keys.iloc[start])
                 if key != group:
-                    group, log = key, deque()
-                accepted[start:end], wait[start:end] = decide(log, at[start:end], max_requests, window)
+                    group, log = key, accepted_log(max_requests)
+                accepted[start:end], wait[start:end] = decide(log, at[start:end], window)
             yield pd.DataFrame(
                 {caller: batch[caller], tiebreak: batch[tiebreak], "accepted": accepted, "retry_after": wait}
             )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpuslens import fixed_values as fixed
-from corpuslens.operators.limiter import decide
+from corpuslens.operators.limiter import accepted_log, decide
 
 OUTPUT = "caller STRING, request_id BIGINT, accepted BOOLEAN, retry_after BIGINT"
 
@@ -30,12 +29,13 @@ class SlidingLog(StatefulProcessor):
         # Rows of one micro-batch may come in several Arrow batches and in any order. Two numbers per request are
         # held; the source's own per-trigger limit bounds how many a caller can have in one micro-batch.
         pending = pd.concat(list(rows)).sort_values(["at", "request_id"])
-        log = deque(value[0] for value in self.log.get()) if self.log.exists() else deque()
-        accepted, wait = decide(log, pending["at"].to_numpy(), self.max_requests, self.window)
+        known = (value[0] for value in self.log.get()) if self.log.exists() else ()
+        log = accepted_log(self.max_requests, known)
+        accepted, wait = decide(log, pending["at"].to_numpy(), self.window)
         self.log.put([(int(value),) for value in log])
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        # The log is empty once the watermark has passed its last entry by more than the window.
+        # Nothing in the log matters once the watermark has passed its last entry by more than the window.
         if log:
             self.handle.registerTimer(int((log[-1] + self.window) // 1000) + 1)
         yield pd.DataFrame(

@@ -35,17 +35,17 @@ def plain_limiter(times, limit, window):
 def test_decisions_in_stretches(seed):
     rng = random.Random(seed)
     times = sorted(rng.randrange(0, 400_000_000, rng.choice([1, 500_000])) for _ in range(500))
-    log, got = deque(), []
+    log, got = limiter.accepted_log(4), []
     for start in range(0, 500, 37):  # batches cut anywhere
-        accepted, wait = limiter.decide(log, np.array(times[start:start + 37]), 4, 20_000_000)
+        accepted, wait = limiter.decide(log, np.array(times[start:start + 37]), 20_000_000)
         got += list(zip(accepted.tolist(), wait.tolist()))
     assert got == plain_limiter(times, 4, 20_000_000)
 
 
 def test_boundary_entry_stays_in_the_log():
-    accepted, wait = limiter.decide(deque([0]), np.array([60_000_000, 60_000_001]), 1, 60_000_000)
+    accepted, wait = limiter.decide(limiter.accepted_log(1, [0]), np.array([60_000_000, 60_000_001]), 60_000_000)
     assert accepted.tolist() == [False, True] and wait.tolist() == [1, 0]
-    accepted, _ = limiter.decide(deque([0]), np.array([3_600_000_000]), 1, 60_000_000)
+    accepted, _ = limiter.decide(limiter.accepted_log(1, [0]), np.array([3_600_000_000]), 60_000_000)
     assert accepted.tolist() == [True]
 
 
