@@ -8,11 +8,13 @@ sorted in Arrow batches and only the log, at most ``max_requests`` numbers, is k
 
 from __future__ import annotations
 
+import sys
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuslens import fixed_values as fixed
@@ -98,3 +100,7 @@ def rate_limited(
     types = dict(requests.dtypes)
     schema = f"{caller} {types[caller]}, {tiebreak} {types[tiebreak]}, accepted boolean, retry_after bigint"
     return sequence.mapInPandas(scan, schema)
+
+
+# These functions travel to the workers as code, so they need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -15,13 +15,12 @@ def newest_suggestion(
     suggestions: DataFrame, keys: list[str], value: str = "generated_docstring",
     run: str = "run_id", position: str = "pos",
 ) -> DataFrame:
-    """W1/SO3: per key the value of the newest run that has one; within a run the first in the list.
+    """W1/SO3: per key the row of the newest run that has a value; within a run the first in the list.
 
     Partial runs of one branch are simply rows of one table, so their union needs no step of its own.
     """
     usable = suggestions.filter(F.coalesce(F.col(value), F.lit("")) != "")
-    newest = first_per_key(usable, keys, [F.col(run).desc(), F.col(position)])
-    return newest.select(*keys, value)
+    return first_per_key(usable, keys, [F.col(run).desc(), F.col(position)])
 
 
 def usable_suggestions(suggestions: DataFrame) -> DataFrame:
@@ -48,8 +47,10 @@ def reuse(
     ``generator`` (U1) is a column over the item, tried where both look-ups miss; with none such items keep
     a null value and source. Both look-up sides hold one row per key, so items never multiply.
     """
-    exact = newest_suggestion(suggestions, [*scope, *exact_key], value).withColumnRenamed(value, "_exact")
-    fuzzy = newest_suggestion(suggestions, [*scope, *fuzzy_key], value).withColumnRenamed(value, "_fuzzy")
+    # The newest row of a fuzzy key is also the newest of its exact key, so the second step starts from the first.
+    newest = newest_suggestion(suggestions, [*scope, *exact_key], value)
+    exact = newest.select(*scope, *exact_key, F.col(value).alias("_exact"))
+    fuzzy = newest_suggestion(newest, [*scope, *fuzzy_key], value).select(*scope, *fuzzy_key, F.col(value).alias("_fuzzy"))
     found = missing.join(exact, [*scope, *exact_key], "left").join(fuzzy, [*scope, *fuzzy_key], "left")
     generated = F.lit(None).cast("string") if generator is None else F.nullif(generator, F.lit(""))
     return found.withColumns(

@@ -52,7 +52,8 @@ _FUZZY = "repo_path, branch, file_path, function_name, block_type, language"
 )
 def newest_suggestion(spark, sf_dir):
     """W1/SO3: newest run wins over the union of partial runs, per branch."""
-    return reuse.newest_suggestion(suggestions(spark, sf_dir), [*reuse.SCOPE, *reuse.FUZZY_KEY])
+    keys = [*reuse.SCOPE, *reuse.FUZZY_KEY]
+    return reuse.newest_suggestion(suggestions(spark, sf_dir), keys).select(*keys, "generated_docstring")
 
 
 @query(

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from corpuslens import fixed_values as fixed
+from corpuslens.fixed_values import (
+    CANCELLED_QUEUED, CANCELLED_RUNNING, QUEUED_INTERRUPTED, RUNNING_INTERRUPTED, UNEXPECTED_EXIT,
+)
 
 OUTPUT = "run_id STRING, status STRING, message STRING, at BIGINT, position BIGINT"
 COLUMNS = ["run_id", "status", "message", "at", "position"]
@@ -40,9 +44,9 @@ class Lifecycle(StatefulProcessor):
             new = next_status(status, row.status)
             message = None
             if new == "failed" and row.status == "exited":
-                message = fixed.UNEXPECTED_EXIT
+                message = UNEXPECTED_EXIT
             elif new == "cancelled" and status != "cancelled":
-                message = fixed.CANCELLED_RUNNING if status == "running" else fixed.CANCELLED_QUEUED
+                message = CANCELLED_RUNNING if status == "running" else CANCELLED_QUEUED
             if new != status:
                 position += 1
                 out.append((key[0], new, message, int(row.at), position))
@@ -56,7 +60,7 @@ class Lifecycle(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         status, _, position = self.state.get()
-        message = fixed.RUNNING_INTERRUPTED if status == "running" else fixed.QUEUED_INTERRUPTED
+        message = RUNNING_INTERRUPTED if status == "running" else QUEUED_INTERRUPTED
         at = expiredTimerInfo.getExpiryTimeInMs() * 1000
         self.state.update(("failed", at, position + 1))
         yield pd.DataFrame([(key[0], "failed", message, at, position + 1)], columns=COLUMNS)
@@ -73,3 +77,7 @@ def lifecycle_stream(events: DataFrame, timeout_seconds: int = 24 * 3600, latene
         .groupBy("run_id")
         .transformWithStateInPandas(Lifecycle(timeout_seconds), OUTPUT, outputMode="Append", timeMode="EventTime")
     )
+
+
+# The processor travels to the workers as code, so they need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

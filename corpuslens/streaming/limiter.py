@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -70,3 +72,7 @@ def rate_limited_stream(
             SlidingLog(max_requests, window_seconds), OUTPUT, outputMode="Append", timeMode="EventTime"
         )
     )
+
+
+# These functions travel to the workers as code, so they need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
