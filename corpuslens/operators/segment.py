@@ -281,23 +281,37 @@ def block_spans(lines: DataFrame) -> DataFrame:
     return outermost.withColumn("block_number", F.row_number().over(order)).drop("_reach", "is_classdef")
 
 
-def _text(first: Column, last: Column) -> Column:
-    part = F.slice(F.col("_lines"), first, F.greatest(last - first + 1, F.lit(0)))
-    return F.array_join(F.transform(part, lambda line: fn.rstrip(line)), "\n")
+SPAN = ["block_number", "header_text", "start_line", "end_line", "body_line", "code_line"]
+
+
+def _with_spans(files: DataFrame, spans: DataFrame, how: str) -> DataFrame:
+    """Files with their lines and the array of their spans: one row per file, so no block carries the whole content."""
+    readable = files.filter(F.col("language").isNotNull() & (F.coalesce(F.col("content"), F.lit("")) != ""))
+    lines = readable.repartition(*FILE).withColumn("_lines", fn.lines_of(F.col("content")))
+    per_file = spans.groupBy(*FILE).agg(F.collect_list(F.struct(*SPAN)).alias("_spans"))
+    return lines.join(per_file, FILE, how)
+
+
+def _exploded_blocks(files: DataFrame, *more: str) -> DataFrame:
+    """One row per span with its text, cut out of the file's lines; files without spans keep one row of nulls."""
+
+    def text(first: Column, last: Column) -> Column:
+        part = F.slice("_lines", first, F.greatest(last - first + 1, F.lit(0)))
+        return F.array_join(F.transform(part, lambda line: fn.rstrip(line)), "\n")
+
+    def block(span: Column) -> Column:
+        end = span["end_line"]
+        body = F.when(span["body_line"] <= end, text(span["body_line"], end))
+        fields = [span[name].alias(name) for name in SPAN]
+        return F.struct(*fields, text(span["code_line"], end).alias("code"), body.alias("body"))
+
+    exploded = files.select(*FILE, "language", *more, F.explode_outer(F.transform("_spans", block)).alias("_b"))
+    return exploded.select(*FILE, "language", *more, "_b.*")
 
 
 def code_blocks(files: DataFrame, spans: DataFrame) -> DataFrame:
     """D3: spans with their text; ``body`` starts at the first statement of a Python block."""
-    content = files.repartition(*FILE).select(*FILE, fn.lines_of(F.col("content")).alias("_lines"))
-    joined = spans.join(content, FILE)
-    return joined.withColumns(
-        {
-            "code": _text(F.col("code_line"), F.col("end_line")),
-            "body": F.when(
-                F.col("body_line") <= F.col("end_line"), _text(F.col("body_line"), F.col("end_line"))
-            ),
-        }
-    ).drop("_lines")
+    return _exploded_blocks(_with_spans(files, spans, "inner"))
 
 
 def _group(text: Column, pattern: str, group: int) -> Column:
@@ -359,22 +373,23 @@ def analyse_blocks(blocks: DataFrame) -> DataFrame:
 
 def _from_line(position: Column) -> Column:
     start = F.when(position > 0, position)
-    return F.array_join(F.slice(F.col("_lines"), start, F.size("_lines")), "\n")
+    return F.array_join(F.slice(F.col("_head"), start, F.size("_head")), "\n")
 
 
-def with_module_documentation(files: DataFrame) -> DataFrame:
-    """Documentation of a file as a whole, as column ``docstring``."""
+def with_module_documentation(files: DataFrame, only: Column | None = None) -> DataFrame:
+    """Documentation of a file as a whole, as column ``docstring``; null where ``only`` is false."""
     content, language = F.col("content"), F.col("language")
-    # Only the line-based languages need the lines, and only up to their first line of code.
+    only = F.lit(True) if only is None else only
+    # Only the line-based languages need lines, and only around their first line of code.
     marker = F.when(language == "python", "#").otherwise("%")
     code = F.transform(
-        "_lines", lambda line: (fn.strip(line) != "") & ~F.startswith(fn.lstrip(line), marker)
+        "_head", lambda line: (fn.strip(line) != "") & ~F.startswith(fn.lstrip(line), marker)
     )
-    lines = F.when(language.isin("python", "matlab"), fn.lines_of(content))
-    staged = files.withColumn("_lines", lines).withColumn("_code_at", F.array_position(code, True))
+    lines = F.when(only & language.isin("python", "matlab"), fn.lines_of(content))
+    staged = files.withColumn("_head", lines).withColumn("_code_at", F.array_position(code, True))
     python_doc = first_string(_from_line(F.col("_code_at")))
-    leading = F.when(F.col("_code_at") > 0, F.slice("_lines", F.lit(1), F.col("_code_at") - 1)).otherwise(
-        F.col("_lines")
+    leading = F.when(F.col("_code_at") > 0, F.slice("_head", F.lit(1), F.col("_code_at") - 1)).otherwise(
+        F.col("_head")
     )
     comments = F.filter(F.transform(leading, lambda line: fn.strip(line)), lambda line: line.startswith("%"))
     matlab_doc = F.array_join(F.transform(comments, lambda line: fn.strip(F.substring(line, 2, 1 << 30))), "\n")
@@ -392,7 +407,8 @@ def with_module_documentation(files: DataFrame) -> DataFrame:
             "julia": julia_doc,
         },
     )
-    return staged.withColumn("docstring", F.nullif(fn.strip(text), F.lit(""))).drop("_lines", "_code_at")
+    found = F.when(only, F.nullif(fn.strip(text), F.lit("")))
+    return staged.withColumn("docstring", found).drop("_head", "_code_at")
 
 
 def module_blocks(files: DataFrame, spans: DataFrame) -> DataFrame:
@@ -411,11 +427,21 @@ def module_blocks(files: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def block_analysis(files: DataFrame) -> DataFrame:
-    """Blocks and module rows of a files table with ``language``."""
+    """Blocks, and module rows of files without any, of a files table with ``name`` and ``language``.
+
+    Content is read twice: for the lines, and for the text of what was found in them.
+    """
     spans = block_spans(line_table(files))
-    analysed = analyse_blocks(code_blocks(files, spans))
-    columns = [
-        *FILE, "language", "block_number", "start_line", "function_name", "block_type", "docstring",
-        "missing_docstring",
-    ]
-    return analysed.select(*columns).unionByName(module_blocks(files, spans).select(*columns))
+    joined = with_module_documentation(_with_spans(files, spans, "left"), F.col("_spans").isNull())
+    rows = _exploded_blocks(joined.withColumnRenamed("docstring", "_module"), "name", "_module")
+    is_module = F.col("start_line").isNull()
+    docstring = F.when(is_module, F.col("_module")).otherwise(F.col("docstring"))
+    return analyse_blocks(rows).select(
+        *FILE, "language",
+        F.coalesce("block_number", F.lit(1)).alias("block_number"),
+        F.coalesce("start_line", F.lit(1)).alias("start_line"),
+        F.when(is_module, F.concat(F.lit("Module: "), F.col("name"))).otherwise(F.col("function_name")).alias("function_name"),
+        F.when(is_module, "module").otherwise(F.col("block_type")).alias("block_type"),
+        docstring.alias("docstring"),
+        docstring.isNull().alias("missing_docstring"),
+    )
