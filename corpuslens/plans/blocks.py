@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuslens import functions as fn
 from corpuslens.operators import coverage, segment
-from corpuslens.plans.inputs import CODE_FILES_SQL, CODE_LINES_SQL, FILES_SQL, code_files, files
+from corpuslens.plans.inputs import CODE_LINES_SQL, FILES_SQL, code_files, files
 from corpuslens.plans.registry import query
 
 _LINES = f"lines AS MATERIALIZED ({CODE_LINES_SQL})"

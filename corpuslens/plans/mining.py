@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuslens import fixed_values as fixed
 from corpuslens import functions as fn
-from corpuslens.operators import bounded, evidence, navigation, sections
+from corpuslens.operators import bounded, evidence, navigation, ranking, sections
 from corpuslens.plans.registry import query, sql_case, sql_list
 from corpuslens.session import table, written
 
@@ -436,12 +436,10 @@ SELECT page_id, href, CAST(min(i) - 1 AS INT) AS first_position FROM t GROUP BY
 )
 def ordered_distinct_links(spark, sf_dir):
     """Links of a page, each once at its first position."""
-    from corpuslens.operators.ranking import ordered_distinct
-
     links = F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))
     rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode_outer(links).alias("position", "href"))
     rows = rows.filter(F.col("href").isNotNull())
-    return ordered_distinct(rows, "page_id", "href", "position")
+    return ranking.ordered_distinct(rows, "page_id", "href", "position")
 
 
 @query(
@@ -452,12 +450,10 @@ SELECT page_id, l[-1] AS href FROM t WHERE len(l) > 0""",
 )
 def last_link(spark, sf_dir):
     """Only the last hit is kept."""
-    from corpuslens.operators.ranking import last_match
-
     links = F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))
     rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode_outer(links).alias("position", "href"))
     rows = rows.filter(F.col("href").isNotNull())
-    return last_match(rows, "page_id", "href", "position")
+    return ranking.last_match(rows, "page_id", "href", "position")
 
 
 @query(

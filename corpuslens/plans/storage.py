@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from corpuslens import functions as fn
 from corpuslens.operators import coverage, history
-from corpuslens.plans.inputs import code_files
 from corpuslens.plans.registry import query
 from corpuslens.plans.reuse import _SUGGESTIONS, suggestions
 from corpuslens.session import scratch_path, table

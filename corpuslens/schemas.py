@@ -20,7 +20,7 @@ SUGGESTION = {
     "generated_docstring": "STRING",
 }
 SUGGESTION_DOCUMENT = (
-    "provider STRING, repo_path STRING, branch STRING, suggestions ARRAY<STRUCT<"
+    "provider STRING, repo_path STRING, branch STRING, first_position BIGINT, suggestions ARRAY<STRUCT<"
     + ", ".join(f"{name}: {kind}" for name, kind in SUGGESTION.items())
     + ">>"
 )

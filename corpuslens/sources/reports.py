@@ -23,25 +23,23 @@ def read_analysis_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_suggestions(
-    suggestions: DataFrame, path: str, provider: str, per_document: int = 10_000, mode: str = "overwrite"
+    suggestions: DataFrame, path: str, provider: str, per_document: int = 10_000, position: str = "pos",
+    mode: str = "overwrite",
 ) -> None:
     """SR4: suggestion documents per (repo_path, branch), one JSON document per line.
 
-    A repository with more than about ``per_document`` suggestions gets several documents; readers take the union of
-    all documents anyway, so no document grows with the largest repository. Rows are dealt out by the hash of all their
-    columns, list position included, so copies of one suggestion do not end up together.
+    A document holds the suggestions of ``per_document`` consecutive list positions and says where it starts, so no
+    document grows with the largest repository, and readers see one list in its order.
     """
-    scope = ["repo_path", "branch"]
-    sizes = suggestions.groupBy(*scope).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(per_document)).cast("int").alias("_documents")
+    document = F.floor(F.col(position) / F.lit(per_document)).alias("_document")
+    documents = suggestions.groupBy("repo_path", "branch", document).agg(
+        F.array_sort(F.collect_list(F.struct(position, *FIELDS))).alias("_items")
     )
-    numbered = suggestions.join(sizes, scope).withColumn(
-        "_document", F.pmod(F.xxhash64(*suggestions.columns), F.col("_documents"))
-    )
-    documents = numbered.groupBy(*scope, "_document").agg(
-        F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("suggestions")
-    )
-    documents.select(F.lit(provider.lower()).alias("provider"), *scope, "suggestions").write.mode(mode).json(path)
+    plain = F.transform("_items", lambda item: F.struct(*[item[name].alias(name) for name in FIELDS]))
+    documents.select(
+        F.lit(provider.lower()).alias("provider"), "repo_path", "branch",
+        (F.col("_document") * per_document).alias("first_position"), plain.alias("suggestions"),
+    ).write.mode(mode).json(path)
 
 
 def read_suggestions(
@@ -50,6 +48,8 @@ def read_suggestions(
 ) -> DataFrame:
     """SR3: suggestions of all runs as rows with run id and list position, filtered by repository and branch.
 
+    A run may have several documents; one without ``first_position`` is a whole list.
+
     ``multi_line`` reads pretty-printed documents, one per file.
     """
     documents = spark.read.schema(SUGGESTION_DOCUMENT).option("multiLine", multi_line).json(paths)
@@ -59,8 +59,8 @@ def read_suggestions(
     if branch is not None:
         documents = documents.filter(F.col("branch") == branch)
     rows = documents.select(
-        "run_id", "provider", "repo_path", "branch", F.posexplode("suggestions").alias("pos", "_s")
-    )
+        "run_id", "provider", "repo_path", "branch", "first_position", F.posexplode("suggestions").alias("_i", "_s")
+    ).withColumn("pos", F.coalesce("first_position", F.lit(0)) + F.col("_i"))
     line = fn.lenient_int(F.col("_s.line_number")).alias("line_number")
     return rows.select(
         "run_id", "provider", "repo_path", "branch", "pos",

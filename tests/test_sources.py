@@ -54,10 +54,12 @@ def test_suggestion_documents(spark, tmp_path):
     many = spark.range(95).selectExpr(
         "'o/r' AS repo_path", "'main' AS branch", "'f' || id AS file_path", "'n' AS file_name", "'g' AS function_name",
         "'function' AS block_type", "CAST(id AS INT) AS line_number", "'python' AS language", "'d' AS generated_docstring",
+        "94 - id AS pos",
     )
     reports.write_suggestions(many, str(tmp_path / "out" / "app_9"), "GitHub", per_document=20)
     assert spark.read.json(str(tmp_path / "out" / "app_9")).count() > 1
-    assert reports.read_suggestions(spark, str(tmp_path / "out" / "app_9")).select("file_path").distinct().count() == 95
+    back = reports.read_suggestions(spark, str(tmp_path / "out" / "app_9")).orderBy("pos").collect()
+    assert [r.file_path for r in back] == [f"f{i}" for i in range(94, -1, -1)]
 
 
 def test_run_output_prunes_partitions(spark, tmp_path):

@@ -3,7 +3,6 @@ import random
 from collections import deque
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
