@@ -47,10 +47,10 @@ def reuse(
     ``generator`` (U1) is a column over the item, tried where both look-ups miss; with none such items keep
     a null value and source. Both look-up sides hold one row per key, so items never multiply.
     """
-    # The newest row of a fuzzy key is also the newest of its exact key, so the second step starts from the first.
-    newest = newest_suggestion(suggestions, [*scope, *exact_key], value)
-    exact = newest.select(*scope, *exact_key, F.col(value).alias("_exact"))
-    fuzzy = newest_suggestion(newest, [*scope, *fuzzy_key], value).select(*scope, *fuzzy_key, F.col(value).alias("_fuzzy"))
+    found_by = {"_exact": [*scope, *exact_key], "_fuzzy": [*scope, *fuzzy_key]}
+    exact, fuzzy = (
+        newest_suggestion(suggestions, keys, value).select(*keys, F.col(value).alias(name)) for name, keys in found_by.items()
+    )
     found = missing.join(exact, [*scope, *exact_key], "left").join(fuzzy, [*scope, *fuzzy_key], "left")
     generated = F.lit(None).cast("string") if generator is None else F.nullif(generator, F.lit(""))
     return found.withColumns(

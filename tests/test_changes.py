@@ -113,17 +113,3 @@ def test_suggestions_by_file_in_parts(spark):
     parts = reuse.suggestions_by_file(df.repartition(3), ["file"], "pos", F.col("text"), part_size=10).orderBy("part").collect()
     assert [len(r.suggestions) for r in parts] == [10, 10, 5]
     assert parts[0].suggestions[:2] == ["s1", "s2"] and parts[2].suggestions[-1] == "s25"
-
-
-def test_reuse_shuffles_suggestions_once(spark, tmp_path):
-    keys = "repo_path string, branch string, file_path string, function_name string, block_type string, line_number int, language string"
-    spark.createDataFrame([], keys + ", run_id string, pos int, generated_docstring string").write.parquet(str(tmp_path / "s"))
-    spark.createDataFrame([], keys).write.parquet(str(tmp_path / "m"))
-    before = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        df = reuse.reuse(spark.read.parquet(str(tmp_path / "m")), spark.read.parquet(str(tmp_path / "s")))
-        plan = df._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", before)
-    assert "ReusedExchange" in plan
