@@ -136,12 +136,16 @@ SEGMENT_CATEGORIES = {
 }
 
 # Content patterns (Java regex syntax; (?U) = Unicode classes).
-ROUTER_PATTERN = r"APIRouter\(|Blueprint\(|express\.Router\("
+ROUTER_HINTS = ("APIRouter(", "Blueprint(", "express.Router(")
 ENDPOINT_PATTERN = r"""(?U)@(?:router|app)\.(get|post|put|delete|patch)\(\s*["']([^"']+)["']"""
 MODEL_BASE_HINTS = ("Base)", "models.Model", "db.Model", "Base,")
 JOB_PATTERN = r"(?U)@(?:celery_app\.task|shared_task|task)\(|class\s+\w*Job\b"
 AUTH_PATTERN = r"(?iU)\b(jwt|oauth|authenticate|login_required|require_admin|authorization)\b"
 ENV_VAR_PATTERN = r"""(?U)os\.(?:getenv|environ\.get)\(\s*["']([A-Z0-9_]+)["']"""
+# Texts of which every match of a pattern above holds one; a plain search for them is far cheaper.
+ENDPOINT_HINTS = ("@router.", "@app.")
+JOB_HINTS = ("task(", "Job")
+ENV_VAR_HINTS = ("os.getenv", "os.environ.get")
 IMPORT_PATTERN = r"(?m)^\s*(?:from|import)\s+([A-Za-z_][A-Za-z0-9_.]*)"
 
 # Risky path patterns, in the order they are tried.

@@ -33,8 +33,9 @@ def lstrip(text: Column) -> Column:
 def redact_secrets(text: Column) -> Column:
     """URL credentials, then known token formats, then Bearer/Basic values. Null and '' pass through."""
     out = F.regexp_replace(text, fixed.URL_CREDENTIALS, F.lit(fixed.URL_PLACEHOLDER))
-    out = F.regexp_replace(out, fixed.KNOWN_TOKENS, F.lit(fixed.TOKEN_PLACEHOLDER))
-    return F.regexp_replace(out, fixed.AUTH_HEADER_VALUE, F.lit("$1 " + fixed.TOKEN_PLACEHOLDER))
+    # The look-aheads name the first letters of all formats and spare the word boundary test elsewhere.
+    out = F.regexp_replace(out, "(?=[gs])" + fixed.KNOWN_TOKENS, F.lit(fixed.TOKEN_PLACEHOLDER))
+    return F.regexp_replace(out, "(?=[bB])" + fixed.AUTH_HEADER_VALUE, F.lit("$1 " + fixed.TOKEN_PLACEHOLDER))
 
 
 def redact_with(text: Column, rules: list[tuple[str, str]]) -> Column:

@@ -62,18 +62,27 @@ def path_categories(path: Column) -> Column:
     )
 
 
+def _mentions(content: Column, texts) -> Column:
+    return reduce(Column.__or__, [F.contains(content, F.lit(text)) for text in texts])
+
+
+def _matches(content: Column, pattern: str, group: int, hints) -> Column:
+    found = F.regexp_extract_all(content, F.lit(pattern), F.lit(group))
+    return F.when(_mentions(content, hints), found).otherwise(F.array().cast("array<string>"))
+
+
 def scannable(path: Column, content: Column) -> Column:
     return fn.splitext(path).isin(*fixed.SCANNABLE_EXTENSIONS) & (F.coalesce(content, F.lit("")) != "")
 
 
 def content_categories(path: Column, content: Column) -> Column:
     """categories the content of a scannable file shows."""
-    hints = [F.contains(content, F.lit(hint)) for hint in fixed.MODEL_BASE_HINTS]
     flags = [
-        F.when(content.rlike(fixed.ROUTER_PATTERN), "routers"),
-        F.when(reduce(Column.__or__, hints), "database models"),
-        F.when(content.rlike(fixed.JOB_PATTERN), "background jobs"),
-        F.when(content.rlike(fixed.AUTH_PATTERN), "authentication flow"),
+        F.when(_mentions(content, fixed.ROUTER_HINTS), "routers"),
+        F.when(_mentions(content, fixed.MODEL_BASE_HINTS), "database models"),
+        F.when(_mentions(content, fixed.JOB_HINTS) & content.rlike(fixed.JOB_PATTERN), "background jobs"),
+        # The look-ahead spares the word boundary test at most positions.
+        F.when(content.rlike("(?=[jJoOaAlLrR])" + fixed.AUTH_PATTERN), "authentication flow"),
     ]
     found = F.array_compact(F.array(*flags))
     return F.when(F.coalesce(scannable(path, content), F.lit(False)), found).otherwise(
@@ -90,17 +99,14 @@ def category_signals(path: Column, content: Column) -> Column:
 def content_signals(path: Column, content: Column) -> Column:
     """Endpoints, environment variables and imports in a scannable file."""
     extension = fn.splitext(path)
-    methods = F.regexp_extract_all(content, F.lit(fixed.ENDPOINT_PATTERN), F.lit(1))
-    routes = F.regexp_extract_all(content, F.lit(fixed.ENDPOINT_PATTERN), F.lit(2))
-    endpoints = F.transform(
-        F.arrays_zip(methods.alias("method"), routes.alias("route")),
-        lambda e: _signal(
-            "API endpoints",
-            F.concat_ws(" ", F.upper(e["method"]), e["route"]),
-            _attrs(method=F.upper(e["method"]), path=e["route"]),
-        ),
-    )
-    variables = F.array_distinct(F.regexp_extract_all(content, F.lit(fixed.ENV_VAR_PATTERN), F.lit(1)))
+
+    def endpoint(decorator: Column) -> Column:
+        method = F.upper(F.regexp_extract(decorator, fixed.ENDPOINT_PATTERN, 1))
+        route = F.regexp_extract(decorator, fixed.ENDPOINT_PATTERN, 2)
+        return _signal("API endpoints", F.concat_ws(" ", method, route), _attrs(method=method, path=route))
+
+    endpoints = F.transform(_matches(content, fixed.ENDPOINT_PATTERN, 0, fixed.ENDPOINT_HINTS), endpoint)
+    variables = F.array_distinct(_matches(content, fixed.ENV_VAR_PATTERN, 1, fixed.ENV_VAR_HINTS))
     imports = F.array_distinct(
         F.transform(
             F.regexp_extract_all(content, F.lit(fixed.IMPORT_PATTERN), F.lit(1)),

@@ -108,7 +108,7 @@ def test_flow_pairs_and_findings(rows, files):
 def test_content_is_read_once(files):
     other = files.withColumn("repo", F.upper("repo"))  # not the cached plan of the fixture above
     plan = evidence.evidence(other, evidence.top_level_folders(other))._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("regexp_extract_all") == 5
+    assert plan.count("regexp_extract_all") == 4
     assert "EvalPython" not in plan
 
 
