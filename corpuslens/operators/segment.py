@@ -43,6 +43,9 @@ OPENERS = {
     ),
 }
 CLOSER = r"^\s*end\b"
+# Whitespace of every kind a line can hold.
+SPACE = r"[\s\x1C-\x1F\x{85}\x{A0}]"
+NONSPACE = r"[^\s\x1C-\x1F\x{85}\x{A0}]"
 
 # Names, kinds and documentation inside a block, per language.
 FUNCTION_NAME = {
@@ -105,44 +108,48 @@ def blueprint(lines: DataFrame) -> DataFrame:
 
 
 def _flags(lines: DataFrame) -> DataFrame:
+    # Every test runs for its own languages only and looks at one end of the line where it can.
     language, line = F.col("language"), F.col("line")
-    stripped = fn.strip(line)
-    uncommented = fn.rstrip(F.regexp_replace(line, r"\s#.*$", ""))
-    keyword = language.isin(*KEYWORD_LANGUAGES)
+    is_python, is_julia = language == "python", language == "julia"
+    is_brace, is_keyword = language.isin(*BRACE_LANGUAGES), language.isin(*KEYWORD_LANGUAGES)
+
+    def flag(where: Column, test: Column) -> Column:
+        return F.coalesce(F.when(where, test), F.lit(False))
+
+    uncommented = F.regexp_replace(line, r"\s#.*$", "")
     opener = F.coalesce(
         _by_language(language, {name: line.rlike(pattern) for name, pattern in OPENERS.items()}), F.lit(False)
     )
-    opens = F.when(language.isin(*BRACE_LANGUAGES), F.regexp_count(line, F.lit(r"\{"))).otherwise(0)
-    closes = F.when(language.isin(*BRACE_LANGUAGES), F.regexp_count(line, F.lit(r"\}"))).otherwise(0)
-    quote_open = F.when(language == "julia", stripped.startswith('"""')).otherwise(stripped.startswith("/**"))
-    quote_close = F.when(language == "julia", stripped.endswith('"""')).otherwise(stripped.endswith("*/"))
-    single = quote_open & F.when(
-        language == "julia", F.regexp_count(stripped, F.lit('"""')) == 2
-    ).otherwise(quote_close)
-    has_docs = language.isin("julia", *BRACE_LANGUAGES)
+    opens = F.when(is_brace, F.regexp_count(line, F.lit(r"\{"))).otherwise(0)
+    closes = F.when(is_brace, F.regexp_count(line, F.lit(r"\}"))).otherwise(0)
+    doc_open = flag(is_julia, line.rlike(f'^{SPACE}*"""')) | flag(is_brace, line.rlike(rf"^{SPACE}*/\*\*"))
+    end = fn.rstrip(line)
+    doc_close = flag(is_julia, end.endswith('"""')) | flag(is_brace, end.endswith("*/"))
     return lines.select(
         *FILE,
         "language",
         "n_lines",
         "line_no",
-        fn.indent_width(line).alias("indent"),
-        (stripped == "").alias("blank"),
-        ((stripped != "") & ~stripped.startswith("#")).alias("statement"),
+        F.when(is_python, fn.indent_width(line)).otherwise(0).alias("indent"),
+        flag(is_python, ~line.rlike(NONSPACE)).alias("blank"),
+        flag(is_python, line.rlike(f"^{SPACE}*{NONSPACE}") & ~line.rlike(f"^{SPACE}*#")).alias("statement"),
         _header(language, line).alias("header"),
         F.when(_header(language, line), line).alias("header_text"),
-        (uncommented.endswith(":") & (language == "python")).alias("ends_signature"),
-        (
+        flag(is_python, fn.rstrip(uncommented).endswith(":")).alias("ends_signature"),
+        flag(
+            is_python,
             line.rlike(r"^\s*class\b")
-            | line.rlike(r"^\s*(?:async\s+)?def\s+\w+\s*\([^()]*\)\s*(?:->[^:]*)?:\s*[^\s#]")
+            | line.rlike(r"^\s*(?:async\s+)?def\s+\w+\s*\([^()]*\)\s*(?:->[^:]*)?:\s*[^\s#]"),
         ).alias("whole_signature"),
-        (keyword & opener).alias("opener"),
-        (keyword & ~opener & line.rlike(CLOSER)).alias("closer"),
+        opener.alias("opener"),
+        flag(is_keyword, ~opener & line.rlike(CLOSER)).alias("closer"),
         opens.alias("opens"),
         (opens - closes).alias("net"),
-        line.rlike(r"^\s*classdef\b").alias("is_classdef"),
-        (has_docs & quote_open).alias("doc_open"),
-        (has_docs & quote_close).alias("doc_close"),
-        (has_docs & single).alias("doc_single"),
+        flag(language == "matlab", line.rlike(r"^\s*classdef\b")).alias("is_classdef"),
+        doc_open.alias("doc_open"),
+        doc_close.alias("doc_close"),
+        (doc_open & flag(is_julia, F.regexp_count(line, F.lit('"""')) == 2) & doc_close
+         | doc_open & flag(is_brace, doc_close)).alias("doc_single"),
     )
 
 
