@@ -8,8 +8,9 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as contract  # noqa: E402
+import __spark_entry__  # noqa: E402
 from check_oracle import TABLES, digest  # noqa: E402
+from corpuslens.plans import catalog as contract  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -36,4 +37,4 @@ def test_query(spark, sf_dir, db, name):
 
 
 def test_entry(spark):
-    assert contract.entry(spark).count() > 0
+    assert __spark_entry__.entry(spark).count() > 0

@@ -2,7 +2,7 @@
 
 import pytest
 
-import __spark_entry__ as contract
+from corpuslens.plans import catalog as contract
 
 STREAMS = {name for name in contract.queries() if name.startswith(("st", "sr"))} | {"r3_r5_rewritten_table"}
 NATIVE = sorted(set(contract.queries()) - STREAMS)
