@@ -105,7 +105,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc_id",
                     system, base = parallel_paths(folder)
                     system.create_dir(base, recursive=True)
                     name = f"part-{part:06d}-{uuid.uuid4().hex}"
-                    data = system.open_output_stream(f"{base}/{name}.records")
+                    data = system.open_output_stream(f"{base}/{name}.records", compression=None)
                 block = []
                 for key, ids in zip(keys[first:last], encoder.encode(texts[first:last])):
                     ids = np.append(ids, np.uint32(end_id))
@@ -117,7 +117,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, doc_id: str = "doc_id",
                 data.write(b"".join(block))
         if data is not None:
             data.close()
-            with system.open_output_stream(f"{base}/{name}.index") as f:
+            with system.open_output_stream(f"{base}/{name}.index", compression=None) as f:
                 f.write(np.array(offsets, "<u8").tobytes())
             row = [[part], [f"{folder}/{name}.records"], [f"{folder}/{name}.index"], [len(offsets)], [n_ids], [at]]
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
@@ -140,7 +140,7 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
             for file, start in zip(*(batch.column(i).to_pylist() for i in range(2))):
                 system, path = parallel_paths(file)
                 keys, starts, counts, crcs = [], [], [], []
-                with system.open_input_stream(path, buffer_size=1 << 20) as stream:
+                with system.open_input_stream(path, compression=None, buffer_size=1 << 20) as stream:
                     while (data := read_record(stream, file)) is not None:
                         key, ids = content(data)
                         keys.append(key)

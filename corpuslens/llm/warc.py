@@ -149,9 +149,11 @@ def salvage(stream, size: int) -> Iterator[tuple]:
     gap = reason = None
 
     def more(least: int) -> None:
-        nonlocal data, base, at
-        data = data[at:] + stream.read(max(least, READ_BYTES))
-        base, at = base + at, 0
+        nonlocal data, base, at, size
+        new = stream.read(max(least, READ_BYTES))
+        data, base, at = data[at:] + new, base + at, 0
+        if not new:
+            size = base + len(data)  # the file is shorter than it was said to be
 
     while base + at < size:
         ended = base + len(data) >= size
@@ -231,7 +233,7 @@ def write(rows: DataFrame, folder: str, compress: bool = True) -> DataFrame:
                     system, base = parallel_paths(folder)
                     system.create_dir(base, recursive=True)
                     name = f"part-{part:06d}-{uuid.uuid4().hex}.warc" + ".gz" * compress
-                    stream, size, count = system.open_output_stream(f"{base}/{name}"), 0, 0
+                    stream, size, count = system.open_output_stream(f"{base}/{name}", compression=None), 0, 0
                 data = record(page_id, url, html, digest, refers_to)
                 data = member(data) if compress else data
                 stream.write(data)
@@ -259,7 +261,7 @@ def _scan(manifest: DataFrame, what: str, schema: str, row):
             for file, size in zip(*(c.to_pylist() for c in batch.columns)):
                 system, path = parallel_paths(file)
                 rows, held = [], 0
-                with system.open_input_stream(path) as stream:
+                with system.open_input_stream(path, compression=None) as stream:
                     for found in salvage(stream, size):
                         if found[0] == what:
                             rows.append(row(file, found))

@@ -88,9 +88,10 @@ def test_gaps_are_reported_and_later_records_recovered(spark):
     manifest = warc.write(warc.with_revisits(spark.createDataFrame([(*p, 1, "z") for p in pages], SCHEMA).coalesce(1)), folder)
     file = manifest.first()
     data = bytearray(fs.LocalFileSystem().open_input_file(file["file"]).read())
-    data[len(data) // 2] ^= 0x55
-    with fs.LocalFileSystem().open_output_stream(file["file"]) as f:
+    start = data.find(warc.MEMBER, len(data) // 2)
+    data[start + 25] ^= 0x55
+    with fs.LocalFileSystem().open_output_stream(file["file"], compression=None) as f:
         f.write(bytes(data))
     assert warc.read(manifest).count() == 29
     gap = warc.gaps(manifest).collect()
-    assert len(gap) == 1 and gap[0]["offset"] <= len(data) // 2 < gap[0]["offset"] + gap[0]["length"]
+    assert len(gap) == 1 and gap[0]["offset"] == start and gap[0]["length"] > 25
