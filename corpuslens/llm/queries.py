@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuslens.llm import decontaminate, packing, records, simhash, warc
+from corpuslens.llm import decontaminate, packing, quality, records, secrets, simhash, warc
 from corpuslens.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,13 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.judged(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), [F.col("doc_id")], n=10)
@@ -36,6 +43,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer(), capacity=1024, end_id=0)
 
 
+@query
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = secrets.BASE_RULES + secrets.MORE_RULES
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), rules)
+    base = tuple(rule.kind for rule in secrets.BASE_RULES)
+    return found.select(
+        "doc_id", *[secrets.count("spans", rules, kind).alias(f"n_{kind}") for kind in base],
+        F.sha2(secrets.listed("spans", rules, base).cast("binary"), 256).alias("base_sha256"),
+        secrets.listed("spans", rules).alias("spans"),
+    )
+
+
 @query
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.round_trip(table(spark, sf_dir, "documents"), tokenizer(), end_id=2)
