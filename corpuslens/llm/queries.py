@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuslens.llm import decontaminate, packing, quality, records, secrets, simhash, warc
+from corpuslens.llm import decontaminate, packing, quality, records, secrets, simhash, urls, warc
 from corpuslens.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,16 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    found = urls.judged(pages, urls.rule_table(spark), default="allow")
+    return found.select(F.col("c0").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+ORACLES["op9_url_filters"] = urls.ORACLE
+
+
 @query
 def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(table(spark, sf_dir, "pages"), revisit_from=1000)
