@@ -9,16 +9,21 @@ from corpuslens import functions as fn
 from corpuslens.operators.ranking import top_n_per_key
 
 
-def bounded_scan(files: DataFrame, key: str = "repo", path: str = "path", n: int = fixed.MAX_SCANNED_FILES) -> DataFrame:
-    """L2: the first n paths of every key."""
-    return top_n_per_key(files, key, [F.col(path)], n)
+def bounded_scan(files: DataFrame, n: int, key: str = "repo", path: str = "path") -> DataFrame:
+    """L2: the files with the first n paths of every key, for a caller that wants its scan cut. Ranks the paths alone."""
+    first = top_n_per_key(files.select(key, path), key, [F.col(path)], n).distinct()
+    return files.join(first, [key, path], "left_semi")
 
 
-def scan_totals(files: DataFrame, key: str = "repo", n: int = fixed.MAX_SCANNED_FILES) -> DataFrame:
-    """L2: total and scanned files, and whether the scan was cut."""
-    return files.groupBy(key).agg(F.count(F.lit(1)).alias("total_files")).withColumns(
-        {"scanned_files": F.least(F.col("total_files"), F.lit(n)), "truncated": F.col("total_files") > n}
-    )
+def scan_totals(files: DataFrame, key: str = "repo", scanned: DataFrame | None = None) -> DataFrame:
+    """L2: total and scanned files, and whether the scan was cut. ``scanned``: the files that were scanned, if not all."""
+    totals = files.groupBy(key).agg(F.count(F.lit(1)).alias("total_files"))
+    if scanned is None:
+        return totals.withColumns({"scanned_files": F.col("total_files"), "truncated": F.lit(False)})
+    seen = scanned.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_scanned"))
+    counted = totals.join(seen, F.col(key).eqNullSafe(F.col("_key")), "left")
+    n_scanned = F.coalesce("_scanned", F.lit(0).cast("long"))
+    return counted.select(key, "total_files", n_scanned.alias("scanned_files"), (n_scanned < F.col("total_files")).alias("truncated"))
 
 
 def listing_preview(rows: DataFrame, keys: list[str], item: str, shown: int = fixed.PREVIEW_ITEMS) -> DataFrame:
@@ -43,6 +48,6 @@ def bounded_listing(rows: DataFrame, keys: list[str], order: list[Column], n: in
     return top_n_per_key(rows, keys, order, n, "listed_no")
 
 
-def tail(lines: DataFrame, keys: list[str], n: int = fixed.LOG_TAIL_LINES, line_no: str = "line_no") -> DataFrame:
+def tail(lines: DataFrame, keys: list[str], n: int, line_no: str = "line_no") -> DataFrame:
     """L4: the last n lines of every log."""
     return top_n_per_key(lines, keys, [F.col(line_no).desc()], n)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens import fixed_values as fixed
 from corpuslens import functions as fn
-from corpuslens.operators.joins import look_up
 
 
 def with_languages(files: DataFrame) -> DataFrame:
@@ -35,8 +34,7 @@ def gitignore_globs(content: Column) -> Column:
 def without_gitignored(files: DataFrame) -> DataFrame:
     """F4 per repository: the root .gitignore of each repository filters its own files by name.
 
-    One regex per repository is joined in, so a file meets one row and not one row per pattern. The rules are
-    measured and broadcast if small, so content is not shuffled for them.
+    One regex per repository is joined in, so a file meets one row and not one row per pattern. Spark chooses the join.
     """
     rules = (
         files.filter(F.col("path") == ".gitignore")
@@ -46,7 +44,7 @@ def without_gitignored(files: DataFrame) -> DataFrame:
         )
         .filter(F.col("_ignore") != "")
     )
-    kept = look_up(files, rules, ["repo"], F.col("path")).filter(
+    kept = files.join(rules, "repo", "left").filter(
         F.col("_ignore").isNull()
         | ~(F.expr("name rlike _ignore") | F.expr("concat(name, '/') rlike _ignore"))
     )

@@ -2,17 +2,13 @@
 
 ``row_number() <= n`` lets Spark keep only n rows per key and map task before the shuffle
 (WindowGroupLimit), so a hot key sends at most n rows per task to its reducer. Spark does that for
-n up to ``spark.sql.optimizer.windowGroupLimitThreshold``; above it ``top_n_per_key`` narrows down in
-steps of its own. A full rank of a hot key is cut into ordered chunks.
+n up to ``spark.sql.optimizer.windowGroupLimitThreshold``. A full rank of a hot key is cut into ordered chunks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
-SALTS = 64
-
 
 def _names(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
@@ -24,18 +20,9 @@ def _top(df: DataFrame, keys: list[str], order: list[Column], n: int, column: st
 
 
 def top_n_per_key(df: DataFrame, keys, order: list[Column], n: int, rank: str | None = None) -> DataFrame:
-    """The first n rows of every key in a total order; with ``rank`` the 1-based rank is kept.
-
-    For an n above Spark's own limit the rows of one input partition are cut to n per key first, then those of a
-    64th of the partitions, then the rest. Partitions bound the first groups even where all rows are copies.
-    """
-    keys = _names(keys)
-    if n > int(df.sparkSession.conf.get(GROUP_LIMIT, "1000")):
-        df = df.withColumn("_part", F.spark_partition_id())
-        df = _top(df, [*keys, "_part"], order, n, "_rank").withColumn("_part", F.pmod("_part", F.lit(SALTS)))
-        df = _top(df, [*keys, "_part"], order, n, "_rank").drop("_part", "_rank")
+    """The first n rows of every key in a total order; with ``rank`` the 1-based rank is kept."""
     column = rank or "_rank"
-    ranked = _top(df, keys, order, n, column)
+    ranked = _top(df, _names(keys), order, n, column)
     return ranked if rank else ranked.drop(column)
 
 

@@ -177,11 +177,13 @@ def sections(
     counts: DataFrame,
     previews: DataFrame,
     include_diagrams: bool = True,
-    max_edges: int = fixed.MAX_LISTED_EDGES,
-    max_dependencies: int = fixed.MAX_LISTED_DEPENDENCIES,
+    max_edges: int | None = None,
+    max_dependencies: int | None = None,
 ) -> DataFrame:
     """18 rows per repository, with status, summary, confidence, finding counts and gap.
 
+    All findings count. With ``max_edges`` or ``max_dependencies``, as given to ``findings``, the section says what is not listed.
+
     ``previews`` holds (repo, category, preview) of the path sections. The 18 rows come from one array per
     repository, so sections without evidence need no join.
     """
@@ -238,28 +240,31 @@ def sections(
             )
         )
     edges = n("internal dependencies")
+    edges_cut = F.lit(False) if max_edges is None else edges > max_edges
     rows.append(
         _section(
             "internal dependencies",
-            F.when(edges > max_edges, partial).when(edges > 0, populated).otherwise(unavailable),
+            F.when(edges_cut, partial).when(edges > 0, populated).otherwise(unavailable),
             _none_or(
                 edges > 0, F.concat(F.lit("Inferred "), edges, F.lit(" internal import relationship(s).")),
                 "No internal dependency evidence found.",
             ),
-            zero, F.least(edges, F.lit(max_edges)),
+            zero, edges if max_edges is None else F.least(edges, F.lit(max_edges)),
             F.when(edges > 0, fn.confidence_bucket(edges)).otherwise(none),
             F.when(
-                edges > max_edges,
+                edges_cut,
                 _gap("edges_overflow", F.concat(
                     edges, F.lit(f" import edges detected; only the first {max_edges} are listed."))),
             ).when(edges == 0, _gap("edges_none")),
         )
     )
     declared, manifests = n("external dependencies"), n("dependency file")
+    declared_cut = F.lit(False) if max_dependencies is None else declared > max_dependencies
+    listed = declared if max_dependencies is None else F.least(declared, F.lit(max_dependencies))
     rows.append(
         _section(
             "external dependencies",
-            F.when(declared > max_dependencies, partial).when(declared > 0, populated)
+            F.when(declared_cut, partial).when(declared > 0, populated)
             .when(manifests > 0, partial).otherwise(unavailable),
             F.when(declared > 0, F.concat(F.lit("Found "), declared, F.lit(" external dependency declaration(s).")))
             .when(
@@ -267,9 +272,9 @@ def sections(
                 F.lit("Dependency manifest found but names were not parsed for this manifest format."),
             )
             .otherwise(F.lit("No external dependency evidence found.")),
-            F.when(declared > 0, F.least(declared, F.lit(max_dependencies))).otherwise(manifests), zero, none,
+            F.when(declared > 0, listed).otherwise(manifests), zero, none,
             F.when(
-                declared > max_dependencies,
+                declared_cut,
                 _gap("dependencies_overflow", F.concat(
                     declared, F.lit(f" dependencies declared; only the first {max_dependencies} are listed."))),
             ).when((declared == 0) & (manifests == 0), _gap("dependencies_none")),
@@ -360,9 +365,9 @@ def manual_document_gap(existing: DataFrame, marker: str = fixed.GENERATED_MARKE
 
 def findings(
     evidence_rows: DataFrame, counts: DataFrame,
-    max_edges: int = fixed.MAX_LISTED_EDGES, max_dependencies: int = fixed.MAX_LISTED_DEPENDENCIES,
+    max_edges: int | None = None, max_dependencies: int | None = None,
 ) -> DataFrame:
-    """Listed findings; only inferred ones carry a confidence. Edges and dependencies are bounded per repository."""
+    """All findings; only inferred ones carry a confidence. Edges and dependencies are cut per repository if asked for."""
     types = {name: kind for name, (kind, _) in PATH_SECTIONS.items()} | {
         "API endpoints": "endpoint", "environment variables": "environment_variable",
         "internal dependencies": "module", "external dependencies": "dependency", "repository structure": "module",
@@ -370,14 +375,15 @@ def findings(
     listed = evidence_rows.filter(F.col("category").isin(*types))
     once = ["repo", "category", "name"]
     bounded = listed.filter(F.col("category") == "internal dependencies").dropDuplicates(once)
-    edges = top_n_per_key(bounded, "repo", [F.col("attrs")["module"], F.col("attrs")["package"]], max_edges)
+    edges = bounded
+    if max_edges is not None:
+        edges = top_n_per_key(bounded, "repo", [F.col("attrs")["module"], F.col("attrs")["package"]], max_edges)
     edges = edges.join(
         counts.select("repo", fn.confidence_bucket(F.col(_column("internal dependencies"))).alias("_confidence")), "repo"
     )
-    declared = top_n_per_key(
-        listed.filter(F.col("category") == "external dependencies"), "repo",
-        [F.col("path"), F.col("attrs")["at"].cast("int")], max_dependencies,
-    )
+    declared = listed.filter(F.col("category") == "external dependencies")
+    if max_dependencies is not None:
+        declared = top_n_per_key(declared, "repo", [F.col("path"), F.col("attrs")["at"].cast("int")], max_dependencies)
     named = listed.filter(
         F.col("category").isin("environment variables", "repository structure", "modules and packages")
     ).dropDuplicates(once)

@@ -251,7 +251,7 @@ SELECT repo, path FROM r WHERE rn <= 3000""",
 )
 def bounded_scan(spark, sf_dir):
     """L2: the first 3000 paths of three repositories that hold all lines between them."""
-    return bounded.bounded_scan(_line_paths(spark, sf_dir))
+    return bounded.bounded_scan(_line_paths(spark, sf_dir), 3000)
 
 
 def _line_paths(spark, sf_dir):
@@ -268,8 +268,9 @@ SELECT l_returnflag AS repo, count(*) AS total_files, least(count(*), 3000) AS s
 FROM lineitem GROUP BY l_returnflag""",
 )
 def scan_totals(spark, sf_dir):
-    """L2: totals and the cut flag."""
-    return bounded.scan_totals(_line_paths(spark, sf_dir))
+    """L2: totals of a scan that is cut at 3000 files, and the flag that says so."""
+    files = _line_paths(spark, sf_dir)
+    return bounded.scan_totals(files, scanned=bounded.bounded_scan(files, 3000))
 
 
 @query(

@@ -125,7 +125,7 @@ def technology_stack(spark, sf_dir):
 
 
 _COUNTS_SQL = f"""{_EVIDENCE_SQL},
-totals AS (SELECT repo, count(*) AS total_files, least(count(*), 40) AS scanned_files, count(*) > 40 AS truncated FROM f GROUP BY repo),
+totals AS (SELECT repo, count(*) AS total_files, count(*) AS scanned_files, false AS truncated FROM f GROUP BY repo),
 c AS (SELECT repo, category, count(*) AS n, count(DISTINCT name) AS names FROM evidence GROUP BY ALL),
 w AS (SELECT t.*,
   coalesce(max(names) FILTER (WHERE category = 'repository structure'), 0) AS entries,
@@ -149,7 +149,7 @@ fl AS (SELECT *, list_filter([CASE WHEN endpoints > 0 THEN 'API endpoint' END, C
 
 
 def _totals(spark, sf_dir):
-    return bounded.scan_totals(code_base(spark, sf_dir), n=40)
+    return bounded.scan_totals(code_base(spark, sf_dir))
 
 
 @query(
@@ -215,18 +215,18 @@ sections AS (
   UNION ALL SELECT repo, 'project overview', CASE WHEN truncated THEN 'partial' ELSE 'populated' END,
     'Scanned ' || scanned_files || ' of ' || total_files || ' files across ' || entries || ' top-level entries.', 'not_applicable', 1, 0,
     {_gap_sql('scan_truncated', 'truncated', _OVERVIEW_GAP)} FROM fl
-  UNION ALL SELECT repo, 'internal dependencies', CASE WHEN edges > 5 THEN 'partial' WHEN edges > 0 THEN 'populated' ELSE 'unavailable' END,
+  UNION ALL SELECT repo, 'internal dependencies', CASE WHEN edges > 0 THEN 'populated' ELSE 'unavailable' END,
     CASE WHEN edges > 0 THEN 'Inferred ' || edges || ' internal import relationship(s).' ELSE 'No internal dependency evidence found.' END,
-    CASE WHEN edges >= 5 THEN 'high' WHEN edges >= 2 THEN 'medium' WHEN edges > 0 THEN 'low' ELSE 'not_applicable' END, 0, least(edges, 5),
-    CASE WHEN edges > 5 THEN 'too_large' WHEN edges = 0 THEN 'ambiguous' END,
-    CASE WHEN edges > 5 THEN edges || ' import edges detected; only the first 5 are listed.' WHEN edges = 0 THEN '{sections.GAP_TEXTS['edges_none'][1]}' END,
-    CASE WHEN edges > 5 THEN '{sections.GAP_TEXTS['edges_overflow'][2].replace("'", "''")}' WHEN edges = 0 THEN '{sections.GAP_TEXTS['edges_none'][2]}' END FROM fl
-  UNION ALL SELECT repo, 'external dependencies', CASE WHEN declared > 12 THEN 'partial' WHEN declared > 0 THEN 'populated' WHEN manifests > 0 THEN 'partial' ELSE 'unavailable' END,
+    CASE WHEN edges >= 5 THEN 'high' WHEN edges >= 2 THEN 'medium' WHEN edges > 0 THEN 'low' ELSE 'not_applicable' END, 0, edges,
+    CASE WHEN edges = 0 THEN 'ambiguous' END,
+    CASE WHEN edges = 0 THEN '{sections.GAP_TEXTS['edges_none'][1]}' END,
+    CASE WHEN edges = 0 THEN '{sections.GAP_TEXTS['edges_none'][2]}' END FROM fl
+  UNION ALL SELECT repo, 'external dependencies', CASE WHEN declared > 0 THEN 'populated' WHEN manifests > 0 THEN 'partial' ELSE 'unavailable' END,
     CASE WHEN declared > 0 THEN 'Found ' || declared || ' external dependency declaration(s).' WHEN manifests > 0 THEN 'Dependency manifest found but names were not parsed for this manifest format.' ELSE 'No external dependency evidence found.' END,
-    'not_applicable', CASE WHEN declared > 0 THEN least(declared, 12) ELSE manifests END, 0,
-    CASE WHEN declared > 12 THEN 'too_large' WHEN declared = 0 AND manifests = 0 THEN 'missing' END,
-    CASE WHEN declared > 12 THEN declared || ' dependencies declared; only the first 12 are listed.' WHEN declared = 0 AND manifests = 0 THEN '{sections.GAP_TEXTS['dependencies_none'][1]}' END,
-    CASE WHEN declared > 12 THEN '{sections.GAP_TEXTS['dependencies_overflow'][2]}' WHEN declared = 0 AND manifests = 0 THEN '{sections.GAP_TEXTS['dependencies_none'][2]}' END FROM fl
+    'not_applicable', CASE WHEN declared > 0 THEN declared ELSE manifests END, 0,
+    CASE WHEN declared = 0 AND manifests = 0 THEN 'missing' END,
+    CASE WHEN declared = 0 AND manifests = 0 THEN '{sections.GAP_TEXTS['dependencies_none'][1]}' END,
+    CASE WHEN declared = 0 AND manifests = 0 THEN '{sections.GAP_TEXTS['dependencies_none'][2]}' END FROM fl
   UNION ALL SELECT repo, 'data flow', CASE WHEN {_SIZE} >= 2 THEN 'populated' ELSE 'unavailable' END,
     CASE WHEN {_SIZE} >= 2 THEN 'Inferred a likely request flow: ' || array_to_string(stages, ' -> ') || '.' ELSE 'No data flow evidence found.' END,
     {_FLOW_CONFIDENCE}, 0, CASE WHEN {_SIZE} >= 2 THEN 1 ELSE 0 END, {_gap_sql('flow_none', _SIZE + ' < 2')} FROM fl
@@ -250,7 +250,7 @@ def evidence_table(spark, sf_dir):
 def report(spark, sf_dir):
     rows = evidence_table(spark, sf_dir)
     counts = sections.evidence_counts(rows, _totals(spark, sf_dir))
-    return sections.sections(counts, sections.path_previews(rows), max_edges=5, max_dependencies=12)
+    return sections.sections(counts, sections.path_previews(rows))
 
 
 @query(
@@ -303,19 +303,19 @@ g AS (SELECT repo, category, name, row_number() OVER (PARTITION BY repo ORDER BY
   FROM (SELECT DISTINCT repo, category, name FROM evidence WHERE category = 'internal dependencies')),
 o AS (SELECT repo, category, name FROM evidence WHERE category IN ('entry points', 'configuration', 'services', 'routers', 'database models', 'background jobs', 'authentication flow', 'API endpoints')
   UNION ALL SELECT DISTINCT repo, category, name FROM evidence WHERE category IN ('environment variables', 'repository structure', 'modules and packages')
-  UNION ALL SELECT repo, category, name FROM d WHERE rn <= 12)
+  UNION ALL SELECT repo, category, name FROM d)
 SELECT repo, category AS section_name, CASE category WHEN 'entry points' THEN 'entry_point' WHEN 'services' THEN 'service' WHEN 'routers' THEN 'router'
     WHEN 'modules and packages' THEN 'module' WHEN 'background jobs' THEN 'job' WHEN 'database models' THEN 'model' WHEN 'configuration' THEN 'config'
     WHEN 'authentication flow' THEN 'auth_flow' WHEN 'API endpoints' THEN 'endpoint' WHEN 'environment variables' THEN 'environment_variable'
     WHEN 'external dependencies' THEN 'dependency' ELSE 'module' END AS finding_type, name, 'observed' AS classification, NULL AS confidence_level FROM o
 UNION ALL SELECT g.repo, category, 'module', name, 'inferred', CASE WHEN edges >= 5 THEN 'high' WHEN edges >= 2 THEN 'medium' ELSE 'low' END
-  FROM g JOIN w USING (repo) WHERE rn <= 5""",
+  FROM g JOIN w USING (repo)""",
 )
 def finding_rows(spark, sf_dir):
     """Listed findings; inferred ones carry a confidence."""
     rows = evidence_table(spark, sf_dir)
     counts = sections.evidence_counts(rows, _totals(spark, sf_dir))
-    return sections.findings(rows, counts, max_edges=5, max_dependencies=12)
+    return sections.findings(rows, counts)
 
 
 @query(

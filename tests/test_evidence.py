@@ -62,7 +62,7 @@ def test_tables(rows, files):
 
 
 def report(rows, files, **options):
-    totals = bounded.scan_totals(files, n=9)
+    totals = bounded.scan_totals(files, scanned=bounded.bounded_scan(files, 9))
     return sections.repository_report(rows, totals, **options), totals
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import Window, functions as F
 
-from corpuslens.operators import bounded, history, joins, ranking
+from corpuslens.operators import bounded, history, ranking
 
 
 def skewed(spark, n=3000):
@@ -24,33 +24,6 @@ def test_top_n_prunes_before_the_shuffle(spark):
     order = [F.col("pos"), F.col("id")]
     small = ranking.top_n_per_key(skewed(spark), "k", order, 5)._jdf.queryExecution().executedPlan().toString()
     assert small.index("WindowGroupLimit") < small.index("Exchange") < small.rindex("WindowGroupLimit")
-    large = ranking.top_n_per_key(skewed(spark), "k", order, 2000)._jdf.queryExecution().executedPlan().toString()
-    assert "_part" not in large and large.index("WindowGroupLimit") < large.index("Exchange")
-
-
-def test_top_n_narrows_down_where_spark_does_not(spark):
-    before = spark.conf.get(ranking.GROUP_LIMIT)
-    spark.conf.set(ranking.GROUP_LIMIT, "2")
-    try:
-        order = [F.col("pos").desc(), F.col("id")]
-        df = skewed(spark)
-        plain = df.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(*order))).filter("r <= 40")
-        got = ranking.top_n_per_key(df.repartition(9), "k", order, 40, "r")
-        assert "_part" in got._jdf.queryExecution().executedPlan().toString()
-        assert sorted(map(tuple, got.select("k", "id", "r").collect())) == sorted(map(tuple, plain.select("k", "id", "r").collect()))
-    finally:
-        spark.conf.set(ranking.GROUP_LIMIT, before)
-
-
-def test_look_up_broadcasts_only_what_fits(spark):
-    large = skewed(spark)
-    small = spark.createDataFrame([("hot", "h"), ("k1", "one")], "k string, label string")
-    fits = joins.look_up(large, small, ["k"], F.col("id"))
-    salted = joins.look_up(large, small, ["k"], F.col("id"), max_bytes=1)
-    assert "ResolvedHint" in fits._jdf.queryExecution().analyzed().toString()
-    assert "_salt" in salted._jdf.queryExecution().analyzed().toString()
-    assert sorted(map(str, fits.collect())) == sorted(map(str, salted.collect()))
-    assert fits.count() == 3000
 
 
 def test_hot_keys_are_split_at_run_time(spark):
@@ -106,7 +79,12 @@ def test_bounded_listing_and_tail(spark):
     df = spark.range(100).selectExpr("id % 2 AS k", "CAST(id AS INT) AS line_no")
     assert sorted(r.line_no for r in bounded.tail(df, ["k"], 2).collect()) == [96, 97, 98, 99]
     assert bounded.tail(df.filter("line_no < 2"), ["k"], 80).count() == 2
-    totals = bounded.scan_totals(df.selectExpr("k AS repo"), n=60).orderBy("repo").collect()
+    files = df.selectExpr("k AS repo", "lpad(line_no, 3, '0') AS path")
+    totals = bounded.scan_totals(files).orderBy("repo").collect()
     assert [(r.total_files, r.scanned_files, r.truncated) for r in totals] == [(50, 50, False), (50, 50, False)]
+    first = bounded.bounded_scan(files.filter("repo = 0 OR path < '020'"), 20)
+    totals = bounded.scan_totals(files.filter("repo = 0 OR path < '020'"), scanned=first).orderBy("repo").collect()
+    assert [(r.total_files, r.scanned_files, r.truncated) for r in totals] == [(50, 20, True), (10, 10, False)]
+    assert max(r.path for r in first.collect()) == "038"
     preview = bounded.listing_preview(df.selectExpr("k", "lpad(line_no, 3, '0') AS item"), ["k"], "item", 2)
     assert {(r.n_items, r.preview) for r in preview.collect()} == {(50, "000, 002, ..."), (50, "001, 003, ...")}
