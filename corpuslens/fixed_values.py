@@ -146,7 +146,7 @@ ENV_VAR_PATTERN = r"""(?U)os\.(?:getenv|environ\.get)\(\s*["']([A-Z0-9_]+)["']""
 ENDPOINT_HINTS = ("@router.", "@app.")
 JOB_HINTS = ("task(", "Job")
 ENV_VAR_HINTS = ("os.getenv", "os.environ.get")
-IMPORT_PATTERN = r"(?m)^\s*(?:from|import)\s+([A-Za-z_][A-Za-z0-9_.]*)"
+IMPORT_PATTERN = r"(?m)^[^\S\n]*+(?:from|import)\s+([A-Za-z_][A-Za-z0-9_.]*)"
 
 # Risky path patterns, in the order they are tried.
 RISKY_PATH_PATTERNS = (

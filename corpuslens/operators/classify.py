@@ -71,7 +71,7 @@ def inclusion_reason(
     """the first reason that applies, else 'included'.
 
     ``is_valid`` is an optional column from a caller who can parse the language; where it is
-    false the reason is 'syntax-error'.
+    false the reason is 'syntax-error'. Files without content get 'no-content'.
     """
     reason = None
     for pattern in risky_patterns:
@@ -81,7 +81,8 @@ def inclusion_reason(
     if is_valid is not None:
         reason = reason.when(~is_valid, "syntax-error")
     return (
-        reason.when(content.rlike(r"(?m)^from\s+\S+\s+import\s+\(?\s*\*"), "import-star")
+        reason.when(content.isNull(), "no-content")
+        .when(content.rlike(r"(?m)^from\s+\S+\s+import\s+\(?\s*\*"), "import-star")
         .when(fn.nonblank_line_count(content) < min_lines, "low-content")
         .when(~content.rlike(r"(?m)^(?:async\s+def|def|class)\s+\w+"), "non-meaningful-module")
         .otherwise("included")

@@ -144,7 +144,7 @@ def manifest_signals(path: Column, content: Column) -> Column:
         F.coalesce(F.map_keys(payload["devDependencies"]), empty),
     )
     quoted = F.regexp_extract_all(
-        content, F.lit(r'(?m)^\s*"([A-Za-z0-9_.\-]+)(?:[<>=!~ ].*)?"\s*,?\s*$'), F.lit(1)
+        content, F.lit(r'(?m)^[^\S\n]*+"([A-Za-z0-9_.\-]+)(?:[<>=!~ ].*)?"[^\S\n]*+,?[^\S\n]*+$'), F.lit(1)
     )
     names = (
         F.when(name == "requirements.txt", F.filter(pinned, lambda one: one != ""))

@@ -20,6 +20,8 @@ FILE = ["repo", "path"]
 KEYWORD_LANGUAGES = ("matlab", "julia")
 BRACE_LANGUAGES = ("javascript", "typescript")
 
+# Names may have letters of every script.
+UNICODE = "(?U)"
 # Header patterns per language.
 HEADERS = {
     "python": r"^\s*(?:async\s+)?def\s+\w+\s*\(|^\s*class\s+\w+\s*(?:\(.*?\))?:",
@@ -61,8 +63,8 @@ CLASS_NAME = {
     "julia": r"(?:mutable\s+)?struct\s+(\w+)",
 }
 DOCUMENTATION = {
-    "javascript": (r"(?s)/\*\*(.*?)\*/", r"(?m)^\s*//\s*(.*?)$"),
-    "typescript": (r"(?s)/\*\*(.*?)\*/", r"(?m)^\s*//\s*(.*?)$"),
+    "javascript": (r"(?s)/\*\*(.*?)\*/", r"(?m)^[^\S\n]*+//\s*(.*?)$"),
+    "typescript": (r"(?s)/\*\*(.*?)\*/", r"(?m)^[^\S\n]*+//\s*(.*?)$"),
     "matlab": (r"(?s)%\s+(.*?)(?=\n\s*(?:%|\w))", r"(?s)%\{(.*?)%\}"),
     "julia": (r'(?s)"""(.*?)"""',),
 }
@@ -92,7 +94,7 @@ def header_lines(lines: DataFrame) -> DataFrame:
 
 
 def _header(language: Column, line: Column) -> Column:
-    tests = {name: line.rlike(pattern) for name, pattern in HEADERS.items()}
+    tests = {name: line.rlike(UNICODE + pattern) for name, pattern in HEADERS.items()}
     return F.coalesce(_by_language(language, tests), F.lit(False))
 
 
@@ -118,7 +120,7 @@ def _flags(lines: DataFrame) -> DataFrame:
 
     uncommented = F.regexp_replace(line, r"\s#.*$", "")
     opener = F.coalesce(
-        _by_language(language, {name: line.rlike(pattern) for name, pattern in OPENERS.items()}), F.lit(False)
+        _by_language(language, {name: line.rlike(UNICODE + pattern) for name, pattern in OPENERS.items()}), F.lit(False)
     )
     opens = F.when(is_brace, F.regexp_count(line, F.lit(r"\{"))).otherwise(0)
     closes = F.when(is_brace, F.regexp_count(line, F.lit(r"\}"))).otherwise(0)
@@ -139,7 +141,7 @@ def _flags(lines: DataFrame) -> DataFrame:
         flag(
             is_python,
             line.rlike(r"^\s*class\b")
-            | line.rlike(r"^\s*(?:async\s+)?def\s+\w+\s*\([^()]*\)\s*(?:->[^:]*)?:\s*[^\s#]"),
+            | line.rlike(UNICODE + r"^\s*(?:async\s+)?def\s+\w+\s*\([^()]*\)\s*(?:->[^:]*)?:\s*[^\s#]"),
         ).alias("whole_signature"),
         opener.alias("opener"),
         flag(is_keyword, ~opener & line.rlike(CLOSER)).alias("closer"),
@@ -336,19 +338,19 @@ def analyse_blocks(blocks: DataFrame) -> DataFrame:
     is_python = language == "python"
 
     def matched(table: dict[str, str]) -> Column:
-        tests = {name: code.rlike(pattern) for name, pattern in table.items()}
+        tests = {name: code.rlike(UNICODE + pattern) for name, pattern in table.items()}
         return F.coalesce(_by_language(language, tests), F.lit(False))
 
     function_name = _by_language(
         language,
         {
-            name: F.coalesce(_group(code, pattern, 3), _group(code, pattern, 1))
+            name: F.coalesce(_group(code, UNICODE + pattern, 3), _group(code, UNICODE + pattern, 1))
             if name in BRACE_LANGUAGES
-            else _group(code, pattern, 1)
+            else _group(code, UNICODE + pattern, 1)
             for name, pattern in FUNCTION_NAME.items()
         },
     )
-    class_name = _by_language(language, {name: _group(code, pattern, 1) for name, pattern in CLASS_NAME.items()})
+    class_name = _by_language(language, {name: _group(code, UNICODE + pattern, 1) for name, pattern in CLASS_NAME.items()})
     documents = {
         name: F.coalesce(*[F.when(code.rlike(p), fn.strip(F.regexp_extract(code, p, 1))) for p in patterns])
         for name, patterns in DOCUMENTATION.items()
@@ -363,7 +365,7 @@ def analyse_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.withColumns(
         {
             "function_name": F.when(
-                is_python, F.regexp_extract(header, r"^\s*(?:async\s+)?(?:def|class)\s+(\w+)", 1)
+                is_python, F.regexp_extract(header, UNICODE + r"^\s*(?:async\s+)?(?:def|class)\s+(\w+)", 1)
             ).otherwise(
                 F.when(matched(FUNCTION_NAME), F.coalesce(function_name, F.lit("unknown"))).otherwise(
                     F.coalesce(class_name, F.lit("unknown"))
@@ -401,9 +403,9 @@ def with_module_documentation(files: DataFrame, only: Column | None = None) -> D
     comments = F.filter(F.transform(leading, lambda line: fn.strip(line)), lambda line: line.startswith("%"))
     matlab_doc = F.array_join(F.transform(comments, lambda line: fn.strip(F.substring(line, 2, 1 << 30))), "\n")
     script_doc = F.regexp_replace(
-        F.regexp_extract(content, r"(?ms)^\s*/\*\*\s*\n(.*?)\n\s*\*/", 1), r"(?m)^\s*\*\s?", ""
+        F.regexp_extract(content, r"(?ms)^[^\S\n]*+/\*\*\s*\n(.*?)\n\s*\*/", 1), r"(?m)^\s*\*\s?", ""
     )
-    julia_doc = F.regexp_extract(content, r'(?ms)^\s*"""(.*?)"""', 1)
+    julia_doc = F.regexp_extract(content, r'(?ms)^[^\S\n]*+"""(.*?)"""', 1)
     text = _by_language(
         language,
         {

@@ -185,7 +185,7 @@ def stale_paths(spark, sf_dir):
     "j7_matching_proposals",
     """
 WITH ours AS (SELECT o_custkey % 20 AS repo, 'p' || o_orderkey % 4 AS path, o_orderstatus AS content FROM orders
-    WHERE o_orderkey < 100 QUALIFY row_number() OVER (PARTITION BY o_custkey % 20, o_orderkey % 4 ORDER BY o_orderkey) = 1),
+    QUALIFY row_number() OVER (PARTITION BY o_custkey % 20, o_orderkey % 4 ORDER BY o_orderkey) = 1),
 theirs AS (SELECT o_custkey % 20 AS repo, o_custkey AS pr, 'p' || o_orderkey % 4 AS path, min(o_orderstatus) AS content FROM orders GROUP BY 1, 2, 3),
 e AS (SELECT repo, count(*) AS expected FROM ours GROUP BY repo)
 SELECT t.repo, t.pr, count(*) AS n_paths FROM theirs t LEFT JOIN ours o USING (repo, path) JOIN e USING (repo)
@@ -196,7 +196,7 @@ def matching_proposals(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").selectExpr(
         "o_custkey % 20 AS repo", "o_custkey AS pr", "'p' || o_orderkey % 4 AS path", "o_orderkey", "o_orderstatus AS content"
     )
-    ours = orders.filter("o_orderkey < 100").groupBy("repo", "path").agg(F.min_by("content", "o_orderkey").alias("content"))
+    ours = orders.groupBy("repo", "path").agg(F.min_by("content", "o_orderkey").alias("content"))
     theirs = orders.groupBy("repo", "pr", "path").agg(F.min("content").alias("content"))
     return changes.matching_proposals(theirs, ours, ["repo"], "pr")
 

@@ -8,12 +8,12 @@ from corpuslens.operators import reuse
 from corpuslens.plans.registry import query
 from corpuslens.session import table
 
-# Runs are overlapping slices of the documents; a suggestion's key is made of source, language, size and kind.
+# Runs are all documents, then overlapping slices of them; a suggestion's key is made of source, language, size and kind.
 _SUGGESTIONS = """SELECT 'app_' || r AS run_id, doc_id AS pos, 'o/r' AS repo_path,
   CASE WHEN r = 3 THEN 'dev' ELSE 'main' END AS branch, source AS file_path, 'f' || (n_chars % 40) AS function_name,
   CASE WHEN doc_id % 4 = 0 THEN 'class' ELSE 'function' END AS block_type, CAST(n_chars % 200 AS INT) AS line_number,
   lang AS language, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 7 = 0 THEN NULL ELSE 'doc ' || doc_id || ' of ' || r END AS generated_docstring
-FROM documents, (SELECT 0 AS r UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) AS slices WHERE doc_id % (r + 2) = 0 AND doc_id % 10 < 6"""
+FROM documents, (SELECT 0 AS r UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) AS slices WHERE r = 0 OR doc_id % (r + 2) = 0"""
 _MISSING = """SELECT doc_id, 'o/r' AS repo_path, 'main' AS branch, source AS file_path, 'f' || (n_chars % 40) AS function_name,
   CASE WHEN doc_id % 4 = 0 THEN 'class' ELSE 'function' END AS block_type, CAST((n_chars + doc_id % 2) % 200 AS INT) AS line_number,
   lang AS language FROM documents"""
@@ -21,9 +21,9 @@ _MISSING = """SELECT doc_id, 'o/r' AS repo_path, 'main' AS branch, source AS fil
 
 def suggestions(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
-    # Each document belongs to the runs whose slice it is in.
-    runs = F.filter(F.array(*map(F.lit, range(4))), lambda r: F.col("doc_id") % (r + 2) == 0)
-    return documents.filter("doc_id % 10 < 6").withColumn("r", F.explode(runs)).selectExpr(
+    # The first run has all documents; the later ones have those whose slice they are.
+    runs = F.filter(F.array(*map(F.lit, range(4))), lambda r: (r == 0) | (F.col("doc_id") % (r + 2) == 0))
+    return documents.withColumn("r", F.explode(runs)).selectExpr(
         "'app_' || r AS run_id", "doc_id AS pos", "'o/r' AS repo_path", "CASE WHEN r = 3 THEN 'dev' ELSE 'main' END AS branch",
         "source AS file_path", "'f' || (n_chars % 40) AS function_name",
         "CASE WHEN doc_id % 4 = 0 THEN 'class' ELSE 'function' END AS block_type",

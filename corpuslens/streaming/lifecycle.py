@@ -28,7 +28,10 @@ def next_status(current: str | None, event: str) -> str | None:
 
 
 class Lifecycle(StatefulProcessor):
-    """Emits a numbered row whenever a run's status changes; an unfinished run that falls silent has failed."""
+    """Emits a numbered row whenever a run's status changes; an unfinished run that falls silent has failed.
+
+    A finished run that falls silent for as long is forgotten, so state holds recent runs only.
+    """
 
     def __init__(self, timeout_seconds: int):
         self.timeout = timeout_seconds * 1000
@@ -54,15 +57,18 @@ class Lifecycle(StatefulProcessor):
         self.state.update((status, last, position))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if status in ("queued", "running"):
-            self.handle.registerTimer(last // 1000 + self.timeout)
+        self.handle.registerTimer(last // 1000 + self.timeout)
         yield pd.DataFrame(out, columns=COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         status, _, position = self.state.get()
+        if status not in ("queued", "running"):
+            self.state.clear()
+            return
         message = RUNNING_INTERRUPTED if status == "running" else QUEUED_INTERRUPTED
         at = expiredTimerInfo.getExpiryTimeInMs() * 1000
         self.state.update(("failed", at, position + 1))
+        self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.timeout)
         yield pd.DataFrame([(key[0], "failed", message, at, position + 1)], columns=COLUMNS)
 
     def close(self) -> None:

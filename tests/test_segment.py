@@ -197,3 +197,22 @@ def test_one_content_shuffle_and_no_python(spark):
     # Once per language family and once for the numbering of their union.
     assert plan.count("Exchange hashpartitioning") <= 4
     assert "SinglePartition" not in plan
+
+
+def test_names_have_letters_of_every_script(spark):
+    sources = [("a.py", "def größe(x):\n    return x\n", "python", "größe"), ("b.jl", "function α(x)\n    x\nend\n", "julia", "α"), ("c.js", "function été(a) {\n}\n", "javascript", "été")]
+    files = spark.createDataFrame([("r", p, p, lang, text) for p, text, lang, _ in sources], "repo string, path string, name string, language string, content string")
+    found = {r.path: r.function_name for r in segment.block_analysis(files).collect()}
+    assert found == {p: name for p, _, _, name in sources}
+
+
+def test_blank_lines_are_passed_in_linear_time(spark):
+    import time
+
+    from corpuslens import fixed_values as fixed
+
+    texts = spark.createDataFrame([("\n" * 100_000 + "import os",), ("\n" * 100_000 + '"""doc"""',), (" " * 100_000,)], "content string")
+    started = time.time()
+    names = texts.select(F.regexp_extract_all("content", F.lit(fixed.IMPORT_PATTERN), F.lit(1)).alias("m")).collect()
+    assert [r.m for r in names] == [["os"], [], []]
+    assert time.time() - started < 30
