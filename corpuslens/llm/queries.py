@@ -86,10 +86,14 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("c0").alias("page_id"), "host", "path", "rule", "verdict")
 
 
-ORACLES["op9_url_filters"] = urls.ORACLE
-
-
 @query
 def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(table(spark, sf_dir, "pages"), revisit_from=1000)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES |= {
+    "op3_benchmark_decontamination": decontaminate.ORACLE,
+    "op9_url_filters": urls.ORACLE,
+    "op10_warc_archives": warc.ORACLE,
+}

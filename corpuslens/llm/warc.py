@@ -296,4 +296,14 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     return read(write(with_revisits(pages, page_id, url, html, revisit_from), scratch_path(pages.sparkSession, "warc"), compress))
 
 
+#: What the archives must say, from the pages themselves.
+ORACLE = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), q AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY body) ELSE page_id END AS last FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to FROM q"""
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
