@@ -1,61 +1,118 @@
-"""Reading a tree of files (SR1), its artifacts (SR8), and writing run-scoped output (SR7)."""
+"""Reading a tree of files (SR1), its artifacts (SR8), and writing run-scoped output (SR7).
+
+Trees are listed and read in tasks: Spark's own file sources leave out names that begin with ``_`` or ``.`` and files of no bytes, and
+they encode paths. Names are kept as they are listed.
+"""
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+from fnmatch import fnmatchcase
+from urllib.parse import urlparse
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuslens import functions as fn
 
+#: Bytes of content that a task holds at once, besides one file.
+READ_BYTES = 8_000_000
+#: A larger file can't be one cell; its content is null.
+LARGEST_FILE = 1 << 30
+
+
+def _system(uri: str):
+    """File system and path of a URI or path."""
+    from pyarrow import fs
 
-def _relative(path: Column, root: str) -> Column:
-    # Spark reports file URIs; the part below the root is what a listing shows.
-    return F.url_decode(F.regexp_replace(F.substring_index(path, root.rstrip("/") + "/", -1), r"\+", "%2B"))
+    if urlparse(uri).scheme in ("", "file"):
+        return fs.LocalFileSystem(), urlparse(uri).path if uri.startswith("file:") else uri
+    return fs.FileSystem.from_uri(uri)
 
 
-def list_files(spark: SparkSession, root: str, name_glob: str | None = None) -> DataFrame:
-    """SR1/SR8: path, name and length of every file below the root. File bytes are not read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if name_glob:
-        reader = reader.option("pathGlobFilter", name_glob)
-    path = _relative(F.col("path"), root)
-    return reader.load(root).select(path.alias("path"), fn.file_name(path).alias("name"), "length")
+def list_files(spark: SparkSession, root: str, name_glob: str | None = None, folders: list[str] | None = None) -> DataFrame:
+    """SR1/SR8: path below the root, name and length of every file. File bytes are not read.
+
+    Each folder in the root, or in ``folders`` below it, is listed by a task.
+    """
+    from pyarrow import fs
+
+    base = root.rstrip("/")
+    system, top = _system(base)
+    starts = []
+    for folder in folders if folders is not None else [""]:
+        for entry in system.get_file_info(fs.FileSelector(f"{top}/{folder}".rstrip("/"), allow_not_found=True)):
+            starts.append((entry.path[len(top) + 1 :], entry.type == fs.FileType.Directory, entry.size or 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = _system(base)
+        for batch in batches:
+            for path, is_folder, size in zip(*(c.to_pylist() for c in batch.columns)):
+                found = [(path, size)]
+                if is_folder:
+                    entries = system.get_file_info(fs.FileSelector(f"{top}/{path}", recursive=True))
+                    found = [(e.path[len(top) + 1 :], e.size) for e in entries if e.type == fs.FileType.File]
+                rows = [(p, p.rsplit("/", 1)[-1], n) for p, n in found]
+                rows = [r for r in rows if name_glob is None or fnmatchcase(r[1], name_glob)]
+                columns = list(zip(*rows)) or [(), (), ()]
+                kinds = (pa.string(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["path", "name", "length"])
+
+    listed = spark.createDataFrame(starts, "path string, is_folder boolean, size long").repartition(max(1, len(starts)))
+    return listed.mapInArrow(run, "path string, name string, length long")
 
 
 def scan_corpus(
     spark: SparkSession, root: str, branch: str = "main", folders: list[str] | None = None, name_glob: str | None = None
 ) -> DataFrame:
-    """SR1: files below ``root/<repo>/`` with their text; text that is not UTF-8 is null, and files of no bytes are not
-    listed (see ``with_listing``).
+    """SR1: files below ``root/<repo>/`` with their text; text that is not UTF-8 is null, and a file of no bytes is empty.
 
-    Folders and the name pattern limit what is listed and read, because a filter on the path
-    column comes after the bytes were read.
+    Folders and the name pattern limit what is listed and read. The files of all repositories are spread over tasks by their paths.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if name_glob:
-        reader = reader.option("pathGlobFilter", name_glob)
     base = root.rstrip("/")
-    paths = [f"{base}/{folder}" for folder in folders] if folders else [base]
-    full = _relative(F.col("path"), base)
-    text = F.try_validate_utf8(F.col("content").cast("string"))
-    return (
-        reader.load(paths)
-        .withColumns({"_full": full, "_text": text})
-        .select(
-            F.substring_index("_full", "/", 1).alias("repo"),
-            F.lit(branch).alias("branch"),
-            F.regexp_replace("_full", r"^[^/]*/", "").alias("path"),
-            fn.file_name(F.col("_full")).alias("name"),
-            F.lit("file").alias("type"),
-            F.col("_text").alias("content"),
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = _system(base)
+
+        def rows(paths: list[str], texts: list[str | None]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], names=["full", "content"])
+
+        for batch in batches:
+            paths, texts, held = [], [], 0
+            for path, length in zip(*(batch.column(c).to_pylist() for c in ("path", "length"))):
+                text = None
+                if length <= LARGEST_FILE:
+                    with system.open_input_stream(f"{top}/{path}", compression=None) as f:
+                        data = f.read()
+                    try:
+                        text = data.decode()
+                    except UnicodeDecodeError:
+                        pass
+                paths.append(path)
+                texts.append(text)
+                held += length
+                if held > READ_BYTES:
+                    yield rows(paths, texts)
+                    paths, texts, held = [], [], 0
+            yield rows(paths, texts)
+
+    files = list_files(spark, base, name_glob, folders).filter(F.col("path").contains("/")).repartition("path")
+    return files.mapInArrow(run, "full string, content string").select(
+        F.substring_index("full", "/", 1).alias("repo"),
+        F.lit(branch).alias("branch"),
+        F.regexp_replace("full", r"^[^/]*/", "").alias("path"),
+        fn.file_name(F.col("full")).alias("name"),
+        F.lit("file").alias("type"),
+        "content",
     )
 
 
 def with_listing(files: DataFrame, listing: DataFrame) -> DataFrame:
     """SR1: every listed (repo, path) with its content, null where nothing was read.
 
-    Spark's file sources leave out files of no bytes; a listing from the version control system brings them back,
-    so they are counted as empty.
+    A listing from the version control system may hold files that the tree lacks.
     """
     content = files.select("repo", "path", "content")
     listed = listing.select("repo", "path", fn.file_name(F.col("path")).alias("name"))
@@ -89,3 +146,6 @@ def run_artifacts(spark: SparkSession, base: str) -> DataFrame:
             F.col("name").alias("artifact"), "length",
         )
     )
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

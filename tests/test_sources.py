@@ -6,32 +6,35 @@ from corpuslens.session import written
 from corpuslens.sources import corpus, reports
 
 
-def test_corpus_scan(spark, tmp_path):
-    for path, content in {"r1/a.py": b"x = 1\n", "r1/sub dir/b+c.py": "é\n".encode(), "r2/bad.py": b"\xff\xfe", "r2/empty.py": b""}.items():
-        target = tmp_path / path
+def test_corpus_scan_sees_every_file(spark, tmp_path):
+    root = tmp_path / "clones"
+    files = {
+        "r1/a.py": b"x = 1\n", "r1/sub dir/b+c.py": "é\n".encode(), "r2/bad.py": b"\xff\xfe", "r2/empty.py": b"", "r1/.gitignore": b"*.log",
+        "r1/.env": b"A=1", "r1/pkg/__init__.py": b"", "r1/_private/x.py": b"y", "r1/.github/a.py": b"z", "r1/a%41.py": b"1", "r1/100%.py": b"2",
+        f"r3{root}/b.py": b"root again",
+    }
+    for path, content in files.items():
+        target = root / path
         target.parent.mkdir(parents=True, exist_ok=True)
         target.write_bytes(content)
-    listing = spark.createDataFrame([("r1", "a.py"), ("r1", "sub dir/b+c.py"), ("r2", "bad.py"), ("r2", "empty.py")], "repo string, path string")
-    scanned = corpus.scan_corpus(spark, str(tmp_path))
-    rows = {(r.repo, r.path): (r.name, r.content) for r in corpus.with_listing(scanned, listing).collect()}
-    assert rows == {
-        ("r1", "a.py"): ("a.py", "x = 1\n"),
-        ("r1", "sub dir/b+c.py"): ("b+c.py", "é\n"),
-        ("r2", "bad.py"): ("bad.py", None),
-        ("r2", "empty.py"): ("empty.py", None),
-    }
-    assert corpus.scan_corpus(spark, str(tmp_path), folders=["r2"], name_glob="b*").count() == 1
-    assert scanned.filter("branch = 'main' AND type = 'file'").count() == 3
+    scanned = corpus.scan_corpus(spark, f"{root}/")
+    rows = {f"{r.repo}/{r.path}": (r.name, r.content) for r in scanned.collect()}
+    assert rows == {p: (p.rsplit("/", 1)[-1], None if p == "r2/bad.py" else c.decode()) for p, c in files.items()}
+    assert corpus.scan_corpus(spark, str(root), folders=["r2"], name_glob="b*").count() == 1
+    assert scanned.filter("branch = 'main' AND type = 'file'").count() == len(files)
+    listing = spark.createDataFrame([("r1", "a.py"), ("r2", "gone.py")], "repo string, path string")
+    assert {(r.path, r.content) for r in corpus.with_listing(scanned, listing).collect()} == {("a.py", "x = 1\n"), ("gone.py", None)}
+    assert corpus.scan_corpus(spark, str(tmp_path / "none")).collect() == []
 
 
 def test_listing_reads_no_bytes(spark, tmp_path):
     run = tmp_path / "github" / "o__r" / "app_1"
     run.mkdir(parents=True)
     (run / "a.csv").write_text("12345")
+    (run / "_SUCCESS").write_text("")
     df = corpus.run_artifacts(spark, str(tmp_path))
-    assert [(r.provider, r.repo_key, r.run_id, r.artifact, r.length) for r in df.collect()] == [("github", "o__r", "app_1", "a.csv", 5)]
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan.split("ReadSchema")[1].split("\n")[0]
+    got = {(r.provider, r.repo_key, r.run_id, r.artifact, r.length) for r in df.collect()}
+    assert got == {("github", "o__r", "app_1", "a.csv", 5), ("github", "o__r", "app_1", "_SUCCESS", 0)}
 
 
 def test_analysis_csv(spark, tmp_path):
