@@ -48,6 +48,14 @@ def bounded_listing(rows: DataFrame, keys: list[str], order: list[Column], n: in
     return top_n_per_key(rows, keys, order, n, "listed_no")
 
 
+def text_tail(texts: DataFrame, keys: list[str], content: str, n: int) -> DataFrame:
+    """L4: the last n lines of texts of one cell, with their numbers: cut in the row, so nothing is shuffled."""
+    rows = texts.select(*keys, fn.lines_of(F.col(content)).alias("_lines"))
+    first = F.greatest(F.size("_lines") - n, F.lit(0))
+    last = F.posexplode_outer(F.slice("_lines", first + 1, n)).alias("_p", "line")
+    return rows.select(*keys, first.alias("_first"), last).select(*keys, (F.col("_first") + F.col("_p") + 1).alias("line_no"), "line")
+
+
 def tail(lines: DataFrame, keys: list[str], n: int, line_no: str = "line_no") -> DataFrame:
     """L4: the last n lines of every log."""
     return top_n_per_key(lines, keys, [F.col(line_no).desc()], n)

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from corpuslens.plans import blocks, changes, corpus, coverage, hygiene, mining, reuse, runs, storage, streams  # noqa: F401
+from corpuslens.plans import blocks, changes, corpus, coverage, flow, hygiene, mining, reuse, runs, storage, streams  # noqa: F401
 from corpuslens.plans.registry import ORACLES, QUERIES
 
 

@@ -310,9 +310,7 @@ SELECT doc_id, CAST(line_no AS INT) AS line_no, line FROM r WHERE rn <= 10""",
 )
 def log_tail(spark, sf_dir):
     """L4: the last ten lines of every document."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(fn.lines_of(F.col("text"))).alias("p", "line"))
-    lines = lines.select("doc_id", (F.col("p") + 1).alias("line_no"), "line")
-    return bounded.tail(lines, ["doc_id"], 10)
+    return bounded.text_tail(table(spark, sf_dir, "documents"), ["doc_id"], "text", 10)
 
 
 @query(

@@ -79,6 +79,10 @@ def test_bounded_listing_and_tail(spark):
     df = spark.range(100).selectExpr("id % 2 AS k", "CAST(id AS INT) AS line_no")
     assert sorted(r.line_no for r in bounded.tail(df, ["k"], 2).collect()) == [96, 97, 98, 99]
     assert bounded.tail(df.filter("line_no < 2"), ["k"], 80).count() == 2
+    texts = spark.createDataFrame([(1, "a\nb\nc"), (2, "x"), (3, "")], "k int, t string")
+    last = bounded.text_tail(texts, ["k"], "t", 2)
+    assert {(r.k, r.line_no, r.line) for r in last.collect() if r.k < 3} == {(1, 2, "b"), (1, 3, "c"), (2, 1, "x")}
+    assert "Exchange" not in last._jdf.queryExecution().executedPlan().toString()
     files = df.selectExpr("k AS repo", "lpad(line_no, 3, '0') AS path")
     totals = bounded.scan_totals(files).orderBy("repo").collect()
     assert [(r.total_files, r.scanned_files, r.truncated) for r in totals] == [(50, 50, False), (50, 50, False)]
