@@ -8,9 +8,12 @@ from corpuslens.llm import secrets
 RULES = secrets.BASE_RULES + secrets.MORE_RULES
 
 
+BASE = (RULES[0], secrets.Rule("access", "AKIA[A-Z0-9]+", 0, 16), secrets.Rule("hex", "[0-9a-f]+", 0, 32))
+
+
 def slow(text):
     out = []
-    for rank, rule in enumerate(RULES):
+    for rank, rule in enumerate(BASE + secrets.MORE_RULES):
         for m in re.finditer(rule.pattern, text or "", re.ASCII):
             if len(m.group(rule.group)) >= rule.least:
                 out.append((m.start(), rank, m.end()))
@@ -20,7 +23,7 @@ def slow(text):
 def texts():
     rng = random.Random(9)
     parts = ["password", "PassWd", "secret", "token", "api_key", "apikey", "API_KEY", "'", '"', " ", "  ", ":", "=", "abcdefgh", "ABC/+=-_.9", "short",
-             "AKIA", "AKIA2345ABCD", "Z9", "é", "日本😀", "0123456789abcdef" * 2, "deadbeef", "\n", "ghp_" + "a1B2" * 10, "xoxb-1234567890-abc",
+             "AKIA", "AKIA2345ABCD", "Z9", "é", "日本😀", "0123456789abcdef" * 2, "0123456789abcdef" * 2, "deadbeef", "AKIA", "ZZZZ99998888", "\n", "ghp_" + "a1B2" * 10, "xoxb-1234567890-abc",
              "AIza" + "x" * 35, "sk_live_" + "0" * 20, "eyJhbGciOiJ9.eyJzdWIiOiIx.abc_-9", "-----BEGIN RSA PRIVATE KEY-----", "K", "ſ"]
     out = ["".join(rng.choices(parts, k=rng.randint(1, 25))) for _ in range(400)]
     out += [None, "", "token:secret:abcdefghij", "x" * 10 + "password=abcdefgh" * 300, "f" * 31, "é" * 5000 + " token = 'abcdefgh1' " + "é" * 5000, "toKen=ABCDEFGHI"]
