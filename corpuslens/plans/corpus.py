@@ -196,9 +196,10 @@ def inclusion(spark, sf_dir):
     return classify.classified(df).drop("content")
 
 
-_CONFIG_URL = """CASE page_id % 8 WHEN 0 THEN 'https://github.com/o' || page_id || '/r.git' WHEN 1 THEN 'owner/repo' || page_id
+# Every page twice: with an address of some kind, and with its own.
+_CONFIG_URL = """CASE WHEN k = 1 THEN url ELSE CASE page_id % 8 WHEN 0 THEN 'https://github.com/o' || page_id || '/r.git' WHEN 1 THEN 'owner/repo' || page_id
   WHEN 2 THEN 'owner/-bad' WHEN 3 THEN 'https://u:p@gitlab.com/a/b' WHEN 4 THEN 'http://github.com/a/b/' WHEN 5 THEN ''
-  WHEN 6 THEN 'a/b/c' ELSE url END"""
+  WHEN 6 THEN 'a/b/c' ELSE url END END"""
 _CONFIG_PROVIDER = "CASE page_id % 3 WHEN 0 THEN ' GitHub' WHEN 1 THEN 'gitlab' ELSE 'svn' END"
 _CONFIG_OUTPUT = """CASE page_id % 5 WHEN 0 THEN 'docs/project/architecture.rst' WHEN 1 THEN '' WHEN 2 THEN '../outside.rst'
   WHEN 3 THEN 'docs/../../outside.rst' ELSE 'notes/a.rst' END"""
@@ -208,12 +209,12 @@ _CONFIG_FOLDERS = "CASE page_id % 4 WHEN 0 THEN 'a/../b, c' WHEN 1 THEN '..' ELS
 @query(
     "f12_row_quality",
     f"""
-WITH t AS (SELECT page_id, {_CONFIG_URL} AS u, lower(trim({_CONFIG_PROVIDER})) AS p, {_CONFIG_OUTPUT} AS o,
-    page_id % 10 / 8.0 AS th, page_id % 7 - 2 AS ml, CASE WHEN page_id % 9 = 0 THEN ' ' ELSE 'n' END AS nm FROM pages),
+WITH t AS (SELECT page_id, k, {_CONFIG_URL} AS u, lower(trim({_CONFIG_PROVIDER})) AS p, {_CONFIG_OUTPUT} AS o,
+    page_id % 10 / 8.0 AS th, page_id % 7 - 2 AS ml, CASE WHEN page_id % 9 = 0 THEN ' ' ELSE 'n' END AS nm FROM pages, (SELECT unnest([0, 1]) AS k)),
 s AS (SELECT *, regexp_matches(u, '^https?://') AS ab,
     CASE WHEN regexp_matches(u, '^https?://') THEN regexp_replace(trim(regexp_extract(u, '^https?://[^/?#]*([^?#]*)', 1), '/'), '\\.git$', '') ELSE u END AS rp,
     regexp_extract(u, '^https?://([^/?#]*)', 1) AS au FROM t),
-v AS (SELECT page_id, list_filter([
+v AS (SELECT page_id, k, list_filter([
   CASE WHEN trim(nm) = '' THEN 'name_missing' END, CASE WHEN u = '' THEN 'url_missing' END,
   CASE WHEN p NOT IN ('github', 'gitlab') THEN 'provider_unknown' END,
   CASE WHEN u LIKE 'http://%' THEN 'url_not_https' END, CASE WHEN ab AND contains(au, '@') THEN 'url_has_credentials' END,
@@ -224,12 +225,13 @@ v AS (SELECT page_id, list_filter([
   CASE WHEN th > 1 THEN 'threshold_out_of_range' END, CASE WHEN ml < 0 THEN 'min_lines_negative' END,
   CASE WHEN page_id % 5 IN (1, 2, 3) THEN 'output_path_unsafe' END,
   CASE WHEN page_id % 5 IN (2, 4) THEN 'output_path_outside_docs' END], lambda x : x IS NOT NULL) AS l FROM s)
-SELECT page_id, array_to_string(l, ',') AS violations, CAST(len(l) AS INT) AS n FROM v""",
+SELECT page_id, k, array_to_string(l, ',') AS violations, CAST(len(l) AS INT) AS n FROM v""",
 )
 def row_quality(spark, sf_dir):
     """reason codes for repository configurations of mixed quality."""
-    df = table(spark, sf_dir, "pages").selectExpr(
-        "page_id", f"{_CONFIG_URL} AS repo_url", f"{_CONFIG_PROVIDER} AS provider", f"{_CONFIG_OUTPUT} AS output_path",
+    pages = table(spark, sf_dir, "pages").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    df = pages.selectExpr(
+        "page_id", "k", f"{_CONFIG_URL} AS repo_url", f"{_CONFIG_PROVIDER} AS provider", f"{_CONFIG_OUTPUT} AS output_path",
         f"{_CONFIG_FOLDERS} AS folders", "page_id % 10 / 8.0 AS threshold", "page_id % 7 - 2 AS min_lines",
         "CASE WHEN page_id % 9 = 0 THEN ' ' ELSE 'n' END AS name",
     )
@@ -237,8 +239,8 @@ def row_quality(spark, sf_dir):
     violations = classify.quality_violations(
         *map(F.col, names), F.lit("main"), F.col("folders"), F.col("output_path"), F.col("threshold"), F.col("min_lines")
     )
-    return df.select("page_id", violations.alias("v")).select(
-        "page_id", F.array_join("v", ",").alias("violations"), F.size("v").alias("n")
+    return df.select("page_id", "k", violations.alias("v")).select(
+        "page_id", "k", F.array_join("v", ",").alias("violations"), F.size("v").alias("n")
     )
 
 
@@ -381,11 +383,11 @@ def api_entries(spark, sf_dir):
 
 _BUILD_LOG = """CASE doc_id % 5
   WHEN 0 THEN 'Extension error (autoapi.extension)!' || chr(10) || 'AttributeError:  no ' || doc_id || ' ' || chr(10) || text
-  WHEN 1 THEN 'preamble' || chr(10) || 'AttributeError: boom ' || doc_id
+  WHEN 1 THEN 'preamble' || chr(10) || 'AttributeError: boom ' || doc_id || chr(10) || text
   WHEN 2 THEN '[AutoAPI] Reading files... [ 10%] autoapi_include/w/a' || doc_id || '.py' || chr(10) || '[AutoAPI] Reading files... [ 42%] autoapi_include/w/b' || doc_id || '.py'
     || chr(10) || 'module ' || chr(39) || 'm.x' || doc_id || chr(39) || ' failed' || chr(10) || text
-  WHEN 3 THEN 'WARNING: failed autoapi/w/core' || doc_id || '/index.rst' || chr(10) || 'module ' || chr(39) || 'a.b' || chr(39) || chr(10) || 'module ' || chr(39) || 'a.b' || chr(39)
-  ELSE '  ' END"""
+  WHEN 3 THEN 'WARNING: failed autoapi/w/core' || doc_id || '/index.rst' || chr(10) || 'module ' || chr(39) || 'a.b' || chr(39) || chr(10) || 'module ' || chr(39) || 'a.b' || chr(39) || chr(10) || text
+  ELSE '  ' || text END"""
 
 
 @query(
@@ -418,14 +420,16 @@ def failing_modules(spark, sf_dir):
 
 
 _LINT = """CASE doc_id % 3 WHEN 0 THEN 'Found 2 errors.' || chr(10) || 'a' || doc_id || '.py:1:1: E402 late' || chr(10) || 'b.py:2:1: E402 late' || chr(10) || text
-  WHEN 1 THEN 'first line' || chr(10) || ' x.py:3 bad ' ELSE ' ' END"""
+  WHEN 1 THEN 'first line' || chr(10) || ' x.py:3 bad ' || chr(10) || text ELSE ' ' || text END"""
 
 
 @query(
     "a17_log_issues",
     """
+WITH t AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x : trim(x)), lambda x : x <> '') AS l FROM documents)
 SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'a' || doc_id || '.py:1:1: E402 late (2 E402 issue(s) in analyzed project)'
-  WHEN 1 THEN 'x.py:3 bad' ELSE 'unknown Ruff error' END AS summary FROM documents""",
+  WHEN 1 THEN 'x.py:3 bad'
+  ELSE coalesce(list_filter(l, lambda x : contains(x, ':') AND NOT contains(x, 'Found '))[1], l[1], 'unknown Ruff error') END AS summary FROM t""",
 )
 def log_issues(spark, sf_dir):
     """The first relevant line of a lint log, and how many import-order issues there are."""

@@ -97,11 +97,11 @@ def run_summary_by_supplier(spark, sf_dir):
     "a12_change_summary",
     """
 SELECT p_brand AS file, count(*) AS docstrings, grouping(p_brand) = 1 AS is_total
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R'
+FROM lineitem JOIN part ON l_partkey = p_partkey
 GROUP BY ROLLUP (p_brand)""",
 )
 def change_summary(spark, sf_dir):
-    """Changes are returned lines, files are brands, plus the grand total."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select("l_partkey")
+    """Changes are lines, files are brands, plus the grand total."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("file"))
     return coverage.change_summary(lines.join(parts, "l_partkey").select("file"), "file")

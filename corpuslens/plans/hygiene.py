@@ -72,15 +72,15 @@ def redacted_errors(spark, sf_dir):
 
 
 PAYLOAD = """CASE event_id % 4
-  WHEN 0 THEN '{"token":"t' || event_id || '","k":' || event_id || ',"n":{"token":1,"a":[1,2]}}'
-  WHEN 1 THEN props WHEN 2 THEN 'not json ' || event_id ELSE '["token"]' END"""
+  WHEN 0 THEN '{"token":"t' || event_id || '","k":' || event_id || ',"n":{"token":1,"a":[1,2]},"p":' || props || '}'
+  WHEN 1 THEN props WHEN 2 THEN 'not json ' || event_id || props ELSE '["token",' || props || ']' END"""
 
 
 @query(
     "s2_scrub_payload",
     f"""
-WITH t AS (SELECT event_id, {PAYLOAD} AS payload FROM events)
-SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '{{"k":' || event_id || ',"n":{{"a":[1,2],"token":1}}}}' ELSE payload END AS request_payload,
+WITH t AS (SELECT event_id, props, {PAYLOAD} AS payload FROM events)
+SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '{{"k":' || event_id || ',"n":{{"a":[1,2],"token":1}},"p":' || replace(props, ' ', '') || '}}' ELSE payload END AS request_payload,
   event_id % 4 = 0 AS rewritten FROM t""",
 )
 def scrub_payload(spark, sf_dir):
@@ -114,8 +114,8 @@ FROM events""",
 def safe_arrays(spark, sf_dir):
     """An array in a payload field; invalid payloads give an empty array."""
     payload = F.expr(
-        """CASE event_id % 3 WHEN 0 THEN '{"languages_detected":["' || event_type || '","x"]}'
-           WHEN 1 THEN '{"languages_detected":' ELSE props END"""
+        """CASE event_id % 3 WHEN 0 THEN '{"languages_detected":["' || event_type || '","x"],"p":' || props || '}'
+           WHEN 1 THEN '{"languages_detected":' || props ELSE props END"""
     )
     df = table(spark, sf_dir, "events").select("event_id", "event_type", "props").withColumn("payload", payload)
     languages = fn.safe_array(F.col("payload"), "string", "languages_detected")

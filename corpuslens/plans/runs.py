@@ -264,7 +264,7 @@ def superseded_drafts(spark, sf_dir):
     "j11_approvable_drafts",
     """
 WITH d AS (SELECT l_suppkey AS repo, CAST(l_partkey % 50 AS VARCHAR) AS draft_id, l_orderkey * 10 + l_linenumber AS run_id,
-    CASE l_returnflag WHEN 'A' THEN 'approved' ELSE 'draft' END AS status FROM lineitem WHERE l_linestatus = 'F'),
+    CASE l_returnflag WHEN 'A' THEN 'approved' ELSE 'draft' END AS status FROM lineitem),
 n AS (SELECT repo, draft_id, max(run_id) AS run_id FROM d GROUP BY ALL),
 s AS (SELECT repo, draft_id, run_id, min(status) AS status FROM d JOIN n USING (repo, draft_id, run_id) GROUP BY ALL),
 q AS (SELECT s_suppkey AS repo, CAST(k AS VARCHAR) AS draft_id FROM supplier, (SELECT unnest(range(0, 60)) AS k))
@@ -273,7 +273,7 @@ FROM q LEFT JOIN s USING (repo, draft_id)""",
 )
 def approvable_drafts(spark, sf_dir):
     """The newest run's draft decides whether an approval may proceed."""
-    drafts = table(spark, sf_dir, "lineitem").filter("l_linestatus = 'F'").selectExpr(
+    drafts = table(spark, sf_dir, "lineitem").selectExpr(
         "l_suppkey AS repo", "CAST(l_partkey % 50 AS STRING) AS draft_id", "l_orderkey * 10 + l_linenumber AS run_id",
         "CASE l_returnflag WHEN 'A' THEN 'approved' ELSE 'draft' END AS status",
     )
