@@ -10,20 +10,22 @@ from corpuslens.operators import bounded, evidence, navigation, ranking, section
 from corpuslens.plans.registry import query, sql_case, sql_list
 from corpuslens.session import table, written
 
-# Documents as files of a code base: the folder, the name and a few code lines depend on the id, the
-# document's own text follows as comment lines. One repository per source.
+# Documents as files of a code base: the folder, the name and a few code lines depend on the id, and the document's own
+# text follows, line by line; as comments or a description in manifests. One repository per source.
 _FOLDER = """CASE doc_id % 11 WHEN 0 THEN 'src/Services/' WHEN 1 THEN 'src/routers/' WHEN 2 THEN 'src/models/jobs/' WHEN 3 THEN 'pkg/' WHEN 4 THEN ''
   WHEN 5 THEN 'tools/tasks/' ELSE 'src/core/' END"""
 _FILE = """CASE doc_id % 13 WHEN 0 THEN '__init__.py' WHEN 1 THEN 'main.py' WHEN 2 THEN 'requirements.txt' WHEN 3 THEN 'package.json' WHEN 4 THEN 'pyproject.toml'
   WHEN 5 THEN 'settings.py' WHEN 6 THEN 'd' || doc_id || '.js' WHEN 7 THEN 'd' || doc_id || '.go' WHEN 8 THEN 'go.mod' ELSE 'd' || doc_id || '.py' END"""
 _BODY = """CASE doc_id % 13
   WHEN 2 THEN '# deps' || chr(10) || 'alpha' || doc_id % 5 || '==1.0' || chr(10) || '-r x.txt' || chr(10) || chr(10) || ' beta[extra] >=2 ' || chr(10) || 'gamma; python'
-  WHEN 3 THEN '{"dependencies":{"left' || doc_id % 3 || '":"1"},"devDependencies":{"right":{"v":2}}}'
+    || chr(10) || '# ' || replace(text, chr(10), chr(10) || '# ')
+  WHEN 3 THEN '{"description":"' || regexp_replace(text, '[^a-zA-Z0-9 ]', '_'{g}) || '","dependencies":{"left' || doc_id % 3 || '":"1"},"devDependencies":{"right":{"v":2}}}'
   WHEN 4 THEN 'dependencies = [' || chr(10) || '  "delta>=1",' || chr(10) || '  "eps' || doc_id % 4 || '"' || chr(10) || ']'
+    || chr(10) || '# ' || replace(text, chr(10), chr(10) || '# ')
   ELSE CASE doc_id % 5 WHEN 0 THEN 'import src.core.x' || chr(10) || 'from tools.y import z' || chr(10) || 'import os' || chr(10) || 'T = os.getenv("VAR_' || doc_id % 9 || '")'
     WHEN 1 THEN 'router = APIRouter()' || chr(10) || '@router.get("/w/' || doc_id % 6 || '")' || chr(10) || '@app.post( ' || chr(39) || '/p' || chr(39) || ')'
     WHEN 2 THEN 'class W(Base):' || chr(10) || '    pass' WHEN 3 THEN '@shared_task(' || chr(10) || 'LOGIN_REQUIRED = 1' ELSE 'from pkg import a' END
-  || chr(10) || '# ' || regexp_replace(text, '[^a-zA-Z0-9 ]', '_'{g}) END"""
+  || chr(10) || text END"""
 _CODE_BASE_SQL = f"""SELECT source AS repo, {_FOLDER} || 'x' || doc_id || '/' || {_FILE} AS path, {_BODY.replace('{g}', ", 'g'")} AS content, doc_id FROM documents"""
 
 
