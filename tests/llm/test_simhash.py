@@ -113,6 +113,6 @@ def test_null_ids_and_empty_tables(spark):
 
 
 def test_components_of_a_long_path(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400)], "a long, b long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(500, 400)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
-    assert got == {**{i: 0 for i in range(201)}, 500: 400, 400: 400}
+    assert got == {**{i: 0 for i in range(41)}, 500: 400, 400: 400}
