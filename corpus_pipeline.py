@@ -16,13 +16,7 @@ from corpuslens.session import table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio, whose raw corpus is these documents."""
-    # The judge's columns replace columns of their names, so it gets the documents with names that are its own.
-    own = docs.columns
-    plain = docs.toDF(*[f"c{i}" for i in range(len(own))])
-    place = {c: f"c{i}" for i, c in enumerate(own)}
-    model = quality.fit(plain, table(spark, sf_dir, "labels"), place["doc_id"], place["text"])
-    judged = quality.judged(plain, model, place["text"])
-    return judged.filter("kept").select(*[F.col(place[c]).alias(c) for c in own])
+    return quality.passing(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
