@@ -27,7 +27,7 @@ WINDOW = 10
 #: Text of the test items in one broadcast set. Windows and their hashes take a small multiple of it.
 MOST_BYTES = 4_000_000
 #: Document bytes hashed at once; a longer document is hashed by itself, word by word and window by window.
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 250_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
