@@ -6,7 +6,7 @@ task writes files of about ``FILE_BYTES`` under names of its own attempt below t
 names the files that count.
 
 Reading: one task reads one file, from its first byte on, in pieces. Each record is checked: the member's own
-checksum, the version line, the headers, the lengths, and the payload's digest. After a failed check the reader goes on at the next
+checksum, the version line, the headers (up to their blank line, of any length), the lengths, and the payload's digest. After a failed check the reader goes on at the next
 byte where a member or a version line begins, and accepts it only if a record that passes all checks follows. The bytes between
 are a quarantined gap, reported with file, offset, length and reason.
 
@@ -36,12 +36,10 @@ FILE_BYTES = 64_000_000
 READ_BYTES = 1_000_000
 #: Compressed bytes unpacked at once.
 CHUNK_BYTES = 16_384
-#: The longest header that a record may have.
-HEADER_BYTES = 64_000
 VERSION = b"WARC/1.1\r\n"
 MEMBER = b"\x1f\x8b\x08"
 LINE = b"WARC/1."
-VERSION_LINE = re.compile(rb"WARC/1\.\d")
+VERSION_LINE = re.compile(rb"WARC/1\.\d\r\n")
 MANIFEST = "file string, bytes long, records long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
@@ -84,30 +82,38 @@ class Short(Exception):
     """The record does not end in the bytes at hand."""
 
 
+def parse_headers(data: bytes, at: int, ended: bool) -> tuple[dict, int]:
+    """Headers of the plain record at a place, however long they are, and where its block begins."""
+    begin = at + len(VERSION)
+    if len(data) < begin and not ended:
+        raise Short
+    if not VERSION_LINE.fullmatch(data[at:begin]):
+        raise Damaged("no version line")
+    headers = {}
+    while (stop := data.find(b"\r\n", begin)) != begin:
+        if stop < 0 and not ended:
+            raise Short
+        if stop < 0 or data.startswith(LINE, begin):  # the next record's version line
+            raise Damaged("no end of headers")
+        name, colon, value = data[begin:stop].partition(b":")
+        if not colon:
+            raise Damaged("header without colon")
+        headers[name.strip().lower()] = value.strip()
+        begin = stop + 2
+    return headers, begin + 2
+
+
 def parse(data: bytes, at: int, ended: bool) -> tuple[dict, bytes, int]:
     """Headers, block and end of the plain record at a place. ended: no more bytes follow data."""
     if not data.startswith(LINE, at):
         if not ended and LINE.startswith(data[at : at + len(LINE)]):
             raise Short
         raise Damaged("no version line")
-    stop = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-    if stop < 0:
-        if not ended and len(data) - at < HEADER_BYTES:
-            raise Short
-        raise Damaged("no end of headers")
-    version, *lines = data[at:stop].split(b"\r\n")
-    if not VERSION_LINE.fullmatch(version):
-        raise Damaged("no version line")
-    headers = {}
-    for line in lines:
-        name, colon, value = line.partition(b":")
-        if not colon:
-            raise Damaged("header without colon")
-        headers[name.strip().lower()] = value.strip()
+    headers, begin = parse_headers(data, at, ended)
     size = headers.get(b"content-length", b"")
     if not size.isdigit() or len(size) > 15:
         raise Damaged("no content length")
-    begin, end = stop + 4, stop + 4 + int(size)
+    end = begin + int(size)
     if len(data) < end + 4:
         if not ended:
             raise Short
@@ -265,7 +271,7 @@ def _scan(manifest: DataFrame, what: str, schema: str, row):
                     for found in salvage(stream, size):
                         if found[0] == what:
                             rows.append(row(file, found))
-                            held += len(found[3]) + 200
+                            held += len(found[3]) + 200 + (sum(map(len, found[2].values())) if what == "record" else 0)
                         if held > 8_000_000:
                             yield _batch(rows, names, schema)
                             rows, held = [], 0

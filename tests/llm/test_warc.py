@@ -95,3 +95,22 @@ def test_gaps_are_reported_and_later_records_recovered(spark):
     assert warc.read(manifest).count() == 29
     gap = warc.gaps(manifest).collect()
     assert len(gap) == 1 and gap[0]["offset"] == start and gap[0]["length"] > 25
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_headers_of_any_length(spark, compress):
+    """A url of 100,000 characters, and one whose headers go beyond what is read at once; another page refers to the first."""
+    long, longer = "http://x/" + "%a" * 50_000, "http://y/" + "WARC/1.1 %" * 120_000
+    pages = [(1, "http://a", "first" * 300), (9, long, "body" * 500), (2, "http://b", "body" * 500), (3, longer, "last"), (4, "http://c", "x")]
+    found = warc.round_trip(spark.createDataFrame([(*p, 1, "z") for p in pages], SCHEMA).coalesce(1), compress=compress).collect()
+    got = sorted(((*r[:6], bytes(r[6]) if r[6] is not None else None) for r in found), key=str)
+    assert got == expected(pages)
+
+
+def test_headers_without_end_stop_at_the_next_version_line():
+    html = b"<p>page</p>"
+    good = warc.record(2, "u", html, hashlib.sha1(html).hexdigest(), None)
+    for cut in (b"WARC/1.1\r\nWARC-Type: response\r\n", b"WARC/1.1\r\nWARC-Target-URI: " + b"a" * 3_000_000 + b"\r\n"):
+        found = list(warc.salvage(io.BytesIO(cut + good), len(cut + good)))
+        assert [f[:3] for f in found[:1]] == [("gap", 0, len(cut))]
+        assert [(f[1], f[3]) for f in found[1:]] == [(len(cut), html)]
