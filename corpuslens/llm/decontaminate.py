@@ -4,8 +4,9 @@ Words are runs of ASCII letters and digits and of all characters beyond ASCII, w
 words of a test item; a shorter item, if it has words, is one window. Document windows whose hash is in the set are verified word
 by word. A word inside any verified window is hit.
 
-The set is broadcast. Test items of more than ``MOST_BYTES`` of text are dealt into slices under that bound, by a hash of their
-id and text; each slice scans the documents, and what was hit is put together per document. One item beyond the bound is an error.
+The set is broadcast. Repeated rows of test items are dropped first. The windows of an item are dealt in pieces of consecutive words
+that overlap by ``n - 1``, and pieces of more than ``MOST_BYTES`` in slices under that bound; each slice scans the documents, and what
+was hit is put together per document. Only a single window beyond the bound is an error.
 
 A null text has no words; an item without words has no windows. Equal items under several ids all count. Repeated rows and null
 ids of documents stay, one result each. Empty tables give no rows, or no hits. Documents without hits are untouched.
@@ -18,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpuslens.llm.common import free_name
+from corpuslens.llm.common import free_name, written
 
 WINDOW = 10
 #: Text of the test items in one broadcast set. Windows and their hashes take a small multiple of it.
@@ -131,6 +132,23 @@ class Windows:
                     yield first, size, owners
 
 
+def _pieces(text: bytes, n: int, most: int) -> Iterator[bytes]:
+    """The words of a test item, with blanks between them, in pieces that hold each window once: as many words as ``most`` bytes
+    take, one window at least."""
+    words = Words(text)
+    count = len(words.starts)
+    ends = np.cumsum(words.ends - words.starts + 1)
+    first = 0
+    while first < count:
+        before = int(ends[first - 1]) if first else 0
+        last = int(np.searchsorted(ends, before + most + 1, side="right"))
+        last = min(count, max(last, first + n))
+        yield words.joined(first, last - first)
+        if last == count:
+            return
+        first = last - n + 1
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -141,21 +159,51 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _slices(benchmark: DataFrame, item_id: str, text: str) -> list[list[tuple[object, bytes]]]:
-    """The test items in lists under the bound."""
-    items = benchmark.select(F.col(item_id).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    size, longest = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.max(F.length("text")), F.lit(0))).first()
-    if longest > MOST_BYTES:
-        raise ValueError(f"a test item has {longest} bytes; {MOST_BYTES} are the most")
-    parts = 1 if size <= MOST_BYTES else 4 * -(-size // MOST_BYTES)
-    deal = F.pmod(F.xxhash64(F.col("id").cast("string"), "text"), F.lit(parts))
-    out = []
-    for k in range(parts):
-        rows = [(r["id"], bytes(r["text"])) for r in items.filter(deal == k).orderBy("id", "text").collect()]
-        if sum(len(t) for _, t in rows) > 2 * MOST_BYTES:
-            raise ValueError("equal test items fill a slice; drop repeated items first")
-        out.append(rows)
-    return out
+def _slices(benchmark: DataFrame, item_id: str, text: str, n: int) -> list[DataFrame]:
+    """The windows of the test items, as pieces of items in tables (id, text) under the bound."""
+    items = benchmark.select(F.col(item_id).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")).distinct()
+    schema = items.withColumns({"task": F.lit(0).cast("long"), "part": F.lit(0).cast("long")}).schema
+    most = MOST_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, part, held = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            rows, texts = [], []
+
+            def ready(batch=batch, rows=rows, texts=texts) -> pa.RecordBatch:
+                arrays = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(texts, pa.binary())]
+                arrays += [pa.array([x] * len(rows), pa.int64()) for x in (task, part)]
+                rows.clear()
+                texts.clear()
+                return pa.RecordBatch.from_arrays(arrays, names=["id", "text", "task", "part"])
+
+            for row, value in enumerate(batch.column(1)):
+                for piece in _pieces(value.as_py(), n, most):
+                    if held and held + len(piece) > most:
+                        yield ready()
+                        part, held = part + 1, 0
+                    rows.append(row)
+                    texts.append(piece)
+                    held += len(piece)
+            yield ready()
+
+    # Written, so that pieces stay in their parts. A part is under the bound; neighbours that fit together are one slice.
+    pieces = written(items.mapInArrow(run, schema), "test-windows")
+    size = F.length("text")
+    parts = pieces.groupBy("task", "part").agg(F.sum(size).alias("size"), F.max(size).alias("longest")).orderBy("task", "part").collect()
+    longest = max((p["longest"] for p in parts), default=0)
+    if longest > most:
+        raise ValueError(f"a window of a test item has {longest} bytes; {most} are the most")
+    slices, held = [], most
+    for p in parts:
+        place = F.struct(F.lit(p["task"]).alias("task"), F.lit(p["part"]).alias("part"))
+        if held + p["size"] > most:
+            slices.append([place, place])
+            held = 0
+        slices[-1][1] = place
+        held += p["size"]
+    places = F.struct("task", "part")
+    return [pieces.filter(places.between(a, b)).select("id", "text") for a, b in slices] or [pieces.select("id", "text")]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, columns: list[Column], text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = WINDOW) -> DataFrame:
@@ -163,7 +211,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, columns: list[Column], text: str
     byte, ends exclusive) and ``items`` (sorted ids, as strings, of the items with windows in it)."""
     spark = docs.sparkSession
     result = None
-    slices = _slices(benchmark, item_id, item_text)
+    slices = _slices(benchmark, item_id, item_text, n)
     source = docs.select(*columns, F.col(text).cast("binary").alias("_text"))
     kept = source.columns[:-1]
     if len(slices) > 1:
@@ -173,7 +221,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, columns: list[Column], text: str
     spans = "array<struct<first:long,last:long,first_byte:long,last_byte:long>>"
     schema = source.drop("_text").withColumns({"n_words": F.lit(0).cast("long"), "spans": F.lit(None).cast(spans), "items": F.lit(None).cast("array<string>")}).schema
     kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("first", "last", "first_byte", "last_byte")]))
-    for items in slices:
+    for pieces in slices:
+        items = [(r["id"], bytes(r["text"])) for r in pieces.orderBy("id", "text").collect()]
         shared = spark.sparkContext.broadcast(Windows(items, n))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -93,3 +93,27 @@ def test_an_item_beyond_the_bound_is_an_error(spark, monkeypatch):
     b = spark.createDataFrame([(1, "more than ten bytes")], "item_id long, text string")
     with pytest.raises(ValueError):
         decontaminate.scan(b.withColumnRenamed("item_id", "doc_id"), b, [F.col("doc_id")])
+
+
+def test_long_items_and_repeated_rows_have_a_result(spark, monkeypatch):
+    """One item of many times the bound, and one row that is most of the benchmark."""
+    monkeypatch.setattr(decontaminate, "MOST_BYTES", 150)
+    rng = random.Random(9)
+    long = " , ".join(f"word{rng.randrange(10**6)}" for _ in range(120))
+    items = [(1, long), (3, "b " + "z" * 130), (5, "5 6"), *[(2, " ".join(f"r{i}" for i in range(30)))] * 40]
+    w = long.split(" , ")
+    docs = [(i, " ".join(w[i : i + 9 + i % 3])) for i in range(110)]
+    docs += [(200, long.upper()), (201, items[-1][1]), (202, items[1][1] + " 5 6"), (203, "none")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.digest(decontaminate.scan(d, b, [F.col("doc_id")]))
+    got = [tuple(r) for r in found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()]
+    assert sorted(got, key=str) == slow(docs, items)
+
+
+def test_pieces_hold_each_window_once():
+    for text in ("", "..", "one", "a b c", " ".join(str(i) for i in range(400)), "x" * 50 + " " + "y " * 30):
+        for most in (1, 20, 64, 10_000):
+            windows = [tuple(w[i : i + 10]) for p in decontaminate._pieces(text.encode(), 10, most) for w in [words(p.decode())] for i in range(max(1, len(w) - 9))]
+            w = words(text)
+            assert windows == [tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))] * bool(w)
