@@ -6,8 +6,10 @@ pair that reaches the guaranteed minimum meets in one of them, and pairs below i
 their bit distance.
 
 A list is linked without writing down its pairs. Short lists are compared row against row in NumPy. In a long list two
-fingerprints are linked through a midpoint at most half the distance from both, so its cost is linear in its members. What
-leaves a task is one edge per fingerprint, to the smallest one of its local component.
+fingerprints are linked through a midpoint at most half the distance from both, so its cost is linear in its members. Its
+midpoints are dealt into parts by a linear hash, ``PART_MIDPOINTS`` in each; a part is a task's, with all members that reach it,
+and goes through its midpoints in passes. What is linked is kept as labels, not as edges. What leaves a task is one edge per
+fingerprint and part, to the smallest one of its local component.
 
 Rows: a null text is empty. A text without words has fingerprint 0 and is linked like any other; equal texts have equal
 fingerprints and are one row of the index. Repeated rows are kept. A null ``doc_id`` is never a component's id unless the
@@ -33,6 +35,8 @@ SEED = 42
 LONG_LIST = 1024
 #: Midpoints held at once.
 MIDPOINTS = 4_000_000
+#: Midpoints of one part of a long list, on average.
+PART_MIDPOINTS = 64_000_000  # a list of 120,000 members
 #: Posting rows for each task.
 ROWS_PER_TASK = 1_000_000
 
@@ -101,44 +105,71 @@ def _hook(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = higher
 
 
-def _link_long(members: np.ndarray, free: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (as places in members) that connect all members at most ``distance`` bits apart, through shared midpoints.
+def _flips(free: list[int], distance: int) -> list[int]:
+    """What leads from a fingerprint to its midpoints; an odd distance flips one bit more on one side."""
+    far = distance - distance // 2
+    return [sum(1 << b for b in c) for k in range(far + 1) for c in itertools.combinations(free, k)]
 
-    The members agree outside the ``free`` bits, so midpoints do, too. An odd distance flips one bit more on one side.
+
+_SYNDROMES = np.random.default_rng(SEED).integers(0, 1 << 32, 64, dtype=np.uint64)
+
+
+def _syndrome(values: np.ndarray, bits: list[int]) -> np.ndarray:
+    """A linear hash of 32 bits: that of a ^ b is the hash of a ^ that of b."""
+    out = np.zeros(len(values), np.uint64)
+    for b in bits:
+        out ^= (values >> np.uint64(b) & np.uint64(1)) * _SYNDROMES[b]
+    return out
+
+
+def _link_long(members: np.ndarray, free: int, distance: int, part: int = 0, parts: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (as places in members, one for a member at most) that connect all members at most ``distance`` bits apart whose midpoints
+    are in the part.
+
+    The members agree outside the ``free`` bits, so midpoints do, too. A midpoint's part and pass are the lowest bits of its
+    syndrome. With the members in the order of theirs, those that a flip leads into a pass lie side by side.
     """
-    bits = [np.uint64(1) << np.uint64(i) for i in range(64) if free >> i & 1]
-    near, far = distance // 2, distance - distance // 2
-    flips = [np.uint64(0), *(np.bitwise_or.reduce(list(c)) for k in range(1, far + 1) for c in itertools.combinations(bits, k))]
-    short = sum(1 for f in flips if int(f).bit_count() <= near)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    passes = max(1, -(-len(members) * (len(flips) + short * (near != far)) // MIDPOINTS))
-    place = np.arange(len(members))
-    for k in range(passes):
-        keys, ids, sides = [], [], []
-        for flip in flips:
-            point = members ^ flip
-            chosen = slice(None) if passes == 1 else (point * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(passes) == k
-            keys.append(point[chosen])
-            ids.append(place[chosen])
-            sides.append(np.full(len(keys[-1]), int(flip).bit_count() <= near))
-        key, at, side = np.concatenate(keys), np.concatenate(ids), np.concatenate(sides)
+    bits = [i for i in range(64) if free >> i & 1]
+    flips = np.array(_flips(bits, distance), np.uint64)
+    near = _bits(flips) <= distance // 2
+    passes = 1 << max(0, -(-len(members) * len(flips) // (parts * MIDPOINTS)) - 1).bit_length()
+    last = np.uint64(parts * passes - 1)
+    of_member, of_flip = _syndrome(members, bits) & last, (_syndrome(flips, bits) & last).astype(np.int64)
+    place = np.argsort(of_member, kind="stable")
+    members = members[place]
+    begins = np.searchsorted(of_member[place], np.arange(parts * passes + 1, dtype=np.uint64))
+    labels = np.arange(len(place))
+    for k in range(part, parts * passes, parts):
+        wanted = of_flip ^ k
+        lows, highs = begins[wanted], begins[wanted + 1]
+        used = np.flatnonzero(highs > lows)
+        if not len(used):
+            continue
+        counts = (highs - lows)[used]
+        at = np.arange(counts.sum()) + np.repeat(lows[used] - (np.cumsum(counts) - counts), counts)
+        key, side = members[at] ^ np.repeat(flips[used], counts), np.repeat(near[used], counts)
+        at = place[at]
         order = np.lexsort((~side, key))
         key, at, side = key[order], at[order], side[order]
         first = np.concatenate([[True], key[1:] != key[:-1]])
         head = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
         use = ~first & side[head]  # the head is on the near side, so each other member of the list is linked with it
-        out.append((at[use], at[head[use]]))
-    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+        _hook(labels, at[use], at[head[use]])
+    moved = np.flatnonzero(labels != np.arange(len(labels)))
+    return moved, labels[moved]
 
 
 def linked(keys: np.ndarray, values: np.ndarray, distance: int, masks: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Edges between values that share a posting list and are at most ``distance`` bits apart: to the smallest of each
-    local component. keys: rows of (mask number, masked value)."""
-    order = np.lexsort((values, keys[:, 1], keys[:, 0])) if len(values) else np.empty(0, int)
-    number, masked, values = keys[order, 0], keys[order, 1], values[order]
+    local component. keys: rows of (mask number, masked value), and for lists in parts their number and which one it is."""
+    if keys.shape[1] == 2:
+        keys = np.column_stack([keys, np.ones(len(keys), np.uint64), np.zeros(len(keys), np.uint64)])
+    order = np.lexsort((values, keys[:, 3], keys[:, 1], keys[:, 0])) if len(values) else np.empty(0, int)
+    number, masked, parts, part, values = *(keys[order, i] for i in range(4)), values[order]
     distinct, labels = np.unique(values, return_inverse=True)
     labels = labels.astype(np.int64)
-    new = np.concatenate([[True], (number[1:] != number[:-1]) | (masked[1:] != masked[:-1])]) if len(values) else np.empty(0, bool)
+    changes = (number[1:] != number[:-1]) | (masked[1:] != masked[:-1]) | (part[1:] != part[:-1])
+    new = np.concatenate([[True], changes]) if len(values) else np.empty(0, bool)
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, len(values)))
     size_of = np.repeat(sizes, sizes)
@@ -155,7 +186,7 @@ def linked(keys: np.ndarray, values: np.ndarray, distance: int, masks: list[int]
         step += 1
     for at, size in zip(starts[sizes > LONG_LIST], sizes[sizes > LONG_LIST]):
         free = ~masks[int(number[at])] & (2**64 - 1)
-        a, b = _link_long(values[at : at + size], free, distance)
+        a, b = _link_long(values[at : at + size], free, distance, int(part[at]), int(parts[at]))
         left.append(labels[at + a])
         right.append(labels[at + b])
     if not left:
@@ -172,22 +203,38 @@ def links(fingerprints: DataFrame, distance: int = 4, column: str = "fingerprint
         raise ValueError("distance must be 1 to 7")
     masks = _masks(distance)
     spark = fingerprints.sparkSession
-    rows = fingerprints.count() * len(masks)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_TASK))
     lists = F.explode(F.array(*[F.struct(F.lit(i).alias("number"), F.col(column).bitwiseAND(F.lit(m)).alias("masked")) for i, m in enumerate(masks)]))
     postings = fingerprints.select(F.col(column).alias("value"), lists.alias("list")).select("list.number", "list.masked", "value")
+    flips = len(_flips(list(range(8 * distance)), distance))
+    most = max(LONG_LIST, PART_MIDPOINTS // flips)  # members of a list of one part
+    rows = fingerprints.count()
+    in_parts = None
+    if rows > most:  # no list is longer than the table
+        sizes = postings.groupBy(F.col("number").alias("_number"), F.col("masked").alias("_masked")).agg(F.count(F.lit(1)).alias("size"))
+        parts = F.pow(F.lit(2), F.ceil(F.log2(F.col("size") / F.lit(most)))).cast("int")
+        in_parts = written(sizes.filter(F.col("size") > most).withColumn("parts", parts), "long-lists")
+    rows *= len(masks)
+    if in_parts is None:
+        postings = postings.select("number", "masked", F.lit(1).alias("parts"), F.lit(0).alias("part"), "value")
+    else:
+        rows += in_parts.agg(F.coalesce(F.sum(F.col("size") * (F.col("parts") - 1)), F.lit(0))).first()[0]
+        met = postings.join(in_parts, (F.col("number") == F.col("_number")) & (F.col("masked") == F.col("_masked")), "left")
+        parts = F.coalesce("parts", F.lit(1))
+        each = F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")  # each part gets all members
+        postings = met.select("number", "masked", parts.alias("parts"), each, "value")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_TASK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[batch.column(i).to_numpy() for i in range(3)] for batch in batches]
-        if not parts:
+        columns = [[batch.column(i).to_numpy() for i in range(5)] for batch in batches]
+        if not columns:
             return
-        number, masked, value = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        del parts
-        keys = np.stack([number.astype(np.uint64), masked.view(np.uint64)], axis=1)
+        *keys, value = (np.concatenate([c[i] for c in columns]) for i in range(5))
+        del columns
+        keys = np.stack([k.astype(np.int64).view(np.uint64) for k in keys], axis=1)
         a, b = linked(keys, value.view(np.uint64), distance, masks)
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    return postings.repartition(tasks, "number", "masked").mapInArrow(run, "a long, b long").distinct()
+    return postings.repartition(tasks, "number", "masked", "part").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -116,3 +116,50 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(500, 400)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
     assert got == {**{i: 0 for i in range(41)}, 500: 400, 400: 400}
+
+
+def family(count, seed=3):
+    """Distinct fingerprints: one template with up to six flips in its last 32 bits."""
+    rng = np.random.default_rng(seed)
+    flips = np.zeros(count, np.uint64)
+    for _ in range(6):
+        flips ^= np.where(rng.random(count) < 0.9, np.uint64(1) << rng.integers(0, 32, count).astype(np.uint64), np.uint64(0))
+    return np.unique(np.uint64(0xABCDEF0123456789) ^ flips)
+
+
+def test_a_long_list_leaves_one_edge_a_member_and_a_pass_sees_its_own_midpoints(monkeypatch):
+    """What is sorted over all passes is each member's 529 midpoints once; no edge outlives its pass."""
+    monkeypatch.setattr(simhash, "MIDPOINTS", 50_000)
+    members = family(2000)
+    sizes, lexsort = [], np.lexsort
+    monkeypatch.setattr(simhash.np, "lexsort", lambda keys: sizes.append(len(keys[0])) or lexsort(keys))
+    a, b = simhash._link_long(members, 0xFFFFFFFF, 4)
+    assert sum(sizes) == 529 * len(members) and max(sizes) < 4 * 50_000
+    assert len(a) == len(set(a.tolist())) < len(members)
+    near = np.bitwise_count(members[:, None] ^ members[None, :]) <= 4
+    labels = np.arange(len(members))
+    labels[a] = b
+    assert (labels[labels] == labels).all()
+    same = labels[:, None] == labels[None, :]
+    assert same[near].all()  # linked pairs are in one component, and components are no larger than that
+    for root in np.unique(labels):
+        group, seen = np.flatnonzero(labels == root), {root}
+        while (more := set(np.flatnonzero(near[sorted(seen)].any(axis=0)).tolist())) != seen:
+            seen = more
+        assert seen == set(group.tolist())
+
+
+@pytest.mark.parametrize("distance", [3, 4])
+def test_parts_of_a_long_list_go_to_several_tasks(spark, monkeypatch, distance):
+    for name, value in (("LONG_LIST", 20), ("PART_MIDPOINTS", 40 * 529), ("MIDPOINTS", 5000)):
+        monkeypatch.setattr(simhash, name, value)
+    prints = [int(x) for x in family(300)] + [1, 3, 2**60]
+    got = simhash.components(simhash.links(spark.createDataFrame([(p - (p >> 63 << 64),) for p in prints], "fingerprint long"), distance))
+    roots = {r.node & (2**64 - 1): r.root for r in got.collect()}
+    groups = {}
+    for p, r in zip(prints, slow_components(prints, distance)):
+        groups.setdefault(r, set()).add(p)
+    found = {}
+    for p in prints:
+        found.setdefault(roots.get(p, p - (p >> 63 << 64)), set()).add(p)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups.values()))
