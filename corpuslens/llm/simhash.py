@@ -210,7 +210,12 @@ def links(fingerprints: DataFrame, distance: int = 4, column: str = "fingerprint
     rows = fingerprints.count()
     in_parts = None
     if rows > most:  # no list is longer than the table
-        sizes = postings.groupBy(F.col("number").alias("_number"), F.col("masked").alias("_masked")).agg(F.count(F.lit(1)).alias("size"))
+        # Counted in few bins first: a list is no longer than its bin, so only those of long bins are counted by themselves.
+        binned = F.pmod(F.xxhash64("masked"), F.lit(max(1024, 16 * rows // most)))
+        bins = postings.groupBy(F.col("number").alias("_of"), binned.alias("_bin")).agg(F.count(F.lit(1)).alias("size"))
+        bins = written(bins.filter(F.col("size") > most).drop("size"), "long-bins")
+        some = postings.join(bins, (F.col("number") == F.col("_of")) & (binned == F.col("_bin")), "left_semi") if bins.take(1) else postings.limit(0)
+        sizes = some.groupBy(F.col("number").alias("_number"), F.col("masked").alias("_masked")).agg(F.count(F.lit(1)).alias("size"))
         parts = F.pow(F.lit(2), F.ceil(F.log2(F.col("size") / F.lit(most)))).cast("int")
         in_parts = written(sizes.filter(F.col("size") > most).withColumn("parts", parts), "long-lists")
     rows *= len(masks)
