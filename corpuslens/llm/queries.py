@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuslens.llm import decontaminate, packing, quality, records, repeats, secrets, sharding, simhash, urls, warc
+from corpuslens.llm import decontaminate, packing, quality, records, repeats, secrets, sharding, simhash, trie, urls, warc
 from corpuslens.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,8 +92,14 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.rebuilt_paths(table(spark, sf_dir, "conversations"), block=100, heads=6))
+
+
 ORACLES |= {
     "op3_benchmark_decontamination": decontaminate.ORACLE,
     "op9_url_filters": urls.ORACLE,
     "op10_warc_archives": warc.ORACLE,
+    "op11_conversation_trie": trie.ORACLE,
 }
