@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import sys
+import types
+from collections.abc import Callable
+from typing import Any
 from urllib.parse import urlparse
 
 from pyspark import cloudpickle
@@ -56,6 +59,14 @@ def parallel_paths(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """A value that a Python worker makes once for all its tasks. (Modules sent by value have no globals that outlive a task.)"""
+    store = sys.modules.setdefault("_corpuslens_kept", types.ModuleType("_corpuslens_kept")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the table does not have yet."""
     taken = {c.lower() for c in df.columns}

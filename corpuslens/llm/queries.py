@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuslens.llm import decontaminate, packing, quality, records, repeats, secrets, sharding, simhash, trie, urls, warc
+from corpuslens.llm import decontaminate, langid, packing, quality, records, repeats, secrets, sharding, simhash, trie, urls, warc
 from corpuslens.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,15 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.nodes(trie.rebuilt_paths(table(spark, sf_dir, "conversations"), block=100, heads=6))
 
 
+@query
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.held_out("doc_id")
+    profiles = langid.learn(docs.where(~held_out))
+    found = langid.predicted(docs.select("doc_id", "text", held_out.alias("held_out")), profiles)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 ORACLES |= {
     "op3_benchmark_decontamination": decontaminate.ORACLE,
     "op9_url_filters": urls.ORACLE,
