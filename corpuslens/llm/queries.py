@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpuslens.llm import decontaminate, langid, packing, quality, records, repeats, secrets, sharding, simhash, trie, urls, warc
+from corpuslens.llm import alignment, decontaminate, langid, packing, quality, records, repeats, secrets, sharding, simhash, trie, urls, warc
 from corpuslens.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,11 +18,11 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
-def tokenizer() -> str:
-    """The vocabulary file; a parameter of the operators."""
+def tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary file; a parameter of the operators."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query
@@ -106,6 +106,11 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), tokenizer(), tokenizer("piece_bpe_32k.model"))
+
+
 ORACLES |= {
     "op3_benchmark_decontamination": decontaminate.ORACLE,
     "op9_url_filters": urls.ORACLE,

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import re
 import sys
-from functools import lru_cache
 
 import numpy as np
 from pyspark import cloudpickle
 
+from corpuslens.llm.common import kept
+
 #: A blank that is not the last character of its run of white space.
 RUN = re.compile(r"\s (?!\S)")
 #: A piece that keeps its ids beside others of the kind: no white space at either end.
@@ -28,13 +29,14 @@ LONGEST_PIECE = 64
 class Encoder:
     """Ids of texts as unsigned 32-bit arrays, equal to the library's for each whole text."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = special_as_text
         self.known: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         special = set(self.library.get_added_tokens_decoder())
@@ -103,9 +105,9 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    """The worker's encoder; special_as_text: strings of special tokens inside a text are ordinary text."""
+    return kept(f"encoder {path} {special_as_text}", lambda: Encoder(path, special_as_text))
 
 
 def in_parts(texts: list, characters: int = 2_000_000):
