@@ -18,6 +18,7 @@ characters, where no piece of B reaches across (checked in its vocabulary) and A
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import sys
 from collections.abc import Iterator
@@ -31,12 +32,12 @@ from corpuslens.llm import tokens
 from corpuslens.llm.common import kept, written
 
 #: Windows that a worker keeps; the table is emptied when it is full. A window of more tokens is not kept.
-KEPT_WINDOWS = 200_000
+KEPT_WINDOWS = 300_000
 LONGEST_WINDOW = 64
-#: Pieces that the worker's encoder of A keeps beside them.
-KEPT_PIECES = 300_000
 #: Characters that are encoded at once.
 PART = 2_000_000
+#: The fixed pattern that byte-level vocabularies split texts by before their merges.
+BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -57,21 +58,41 @@ class Side:
 
 
 def byte_level_side(path: str) -> Side:
-    """The ids of each text with a blank before it."""
-    encoder, alphabet = tokens.encoder(path, special_as_text=True), byte_alphabet()
-    vocabulary = encoder.library.get_vocab()
+    """The ids of each text with a blank before it.
+
+    Where the merges stand in the order of their ids, the ids are ranks, and tiktoken encodes; else, and for a text that its pattern
+    can't take (a million blanks in a row), the tokenizers library does.
+    """
+    from tokenizers import Tokenizer
+
+    library, alphabet = Tokenizer.from_file(path), byte_alphabet()
+    library.encode_special_tokens = True
+    vocabulary, special = library.get_vocab(), library.get_added_tokens_decoder()
     names = [""] * (max(vocabulary.values()) + 1)
     for token, i in vocabulary.items():
         names[i] = token
-    special = encoder.library.get_added_tokens_decoder()
     token_bytes = [name.encode() if i in special else bytes(alphabet[c] for c in name) for i, name in enumerate(names)]
 
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        if len(encoder.known) > KEPT_PIECES:
-            encoder.known = {}
-        return encoder.encode([" " + t for t in texts])
+    def one(text: str) -> list[int]:
+        return library.encode(text, add_special_tokens=False).ids
+
+    model = json.loads(library.to_str())
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["model"]["merges"]]
+    ordered = all(vocabulary[left] < vocabulary[right] for left, right in zip(merged, merged[1:]))
+    first = model["pre_tokenizer"] or {}
+    if ordered and model["normalizer"] is None and first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space"):
+        import tiktoken
+
+        ranks = {raw: i for i, raw in enumerate(token_bytes) if i not in special and raw}
+        fast = tiktoken.Encoding("own", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+        def one(text: str) -> list[int]:
+            try:
+                return fast.encode_ordinary(text)
+            except ValueError:
+                return library.encode(text, add_special_tokens=False).ids
 
-    return Side(encode, token_bytes)
+    return Side(lambda texts: [np.array(one(" " + t), np.int64) for t in texts], token_bytes)
 
 
 def piece_side(path: str) -> Side:
@@ -92,15 +113,15 @@ class Aligner:
     def __init__(self, a: Side, b: Side) -> None:
         self.a, self.b = a, b
         self.narrow = max(len(a.token_bytes), len(b.token_bytes)) <= 65536
-        self.known: dict[tuple[bytes, bytes], tuple] = {}
+        self.known: dict[bytes, tuple[str, bytes | None]] = {}
         most = max(len(a.token_bytes), len(b.token_bytes))
         # The decimal digits of each id, and a place for what follows it.
         self.digits = np.zeros((most, len(str(most)) + 1), np.uint8)
         for i in range(most):
             self.digits[i, : len(str(i))] = np.frombuffer(str(i).encode(), np.uint8)
 
-    def _align(self, flat: list[np.ndarray], cuts: list[np.ndarray], windows: np.ndarray) -> list[tuple[str, bytes | None, bytes]]:
-        """(groups as text, linked pairs as a * |B| + b, bytes) of some windows; the pairs are None where the two sides' bytes differ."""
+    def _align(self, flat: list[np.ndarray], cuts: list[np.ndarray], windows: np.ndarray) -> list[tuple[str, bytes | None]]:
+        """(groups as text, linked pairs as a * |B| + b) of some windows; the pairs are None where the two sides' bytes differ."""
         ids, ends, raws, last = [], [], [], []
         for side, own, at in zip((self.a, self.b), flat, cuts):
             sizes = at[windows + 1] - at[windows]
@@ -128,14 +149,16 @@ class Aligner:
         text = table[shown].tobytes().decode()
         text_ends = np.cumsum(shown.sum(axis=1))[place_b[last[1]]].tolist()
         pair_ends = (8 * (group_b[last[1]] + 1)).tolist()
-        raw_ends = ends[0][last[0]].tolist()
-        equal, out = raws[0] == raws[1], []
-        from_text = from_pair = from_raw = 0
-        for to_text, to_pair, to_raw in zip(text_ends, pair_ends, raw_ends):
-            raw = raws[0][from_raw:to_raw]
-            same = equal or raw == raws[1][from_raw:to_raw]
-            out.append((text[from_text : to_text - 1], pairs[from_pair:to_pair] if same else None, raw))
-            from_text, from_pair, from_raw = to_text, to_pair, to_raw
+        out = []
+        from_text = from_pair = 0
+        for to_text, to_pair in zip(text_ends, pair_ends):
+            out.append((text[from_text : to_text - 1], pairs[from_pair:to_pair]))
+            from_text, from_pair = to_text, to_pair
+        if raws[0] != raws[1]:
+            bounds = [0, *ends[0][last[0]].tolist()]
+            for i, (first, stop) in enumerate(zip(bounds, bounds[1:])):
+                if raws[0][first:stop] != raws[1][first:stop]:
+                    out[i] = "", None
         return out
 
     def _distinct(self, flat: list[np.ndarray], cuts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -154,18 +177,24 @@ class Aligner:
             same = first[kind]
             if not np.array_equal(sizes, sizes[same]) or not np.array_equal(ids, ids[np.repeat(at[same], sizes) + place]):
                 # Two windows with one hash: tell them apart by their ids.
-                numbers: dict[tuple, int] = {}
+                numbers: dict[bytes, int] = {}
                 keys = self._keys(flat, cuts, np.arange(len(mixed)))
                 kind = np.array([numbers.setdefault(k, len(numbers)) for k in keys])
                 return np.unique(kind, return_index=True)[1], kind
         return first, kind
 
-    def _keys(self, flat: list[np.ndarray], cuts: list[np.ndarray], windows: np.ndarray) -> list[tuple[bytes, bytes]]:
-        """The ids of some windows, as bytes: the tuples that alignments are kept by."""
-        kind, width = (np.uint16, 2) if self.narrow else (np.uint32, 4)
-        raw = [ids.astype(kind).tobytes() for ids in flat]
-        ends = [(width * at).tolist() for at in cuts]
-        return [(raw[0][ends[0][i] : ends[0][i + 1]], raw[1][ends[1][i] : ends[1][i + 1]]) for i in windows.tolist()]
+    def _keys(self, flat: list[np.ndarray], cuts: list[np.ndarray], windows: np.ndarray) -> list[bytes]:
+        """The id tuples of some windows, as bytes: the number of ids of A, those ids, and those of B."""
+        sizes = [at[windows + 1] - at[windows] for at in cuts]
+        stops = np.cumsum(sizes[0] + sizes[1] + 2)
+        begin = stops - sizes[0] - sizes[1] - 2
+        held = np.empty(int(stops[-1]), np.uint16 if self.narrow else np.uint32)
+        held[begin], held[begin + 1] = sizes[0] & 0xFFFF, sizes[0] >> 16
+        for ids, at, size, to in zip(flat, cuts, sizes, (begin + 2, begin + 2 + sizes[0])):
+            place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            held[np.repeat(to, size) + place] = ids[np.repeat(at[windows], size) + place]
+        raw, ends = held.tobytes(), (held.itemsize * stops).tolist()
+        return [raw[i:j] for i, j in zip([0, *ends], ends)]
 
     def aligned(self, texts: list[str]) -> list[tuple[int, int, str, np.ndarray] | None]:
         """(tokens of A, tokens of B, groups as text, linked pairs in order) of each text; None if a side's bytes differ from it."""
@@ -196,19 +225,28 @@ class Aligner:
         found = list(map(self.known.get, keys))
         new = [i for i, window in enumerate(found) if window is None]
         if new:
-            most = (2 if self.narrow else 4) * LONGEST_WINDOW
+            most = (2 if self.narrow else 4) * (LONGEST_WINDOW + 2)
             for i, window in zip(new, self._align(flat, cuts, first[new])):
                 found[i] = window
-                if len(keys[i][0]) + len(keys[i][1]) <= most:
+                if len(keys[i]) <= most:
                     self.known[keys[i]] = window
-        groups, pairs, raws = zip(*found)
+        groups, pairs = zip(*found)
+        differ = {w for w, links in enumerate(pairs) if links is None}
         bounds = np.searchsorted(cuts[0], heads[0])
+        given = b"".join(b" " + texts[i].encode() for i in fit)
+        read = b"".join(map(self.a.token_bytes.__getitem__, flat[0].tolist()))
+        if read != given:
+            ends = [0, *np.cumsum([len(texts[i].encode()) + 1 for i in fit]).tolist()]
+            byte_heads = [0, *np.cumsum(self.a.lengths[flat[0]])[heads[0][1:] - 1].tolist()]
+            wrong = {i for n, i in enumerate(fit) if given[ends[n] : ends[n + 1]] != read[byte_heads[n] : byte_heads[n + 1]]}
+        else:
+            wrong = set()
         for n, i in enumerate(fit):
             own = kind[bounds[n] : bounds[n + 1]].tolist()
-            linked = [pairs[w] for w in own]
-            if None in linked or b"".join([raws[w] for w in own]) != b" " + texts[i].encode():
+            if i in wrong or differ and not differ.isdisjoint(own):
                 continue
-            out[i] = len(sides[i][0]), len(sides[i][1]), ";".join([groups[w] for w in own]), np.frombuffer(b"".join(linked), np.int64)
+            linked = np.frombuffer(b"".join(map(pairs.__getitem__, own)), np.int64)
+            out[i] = len(sides[i][0]), len(sides[i][1]), ";".join(map(groups.__getitem__, own)), linked
         return out
 
 

@@ -29,14 +29,13 @@ LONGEST_PIECE = 64
 class Encoder:
     """Ids of texts as unsigned 32-bit arrays, equal to the library's for each whole text."""
 
-    def __init__(self, path: str, special_as_text: bool = False) -> None:
+    def __init__(self, path: str) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = special_as_text
         self.known: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         special = set(self.library.get_added_tokens_decoder())
@@ -105,9 +104,9 @@ class Encoder:
         return out
 
 
-def encoder(path: str, special_as_text: bool = False) -> Encoder:
-    """The worker's encoder; special_as_text: strings of special tokens inside a text are ordinary text."""
-    return kept(f"encoder {path} {special_as_text}", lambda: Encoder(path, special_as_text))
+def encoder(path: str) -> Encoder:
+    """The worker's encoder."""
+    return kept(f"encoder {path}", lambda: Encoder(path))
 
 
 def in_parts(texts: list, characters: int = 2_000_000):
