@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens import fixed_values as fixed
+from corpuslens import functions as fn
 from corpuslens.operators.ranking import chunked_row_number, top_n_per_key
+from corpuslens.operators.rows import pinned
 
 
 def match_occurrences(
@@ -62,23 +64,60 @@ def valid_insertions(insertions: DataFrame, file_lengths: DataFrame, keys: list[
     )
 
 
-def patched_lines(lines: DataFrame, insertions: DataFrame, keys: list[str]) -> DataFrame:
-    """Original and inserted lines with their new line numbers.
+_ADDED = "struct<anchor:int,k:bigint,line:string,line_number:int>"
 
-    ``insertions`` holds ``anchor`` (lines above), ``k`` (order at one anchor) and ``line``.
+
+def _with_insertions(files: DataFrame, insertions: DataFrame, keys: list[str], content: str, how: str) -> DataFrame:
+    """Files with ``_lines`` and, in order, the insertions that lie inside them.
+
+    Only insertions are grouped, and only they are shuffled as long as Spark finds them small enough to be broadcast; beyond
+    that a file travels as one cell and never as lines.
     """
-    original = lines.select(
-        *keys, (F.col("line_no") * 2).cast("bigint").alias("_at"), F.lit(0).cast("bigint").alias("k"), "line",
-        F.lit(False).alias("inserted"),
-    )
-    added = insertions.select(
-        *keys, (F.col("anchor") * 2 + 1).cast("bigint").alias("_at"), F.col("k").cast("bigint").alias("k"), "line",
-        F.lit(True).alias("inserted"),
-    )
-    both = original.unionByName(added)
-    return chunked_row_number(both, keys, "_at", [F.col("k")], "new_line_no").select(
-        *keys, "new_line_no", "line", "inserted"
+    row = F.struct(insertion_anchor(F.col("language"), F.col("line_number")), "k", "line", "line_number").cast(_ADDED)
+    per_file = insertions.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_added"))
+    lines = F.coalesce(fn.lines_of(F.col(content)), F.array().cast("array<string>"))
+    split = pinned(files.join(per_file, keys, how), "_lines", lines)
+    added = F.coalesce("_added", F.array().cast(f"array<{_ADDED}>"))
+    inside = F.filter(added, lambda a: (a["line_number"] >= 1) & (a["line_number"] <= F.size("_lines")))
+    return pinned(split, "_inside", inside).drop("_added")
+
+
+def _merged(original, inserted) -> Column:
+    """The lines with the insertions between them: the lines up to each insertion, then the insertion; last the rest."""
+    added, n_lines, n_added = F.col("_inside"), F.size("_lines"), F.size("_inside")
+
+    def piece(j: Column) -> Column:
+        first = F.coalesce(F.when(j > 0, F.get(added, j - 1)["anchor"]), F.lit(0))
+        stop = F.coalesce(F.when(j < n_added, F.get(added, j)["anchor"]), n_lines)
+        lines = F.transform(F.slice("_lines", first + 1, stop - first), original)
+        own = F.transform(F.slice(added, j + 1, 1), lambda a: inserted(a["line"]))
+        return F.concat(lines, own)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), n_added), piece))
+
+
+def patched_lines(files: DataFrame, insertions: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """All lines of every file with their new numbers, merged with the insertions inside the file's row.
+
+    ``insertions`` holds ``language``, ``line_number`` (the line they belong to, W7), ``k`` (order at one place) and ``line``. One
+    outside its file is rejected.
+    """
+
+    def row(inserted: bool):
+        return lambda line: F.struct(line.alias("line"), F.lit(inserted).alias("inserted"))
+
+    merged = _with_insertions(files.select(*keys, content), insertions, keys, content, "left").select(
+        *keys, F.posexplode(_merged(row(False), row(True))).alias("_at", "_row")
     )
+    return merged.select(*keys, (F.col("_at") + 1).alias("new_line_no"), "_row.line", "_row.inserted")
+
+
+def patched_files(files: DataFrame, insertions: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """The files that insertions change: new ``content``, ``n_lines`` and ``n_inserted``; one row in, one row out."""
+    merged = _with_insertions(files, insertions, keys, content, "inner").filter(F.size("_inside") > 0)
+    new = F.array_join(_merged(lambda line: line, lambda line: line), "\n")
+    sizes = {"n_lines": F.size("_lines") + F.size("_inside"), "n_inserted": F.size("_inside")}
+    return merged.withColumns({content: new, **sizes}).drop("_lines", "_inside")
 
 
 def changed_only(new: DataFrame, base: DataFrame, keys: list[str], content: str = "content") -> DataFrame:

@@ -1,20 +1,20 @@
-"""Block segmentation over a line table.
+"""Block segmentation inside the row of each file: no exchange, and one read of the content.
 
-Files are hash-partitioned once by (repo, path); the line explode and every window and
-aggregate below keep that partitioning, so the whole family costs one shuffle of the file
-content. Only flags and numbers are sorted, the line text is dropped right after the flags are
-computed. A window never spans more than one file, and a file is one content cell.
+A file is one content cell, and its lines never leave the row. Each line is tested for what it can open, close, end or
+document; lines that do nothing of it are dropped, and what is left of them are numbers. A fold over these
+events carries a stack of open blocks, so its work is linear in the events times the depth of nesting. Events are folded in
+chunks, so that the spans found so far are copied once a chunk and not once an event.
 
-Finding the end of a block is a "next smaller level" search. Lines that can close a level are
-expanded to the levels they close, and one running window per (file, level) finds the next one, so the
-work is linear in lines and not headers x lines.
+Python: a line closes the open headers whose indent is not smaller than its own. Others: a running depth of openers and
+closers; a block ends where the depth falls back to that of its header.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens import functions as fn
+from corpuslens.operators.rows import pinned
 
 FILE = ["repo", "path"]
 KEYWORD_LANGUAGES = ("matlab", "julia")
@@ -78,227 +78,213 @@ def _by_language(language: Column, table: dict[str, Column]) -> Column:
     return chain
 
 
-def line_table(files: DataFrame) -> DataFrame:
-    """``repo, path, language, line_no, line, n_lines`` of files with a language and content."""
-    readable = files.filter(F.col("language").isNotNull() & (F.coalesce(F.col("content"), F.lit("")) != ""))
-    split = readable.repartition(*FILE).select(*FILE, "language", fn.lines_of(F.col("content")).alias("_lines"))
-    # Content is not empty, so there is a line; the outer form spares a derived filter that would split twice.
-    return split.select(
-        *FILE, "language", F.size("_lines").alias("n_lines"), F.posexplode_outer("_lines").alias("_pos", "line")
-    ).withColumn("line_no", F.col("_pos") + 1).drop("_pos")
+CHUNK = 256
 
+_EVENT = (
+    "struct<at:int,header:boolean,delta:int,indent:int,statement:boolean,ends:boolean,opens:boolean,classdef:boolean,"
+    "doc_open:boolean,doc_close:boolean,doc_single:boolean>"
+)
+_BLOCK = "struct<start:int,level:int,line:int>"
+_SPAN = "struct<start_line:int,end_line:int,body_line:int,code_line:int>"
+#: What the fold carries: open blocks (line: the first statement in Python, else the first line of the code), a header that waits for
+#: its signature's end or its brace, the running depth, the last lines of documentation, and the spans found.
+_STATE = (
+    f"struct<stack:array<{_BLOCK}>,waiting:{_BLOCK},open:{_BLOCK},depth:int,doc_open:int,doc_open_before:int,doc_close:int,"
+    f"doc_single:int,found:array<{_SPAN}>,kept:array<array<{_SPAN}>>>"
+)
 
-def header_lines(lines: DataFrame) -> DataFrame:
-    """B1: lines that start a block in their language."""
-    return lines.filter(_header(F.col("language"), F.col("line")))
+
+def _readable(files: DataFrame) -> DataFrame:
+    return files.filter(F.col("language").isNotNull() & (F.coalesce(F.col("content"), F.lit("")) != ""))
 
 
 def _header(language: Column, line: Column) -> Column:
+    """B1: whether a line starts a block in its language."""
     tests = {name: line.rlike(UNICODE + pattern) for name, pattern in HEADERS.items()}
     return F.coalesce(_by_language(language, tests), F.lit(False))
 
 
-def blueprint(lines: DataFrame) -> DataFrame:
-    """Class and function signatures of every file, in line order."""
-    signature = F.struct("line_no", fn.strip(F.col("line")).alias("signature"))
-    return (
-        header_lines(lines)
-        .groupBy(*FILE)
-        .agg(F.array_sort(F.collect_list(signature)).alias("_signatures"))
-        .select(*FILE, F.size("_signatures").alias("n_signatures"), F.col("_signatures.signature").alias("signatures"))
-    )
+def blueprint(files: DataFrame) -> DataFrame:
+    """Class and function signatures of every file that has some, in line order."""
+    split = pinned(_readable(files), "_lines", fn.lines_of(F.col("content")))
+    headers = F.filter("_lines", lambda line: _header(F.col("language"), line))
+    found = split.select(*FILE, F.transform(headers, lambda line: fn.strip(line)).alias("signatures"))
+    return found.select(*FILE, F.size("signatures").alias("n_signatures"), "signatures").filter(F.col("n_signatures") > 0)
 
 
-def _flags(lines: DataFrame) -> DataFrame:
-    # Every test runs for its own languages only and looks at one end of the line where it can.
-    language, line = F.col("language"), F.col("line")
+def _event(language: Column, line: Column, number: Column) -> Column:
+    """What one line opens, closes, ends or documents. Every test runs for its own languages only."""
     is_python, is_julia = language == "python", language == "julia"
     is_brace, is_keyword = language.isin(*BRACE_LANGUAGES), language.isin(*KEYWORD_LANGUAGES)
 
     def flag(where: Column, test: Column) -> Column:
         return F.coalesce(F.when(where, test), F.lit(False))
 
-    uncommented = F.regexp_replace(line, r"\s#.*$", "")
-    opener = F.coalesce(
-        _by_language(language, {name: line.rlike(UNICODE + pattern) for name, pattern in OPENERS.items()}), F.lit(False)
-    )
-    opens = F.when(is_brace, F.regexp_count(line, F.lit(r"\{"))).otherwise(0)
-    closes = F.when(is_brace, F.regexp_count(line, F.lit(r"\}"))).otherwise(0)
+    openers = {name: line.rlike(UNICODE + pattern) for name, pattern in OPENERS.items()}
+    keyword_delta = F.when(F.coalesce(_by_language(language, openers), F.lit(False)), 1).when(line.rlike(CLOSER), -1).otherwise(0)
+    opens = F.regexp_count(line, F.lit(r"\{"))
+    brace_delta = opens - F.regexp_count(line, F.lit(r"\}"))
+    ends = fn.rstrip(F.regexp_replace(line, r"\s#.*$", "")).endswith(":")
+    whole = line.rlike(r"^\s*class\b") | line.rlike(UNICODE + r"^\s*(?:async\s+)?def\s+\w+\s*\([^()]*\)\s*(?:->[^:]*)?:\s*[^\s#]")
+    header = _header(language, line)
     doc_open = flag(is_julia, line.rlike(f'^{SPACE}*"""')) | flag(is_brace, line.rlike(rf"^{SPACE}*/\*\*"))
     end = fn.rstrip(line)
     doc_close = flag(is_julia, end.endswith('"""')) | flag(is_brace, end.endswith("*/"))
-    return lines.select(
-        *FILE,
-        "language",
-        "n_lines",
-        "line_no",
-        F.when(is_python, fn.indent_width(line)).otherwise(0).alias("indent"),
-        flag(is_python, ~line.rlike(NONSPACE)).alias("blank"),
-        flag(is_python, line.rlike(f"^{SPACE}*{NONSPACE}") & ~line.rlike(f"^{SPACE}*#")).alias("statement"),
-        _header(language, line).alias("header"),
-        F.when(_header(language, line), line).alias("header_text"),
-        flag(is_python, fn.rstrip(uncommented).endswith(":")).alias("ends_signature"),
-        flag(
-            is_python,
-            line.rlike(r"^\s*class\b")
-            | line.rlike(UNICODE + r"^\s*(?:async\s+)?def\s+\w+\s*\([^()]*\)\s*(?:->[^:]*)?:\s*[^\s#]"),
-        ).alias("whole_signature"),
-        opener.alias("opener"),
-        flag(is_keyword, ~opener & line.rlike(CLOSER)).alias("closer"),
-        opens.alias("opens"),
-        (opens - closes).alias("net"),
-        flag(language == "matlab", line.rlike(r"^\s*classdef\b")).alias("is_classdef"),
-        doc_open.alias("doc_open"),
-        doc_close.alias("doc_close"),
-        (doc_open & flag(is_julia, F.regexp_count(line, F.lit('"""')) == 2) & doc_close
-         | doc_open & flag(is_brace, doc_close)).alias("doc_single"),
+    doc_single = doc_open & doc_close & (is_brace | flag(is_julia, F.regexp_count(line, F.lit('"""')) == 2))
+    return F.struct(
+        number,
+        header,
+        F.when(is_keyword, keyword_delta).when(is_brace, brace_delta).otherwise(0),
+        # A blank Python line has no indent and is no event.
+        F.when(is_python & line.rlike(NONSPACE), fn.indent_width(line)),
+        flag(is_python, ~line.rlike(f"^{SPACE}*#")),
+        flag(is_python, ends | (header & whole)),
+        flag(is_brace, opens > 0),
+        flag(language == "matlab", line.rlike(r"^\s*classdef\b")),
+        doc_open,
+        doc_close,
+        doc_single,
+    ).cast(_EVENT)
+
+
+def _matters(event: Column) -> Column:
+    return (
+        event["indent"].isNotNull() | event["header"] | (event["delta"] != 0) | event["opens"] | event["doc_open"] | event["doc_close"]
     )
 
 
-def _forward(upto: int):
-    return Window.partitionBy(*FILE).orderBy("line_no").rowsBetween(Window.unboundedPreceding, upto)
+def _block(start: Column, level: Column, line: Column) -> Column:
+    return F.struct(start, level, line).cast(_BLOCK)
 
 
-def _backward(upto: int, *more: str):
-    # Looking ahead is a running window over the reversed order, which is linear.
-    order = F.col("line_no").desc()
-    return Window.partitionBy(*FILE, *more).orderBy(order).rowsBetween(Window.unboundedPreceding, upto)
+def _none(kind: str) -> Column:
+    return F.lit(None).cast(kind)
 
 
-def _last(test: Column | str, value: Column, window) -> Column:
-    return F.last(F.when(F.col(test) if isinstance(test, str) else test, value), ignorenulls=True).over(window)
+def _several(kind: str, *values: Column) -> Column:
+    return F.array(*values).cast(f"array<{kind}>")
 
 
-def _with_context(flags: DataFrame) -> DataFrame:
-    """What the lines above say: running depth, an open signature, the documentation right above."""
-    line_no = F.col("line_no")
-    order = Window.partitionBy(*FILE).orderBy("line_no")
-    delta = F.when(F.col("opener"), 1).when(F.col("closer"), -1).otherwise(F.col("net"))
-    ended = F.col("ends_signature") | (F.col("header") & F.col("whole_signature"))
-    lines = flags.withColumn("_delta", delta).withColumns(
-        {
-            "_after": F.sum("_delta").over(_forward(0)),
-            "_header_above": _last("header", line_no, _forward(-1)),
-            "_ended_above": _last(ended, line_no, _forward(-1)),
-            "_doc_above": _last("doc_open", line_no, order.rowsBetween(Window.unboundedPreceding, -2)),
-            "_single_above": F.lag("doc_single").over(order),
-            "_close_above": F.lag("doc_close").over(order),
-        }
+def _python_step(state: Column, event: Column) -> Column:
+    """B2: pop what the line's indent closes; a header whose signature goes on waits, and lines of its signature close nothing."""
+    at, indent, waiting = event["at"], event["indent"], state["waiting"]
+    continued = waiting.isNotNull()
+    closed = F.filter(state["stack"], lambda b: ~continued & (b["level"] >= indent))
+    rest = F.filter(state["stack"], lambda b: continued | (b["level"] < indent))
+    # The first statement below a signature starts the body of the block that was opened last.
+    body = F.when(~continued & event["statement"], at)
+    rest = F.transform(rest, lambda b: _block(b["start"], b["level"], F.coalesce(b["line"], body)))
+    opened = F.when(continued & event["ends"], waiting).when(
+        ~continued & event["header"] & event["ends"], _block(at, indent, _none("int"))
     )
-    return lines.withColumns(
-        {
-            "_before": F.col("_after") - F.col("_delta"),
-            # A signature that goes on: its lines neither start nor end blocks.
-            "_continued": F.coalesce(
-                (F.col("language") == "python") & (F.col("_header_above") > F.coalesce("_ended_above", F.lit(0))),
-                F.lit(False),
-            ),
-            # Documentation that ends on the line above belongs to the header.
-            "code_line": F.when(F.col("_single_above"), line_no - 1)
-            .when(F.col("_close_above"), F.coalesce("_doc_above", line_no))
-            .otherwise(line_no),
-        }
-    ).drop("_header_above", "_ended_above", "_doc_above", "_single_above", "_close_above")
-
-
-def _with_headers(lines: DataFrame) -> DataFrame:
-    """What the lines below say: where a signature and a body start; headers without either are none."""
-    line_no = F.col("line_no")
-    lines = lines.withColumn("_statement_below", _last("statement", line_no, _backward(-1)))
-    here = F.struct(line_no.alias("at"), F.col("_statement_below").alias("body"))
-    opening = F.struct(line_no.alias("at"), F.col("_before").alias("before"), F.col("_after").alias("after"))
-    lines = lines.withColumns(
-        {
-            "_signature": _last("ends_signature", here, _backward(0)),
-            "_open": _last(F.col("opens") > 0, opening, _backward(0)),
-            "_header_below": _last("header", line_no, _backward(-1)),
-        }
-    ).withColumn("_signature", F.when(F.col("whole_signature"), here).otherwise(F.col("_signature")))
-    braced = (
-        F.col("_open").isNotNull()
-        & (F.col("_open.before") >= F.col("_before"))
-        & (F.col("_header_below").isNull() | (F.col("_header_below") > F.col("_open.at")))
+    stack = F.when(opened.isNotNull(), F.concat(rest, _several(_BLOCK, opened))).otherwise(rest)
+    still = F.when(continued & ~event["ends"], waiting).when(
+        ~continued & event["header"] & ~event["ends"], _block(at, indent, _none("int"))
     )
-    valid = (
-        F.when(F.col("language") == "python", F.col("_signature").isNotNull() & ~F.col("_continued"))
-        .when(F.col("language").isin(*BRACE_LANGUAGES), braced)
-        .otherwise(True)
+    spans = F.transform(closed, lambda b: F.struct(b["start"], at - 1, b["line"], b["start"]).cast(_SPAN))
+    return F.struct(
+        stack, still, state["open"], state["depth"], state["doc_open"], state["doc_open_before"], state["doc_close"],
+        state["doc_single"], F.concat(state["found"], spans), state["kept"],
+    ).cast(_STATE)
+
+
+def _depth_step(state: Column, event: Column, is_brace: Column) -> Column:
+    """Follow the depth; ``open`` is the outermost block, ``stack`` holds classdefs, whose methods are blocks, too."""
+    at, before = event["at"], state["depth"]
+    after = before + event["delta"]
+    falls = event["delta"] < 0
+    ends_open = state["open"].isNotNull() & falls & (after <= state["open"]["level"])
+    closed = F.filter(state["stack"], lambda b: falls & (after <= b["level"]))
+    classes = F.filter(state["stack"], lambda b: ~(falls & (after <= b["level"])))
+    # Documentation that ends on the line above belongs to the header.
+    doc_above = F.when(state["doc_open"] <= at - 2, state["doc_open"]).otherwise(state["doc_open_before"])
+    code = F.when(state["doc_single"] == at - 1, at - 1).when(state["doc_close"] == at - 1, F.coalesce(doc_above, at)).otherwise(at)
+    fresh = F.when(event["header"] & state["open"].isNull(), _block(at, before, code))
+    # A brace header waits for its brace; the next header, or a brace at a lower depth, ends the wait in vain.
+    waits = F.when(is_brace, F.coalesce(fresh, state["waiting"]))
+    braced = waits.isNotNull() & event["opens"] & (before >= waits["level"])
+    at_once = braced & (after <= waits["level"])
+    opened = F.when(~is_brace & ~event["classdef"], fresh).when(braced & ~at_once, waits)
+    new_class = F.when(~is_brace & event["classdef"], fresh)
+    spans = F.concat(
+        F.transform(closed, lambda b: F.struct(b["start"], at, _none("int"), b["line"]).cast(_SPAN)),
+        F.when(ends_open, _several(_SPAN, F.struct(state["open"]["start"], at, _none("int"), state["open"]["line"]))).otherwise(_several(_SPAN)),
+        F.when(at_once, _several(_SPAN, F.struct(waits["start"], at, _none("int"), waits["line"]))).otherwise(_several(_SPAN)),
     )
-    return lines.withColumn("header", F.col("header") & valid).drop("_statement_below", "_header_below")
+    return F.struct(
+        F.when(new_class.isNotNull(), F.concat(classes, _several(_BLOCK, new_class))).otherwise(classes),
+        F.when(~event["opens"], waits),
+        F.coalesce(F.when(~ends_open, state["open"]), opened),
+        after,
+        F.when(event["doc_open"], at).otherwise(state["doc_open"]),
+        F.when(event["doc_open"], state["doc_open"]).otherwise(state["doc_open_before"]),
+        F.when(event["doc_close"], at).otherwise(state["doc_close"]),
+        F.when(event["doc_single"], at).otherwise(state["doc_single"]),
+        F.concat(state["found"], spans),
+        state["kept"],
+    ).cast(_STATE)
+
+
+def _folded(step, n_lines: Column, body: bool) -> Column:
+    """The spans of a file's chunks of events; what is still open reaches to the file's end."""
+    empty = F.struct(
+        _several(_BLOCK), _none(_BLOCK), _none(_BLOCK), F.lit(0), *[_none("int")] * 4, _several(_SPAN), F.array().cast(f"array<array<{_SPAN}>>")
+    ).cast(_STATE)
+
+    def carried(state: Column) -> Column:
+        names = ("stack", "waiting", "open", "depth", "doc_open", "doc_open_before", "doc_close", "doc_single")
+        kept = F.concat(state["kept"], F.array(state["found"]))
+        return F.struct(*[state[n] for n in names], _several(_SPAN), kept).cast(_STATE)
+
+    def chunk(state: Column, events: Column) -> Column:
+        return F.aggregate(events, state, step, carried)
+
+    def finished(state: Column) -> Column:
+        left = F.concat(state["stack"], F.when(state["open"].isNotNull(), F.array(state["open"])).otherwise(_several(_BLOCK)))
+        line = (lambda b: b["line"]) if body else (lambda b: _none("int"))
+        code = (lambda b: b["start"]) if body else (lambda b: b["line"])
+        rest = F.transform(left, lambda b: F.struct(b["start"], n_lines, line(b), code(b)).cast(_SPAN))
+        return F.sort_array(F.concat(F.flatten(state["kept"]), rest))
+
+    chunks = F.when(
+        F.size("_events") > 0,
+        F.transform(F.sequence(F.lit(0), F.floor((F.size("_events") - 1) / CHUNK)), lambda c: F.slice("_events", (c * CHUNK + 1).cast("int"), CHUNK)),
+    ).otherwise(F.array().cast(f"array<array<{_EVENT}>>"))
+    return F.aggregate(chunks, empty, chunk, finished)
 
 
-def _with_levels(lines: DataFrame) -> DataFrame:
-    """Headers and closing lines, one row per level they open or close.
-
-    B2: a Python line closes the header indents of its file that are not smaller than its own.
-    B3: an ``end`` closes the depth it falls back to. B4: a line closes every depth its braces leave.
-    """
-    none = F.array().cast("array<bigint>")
-    is_python = F.col("language") == "python"
-    is_brace = F.col("language").isin(*BRACE_LANGUAGES)
-    indents = F.collect_set(F.when(is_python & F.col("header"), F.col("indent").cast("bigint"))).over(
-        Window.partitionBy(*FILE)
-    )
-    own = F.when(is_python, F.col("indent").cast("bigint")).otherwise(F.col("_before"))
-    closes = (
-        F.when(
-            is_python & ~F.col("blank") & ~F.col("_continued"),
-            F.filter("_indents", lambda k: k >= F.col("indent")),
-        )
-        .when(F.col("closer"), F.array(F.col("_after")))
-        .when(is_brace & (F.col("net") < 0), F.sequence(F.col("_after"), F.col("_before") - 1))
-        .otherwise(none)
-    )
-    leveled = lines.withColumn("_indents", indents).withColumns({"_own": own, "_closes": closes})
-    opened = F.when(F.col("header"), F.array(F.col("_own"))).otherwise(none)
-    exploded = leveled.withColumn("level", F.explode_outer(F.array_distinct(F.concat(opened, F.col("_closes")))))
-    return exploded.filter(F.col("level").isNotNull()).withColumn(
-        "_closing", F.array_contains("_closes", F.col("level"))
-    )
+SPAN = ["block_number", "header_text", "start_line", "end_line", "body_line", "code_line"]
 
 
-def block_spans(lines: DataFrame) -> DataFrame:
-    """Every block of every file as line numbers, numbered in line order.
+def with_spans(files: DataFrame) -> DataFrame:
+    """Files that can be read, with their ``_lines`` and ``_spans``: every block in line order, as line numbers.
 
     Python blocks nest and are all kept. Of other languages the outermost blocks are kept, and MATLAB methods
-    inside a classdef. A block that never ends reaches to the end of its file.
+    inside a classdef. A block that never ends reaches to the end of its file; a signature that never ends starts none.
     """
-    events = _with_levels(_with_headers(_with_context(_flags(lines))))
-    below = _last("_closing", F.col("line_no"), _backward(-1, "level"))
-    is_python = F.col("language") == "python"
-    at_once = F.when(F.col("_open.after") <= F.col("_before"), F.col("_open.at"))
-    end = F.when(is_python, F.coalesce(F.col("_below") - 1, F.col("n_lines"))).otherwise(
-        F.coalesce(at_once, F.col("_below"), F.col("n_lines"))
-    )
-    blocks = (
-        events.withColumn("_below", below)
-        .filter(F.col("header") & (F.col("level") == F.col("_own")))
-        .select(
-            *FILE, "language", "header_text", "is_classdef",
-            F.col("line_no").alias("start_line"),
-            end.alias("end_line"),
-            F.when(is_python, F.col("_signature.body")).alias("body_line"),
-            "code_line",
-        )
+    language, n_lines = F.col("language"), F.size("_lines")
+    is_python, is_brace = language == "python", language.isin(*BRACE_LANGUAGES)
+    lines = pinned(_readable(files), "_lines", fn.lines_of(F.col("content")))
+    events = F.filter(F.transform("_lines", lambda line, i: _event(language, line, i + 1)), _matters)
+    marked = pinned(lines, "_events", events)
+    spans = F.when(is_python, _folded(_python_step, n_lines, True)).otherwise(
+        _folded(lambda state, event: _depth_step(state, event, is_brace), n_lines, False)
     )
-    order = Window.partitionBy(*FILE).orderBy("start_line")
-    covers = ~F.col("is_classdef") & (F.col("language") != "python")
-    reach = F.max(F.when(covers, F.col("end_line"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    outermost = blocks.withColumn("_reach", reach).filter(
-        F.col("_reach").isNull() | (F.col("_reach") < F.col("start_line"))
-    )
-    return outermost.withColumn("block_number", F.row_number().over(order)).drop("_reach", "is_classdef")
-
-
-SPAN = ["block_number", "header_text", "start_line", "end_line", "body_line", "code_line"]
+    numbered = F.transform(
+        "_found",
+        lambda b, i: F.struct(
+            (i + 1).alias("block_number"), F.element_at("_lines", b["start_line"]).alias("header_text"),
+            b["start_line"], b["end_line"], b["body_line"], b["code_line"],
+        ),
+    )
+    found = pinned(marked, "_found", spans).drop("_events")
+    return pinned(found, "_spans", numbered).drop("_found")
 
 
-def _with_spans(files: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    """Files with their lines and the array of their spans: one row per file, so no block carries the whole content."""
-    readable = files.filter(F.col("language").isNotNull() & (F.coalesce(F.col("content"), F.lit("")) != ""))
-    lines = readable.repartition(*FILE).withColumn("_lines", fn.lines_of(F.col("content")))
-    per_file = spans.groupBy(*FILE).agg(F.collect_list(F.struct(*SPAN)).alias("_spans"))
-    return lines.join(per_file, FILE, how)
+def block_spans(files: DataFrame) -> DataFrame:
+    """One row per block: line numbers, no text but the header."""
+    exploded = with_spans(files).select(*FILE, "language", F.explode("_spans").alias("_b"))
+    return exploded.select(*FILE, "language", "_b.*")
 
 
 def _exploded_blocks(files: DataFrame, *more: str) -> DataFrame:
@@ -314,13 +300,14 @@ def _exploded_blocks(files: DataFrame, *more: str) -> DataFrame:
         fields = [span[name].alias(name) for name in SPAN]
         return F.struct(*fields, text(span["code_line"], end).alias("code"), body.alias("body"))
 
-    exploded = files.select(*FILE, "language", *more, F.explode_outer(F.transform("_spans", block)).alias("_b"))
-    return exploded.select(*FILE, "language", *more, "_b.*")
+    n_lines = F.size("_lines").alias("n_lines")
+    exploded = files.select(*FILE, "language", n_lines, *more, F.explode_outer(F.transform("_spans", block)).alias("_b"))
+    return exploded.select(*FILE, "language", "n_lines", *more, "_b.*")
 
 
-def code_blocks(files: DataFrame, spans: DataFrame) -> DataFrame:
+def code_blocks(files: DataFrame) -> DataFrame:
     """D3: spans with their text; ``body`` starts at the first statement of a Python block."""
-    return _exploded_blocks(_with_spans(files, spans, "inner"))
+    return _exploded_blocks(with_spans(files)).filter(F.col("block_number").isNotNull())
 
 
 def _group(text: Column, pattern: str, group: int) -> Column:
@@ -420,10 +407,9 @@ def with_module_documentation(files: DataFrame, only: Column | None = None) -> D
     return staged.withColumn("docstring", found).drop("_head", "_code_at")
 
 
-def module_blocks(files: DataFrame, spans: DataFrame) -> DataFrame:
+def module_blocks(files: DataFrame) -> DataFrame:
     """One module row for every analysable file without blocks."""
-    analysable = files.filter(F.col("language").isNotNull() & (F.coalesce(F.col("content"), F.lit("")) != ""))
-    rest = analysable.join(spans.select(*FILE).distinct(), FILE, "left_anti")
+    rest = with_spans(files).filter(F.size("_spans") == 0)
     out = with_module_documentation(rest).select(
         *FILE, "language",
         F.lit(1).alias("block_number"),
@@ -436,12 +422,8 @@ def module_blocks(files: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def block_analysis(files: DataFrame) -> DataFrame:
-    """Blocks, and module rows of files without any, of a files table with ``name`` and ``language``.
-
-    Content is read twice: for the lines, and for the text of what was found in them.
-    """
-    spans = block_spans(line_table(files))
-    joined = with_module_documentation(_with_spans(files, spans, "left"), F.col("_spans").isNull())
+    """Blocks, and module rows of files without any, of a files table with ``name`` and ``language``."""
+    joined = with_module_documentation(with_spans(files), F.size("_spans") == 0)
     rows = _exploded_blocks(joined.withColumnRenamed("docstring", "_module"), "name", "_module")
     is_module = F.col("start_line").isNull()
     docstring = F.when(is_module, F.col("_module")).otherwise(F.col("docstring"))

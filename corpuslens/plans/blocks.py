@@ -18,7 +18,7 @@ py AS (
     coalesce(min(n.line_no) - 1, max(h.n_lines)) AS end_line, h.line_no AS code_line
   FROM lines h LEFT JOIN lines n ON n.repo = h.repo AND n.path = h.path AND n.line_no > h.line_no
     AND n.indent <= h.indent AND trim(n.line) <> ''
-  WHERE h.language = 'python' AND regexp_matches(h.line, '^\\s*(async\\s+)?def\\s+\\w+\\s*\\(|^\\s*class\\s+\\w+\\s*(\\(.*?\\))?:')
+  WHERE h.language = 'python' AND regexp_matches(h.line, '^\\s*(async\\s+)?def\\s+[\\pL\\pN_]+\\s*\\(|^\\s*class\\s+\\w+\\s*(\\(.*?\\))?:')
   GROUP BY h.repo, h.path, h.language, h.line, h.line_no, h.indent),
 depth AS MATERIALIZED (
   SELECT *, sum(delta) OVER (PARTITION BY repo, path ORDER BY line_no) AS after,
@@ -34,7 +34,7 @@ rest AS (
     coalesce(min(n.line_no), max(h.n_lines)) AS end_line,
     CASE WHEN h.previous = '\"\"\"' THEN max(h.opener) ELSE h.line_no END AS code_line
   FROM depth h LEFT JOIN depth n ON n.repo = h.repo AND n.path = h.path AND n.line_no > h.line_no AND n.after <= h.after - h.delta AND n.delta < 0
-  WHERE regexp_matches(h.line, '^\\s*function\\s+\\w+')
+  WHERE regexp_matches(h.line, '^\\s*function\\s+[\\pL\\pN_]+')
   GROUP BY h.repo, h.path, h.language, h.line, h.line_no, h.previous),
 blocks AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY start_line) AS block_number
@@ -51,7 +51,7 @@ SELECT repo, path, language, CAST(block_number AS INT) AS block_number, CAST(sta
 )
 def block_spans(spark, sf_dir):
     """Every block of every rendered file, in all five languages."""
-    spans = segment.block_spans(segment.line_table(code_files(spark, sf_dir)))
+    spans = segment.block_spans(code_files(spark, sf_dir))
     return spans.select("repo", "path", "language", "block_number", "start_line", "end_line", "code_line")
 
 
@@ -66,12 +66,12 @@ code AS (
   GROUP BY ALL),
 analysis AS (
   SELECT repo, path, language, CAST(block_number AS INT) AS block_number, CAST(start_line AS INT) AS start_line,
-    regexp_extract(header, '(def|class|function r =|function)\\s+(\\w+)', 2) AS function_name,
+    regexp_extract(header, '(def|class|function r =|function)\\s+([\\pL\\pN_]+)', 2) AS function_name,
     CASE WHEN regexp_matches(header, '^\\s*class') THEN 'class' WHEN regexp_matches(header, '^\\s*async') THEN 'async_function' ELSE 'function' END AS block_type,
     CASE language
       WHEN 'python' THEN nullif(trim(regexp_extract(body, '^\\s*\"\"\"(.*?)\"\"\"', 1)), '')
       WHEN 'julia' THEN CASE WHEN code_line < start_line THEN trim(regexp_extract(code, '(?s)\"\"\"(.*?)\"\"\"', 1), ' ' || chr(10)) END
-      WHEN 'matlab' THEN CASE WHEN regexp_matches(code, '(?s)%\\s+.*?\\n\\s*\\w') THEN trim(regexp_extract(code, '(?s)%\\s+(.*?)\\n\\s*\\w', 1)) END
+      WHEN 'matlab' THEN CASE WHEN regexp_matches(code, '(?s)%\\s+.*?\\n\\s*[%\\w]') THEN trim(regexp_extract(code, '(?s)%\\s+(.*?)\\n\\s*[%\\w]', 1)) END
       ELSE CASE WHEN regexp_matches(code, '(?m)^\\s*//\\s*') THEN trim(regexp_extract(code, '(?m)^[ \\n]*//[ \\n]*(.*?)$', 1)) END END AS docstring
   FROM code)"""
 )
@@ -86,8 +86,7 @@ SELECT *, docstring IS NULL AS missing_docstring FROM analysis""",
 def block_analysis(spark, sf_dir):
     """Name, kind and documentation of every block."""
     rendered = code_files(spark, sf_dir)
-    spans = segment.block_spans(segment.line_table(rendered))
-    blocks = segment.analyse_blocks(segment.code_blocks(rendered, spans))
+    blocks = segment.analyse_blocks(segment.code_blocks(rendered))
     return blocks.select(
         "repo", "path", "language", "block_number", "start_line", "function_name", "block_type", "docstring",
         "missing_docstring",
@@ -115,7 +114,7 @@ _PROSE = """CASE WHEN doc_id % 3 = 0 THEN CASE doc_id % 7
     WHEN 2 THEN '/**' || chr(10) || ' * Doc ' || doc_id || chr(10) || ' */' || chr(10)
     WHEN 3 THEN '% Doc ' || doc_id || chr(10) || chr(10) || '%more' || chr(10)
     WHEN 4 THEN chr(34) || chr(34) || chr(34) || 'Doc ' || doc_id || chr(34) || chr(34) || chr(34) || chr(10)
-    ELSE '' END ELSE '' END || regexp_replace(content, '[^a-zA-Z .,]', '_'{g})"""
+    ELSE '' END ELSE '' END || content"""
 
 
 @query(
@@ -128,9 +127,9 @@ FROM ({FILES_SQL}) WHERE doc_id % 7 < 5""",
 )
 def module_rows(spark, sf_dir):
     """Prose files have no blocks; each gives one module row."""
-    prose = files(spark, sf_dir).selectExpr("repo", "path", "name", f"{_PROSE.format(g='')} AS content")
+    prose = files(spark, sf_dir).selectExpr("repo", "path", "name", f"{_PROSE} AS content")
     prose = prose.withColumn("language", fn.supported_language(F.col("name")))
-    rows = segment.module_blocks(prose, segment.block_spans(segment.line_table(prose)))
+    rows = segment.module_blocks(prose)
     return rows.select("repo", "path", "function_name", "block_type", "docstring", "missing_docstring")
 
 
@@ -139,11 +138,11 @@ def module_rows(spark, sf_dir):
     f"""
 WITH {_LINES}
 SELECT repo, path, CAST(count(*) AS INT) AS n_signatures, md5(string_agg(trim(line), chr(10) ORDER BY line_no)) AS digest
-FROM lines WHERE CASE language WHEN 'python' THEN regexp_matches(line, '^\\s*((async\\s+)?def\\s+\\w+\\s*\\(|class\\s+\\w+\\s*:)')
-  ELSE regexp_matches(line, '^\\s*function\\s+\\w+') END
+FROM lines WHERE CASE language WHEN 'python' THEN regexp_matches(line, '^\\s*((async\\s+)?def\\s+[\\pL\\pN_]+\\s*\\(|class\\s+\\w+\\s*:)')
+  ELSE regexp_matches(line, '^\\s*function\\s+[\\pL\\pN_]+') END
 GROUP BY repo, path""",
 )
 def blueprint(spark, sf_dir):
     """Signatures per file."""
-    out = segment.blueprint(segment.line_table(code_files(spark, sf_dir)))
+    out = segment.blueprint(code_files(spark, sf_dir))
     return out.select("repo", "path", "n_signatures", F.md5(F.array_join("signatures", "\n")).alias("digest"))

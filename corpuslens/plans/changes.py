@@ -92,13 +92,6 @@ def _insertions(spark, sf_dir):
     )
 
 
-def _lines(spark, sf_dir):
-    lines = fn.lines_of(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(lines).alias("p", "line")).select(
-        "doc_id", (F.col("p") + 1).alias("line_no"), "line"
-    )
-
-
 def _valid_insertions(spark, sf_dir):
     lengths = table(spark, sf_dir, "documents").select("doc_id", F.size(fn.lines_of(F.col("text"))).alias("n_lines"))
     return changes.valid_insertions(_insertions(spark, sf_dir), lengths, ["doc_id"])
@@ -126,7 +119,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY spot, k) AS new_l
 )
 def patched_lines(spark, sf_dir):
     """Whole documents with lines inserted, renumbered."""
-    return changes.patched_lines(_lines(spark, sf_dir), _valid_insertions(spark, sf_dir), ["doc_id"])
+    return changes.patched_lines(table(spark, sf_dir, "documents"), _insertions(spark, sf_dir), ["doc_id"], "text")
 
 
 @query(

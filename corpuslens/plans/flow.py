@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuslens import functions as fn
 from corpuslens.operators import changes, reuse, segment
 from corpuslens.plans.blocks import _ANALYSIS
 from corpuslens.plans.inputs import code_files
 from corpuslens.plans.registry import query
 from corpuslens.plans.reuse import _EXACT, _FUZZY, _NEWEST
+from corpuslens.session import written
 
 BUDGET = 50
 
@@ -33,12 +33,12 @@ FROM u GROUP BY repo, path HAVING sum(inserted) > 0""",
 def patched_files(spark, sf_dir):
     """Files, blocks, missing documentation, reuse or a generator, budget, anchors, patched lines, changed files only."""
     files = code_files(spark, sf_dir).filter(F.col("language").isNotNull())
-    spans = segment.block_spans(segment.line_table(files))
-    analysis = segment.analyse_blocks(segment.code_blocks(files, spans))
-    items = analysis.selectExpr(
+    # Slim rows without text, written once: items, earlier suggestions and both look-ups read them.
+    analysis = segment.analyse_blocks(segment.code_blocks(files)).selectExpr(
         "repo AS repo_path", "'main' AS branch", "path AS file_path", "function_name", "block_type", "start_line AS line_number",
         "language", "block_number", "missing_docstring",
     )
+    items = written(analysis, "items")
     earlier = items.filter("line_number % 3 = 0").selectExpr(
         "repo_path", "branch", "file_path", "function_name", "block_type", "line_number + block_number % 2 AS line_number", "language",
         "'app_1' AS run_id", "line_number AS pos", "'cached ' || function_name || ' ' || line_number AS generated_docstring",
@@ -46,18 +46,8 @@ def patched_files(spark, sf_dir):
     generator = F.when(F.col("line_number") % 3 == 1, F.concat(F.lit("new "), F.col("function_name")))
     found = reuse.reuse(items.filter("missing_docstring"), earlier, generator=generator).filter("generated_docstring IS NOT NULL")
     accepted = changes.within_budget(found, ["repo_path"], [F.col("file_path"), F.col("line_number")], BUDGET)
-    lines = fn.lines_of(F.col("content"))
-    lengths = files.select("repo", "path", F.size(lines).alias("n_lines"))
-    named = accepted.withColumnsRenamed({"repo_path": "repo", "file_path": "path"})
-    anchored = changes.valid_insertions(named, lengths, ["repo", "path"])
-    insertions = anchored.select("repo", "path", "anchor", F.col("line_number").alias("k"), F.col("generated_docstring").alias("line"))
-    original = files.select("repo", "path", F.posexplode_outer(lines).alias("p", "line")).withColumn("line_no", F.col("p") + 1)
-    patched = changes.patched_lines(original, insertions, ["repo", "path"])
-    # One file is one cell, before and after.
-    ordered = F.array_sort(F.collect_list(F.struct("new_line_no", "line")))
-    new = patched.groupBy("repo", "path").agg(
-        F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("content"),
-        F.count(F.lit(1)).alias("n_lines"), F.count_if("inserted").alias("n_inserted"),
-    )
-    changed = changes.changed_only(new, files.select("repo", "path", "content"), ["repo", "path"])
-    return changed.select("repo", "path", "n_lines", "n_inserted", F.md5("content").alias("digest"))
+    insertions = accepted.selectExpr(
+        "repo_path AS repo", "file_path AS path", "language", "line_number", "line_number AS k", "generated_docstring AS line"
+    )
+    changed = changes.patched_files(files.select("repo", "path", "content"), insertions, ["repo", "path"])
+    return changed.selectExpr("repo", "path", "n_lines", "n_inserted", "md5(content) AS digest")

@@ -29,41 +29,46 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rendered(line: str, number: str) -> str:
-    """One document line as code of its file's language; ``number`` counts lines from 1."""
-    clean = f"regexp_replace({line}, '[^A-Za-z0-9 .,]', '_'%GLOBAL%)"
+    """One document line as code of its file's language: planted code beside the whole line, as a string or a comment.
+
+    ``number`` counts lines from 1.
+    """
+    quote = "chr(34)"
+    clean = f"replace(replace({line}, chr(92), chr(92) || chr(92)), {quote}, chr(92) || {quote})"
+    string, triple = f"{quote} || {clean} || {quote}", f"{quote} || {quote} || {quote}"
+    name = f"'f' || ({number}) || 'é'"
     python = f"""CASE {number} % 4
-      WHEN 1 THEN 'def f' || ({number}) || '(x):' || chr(10)
-        || CASE WHEN {number} % 8 = 1 THEN '    ' || chr(34) || chr(34) || chr(34) || {clean} || '.'
-                || chr(34) || chr(34) || chr(34) ELSE '    y = 0' END
-      WHEN 2 THEN '    y = ' || chr(34) || {clean} || chr(34)
-      WHEN 3 THEN 'class C' || ({number}) || ':' || chr(10) || '    async def m(self):' || chr(10) || '        return 1'
-      ELSE 'z = ' || chr(34) || {clean} || chr(34) END"""
+      WHEN 1 THEN 'def ' || {name} || '(x):' || chr(10)
+        || CASE WHEN {number} % 8 = 1 THEN '    ' || {triple} || {clean} || '.' || {triple} ELSE '    y = ' || {string} END
+      WHEN 2 THEN '    y = ' || {string}
+      WHEN 3 THEN 'class C' || ({number}) || ':' || chr(10) || '    async def m(self):' || chr(10) || '        return ' || {string}
+      ELSE 'z = ' || {string} END"""
     script = f"""CASE {number} % 4
-      WHEN 1 THEN 'function f' || ({number}) || '(a) {{'
-      WHEN 2 THEN CASE WHEN {number} % 8 = 2 THEN '  // ' || {clean} ELSE '  var t = ' || chr(34) || {clean} || chr(34) || ';' END
-      WHEN 3 THEN '  if (a) {{' || chr(10) || '  }}'
-      ELSE '}}' END"""
+      WHEN 1 THEN 'function ' || {name} || '(a) {{' || chr(10) || '  var s = ' || {string} || ';'
+      WHEN 2 THEN CASE WHEN {number} % 8 = 2 THEN '  // ' || {line} ELSE '  var t = ' || {string} || ';' END
+      WHEN 3 THEN '  if (a) {{' || chr(10) || '    t = ' || {string} || ';' || chr(10) || '  }}'
+      ELSE '}} // ' || {line} END"""
     matlab = f"""CASE {number} % 4
-      WHEN 1 THEN 'function r = f' || ({number}) || '(a)'
-      WHEN 2 THEN CASE WHEN {number} % 8 = 2 THEN '% ' || {clean} || '.' || chr(10) || 'r = 2;' ELSE 'r = 1;' END
-      WHEN 3 THEN 'if a' || chr(10) || 'end'
-      ELSE 'end' END"""
+      WHEN 1 THEN 'function r = ' || {name} || '(a)' || chr(10) || 's = ' || {string} || ';'
+      WHEN 2 THEN CASE WHEN {number} % 8 = 2 THEN '% ' || {line} || '.' || chr(10) || 'r = 2;' ELSE 'r = ' || {string} || ';' END
+      WHEN 3 THEN 'if a' || chr(10) || '  r = ' || {string} || ';' || chr(10) || 'end'
+      ELSE 'end % ' || {line} END"""
     julia = f"""CASE {number} % 4
-      WHEN 1 THEN CASE WHEN {number} % 8 = 1 THEN chr(34) || chr(34) || chr(34) || chr(10) || {clean} || '.' || chr(10)
-                || chr(34) || chr(34) || chr(34) || chr(10) ELSE '' END || 'function f' || ({number}) || '(a)'
-      WHEN 2 THEN '    y = 1'
-      WHEN 3 THEN 'for k in a' || chr(10) || 'end'
-      ELSE 'end' END"""
+      WHEN 1 THEN CASE WHEN {number} % 8 = 1 THEN {triple} || chr(10) || {clean} || '.' || chr(10) || {triple} || chr(10) || 'function ' || {name} || '(a)'
+        ELSE 'function ' || {name} || '(a)' || chr(10) || '    s = ' || {string} END
+      WHEN 2 THEN '    y = ' || {string}
+      WHEN 3 THEN 'for k in a' || chr(10) || '    y = ' || {string} || chr(10) || 'end'
+      ELSE 'end # ' || {line} END"""
     return f"""CASE doc_id % 7 WHEN 0 THEN {python} WHEN 1 THEN {script} WHEN 2 THEN {script}
       WHEN 3 THEN {matlab} WHEN 4 THEN {julia} ELSE {line} END"""
 
 
 CODE_SPARK = (
-    "array_join(transform(split(text, '\\n'), (l, i) -> " + _rendered("l", "(i + 1)").replace("%GLOBAL%", "") + "), chr(10))"
+    "array_join(transform(split(text, '\\n'), (l, i) -> " + _rendered("l", "(i + 1)") + "), chr(10))"
 )
 CODE_SQL = (
     "array_to_string(list_transform(string_split(text, chr(10)), lambda l, i : "
-    + _rendered("l", "(i)").replace("%GLOBAL%", ", 'g'")
+    + _rendered("l", "(i)")
     + "), chr(10))"
 )
 CODE_FILES_SQL = f"""

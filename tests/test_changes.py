@@ -39,19 +39,38 @@ def test_generator_may_be_a_pandas_udf(spark):
 def test_matlab_text_follows_its_header(spark):
     text = "function result = add(left, right)\n    result = left + right;\nend\n"
     files = spark.createDataFrame([("a.m", text), ("b.js", "function f() {\n}\n")], "path string, content string")
-    lines = files.select("path", F.posexplode(fn.lines_of(F.col("content"))).alias("p", "line")).selectExpr("path", "p + 1 AS line_no", "line")
     lengths = files.select("path", F.size(fn.lines_of(F.col("content"))).alias("n_lines"))
     wanted = spark.createDataFrame(
         [("a.m", "matlab", 1, 0, "% Add two values."), ("a.m", "matlab", 9, 0, "% outside"), ("b.js", "javascript", 1, 0, "/** F. */")],
         "path string, language string, line_number int, k int, line string",
     )
     valid = changes.valid_insertions(wanted, lengths, ["path"])
-    out = changes.patched_lines(lines, valid, ["path"]).orderBy("path", "new_line_no").collect()
+    assert {(r.path, r.anchor) for r in valid.collect()} == {("a.m", 1), ("b.js", 0)}
+    out = changes.patched_lines(files, wanted, ["path"]).orderBy("path", "new_line_no").collect()
     assert [r.line for r in out if r.path == "a.m"][:2] == ["function result = add(left, right)", "% Add two values."]
     assert [r.line for r in out if r.path == "b.js"] == ["/** F. */", "function f() {", "}"]
     assert [r.new_line_no for r in out if r.path == "a.m"] == [1, 2, 3, 4]
 
 
+def test_insertions_merge_inside_the_row(spark):
+    files = spark.createDataFrame(
+        [("a", "1\n2\n3"), ("b", ""), ("c", None), ("d", "only\n"), ("e", "\n".join(map(str, range(5000))))], "path string, content string"
+    )
+    rows = [("a", "julia", 1, 2, "x2"), ("a", "julia", 1, 1, "x1"), ("a", "matlab", 3, 0, "last"), ("a", "julia", 3, 9, "y"), ("a", "julia", 0, 0, "no"),
+            ("a", "julia", 4, 0, "no"), ("b", "julia", 1, 0, "no"), ("c", "julia", 1, 0, "no"), ("z", "julia", 1, 0, "no file")]
+    rows += [("e", "julia", n, 0, f"before {n - 1}") for n in range(1, 5001)]
+    insertions = spark.createDataFrame(rows, "path string, language string, line_number int, k int, line string")
+    out = {}
+    for r in changes.patched_lines(files, insertions, ["path"]).orderBy("path", "new_line_no").collect():
+        assert r.new_line_no == len(out.setdefault(r.path, [])) + 1
+        out[r.path].append((r.line, r.inserted))
+    assert out["a"] == [("x1", True), ("x2", True), ("1", False), ("2", False), ("y", True), ("3", False), ("last", True)]
+    assert out["d"] == [("only", False)] and set(out) == {"a", "d", "e"}
+    assert out["e"][:4] == [("before 0", True), ("0", False), ("before 1", True), ("1", False)] and len(out["e"]) == 10_000
+    new = {r.path: (r.content, r.n_lines, r.n_inserted) for r in changes.patched_files(files, insertions, ["path"]).collect()}
+    assert new["a"] == ("x1\nx2\n1\n2\ny\n3\nlast", 7, 4) and set(new) == {"a", "e"}
+
+
 def test_changed_only_and_paths(spark):
     new = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "x"), ("d", "")], "path string, content string")
     base = spark.createDataFrame([("a", "1"), ("b", "0")], "path string, content string")

@@ -33,3 +33,23 @@ def test_columns_are_pruned(spark, sf_dir):
     assert "ReadSchema: struct<doc_id:bigint,source:string>" in plan
     plan = contract.queries()["r2_run_list"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_custkey), EqualTo(o_custkey,7)]" in plan
+
+
+@pytest.mark.parametrize("name", ["b1_b5_block_spans", "b6_block_analysis", "b7_module_rows", "b8_blueprint"])
+def test_segmentation_reads_content_once_and_shuffles_nothing(spark, sf_dir, name):
+    plan = contract.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("FileScan parquet") == 1
+
+
+def test_patched_lines_leave_their_row_only_when_merged(spark, sf_dir):
+    plan = contract.queries()["w6_patched_lines"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("text:string") == 1 and "Window" not in plan
+    hashed = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert len(hashed) == 1 and "SortMergeJoin" not in plan
+
+
+def test_main_flow_scans_text_twice(spark, sf_dir):
+    query = contract.queries()["flow_patched_files"](spark, sf_dir)
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    # Once before, for the written items, and once here.
+    assert plan.count("text:string") == 1

@@ -11,8 +11,7 @@ def analysed(spark, name, text):
     text = textwrap.dedent(text).strip("\n")
     files = spark.createDataFrame([("r", name, name, text)], "repo string, path string, name string, content string")
     files = files.withColumn("language", fn.supported_language(F.col("name")))
-    spans = segment.block_spans(segment.line_table(files))
-    blocks = segment.analyse_blocks(segment.code_blocks(files, spans)).orderBy("start_line")
+    blocks = segment.analyse_blocks(segment.code_blocks(files)).orderBy("start_line")
     return blocks.collect()
 
 
@@ -183,20 +182,38 @@ def test_blueprint(spark):
         [("r", "a.py", "python", "class A:\n    def f(self):\n        pass\n")],
         "repo string, path string, language string, content string",
     )
-    (row,) = segment.blueprint(segment.line_table(files)).collect()
+    (row,) = segment.blueprint(files).collect()
     assert row.signatures == ["class A:", "def f(self):"]
 
 
-def test_one_content_shuffle_and_no_python(spark):
-    files = spark.createDataFrame(
-        [("r", "a.py", "python", "def f():\n    pass\n")],
-        "repo string, path string, language string, content string",
-    )
-    plan = segment.block_spans(segment.line_table(files))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan
-    # Once per language family and once for the numbering of their union.
-    assert plan.count("Exchange hashpartitioning") <= 4
-    assert "SinglePartition" not in plan
+def test_many_blocks_in_linear_time(spark):
+    import time
+
+    sources = {
+        "a.py": lambda n: "\n".join(f"def f{i}():\n    pass" for i in range(n)),
+        "a.js": lambda n: "\n".join(f"function f{i}() {{\n}}" for i in range(n)),
+        "a.m": lambda n: "classdef C\n" + "\n".join(f"function f{i}(x)\nend" for i in range(n)) + "\nend",
+        "deep.py": lambda n: "\n".join(" " * i + f"def f{i}():" for i in range(n // 100)),
+    }
+    took = {}
+    for n in (2_000, 16_000):
+        rows = [("r", name, name, make(n)) for name, make in sources.items()]
+        files = spark.createDataFrame(rows, "repo string, path string, name string, content string").withColumn("language", fn.supported_language(F.col("name")))
+        started = time.time()
+        counts = {r.path: r["count"] for r in segment.block_spans(files).groupBy("path").count().collect()}
+        took[n] = time.time() - started
+        assert counts == {"a.py": n, "a.js": n, "a.m": n + 1, "deep.py": n // 100}
+    assert took[16_000] < 20
+
+
+def test_events_across_chunks(spark, monkeypatch):
+    text = "class A:\n" + "".join(f"    def m{i}(\n        self,\n    ):\n        # c\n        return {i}\n\n" for i in range(40)) + "x = 1"
+    files = spark.createDataFrame([("r", "a.py", "python", text)], "repo string, path string, language string, content string")
+    want = sorted(map(tuple, segment.block_spans(files).collect()))
+    assert len(want) == 41 and want[0][5:8] == (1, 241, 2)
+    for size in (1, 7):
+        monkeypatch.setattr(segment, "CHUNK", size)
+        assert sorted(map(tuple, segment.block_spans(files).collect())) == want
 
 
 def test_names_have_letters_of_every_script(spark):
