@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpuslens import fixed_values as fixed
 from corpuslens import functions as fn
 from corpuslens.operators.bounded import listing_preview
-from corpuslens.operators.ranking import top_n_per_key
 
 # Sections made of file paths: finding type and review advice where there are none.
 PATH_SECTIONS = {
@@ -173,6 +172,14 @@ def _none_or(present: Column, found: Column, missing: str) -> Column:
     return F.when(present, found).otherwise(F.lit(missing))
 
 
+def overview_summary() -> Column:
+    """The sentence about a repository's scan, from its counts."""
+    return F.concat(
+        F.lit("Scanned "), F.col("scanned_files"), F.lit(" of "), F.col("total_files"), F.lit(" files across "),
+        F.col(_column("repository structure")), F.lit(" top-level entries."),
+    )
+
+
 def sections(
     counts: DataFrame,
     previews: DataFrame,
@@ -182,7 +189,7 @@ def sections(
 ) -> DataFrame:
     """18 rows per repository, with status, summary, confidence, finding counts and gap.
 
-    All findings count. With ``max_edges`` or ``max_dependencies``, as given to ``findings``, the section says what is not listed.
+    All findings count. With ``max_edges`` or ``max_dependencies``, as given to ``findings.listed``, the section says what is not listed.
 
     ``previews`` holds (repo, category, preview) of the path sections. The 18 rows come from one array per
     repository, so sections without evidence need no join.
@@ -207,10 +214,7 @@ def sections(
         _section(
             "project overview",
             F.when(F.col("truncated"), partial).otherwise(populated),
-            F.concat(
-                F.lit("Scanned "), F.col("scanned_files"), F.lit(" of "), F.col("total_files"),
-                F.lit(" files across "), n("repository structure"), F.lit(" top-level entries."),
-            ),
+            overview_summary(),
             F.lit(1), zero, none,
             F.when(
                 F.col("truncated"),
@@ -363,50 +367,6 @@ def manual_document_gap(existing: DataFrame, marker: str = fixed.GENERATED_MARKE
     )
 
 
-def findings(
-    evidence_rows: DataFrame, counts: DataFrame,
-    max_edges: int | None = None, max_dependencies: int | None = None,
-) -> DataFrame:
-    """All findings; only inferred ones carry a confidence. Edges and dependencies are cut per repository if asked for."""
-    types = {name: kind for name, (kind, _) in PATH_SECTIONS.items()} | {
-        "API endpoints": "endpoint", "environment variables": "environment_variable",
-        "internal dependencies": "module", "external dependencies": "dependency", "repository structure": "module",
-    }
-    listed = evidence_rows.filter(F.col("category").isin(*types))
-    once = ["repo", "category", "name"]
-    bounded = listed.filter(F.col("category") == "internal dependencies").dropDuplicates(once)
-    edges = bounded
-    if max_edges is not None:
-        edges = top_n_per_key(bounded, "repo", [F.col("attrs")["module"], F.col("attrs")["package"]], max_edges)
-    edges = edges.join(
-        counts.select("repo", fn.confidence_bucket(F.col(_column("internal dependencies"))).alias("_confidence")), "repo"
-    )
-    declared = listed.filter(F.col("category") == "external dependencies")
-    if max_dependencies is not None:
-        declared = top_n_per_key(declared, "repo", [F.col("path"), F.col("attrs")["at"].cast("int")], max_dependencies)
-    named = listed.filter(
-        F.col("category").isin("environment variables", "repository structure", "modules and packages")
-    ).dropDuplicates(once)
-    rest = listed.filter(
-        ~F.col("category").isin(
-            "internal dependencies", "external dependencies", "environment variables", "repository structure",
-            "modules and packages",
-        )
-    )
-    observed = (
-        declared.unionByName(named).unionByName(rest).withColumn("_confidence", F.lit(None).cast("string"))
-    )
-    inferred = F.col("category") == "internal dependencies"
-    return observed.unionByName(edges.select(*observed.columns)).select(
-        "repo",
-        F.col("category").alias("section_name"),
-        fn.map_lookup(F.col("category"), types).alias("finding_type"),
-        "name",
-        F.when(inferred, "inferred").otherwise("observed").alias("classification"),
-        F.when(inferred, F.col("_confidence")).alias("confidence_level"),
-    )
-
-
 def draft_summary(section_rows: DataFrame) -> DataFrame:
     """Populated sections and gaps per repository."""
     return section_rows.groupBy("repo").agg(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuslens import fixed_values as fixed
 from corpuslens import functions as fn
-from corpuslens.operators import bounded, evidence, navigation, ranking, sections
+from corpuslens.operators import bounded, evidence, findings, navigation, ranking, sections
 from corpuslens.plans.registry import query, sql_case, sql_list
 from corpuslens.session import table, written
 
@@ -297,27 +297,60 @@ def overall_status(spark, sf_dir):
     return sections.overall_status(report(spark, sf_dir), totals, conflicts)
 
 
+_PATH_TYPES = sql_case("category", {name: kind for name, (kind, _) in sections.PATH_SECTIONS.items()})
+_PATH_LIST = sql_list(sections.PATH_SECTIONS)
+_MANAGER = sql_case(_NAME, fixed.MANIFEST_MANAGERS)
+
+
+def _text(kind: str) -> str:
+    return "'" + findings.FINDING_TEXTS[kind][1].replace("'", "''") + "'"
+
+
+_FINDINGS_SQL = f"""{_COUNTS_SQL},
+listed AS (
+  SELECT repo, 'project overview' AS section_name, 'technology' AS finding_type, 'repository scan' AS name, 'observed' AS classification,
+    'Scanned ' || scanned_files || ' of ' || total_files || ' files across ' || entries || ' top-level entries.' AS description,
+    NULL AS confidence_level, '' AS file, 1 AS number, NULL AS path FROM fl
+  UNION ALL SELECT DISTINCT repo, category, {_PATH_TYPES}, name, 'observed', 'File path matched ' || category || ' detection heuristics.', NULL, '', 1, name
+    FROM evidence WHERE category IN {_PATH_LIST}
+  UNION ALL SELECT DISTINCT repo, category, 'module', name, 'observed', {_text('repository structure')}, NULL, '', 1, name FROM evidence WHERE category = 'repository structure'
+  UNION ALL SELECT DISTINCT repo, category, 'module', name, 'inferred', {_text('internal dependencies')},
+    CASE WHEN edges >= 5 THEN 'high' WHEN edges >= 2 THEN 'medium' ELSE 'low' END, '', 1, replace(split_part(name, ' -> ', 1), '.', '/') || '.py'
+    FROM evidence JOIN w USING (repo) WHERE category = 'internal dependencies'
+  UNION ALL SELECT repo, category, 'dependency', name, 'observed', 'Declared in ' || {_MANAGER} || ' manifest.', NULL, path,
+    row_number() OVER (PARTITION BY repo, name, path), path FROM evidence WHERE category = 'external dependencies'
+  UNION ALL SELECT repo, 'external dependencies', 'dependency', {_NAME}, 'observed', {_text('dependency file')}, NULL, path, 1, path
+    FROM evidence JOIN w USING (repo) WHERE category = 'dependency file' AND declared = 0
+  UNION ALL SELECT repo, 'data flow', 'data_flow', array_to_string(stages, ' -> '), 'inferred', {_text('data flow')}, {_FLOW_CONFIDENCE}, '', 1, NULL FROM fl WHERE {_SIZE} >= 2
+  UNION ALL SELECT repo, kind || ' diagrams', 'technology', kind || ' diagram', 'inferred', {_text('diagrams')}, {_FLOW_CONFIDENCE}, '', 1, NULL
+    FROM fl, (SELECT unnest(['sequence', 'architecture']) AS kind) WHERE {_SIZE} >= 2
+  UNION ALL SELECT DISTINCT repo, category, 'environment_variable', name, 'observed', {_text('environment variables')}, NULL, '', 1, path FROM evidence WHERE category = 'environment variables'
+  UNION ALL SELECT repo, category, 'endpoint', name, 'observed', {_text('API endpoints')}, NULL, path, row_number() OVER (PARTITION BY repo, name, path), path FROM evidence WHERE category = 'API endpoints'
+  UNION ALL SELECT repo, 'technology stack', 'technology', name || ' (' || count(*) || ' file(s))', 'observed', {_text('language')}, NULL, '', 1, NULL
+    FROM evidence WHERE category = 'language' GROUP BY repo, evidence.name
+  UNION ALL SELECT repo, 'technology stack', 'technology', {_MANAGER}, 'observed', {_text('manifest')}, NULL, path, 1, path FROM evidence WHERE category = 'dependency file'),
+keyed AS (SELECT *, md5(concat_ws(chr(1), repo, section_name, name, file, number)) AS finding_key FROM listed)"""
+
+
+def _listed(spark, sf_dir):
+    rows = evidence_table(spark, sf_dir)
+    return findings.listed(rows, sections.evidence_counts(rows, _totals(spark, sf_dir)))
+
+
 @query(
     "e6_findings",
-    f"""{_COUNTS_SQL},
-d AS (SELECT repo, 'external dependencies' AS category, dep AS name, row_number() OVER (PARTITION BY repo ORDER BY path, at_no) AS rn FROM deps WHERE dep <> ''),
-g AS (SELECT repo, category, name, row_number() OVER (PARTITION BY repo ORDER BY split_part(name, ' -> ', 1), split_part(name, ' -> ', 2)) AS rn
-  FROM (SELECT DISTINCT repo, category, name FROM evidence WHERE category = 'internal dependencies')),
-o AS (SELECT repo, category, name FROM evidence WHERE category IN ('entry points', 'configuration', 'services', 'routers', 'database models', 'background jobs', 'authentication flow', 'API endpoints')
-  UNION ALL SELECT DISTINCT repo, category, name FROM evidence WHERE category IN ('environment variables', 'repository structure', 'modules and packages')
-  UNION ALL SELECT repo, category, name FROM d)
-SELECT repo, category AS section_name, CASE category WHEN 'entry points' THEN 'entry_point' WHEN 'services' THEN 'service' WHEN 'routers' THEN 'router'
-    WHEN 'modules and packages' THEN 'module' WHEN 'background jobs' THEN 'job' WHEN 'database models' THEN 'model' WHEN 'configuration' THEN 'config'
-    WHEN 'authentication flow' THEN 'auth_flow' WHEN 'API endpoints' THEN 'endpoint' WHEN 'environment variables' THEN 'environment_variable'
-    WHEN 'external dependencies' THEN 'dependency' ELSE 'module' END AS finding_type, name, 'observed' AS classification, NULL AS confidence_level FROM o
-UNION ALL SELECT g.repo, category, 'module', name, 'inferred', CASE WHEN edges >= 5 THEN 'high' WHEN edges >= 2 THEN 'medium' ELSE 'low' END
-  FROM g JOIN w USING (repo)""",
+    f"""{_FINDINGS_SQL}
+SELECT DISTINCT repo, section_name, finding_key, finding_type, name, classification, description, confidence_level FROM keyed""",
 )
 def finding_rows(spark, sf_dir):
-    """Listed findings; inferred ones carry a confidence."""
-    rows = evidence_table(spark, sf_dir)
-    counts = sections.evidence_counts(rows, _totals(spark, sf_dir))
-    return sections.findings(rows, counts)
+    """The findings of all sections with their descriptions; inferred ones carry a confidence."""
+    return findings.findings(_listed(spark, sf_dir))
+
+
+@query("e6_evidence_paths", f"{_FINDINGS_SQL} SELECT repo, section_name, finding_key, path FROM keyed WHERE path IS NOT NULL")
+def finding_path_rows(spark, sf_dir):
+    """The paths that prove each finding."""
+    return findings.finding_paths(_listed(spark, sf_dir))
 
 
 @query(

@@ -1,8 +1,10 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpuslens import fixed_values as fixed
-from corpuslens.operators import bounded, classify, evidence, navigation, sections
+from corpuslens.operators import bounded, classify, evidence, findings, navigation, sections
 
 SAMPLE = {
     "README.md": "# Sample\n",
@@ -97,14 +99,48 @@ def test_flow_pairs_and_findings(rows, files):
     pairs = {r.repo: r.flow_pairs for r in sections.flow(counts).collect()}
     assert pairs["r"] == ["API endpoint -> router: call", "router -> service: call", "service -> database model: call"]
     assert pairs["empty"] == []
-    listed = sections.findings(rows, counts, max_edges=2, max_dependencies=3).collect()
-    inferred = [r for r in listed if r.classification == "inferred"]
+    rows_listed = findings.listed(rows, counts, max_edges=2, max_dependencies=3)
+    listed = findings.findings(rows_listed).collect()
+    inferred = [r for r in listed if r.section_name == "internal dependencies"]
     assert sorted(r.name for r in inferred) == ["main -> src", "src.routers.item_router -> src"]
     assert {r.confidence_level for r in inferred} == {"medium"}
     assert {r.confidence_level for r in listed if r.classification == "observed"} == {None}
     assert sorted(r.name for r in listed if r.finding_type == "dependency") == ["one", "three", "two"]
 
 
+def test_as_many_findings_as_the_sections_count(rows, files):
+    df, _ = report(rows, files)
+    wanted = {(r.repo, r.section_name): r.observed_count + r.inferred_count for r in df.collect() if r.observed_count + r.inferred_count}
+    counts = sections.evidence_counts(rows, bounded.scan_totals(files))
+    listed = findings.listed(rows, counts).cache()
+    found = findings.findings(listed).collect()
+    assert Counter((r.repo, r.section_name) for r in found) == wanted
+    assert len({r.finding_key for r in found}) == len(found) and all(r.description for r in found)
+    paths = findings.finding_paths(listed).collect()
+    assert {p.finding_key for p in paths} <= {r.finding_key for r in found}
+    by_key = {}
+    for p in paths:
+        by_key.setdefault(p.finding_key, []).append(p.path)
+    edge = next(r for r in found if r.name == "main -> src")
+    assert by_key[edge.finding_key] == ["main.py"]
+    again = findings.findings(findings.listed(rows.repartition(3), counts)).collect()
+    assert {r.finding_key for r in again} == {r.finding_key for r in found}
+
+
+def test_equal_findings_and_unparsed_manifests(spark):
+    files = spark.createDataFrame(
+        [("r", "a.py", '@app.get("/x")\n@app.get("/x")\nos.getenv("V")'), ("r", "b.py", 'os.getenv("V")'), ("r", "go.mod", "module x")], "repo string, path string, content string"
+    )
+    rows = evidence.evidence(files)
+    listed = findings.listed(rows, sections.evidence_counts(rows, bounded.scan_totals(files)), include_diagrams=False)
+    found = findings.findings(listed).collect()
+    assert len([r for r in found if r.name == "GET /x"]) == 2 and len({r.finding_key for r in found}) == len(found)
+    (variable,) = [r for r in found if r.name == "V"]
+    assert sorted(p.path for p in findings.finding_paths(listed).collect() if p.finding_key == variable.finding_key) == ["a.py", "b.py"]
+    (manifest,) = [r for r in found if r.section_name == "external dependencies"]
+    assert manifest.name == "go.mod" and "not parsed" in manifest.description
+
+
 def test_content_is_read_once(files):
     other = files.withColumn("repo", F.upper("repo"))  # not the cached plan of the fixture above
     plan = evidence.evidence(other, evidence.top_level_folders(other))._jdf.queryExecution().optimizedPlan().toString()
