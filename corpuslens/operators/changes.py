@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens import fixed_values as fixed
 from corpuslens import functions as fn
-from corpuslens.operators.ranking import chunked_row_number, top_n_per_key
+from corpuslens.operators.ranking import row_number_per_key, top_n_per_key
 from corpuslens.operators.rows import pinned
 
 
@@ -22,15 +22,16 @@ def match_occurrences(
     """The k-th item of a key takes the k-th suggestion of that key; each is used once.
 
     Items count from the last position up (``bottom_up``) or from the first down (``top_down``);
-    suggestions always count in list order.
+    suggestions always count in list order. Null positions come last.
     """
-    sign = -1 if order == "bottom_up" else 1
-    items = items.withColumn("_position", F.col(item_position) * F.lit(sign))
-    ranked_items = chunked_row_number(items, keys, "_position", [], "_k").drop("_position")
-    ranked = chunked_row_number(
-        suggestions.select(*keys, suggestion_position, value), keys, suggestion_position, [F.col(value)], "_k"
-    ).drop(suggestion_position)
-    return ranked_items.join(ranked, [*keys, "_k"]).withColumnRenamed("_k", "occurrence")
+    place = F.col(item_position)
+    descending = order == "bottom_up"
+    # A null key matches nothing, so its rows are not ranked.
+    items, suggestions = items.dropna(subset=keys), suggestions.dropna(subset=keys)
+    ranked_items = row_number_per_key(items, keys, [place.desc_nulls_last() if descending else place.asc_nulls_last()], "_k")
+    listed = suggestions.select(*keys, suggestion_position, value)
+    ranked = row_number_per_key(listed, keys, [F.col(suggestion_position).asc_nulls_last(), F.col(value)], "_k")
+    return ranked_items.join(ranked.drop(suggestion_position), [*keys, "_k"]).withColumnRenamed("_k", "occurrence")
 
 
 def generated_items(items: DataFrame, generator: Column, value: str) -> DataFrame:

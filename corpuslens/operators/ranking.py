@@ -2,13 +2,15 @@
 
 ``row_number() <= n`` lets Spark keep only n rows per key and map task before the shuffle
 (WindowGroupLimit), so a hot key sends at most n rows per task to its reducer. Spark does that for
-n up to ``spark.sql.optimizer.windowGroupLimitThreshold``. A full rank of a hot key is cut into ordered chunks.
+n up to ``spark.sql.optimizer.windowGroupLimitThreshold``. A full rank spreads a hot key over many tasks, in order.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from corpuslens.session import written
+
 
 def _names(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
@@ -31,33 +33,29 @@ def first_per_key(df: DataFrame, keys, order: list[Column]) -> DataFrame:
     return top_n_per_key(df, keys, order, 1)
 
 
-def chunked_row_number(
-    df: DataFrame, keys, position: str, tiebreak: list[Column], rank: str, width: int = 100_000
-) -> DataFrame:
-    """Exact row_number per key, ordered by an integer position such as a line number or a place in a list.
+def row_number_per_key(df: DataFrame, keys, order: list[Column], rank: str) -> DataFrame:
+    """Exact row_number per key in the given order, whatever the values: sparse, equal and null positions cost nothing more.
 
-    Each key is cut into chunks of ``width`` consecutive positions. Rows are ranked inside a chunk, chunk
-    counts are summed up, and the count before a chunk is added. No task holds more of a key than one chunk; the prefix
-    sum runs over one row per chunk, so ``width`` should span many positions in use.
+    Rows are range-partitioned and sorted by key and order, so a key that holds a large share of them spreads over many tasks, and
+    written once with their place (partition and number in it). Only one row per key and partition is then counted: a key's first
+    place there, and how many of its rows lie in earlier partitions. That table is joined back (Spark broadcasts it while it is
+    small). Rows that the order leaves equal are numbered in any order, but each number is given once.
     """
     keys = _names(keys)
-    chunked = df.withColumn("_chunk", F.floor(F.col(position) / F.lit(width)))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(F.col(position), *tiebreak)
-    local = chunked.withColumn("_local", F.row_number().over(inside))
-    chunk_keys = [f"_b_{key}" for key in keys]
-    before = Window.partitionBy(*chunk_keys).orderBy("_b_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        chunked.groupBy(*[F.col(key).alias(name) for key, name in zip(keys, chunk_keys)], F.col("_chunk").alias("_b_chunk"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_offset", F.sum("_n").over(before))
-        .drop("_n")
-        .filter(F.col("_offset") > 0)
-    )
-    same = [F.col(key).eqNullSafe(F.col(name)) for key, name in zip(keys, chunk_keys)]
-    ranked = local.join(offsets, [*same, F.col("_chunk") == F.col("_b_chunk")], "left").withColumn(
-        rank, (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("bigint")
+    sort = [*map(F.col, keys), *order]
+    placed = df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_place", F.monotonically_increasing_id())
+    placed = written(placed, "places").withColumn("_part", F.shiftright("_place", 33))
+    run_keys = [f"_r_{key}" for key in keys]
+    before = Window.partitionBy(*run_keys).orderBy("_r_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = (
+        placed.groupBy(*[F.col(key).alias(name) for key, name in zip(keys, run_keys)], F.col("_part").alias("_r_part"))
+        .agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1)
+        .drop("_first", "_n")
     )
-    return ranked.drop("_chunk", "_local", "_offset", "_b_chunk", *chunk_keys)
+    same = [F.col(key).eqNullSafe(F.col(name)) for key, name in zip(keys, run_keys)]
+    ranked = placed.join(runs, [*same, F.col("_part") == F.col("_r_part")])
+    return ranked.withColumn(rank, F.col("_place") + F.col("_shift")).drop("_place", "_part", "_shift", "_r_part", *run_keys)
 
 
 def ordered_distinct(df: DataFrame, keys, value: str, position: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpuslens import functions as fn
-from corpuslens.operators.ranking import chunked_row_number, first_per_key
+from corpuslens.operators.ranking import first_per_key, row_number_per_key
 from corpuslens.schemas import EXACT_KEY, FUZZY_KEY
 
 SCOPE = ["repo_path", "branch"]
@@ -75,7 +75,7 @@ def suggestions_by_file(
 
     A file with more suggestions has more parts, so no array and no task grows with the largest file.
     """
-    ranked = chunked_row_number(suggestions, keys, position, [value], "_n", width=part_size * 100)
+    ranked = row_number_per_key(suggestions, keys, [F.col(position), value], "_n")
     part = F.floor((F.col("_n") - 1) / F.lit(part_size)).cast("int")
     return (
         ranked.groupBy(*keys, part.alias("part"))

@@ -132,3 +132,17 @@ def test_suggestions_by_file_in_parts(spark):
     parts = reuse.suggestions_by_file(df.repartition(3), ["file"], "pos", F.col("text"), part_size=10).orderBy("part").collect()
     assert [len(r.suggestions) for r in parts] == [10, 10, 5]
     assert parts[0].suggestions[:2] == ["s1", "s2"] and parts[2].suggestions[-1] == "s25"
+
+
+def test_occurrences_of_a_hot_key_with_null_and_equal_positions(spark):
+    """One key with most rows; every item and suggestion is used once, and null keys match nothing."""
+    items = spark.range(900).selectExpr("CASE WHEN id < 800 THEN 'hot' WHEN id < 850 THEN NULL ELSE 'k' END AS path", "'f' AS kind", "CASE WHEN id % 9 > 0 THEN id * id * 100003 END AS line")
+    texts = spark.range(700).selectExpr("CASE WHEN id < 600 THEN 'hot' WHEN id < 650 THEN NULL ELSE 'k' END AS path", "'f' AS kind", "CAST(id % 3 AS INT) AS pos", "concat('t', id) AS text")
+    out = changes.match_occurrences(items, texts, ["path", "kind"], "line", "pos", "text").collect()
+    by_key = {key: [r for r in out if r.path == key] for key in ("hot", "k", None)}
+    assert (len(by_key["hot"]), len(by_key["k"]), len(by_key[None])) == (600, 50, 0)
+    assert len({r.text for r in out}) == 650 and sorted(r.occurrence for r in by_key["hot"]) == list(range(1, 601))
+    lines = [r.line for r in sorted(by_key["hot"], key=lambda r: r.occurrence)]
+    assert lines == sorted(lines, reverse=True)
+    plan = changes.match_occurrences(items, texts, ["path", "kind"], "line", "pos", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan

@@ -50,12 +50,27 @@ def test_hot_keys_are_split_at_run_time(spark):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-@pytest.mark.parametrize("width", [1, 10, 100_000])
-def test_chunked_row_number_equals_plain_rank(spark, width):
-    df = skewed(spark)
-    plain = df.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("pos", "id")))
-    got = ranking.chunked_row_number(df.repartition(7), "k", "pos", [F.col("id")], "r", width)
-    assert sorted(map(tuple, got.select("k", "id", "r").collect())) == sorted(map(tuple, plain.select("k", "id", "r").collect()))
+@pytest.mark.parametrize("position", ["pos", "CAST(pos AS BIGINT) * 1000000007", "7", "CASE WHEN id % 4 > 0 THEN pos END"])
+def test_row_number_per_key_equals_plain_rank(spark, position):
+    """Dense, sparse, equal and null positions, two thirds of them in one key."""
+    df = skewed(spark).withColumn("pos", F.expr(position).cast("bigint")).withColumn("k", F.expr("CASE WHEN k = 'k1' THEN NULL ELSE k END"))
+    order = [F.col("pos").desc_nulls_last(), F.col("id")]
+    plain = df.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
+    got = ranking.row_number_per_key(df.repartition(7), "k", order, "r")
+    rows = got.select("k", "id", "r").collect()
+    assert sorted(map(str, rows)) == sorted(map(str, plain.select("k", "id", "r").collect()))
+
+
+def test_a_hot_key_is_ranked_by_many_tasks(spark):
+    # Equal rows stay together, all others spread: the rows lie in about as many partitions as there are.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranking.row_number_per_key(skewed(spark, 20_000).repartition(7), "k", [F.col("pos"), F.col("id")], "r")
+        placed = spark.read.parquet(*[f for f in got.inputFiles()])
+        sizes = [r["count"] for r in placed.filter("k = 'hot'").groupBy(F.shiftright("_place", 33)).count().collect()]
+        assert len(sizes) >= 3 and max(sizes) < 0.6 * sum(sizes)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_ordered_distinct_and_last_match(spark):
