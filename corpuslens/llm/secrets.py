@@ -22,8 +22,12 @@ from corpuslens.llm.common import free_name, written
 
 #: Alternatives of one expression that are followed apart; beyond, what is known so far is kept and the rest left open.
 MOST_ALTERNATIVES = 64
-#: Sums of this many lengths are taken in one step.
-CHUNK = 128
+#: The least number of items in a chunk of a fold.
+CHUNK = 64
+#: Characters of the blocks that a redacted text is cut into.
+BLOCK = 1024
+SPAN = "struct<start:int,rank:int,end:int>"
+KEPT = "struct<first:int,stop:int>"
 
 
 @dataclass(frozen=True)
@@ -112,15 +116,35 @@ def candidates(postings: DataFrame, queries: dict[str, list[frozenset[str]]]) ->
     return met.filter("bits = full").groupBy("text_hash").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
 
 
-def _starts(pieces: str) -> Column:
-    """Where each match of a piece list (gap, len) begins: sums of what is before it, in chunks, so the cost stays near linear."""
-    total = "aggregate(slice({0}, {1}, {2}), 0, (a, b) -> a + b.gap + b.len)"
-    inside = total.format(pieces, f"c * {CHUNK} + 1", "j")
-    before = total.format(pieces, "1", f"c * {CHUNK}")
-    return F.expr(
-        f"flatten(transform(transform(sequence(0, (size({pieces}) - 1) div {CHUNK}), c -> struct(cast(c as int) AS c, {before.replace('c *', 'cast(c as int) *')} AS base)),"
-        f" s -> transform(slice({pieces}, s.c * {CHUNK} + 1, {CHUNK}), (p, j) -> s.base + {inside.replace('c *', 's.c *')} + p.gap)))"
-    )
+def _pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """The column computed once for each row. A projection may be folded into every use, so that inside a lambda it runs anew for each element."""
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def _folded(items: Column, start: Column, step, out: str) -> Column:
+    """The array that a fold over items makes, item by item. ``step`` gives (place carried on, new elements) from (place, item).
+
+    Spark copies a fold's state at every step. So items are folded in chunks of about the square root of their number, and what finished
+    chunks made lies in the state of an outer fold, which is copied once a chunk: copies grow with the power 1.5 of the items.
+    """
+    empty = F.array().cast(f"array<{out}>")
+
+    def chunk(state: Column, part: Column) -> Column:
+        def inner(s: Column, item: Column) -> Column:
+            at, new = step(s["at"], item)
+            return F.struct(at.alias("at"), F.concat(s["out"], new).alias("out"))
+
+        def close(s: Column) -> Column:
+            return F.struct(s["at"].alias("at"), F.concat(state["kept"], F.array(s["out"])).alias("kept"))
+
+        return F.aggregate(part, F.struct(state["at"].alias("at"), empty.alias("out")), inner, close)
+
+    n = F.size(items)
+    size = F.greatest(F.lit(CHUNK), F.ceil(F.sqrt(n)).cast("int"))
+    chunks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda c: F.slice(items, c * size + 1, size)))
+    chunks = chunks.otherwise(F.array(F.slice(items, 1, 0)))
+    begin = F.struct(start.alias("at"), F.array().cast(f"array<array<{out}>>").alias("kept"))
+    return F.aggregate(chunks, begin, chunk, lambda state: F.flatten(state["kept"]))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, text: str = "text", column: str = "spans") -> DataFrame:
@@ -128,7 +152,6 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, tex
     queries = {rule.kind: trigram_query(rule.pattern) for rule in rules}
     limited = {kind: sets for kind, sets in queries.items() if sets is not None}
     own = free_name(docs, "_s")
-    name = lambda part, rule: f"{own}_{part}_{rule.kind}"
     rows = docs.withColumns({f"{own}_text": F.coalesce(F.col(text), F.lit("")), f"{own}_hash": F.xxhash64(text)})
     if limited:
         trigrams = sorted({t for sets in limited.values() for s in sets for t in s})
@@ -137,28 +160,35 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, tex
         rows = rows.join(found, F.col(f"{own}_hash") == F.col(f"{own}_key"), "left")
     body = F.col(f"{own}_text")
     none = F.array().cast("array<string>")
-    for rule in rules:
+
+    def matches(rule: Rule) -> Column:
         every = F.regexp_extract_all(body, F.lit(rule.pattern), F.lit(0))
         if rule.kind in limited:
             every = F.when(F.coalesce(F.array_contains(f"{own}_kinds", rule.kind), F.lit(False)), every).otherwise(none)
-        rows = rows.withColumn(name("m", rule), every)
-    for rule in rules:
-        found = F.size(name("m", rule)) > 0
-        values = F.regexp_extract_all(body, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else F.col(name("m", rule))
-        gaps = F.when(found, F.split(body, rule.pattern, -1)).otherwise(none)
-        rows = rows.withColumns({name("g", rule): gaps, name("v", rule): F.when(found, values).otherwise(none)})
-    for rule in rules:
-        m, g, v = (name(x, rule) for x in "mgv")
-        pieces = f"transform({m}, (m, i) -> named_struct('gap', length({g}[i]), 'len', length(m), 'ok', length({v}[i]) >= {rule.least}))"
-        rows = rows.withColumn(name("p", rule), F.expr(pieces))
-    kind = "array<struct<start:int,rank:int,end:int>>"
-    parts = []
-    for rank, rule in enumerate(rules):
-        p = name("p", rule)
-        rows = rows.withColumn(name("a", rule), F.when(F.size(p) > 0, _starts(p)).otherwise(F.array().cast("array<int>")))
-        a = name("a", rule)
-        parts.append(f"cast(transform(filter(transform({p}, (p, i) -> named_struct('ok', p.ok, 'start', {a}[i], 'end', {a}[i] + p.len)), x -> x.ok), x -> named_struct('start', x.start, 'rank', {rank}, 'end', x.end)) as {kind})")
-    rows = rows.withColumn(f"{own}_spans", F.expr(f"sort_array(concat({', '.join(parts)}))"))
+        return every.alias(rule.kind)
+
+    rows = _pinned(rows, f"{own}_m", F.struct(*[matches(rule) for rule in rules]))
+
+    def pieces(rule: Rule) -> Column:
+        """The gap before each match, its length, and whether its value is long enough."""
+        found = F.col(f"{own}_m")[rule.kind]
+        values = F.regexp_extract_all(body, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
+        zipped = F.arrays_zip(found.alias("m"), F.slice(F.split(body, rule.pattern, -1), F.lit(1), F.size(found)).alias("g"), values.alias("v"))
+        shown = lambda x: F.struct(F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("len"), (F.length(x["v"]) >= rule.least).alias("ok"))
+        empty = F.array().cast("array<struct<gap:int,len:int,ok:boolean>>")
+        return F.when(F.size(found) > 0, F.transform(zipped, shown)).otherwise(empty).alias(rule.kind)
+
+    rows = _pinned(rows.drop(f"{own}_kinds"), f"{own}_p", F.struct(*[pieces(rule) for rule in rules]))
+
+    def spans(rank: int, rule: Rule) -> Column:
+        def step(at: Column, piece: Column) -> tuple[Column, Column]:
+            start = at + piece["gap"]
+            span = F.struct(start, F.lit(rank), start + piece["len"]).cast(SPAN)
+            return start + piece["len"], F.when(piece["ok"], F.array(span)).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+        return _folded(F.col(f"{own}_p")[rule.kind], F.lit(0), step, SPAN)
+
+    rows = _pinned(rows, f"{own}_spans", F.sort_array(F.concat(*[spans(rank, rule) for rank, rule in enumerate(rules)])))
     return rows.select(*[F.col(c) for c in docs.columns if c != column], F.col(f"{own}_spans").alias(column))
 
 
@@ -178,11 +208,27 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES,
     """docs with every run of overlapping spans replaced by the mark. Other columns, and texts without spans, stay."""
     spans = free_name(docs, "_spans")
     found = scan(docs, rules, text, spans)
-    name = f"`{text}`"
-    cut = (
-        f"aggregate({spans}, named_struct('at', 0, 'out', ''), (a, s) -> CASE WHEN s.start >= a.at THEN named_struct('at', s.end,"
-        f" 'out', concat(a.out, substring({name}, a.at + 1, s.start - a.at), '{mark}'))"
-        f" ELSE named_struct('at', greatest(a.at, s.end), 'out', a.out) END, a -> concat(a.out, substring({name}, a.at + 1)))"
-    )
-    cleaned = F.when(F.size(spans) > 0, F.expr(cut)).otherwise(F.col(text))
-    return found.select(*[cleaned.alias(c) if c == text else F.col(c) for c in docs.columns])
+    own = free_name(found, "_r")
+    body = F.col(f"`{text}`")
+
+    def step(at: Column, span: Column) -> tuple[Column, Column]:
+        """Keep what lies before a span that begins behind all spans so far."""
+        apart = span["start"] >= at
+        kept = F.when(apart, F.array(F.struct(at, span["start"]).cast(KEPT))).otherwise(F.array().cast(f"array<{KEPT}>"))
+        return F.greatest(at, span["end"]), kept
+
+    between = _folded(F.col(spans), F.lit(0), step, KEPT)
+    last = F.struct(F.array_max(F.transform(spans, lambda s: s["end"])), F.length(body)).cast(KEPT)
+    marked = F.size(spans) > 0
+    rows = _pinned(found, f"{own}_kept", F.when(marked, F.concat(between, F.array(last))))
+    # A substring counts from the text's start; blocks are cut once, and a piece is taken from its blocks.
+    rows = _pinned(rows, f"{own}_blocks", F.when(marked, F.regexp_extract_all(body, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
+
+    def piece(p: Column) -> Column:
+        first = F.floor(p["first"] / BLOCK).cast("int")
+        blocks = F.slice(f"{own}_blocks", first + 1, F.floor((p["stop"] - 1) / BLOCK).cast("int") - first + 1)
+        cut = F.substring(F.array_join(blocks, ""), p["first"] - first * BLOCK + 1, p["stop"] - p["first"])
+        return F.when(p["stop"] > p["first"], cut).otherwise("")
+
+    cleaned = F.when(marked, F.array_join(F.transform(f"{own}_kept", piece), mark)).otherwise(body)
+    return rows.select(*[cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

@@ -72,6 +72,28 @@ def test_empty_table_and_rules_without_trigrams(spark):
     assert [tuple(s) for s in secrets.scan(df, secrets.BASE_RULES[2:]).first().spans] == [(0, 0, 40)]
 
 
+def test_very_many_matches_in_one_text(spark):
+    """Twenty thousand and a hundred thousand keys: the time follows their number."""
+    import time
+
+    key, took = "0123456789abcdef" * 2, {}
+    for n in (20_000, 100_000):
+        text = "".join(f"é{key} token=abcdefgh{i % 10} " if i % 2 else key + "\n" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        started = time.time()
+        (row,) = secrets.scan(df).collect()
+        assert [tuple(s) for s in row.spans] == slow(text)
+        clean = secrets.redacted(df).first().text
+        took[n] = time.time() - started
+        assert clean.count("[SECRET]") == n + n // 2 and key not in clean
+    assert took[100_000] < 8 * took[20_000] + 5 and took[100_000] < 60
+
+
+def test_redaction_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "BLOCK", 7)
+    test_redaction(spark)
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "f" * 40)], "doc_id long, text string")
     plan = secrets.redacted(df)._jdf.queryExecution().executedPlan().toString()
