@@ -1,8 +1,8 @@
 """Sequence packing: first-fit decreasing with a tournament tree of bin capacities, in randomised groups of documents.
 
 A document's ids are those of its text and the end id. It is cut into pieces of ``capacity`` ids and a rest. Pieces are dealt into
-groups by a seeded hash of their document and of each run of 512 pieces in it, so one long document, or one id that repeats,
-does not make a group large. Each group is packed by itself: longest piece first, each into the first sequence with room for it. A tree
+groups by a seeded hash of their document's row and of each run of 512 pieces in it, so neither one long document nor rows that
+repeat make a group large. (The row's number is written with the pieces. It follows the input's partitions, and so do the groups.) Each group is packed by itself: longest piece first, each into the first sequence with room for it. A tree
 whose nodes hold the most room below them finds that sequence in logarithmic time.
 
 Only (document, start, length, checksum) is shuffled; the ids stay where they were made. ``sequence_id`` is the group's number times
@@ -64,9 +64,9 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens) of every piece of every document."""
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    schema = source.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("start", "length", "ids_crc32", "doc_tokens")]).schema
+    """(doc_id, row, start, length, ids_crc32, doc_tokens) of every piece of every document; row numbers the documents."""
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    schema = source.select("doc_id", "row", *[F.lit(0).cast("long").alias(c) for c in ("start", "length", "ids_crc32", "doc_tokens")]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer)
@@ -83,8 +83,8 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
                         length.append(len(piece))
                         crc.append(zlib.crc32(piece.tobytes()))
                         total.append(len(ids))
-                own = batch.column(0).take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([own, *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                own = [batch.column(c).take(pa.array(rows, pa.int64())) for c in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], names=["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens"])
 
     return source.mapInArrow(run, schema)
 
@@ -94,13 +94,13 @@ def pack(found: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_P
     found = written(found, "pieces")
     groups = max(1, round(found.count() / group_pieces))
     run_of = F.floor(F.col("start") / F.lit(RUN_PIECES * capacity))
-    dealt = found.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), run_of, "ids_crc32"), F.lit(groups)))
+    dealt = found.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "row", run_of), F.lit(groups)))
     added = {c: F.lit(0).cast("long") for c in ("sequence_id", "offset", "sequence_tokens", "padded_tokens")}
-    schema = found.withColumns(added).schema
+    schema = found.drop("row").withColumns(added).schema
 
     def run(table: pa.Table) -> pa.Table:
         group = table.column("_group")[0].as_py()
-        table = table.drop_columns(["_group"]).sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        table = table.drop_columns(["_group", "row"]).sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         sizes = table.column("length").to_numpy()
         bins, offsets = first_fit_decreasing(sizes, capacity)
         filled = np.bincount(bins, weights=sizes).astype(np.int64)

@@ -1,5 +1,6 @@
 """Token ids, packing and record files against the library and brute force."""
 
+import collections
 import random
 import zlib
 from collections import defaultdict
@@ -128,3 +129,13 @@ def test_damaged_record_files(spark, tmp_path):
 
 def test_records_of_an_empty_table(spark):
     assert records.round_trip(docs(spark)[1].limit(0), PATH).collect() == []
+
+
+def test_equal_rows_spread_over_groups(spark):
+    """Half of the rows are one row: no group is much larger than the others, and each piece is placed once."""
+    rows = [(None, None)] * 4_000 + [(7, "the same text")] * 1_000 + [(i, f"text {i}") for i in range(3_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = packing.pack(packing.pieces(df, PATH, capacity=16), capacity=16, group_pieces=200).select("doc_id", "sequence_id", "offset", "length").collect()
+    assert len(found) == 8_000 and len({(r.sequence_id, r.offset) for r in found}) == 8_000
+    sizes = collections.Counter(r.sequence_id >> 32 for r in found)
+    assert len(sizes) >= 38 and max(sizes.values()) < 300
