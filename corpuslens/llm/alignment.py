@@ -18,7 +18,6 @@ characters, where no piece of B reaches across (checked in its vocabulary) and A
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 import sys
 from collections.abc import Iterator
@@ -36,18 +35,9 @@ KEPT_WINDOWS = 300_000
 LONGEST_WINDOW = 64
 #: Characters that are encoded at once.
 PART = 2_000_000
-#: The fixed pattern that byte-level vocabularies split texts by before their merges.
-BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)")
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the rest from 256 on, in order."""
-    printable = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    rest = [b for b in range(256) if b not in set(printable)]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Side:
     """One vocabulary: ids of texts, and the bytes of each id."""
 
@@ -58,39 +48,25 @@ class Side:
 
 
 def byte_level_side(path: str) -> Side:
-    """The ids of each text with a blank before it.
-
-    Where the merges stand in the order of their ids, the ids are ranks, and tiktoken encodes; else, and for a text that its pattern
-    can't take (a million blanks in a row), the tokenizers library does.
-    """
+    """The ids of each text with a blank before it, by ranks where the vocabulary has them."""
     from tokenizers import Tokenizer
 
-    library, alphabet = Tokenizer.from_file(path), byte_alphabet()
+    library, alphabet = Tokenizer.from_file(path), tokens.byte_alphabet()
     library.encode_special_tokens = True
     vocabulary, special = library.get_vocab(), library.get_added_tokens_decoder()
     names = [""] * (max(vocabulary.values()) + 1)
     for token, i in vocabulary.items():
         names[i] = token
     token_bytes = [name.encode() if i in special else bytes(alphabet[c] for c in name) for i, name in enumerate(names)]
+    fast = tokens.rank_encoder(library)
 
     def one(text: str) -> list[int]:
-        return library.encode(text, add_special_tokens=False).ids
-
-    model = json.loads(library.to_str())
-    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["model"]["merges"]]
-    ordered = all(vocabulary[left] < vocabulary[right] for left, right in zip(merged, merged[1:]))
-    first = model["pre_tokenizer"] or {}
-    if ordered and model["normalizer"] is None and first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space"):
-        import tiktoken
-
-        ranks = {raw: i for i, raw in enumerate(token_bytes) if i not in special and raw}
-        fast = tiktoken.Encoding("own", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-        def one(text: str) -> list[int]:
+        if fast is not None:
             try:
                 return fast.encode_ordinary(text)
-            except ValueError:
-                return library.encode(text, add_special_tokens=False).ids
+            except ValueError:  # a text that the pattern can't take, such as a million blanks in a row
+                pass
+        return library.encode(text, add_special_tokens=False).ids
 
     return Side(lambda texts: [np.array(one(" " + t), np.int64) for t in texts], token_bytes)
 

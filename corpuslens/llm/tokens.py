@@ -1,12 +1,16 @@
 """Token ids of many texts with a public tokenizer, for use in tasks.
 
-The tokenizers library encodes each distinct piece between blanks once; its ids are kept in a table of bounded size. A byte-level
+Where a byte-level BPE's merges stand in the order of their ids, the ids are ranks, and tiktoken encodes the texts. Texts with the
+string of a special token, and those its pattern can't take (a million blanks in a row), go to the tokenizers library.
+
+For other vocabularies, the library encodes each distinct piece between blanks once; its ids are kept in a table of bounded size. A byte-level
 BPE splits a text before its merges, and never inside "non-blank, blank, non-blank" but before the blank, so the ids of a text are
 those of its pieces, each with its leading blank. Texts with a blank inside or at the end of longer white space are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 
@@ -26,6 +30,35 @@ KEPT_PIECES = 1_000_000
 LONGEST_PIECE = 64
 
 
+#: The fixed pattern that byte-level vocabularies split texts by before their merges.
+BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the rest from 256 on, in order."""
+    printable = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    rest = [b for b in range(256) if b not in set(printable)]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def rank_encoder(library):
+    """tiktoken's encoder of a tokenizers library's byte-level vocabulary without its special tokens; None where ids are no ranks."""
+    model = json.loads(library.to_str())
+    first = model["pre_tokenizer"] or {}
+    if model["normalizer"] is not None or first.get("type") != "ByteLevel" or not first.get("use_regex") or first.get("add_prefix_space"):
+        return None
+    vocabulary, special, alphabet = library.get_vocab(), library.get_added_tokens_decoder(), byte_alphabet()
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["model"]["merges"]]
+    if not merged or any(vocabulary[left] >= vocabulary[right] for left, right in zip(merged, merged[1:])):
+        return None
+    ranks = {bytes(alphabet[c] for c in token): i for token, i in vocabulary.items() if i not in special}
+    if len(ranks) != len(merged) + 256 or not all(bytes([b]) in ranks for b in range(256)):
+        return None
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
     """Ids of texts as unsigned 32-bit arrays, equal to the library's for each whole text."""
 
@@ -36,6 +69,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.fast = rank_encoder(self.library)
+        self.special = [token.content for token in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         special = set(self.library.get_added_tokens_decoder())
@@ -79,8 +114,18 @@ class Encoder:
             found[piece] = (found.get(core) or self.known[core]) + self.marks[marks]
         return found
 
+    def _ranked(self, text: str) -> list[int]:
+        if not any(token in text for token in self.special):
+            try:
+                return self.fast.encode_ordinary(text)
+            except ValueError:
+                pass
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One array for each text."""
+        if self.fast is not None:
+            return [np.array(self._ranked(text), np.uint32) for text in texts]
         whole = [i for i, text in enumerate(texts) if RUN.search(text)]
         cut = [[""] if RUN.search(text) else text.split(" ") for text in texts]
         starts = dict(zip(whole, self._library([texts[i] for i in whole])))

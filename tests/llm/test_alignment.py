@@ -8,13 +8,13 @@ import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from corpuslens.llm import alignment
+from corpuslens.llm import alignment, tokens
 from corpuslens.llm.queries import tokenizer
 
 A, B = tokenizer(), tokenizer("piece_bpe_32k.model")
 LIBRARY_A, LIBRARY_B = Tokenizer.from_file(A), SentencePieceProcessor(model_file=B)
 LIBRARY_A.encode_special_tokens = True
-ALPHABET = alignment.byte_alphabet()
+ALPHABET = tokens.byte_alphabet()
 ODD = [
     None, "", " ", "a", "a  b", " lead", "trail ", "\n\n x\t y ", "▁x y", "<|endoftext|> and <s>", "日本 語 𝒳é", "é ﬁ ①", "​   　", "no-blanks" * 300,
     "x" * 5000, "café naïve  \r\n end", "'s it's '' \"", "0123 4567 89", "\x00 \x1f", "<0x41> <unk>",
