@@ -71,8 +71,11 @@ def redacted_errors(spark, sf_dir):
     return history.rewrite_count(history.redacted_history(df))
 
 
-PAYLOAD = """CASE event_id % 4
-  WHEN 0 THEN '{"token":"t' || event_id || '","k":' || event_id || ',"n":{"token":1,"a":[1,2]},"p":' || props || '}'
+# Digits beyond any number type, a trailing zero, key order and white space: all must stay as they are.
+_BEFORE = '{"z": 1.10,"n":{"token":1,"a":[1, 2]}'
+_AFTER = '"big":12345678901234567890123456789012345678901234 , "p":'
+PAYLOAD = f"""CASE event_id % 4
+  WHEN 0 THEN '{_BEFORE} , "token" : "t' || event_id || '", {_AFTER}' || props || ' }}'
   WHEN 1 THEN props WHEN 2 THEN 'not json ' || event_id || props ELSE '["token",' || props || ']' END"""
 
 
@@ -80,7 +83,7 @@ PAYLOAD = """CASE event_id % 4
     "s2_scrub_payload",
     f"""
 WITH t AS (SELECT event_id, props, {PAYLOAD} AS payload FROM events)
-SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '{{"k":' || event_id || ',"n":{{"a":[1,2],"token":1}},"p":' || replace(props, ' ', '') || '}}' ELSE payload END AS request_payload,
+SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '{_BEFORE} , {_AFTER}' || props || ' }}' ELSE payload END AS request_payload,
   event_id % 4 = 0 AS rewritten FROM t""",
 )
 def scrub_payload(spark, sf_dir):
@@ -105,6 +108,20 @@ def scrub_history(spark, sf_dir):
     )
 
 
+@query(
+    "r3_lossless_history",
+    """
+SELECT event_id, '{ "v": ' || event_id || repeat('7', 40) || '.10, "p": ' || props || ' }' AS request_payload, true AS rewritten FROM events""",
+)
+def lossless_history(spark, sf_dir):
+    """Numbers longer than any type and the white space of rewritten payloads stay as they are."""
+    df = table(spark, sf_dir, "events").selectExpr(
+        "event_id",
+        """'{ "v": ' || event_id || repeat('7', 40) || '.10, "token":"' || event_type || '", "p": ' || props || ' }' AS request_payload""",
+    )
+    return history.scrubbed_history(df)
+
+
 @query(
     "s12_safe_arrays",
     """

@@ -1,6 +1,8 @@
 """Scalar columns against golden pairs; each test evaluates all of its pairs in one job."""
 
 import datetime
+import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +55,50 @@ def test_scrub_payload(spark):
     check(spark, lambda c: fn.payload_has_key(c, "token"), [(v, i == 0) for i, (v, _) in enumerate(pairs)])
 
 
+def test_scrubbing_cuts_only_the_member(spark):
+    big = "12345678901234567890123456789012345678901234"
+    pairs = [
+        ('{ "token" : "x" , "a": ' + big + ',  "b":1.10 }', '{ "a": ' + big + ',  "b":1.10 }'),
+        ('{"b": 1.10, "token": {"token": [1, "}"]} , "a":2}', '{"b": 1.10, "a":2}'),
+        ('{"a": 1e3,\n "token": 2\n}', '{"a": 1e3\n}'),
+        ('{"token":1,"token":2,"a":3}', '{"a":3}'),
+        ('{"token":1,"a":3,"token":2}', '{"a":3}'),
+        (' {"token": null} ', " {} "),
+        ('{"to\\u006ben":1,"é,{":"\\"token\\": 5"}', '{"é,{":"\\"token\\": 5"}'),
+        ('{"a":"token","n":[{"token":1}]}', '{"a":"token","n":[{"token":1}]}'),
+        ('{"token":1} x', '{"token":1} x'),
+        ('{"token":1}{"token":2}', '{"token":1}{"token":2}'),
+        ("{'token':1}", "{'token':1}"),
+        ('{"token":1,}', '{"token":1,}'),
+        ('{"token":"' + "x\\n" * 50_000 + '","a":"' + "é" * 50_000 + '"}', '{"a":"' + "é" * 50_000 + '"}'),
+        ("{}", "{}"),
+        ("", ""),
+    ]
+    check(spark, fn.scrub_payload, pairs)
+    check(spark, lambda c: fn.payload_has_key(c, "token"), [(v, v != kept) for v, kept in pairs])
+
+
+def test_scrubbing_equals_a_parser(spark):
+    rng = random.Random(5)
+
+    def value(depth):
+        kind = rng.randrange(6 if depth else 4)
+        if kind > 3:
+            members = [value(depth - 1) for _ in range(rng.randrange(4))]
+            return members if kind == 4 else {rng.choice(["token", "a", 'q"', "b\\"]): m for m in members}
+        return [rng.randrange(99), None, rng.choice(["", "token", '"},{', "é\n"]), 1.5][kind]
+
+    texts = []
+    for _ in range(300):
+        keys = rng.sample(["token", "a", 'x"y', "to", "é", "tokens"], rng.randrange(6))
+        texts.append(json.dumps({k: value(3) for k in keys}, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5))
+    for text, kept in zip(texts, evaluate(spark, fn.scrub_payload, texts)):
+        expected = [(k, v) for k, v in json.loads(text).items() if k != "token"]
+        assert list(json.loads(kept).items()) == expected
+        if '"token"' not in text:
+            assert kept == text
+
+
 def test_languages(spark):
     check(spark, fn.reporting_language, [
         ("app.py", "python"), ("Main.java", "java"), ("solver.jl", "julia"), ("README.md", None),
