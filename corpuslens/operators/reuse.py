@@ -47,10 +47,23 @@ def reuse(
     ``generator`` (U1) is a column over the item, tried where both look-ups miss; with none such items keep
     a null value and source. Both look-up sides hold one row per key, so items never multiply.
     """
-    found_by = {"_exact": [*scope, *exact_key], "_fuzzy": [*scope, *fuzzy_key]}
-    exact, fuzzy = (
-        newest_suggestion(suggestions, keys, value).select(*keys, F.col(value).alias(name)) for name, keys in found_by.items()
-    )
+    exact, fuzzy = (newest_suggestion(suggestions, [*scope, *keys], value) for keys in (exact_key, fuzzy_key))
+    return reuse_from(missing, exact, fuzzy, exact_key, fuzzy_key, scope, value, generator)
+
+
+def reuse_from(
+    missing: DataFrame,
+    exact: DataFrame,
+    fuzzy: DataFrame,
+    exact_key: list[str] = EXACT_KEY,
+    fuzzy_key: list[str] = FUZZY_KEY,
+    scope: list[str] = SCOPE,
+    value: str = "generated_docstring",
+    generator: Column | None = None,
+) -> DataFrame:
+    """J1/J2 with look-up tables that are at hand: each holds one row with a value per key."""
+    exact = exact.select(*scope, *exact_key, F.col(value).alias("_exact"))
+    fuzzy = fuzzy.select(*scope, *fuzzy_key, F.col(value).alias("_fuzzy"))
     found = missing.join(exact, [*scope, *exact_key], "left").join(fuzzy, [*scope, *fuzzy_key], "left")
     generated = F.lit(None).cast("string") if generator is None else F.nullif(generator, F.lit(""))
     return found.withColumns(

@@ -111,13 +111,13 @@ def scrub_history(spark, sf_dir):
 @query(
     "r3_lossless_history",
     """
-SELECT event_id, '{ "v": ' || event_id || repeat('7', 40) || '.10, "p": ' || props || ' }' AS request_payload, true AS rewritten FROM events""",
+SELECT event_id, '{ "v": 1' || event_id || repeat('7', 40) || '.10, "p": ' || props || ' }' AS request_payload, true AS rewritten FROM events""",
 )
 def lossless_history(spark, sf_dir):
     """Numbers longer than any type and the white space of rewritten payloads stay as they are."""
     df = table(spark, sf_dir, "events").selectExpr(
         "event_id",
-        """'{ "v": ' || event_id || repeat('7', 40) || '.10, "token":"' || event_type || '", "p": ' || props || ' }' AS request_payload""",
+        """'{ "v": 1' || event_id || repeat('7', 40) || '.10, "token":"' || event_type || '", "p": ' || props || ' }' AS request_payload""",
     )
     return history.scrubbed_history(df)
 

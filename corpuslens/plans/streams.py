@@ -17,7 +17,7 @@ from corpuslens.plans.registry import query
 from corpuslens.plans.reuse import _EXACT, _FUZZY, _MISSING, _NEWEST, _SUGGESTIONS, suggestions
 from corpuslens.plans.runs import LIFECYCLE_SQL, lifecycle_events
 from corpuslens.session import scratch_path, table
-from corpuslens.streaming.incremental import append_new_work
+from corpuslens.streaming.incremental import append_unanswered, maintain_index
 from corpuslens.streaming.lifecycle import lifecycle_stream
 from corpuslens.streaming.limiter import rate_limited_stream
 from corpuslens.streaming.redaction import redacted_stream
@@ -49,6 +49,14 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns(zoneless) if zoneless else df
 
 
+def drain_batches(stream: DataFrame, handle, checkpoint: str) -> None:
+    """All available input through a ``foreachBatch`` function."""
+    started = (
+        stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    started.awaitTermination()
+
+
 def run_to_parquet(stream: DataFrame, label: str) -> DataFrame:
     """All available input through a stream into Parquet, read back."""
     spark = stream.sparkSession
@@ -149,20 +157,18 @@ SELECT m.doc_id FROM m LEFT JOIN {_NEWEST.format(keys=_EXACT)} e USING ({_EXACT}
 WHERE e.generated_docstring IS NULL AND f.generated_docstring IS NULL""",
 )
 def incremental_work(spark, sf_dir):
-    """ST4: items of a stream that no stored suggestion answers, appended to the work table."""
+    """ST4: items of a stream that the suggestion index does not answer; a stream of suggestions, a run per micro-batch, keeps the index."""
     base = scratch_path(spark, "st4")
-    suggestions(spark, sf_dir).write.parquet(f"{base}/suggestions")
+    rows = suggestions(spark, sf_dir)
+    for run in ("app_2", "app_0", "app_3", "app_1"):  # runs may come in any order; each is a micro-batch
+        rows.filter(F.col("run_id") == run).write.mode("append").parquet(f"{base}/suggestions")
+        known = spark.readStream.schema(rows.schema).parquet(f"{base}/suggestions")
+        drain_batches(known, maintain_index(f"{base}/index"), f"{base}/index_checkpoint")
     items = table_stream(spark, sf_dir, "documents").selectExpr(
         "doc_id", "'o/r' AS repo_path", "'main' AS branch", "source AS file_path",
         "'f' || (n_chars % 40) AS function_name",
         "CASE WHEN doc_id % 4 = 0 THEN 'class' ELSE 'function' END AS block_type",
         "CAST((n_chars + doc_id % 2) % 200 AS INT) AS line_number", "lang AS language",
     )
-    started = (
-        items.writeStream.foreachBatch(append_new_work(f"{base}/suggestions", f"{base}/work"))
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    started.awaitTermination()
+    drain_batches(items, append_unanswered(f"{base}/index", f"{base}/work"), f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/work").select("doc_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpuslens import fixed_values as fixed
 from corpuslens.operators import history, limiter
-from corpuslens.streaming.incremental import append_new_work
+from corpuslens.streaming.incremental import append_new_work, append_unanswered, index_versions, maintain_index, new_work, read_index, unanswered
 from corpuslens.streaming.lifecycle import lifecycle_stream
 from corpuslens.streaming.limiter import rate_limited_stream
 from corpuslens.streaming.redaction import redacted_stream
@@ -142,3 +142,79 @@ def test_stream_redaction_and_incremental_work(spark, tmp_path):
     query.awaitTermination()
     handle(items, 0)  # a replayed batch replaces its own output
     assert [r.function_name for r in spark.read.parquet(str(tmp_path / "work")).collect()] == ["g"]
+
+
+ITEM = "repo_path string, branch string, file_path string, function_name string, block_type string, line_number int, language string"
+KNOWN = ITEM + ", run_id string, pos int, generated_docstring string"
+
+
+def known_rows(rng, run, n):
+    """Suggestions of one run: repeated keys, null and empty values among them."""
+    values = ["", None, "d"]
+    return [
+        ("r", rng.choice(["main", "dev"]), "a.py", f"f{rng.randrange(12)}", "function", rng.randrange(3), "python", run, i,
+         v and f"{v}{run}{i}" if (v := rng.choice(values)) else v)
+        for i in range(n)
+    ]
+
+
+def test_index_holds_the_newest_run_of_each_key(spark, tmp_path):
+    rng, index = random.Random(9), str(tmp_path / "index")
+    batches = [known_rows(rng, run, 25) for run in ("app_3", "app_1", "app_2")]
+    handle = maintain_index(index)
+    for number, rows in enumerate(batches):
+        handle(spark.createDataFrame(rows, KNOWN), number)
+    assert index_versions(index) == [0, 1, 2]
+    best = {}
+    for row in (r for rows in batches for r in rows if r[-1]):
+        for name, key in (("exact", row[:7]), ("fuzzy", row[:5] + row[6:7])):
+            old = best.setdefault(name, {}).get(key)
+            if old is None or (row[7], -row[8]) > (old[7], -old[8]):
+                best[name][key] = row
+    for name, table in read_index(spark, index, 2).items():
+        assert sorted(r.generated_docstring for r in table.collect()) == sorted(r[-1] for r in best[name].values()), name
+        assert table.count() == len(best[name])
+
+    # A replay of the last micro-batch merges into the version before it again, and nothing changes.
+    before = {name: sorted(table.collect()) for name, table in read_index(spark, index, 2).items()}
+    handle(spark.createDataFrame(batches[2], KNOWN), 2)
+    spark.catalog.clearCache()
+    assert {name: sorted(table.collect()) for name, table in read_index(spark, index, 2).items()} == before
+
+    # A version whose marker was never written does not count.
+    (tmp_path / "index" / "v=7" / "exact").mkdir(parents=True)
+    assert index_versions(index)[-1] == 2
+
+
+def test_work_reads_the_index_alone_and_replays_change_nothing(spark, tmp_path):
+    rng, index, work = random.Random(4), str(tmp_path / "index"), str(tmp_path / "work")
+    items = spark.createDataFrame(
+        [("r", b, "a.py", f"f{i}", "function", 1, "python") for i in range(15) for b in ("main", "dev", None)], ITEM
+    )
+    handle = append_unanswered(index, work)
+    handle(items, 0)  # no version yet: everything is work
+    assert spark.read.parquet(f"{work}/batch_id=0").count() == items.count()
+
+    rows = known_rows(rng, "app_1", 30)
+    known = spark.createDataFrame(rows, KNOWN)
+    maintain_index(index)(known, 0)
+    handle(items, 1)
+    expected = sorted(map(str, new_work(items, known).collect()))
+    assert 0 < len(expected) < items.count()
+    assert sorted(map(str, spark.read.parquet(f"{work}/batch_id=1").collect())) == expected
+
+    # The index moves on, so that all named items are answered; replays still read the versions they began with.
+    more = [("r", b, "a.py", f"f{i}", "function", 9, "python", "app_2", i, "d") for i in range(15) for b in ("main", "dev")]
+    maintain_index(index)(spark.createDataFrame(more, KNOWN), 1)
+    handle(items, 0)
+    handle(items, 1)
+    assert spark.read.parquet(f"{work}/batch_id=0").count() == items.count()
+    assert sorted(map(str, spark.read.parquet(f"{work}/batch_id=1").collect())) == expected
+    handle(items, 2)
+    assert {r.branch for r in spark.read.parquet(f"{work}/batch_id=2").collect()} == {None}
+
+    items.write.parquet(str(tmp_path / "items"))
+    answered = unanswered(spark.read.parquet(str(tmp_path / "items")), read_index(spark, index, 1))
+    assert {path.split(str(tmp_path))[1].rsplit("/", 1)[0] for path in answered.inputFiles()} == {"/items", "/index/v=1/exact", "/index/v=1/fuzzy"}
+    plan = answered._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 4 and "SortMergeJoin" not in plan and "Window" not in plan
