@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpuslens.operators import history, limiter
 
@@ -18,6 +18,7 @@ from corpuslens.plans.reuse import _EXACT, _FUZZY, _MISSING, _NEWEST, _SUGGESTIO
 from corpuslens.plans.runs import LIFECYCLE_SQL, lifecycle_events
 from corpuslens.session import scratch_path, table
 from corpuslens.streaming.incremental import append_unanswered, maintain_index
+from corpuslens.streaming.lateness import late_counts, split_late
 from corpuslens.streaming.lifecycle import lifecycle_stream
 from corpuslens.streaming.limiter import rate_limited_stream
 from corpuslens.streaming.redaction import redacted_stream
@@ -25,6 +26,7 @@ from corpuslens.streaming.redaction import redacted_stream
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 WINDOW, LIMIT = 86_400, 2
+LATENESS = "10 minutes"
 
 
 @contextmanager
@@ -61,14 +63,26 @@ def run_to_parquet(stream: DataFrame, label: str) -> DataFrame:
     """All available input through a stream into Parquet, read back."""
     spark = stream.sparkSession
     base = scratch_path(spark, label)
-    started = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{base}/out")
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    started.awaitTermination()
+    _run_into(stream, base)
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def _run_into(stream: DataFrame, base: str) -> None:
+    """One run of a stream; tagged late rows get files of their own."""
+    writer = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+    if "late" in stream.columns:
+        writer = writer.partitionBy("late")
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def run_in_two_parts(rows: DataFrame, first: Column, label: str, operator) -> DataFrame:
+    """Rows through a stream in two micro-batches, so that the second meets the watermark of the first."""
+    spark = rows.sparkSession
+    base = scratch_path(spark, label)
+    for part in (first, ~first):
+        rows.filter(part).write.mode("append").parquet(f"{base}/in")
+        stream = operator(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+        _run_into(stream, base)
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
@@ -101,8 +115,46 @@ def rate_limit(spark, sf_dir):
 def rate_limit_stream(spark, sf_dir):
     """ST1 as a stream with keyed state."""
     with rocksdb_state(spark):
-        stream = rate_limited_stream(_requests(table_stream(spark, sf_dir, "events")), LIMIT, WINDOW)
-        return run_to_parquet(stream, "st1")
+        stream = rate_limited_stream(_requests(table_stream(spark, sf_dir, "events")), LIMIT, WINDOW, lateness=LATENESS)
+        return split_late(run_to_parquet(stream, "st1"))[0]
+
+
+# The watermark of the second micro-batch: ten minutes behind the newest row of the first, in whole milliseconds.
+_LATE_SQL = """
+WITH m AS (SELECT (epoch_us(max(ts)) // 1000 - 600000) * 1000 AS mark FROM events WHERE event_id % 3 <> 0)"""
+
+
+@query(
+    "st1_late_requests",
+    f"""{_LATE_SQL}
+SELECT CAST(user_id AS VARCHAR) AS caller, count(*) AS n_rows, count(*) FILTER (WHERE event_id % 3 = 0 AND epoch_us(ts) < mark) AS n_late
+FROM events, m GROUP BY user_id""",
+)
+def late_requests(spark, sf_dir):
+    """ST1: a third of the requests arrive after all others; every one behind the watermark is found in the side output."""
+    requests = _requests(table(spark, sf_dir, "events"))
+    with rocksdb_state(spark):
+        out = run_in_two_parts(
+            requests, F.col("request_id") % 3 != 0, "st1_late", lambda r: rate_limited_stream(r, LIMIT, WINDOW, lateness=LATENESS)
+        )
+    return late_counts(out, ["caller"])
+
+
+@query(
+    "st2_late_events",
+    f"""{_LATE_SQL}
+SELECT CAST(user_id AS VARCHAR) AS run_id, epoch_us(ts) AS at, event_type AS status FROM events, m WHERE event_id % 3 = 0 AND epoch_us(ts) < mark""",
+)
+def late_events(spark, sf_dir):
+    """ST2: the side output holds each event that came too late, with its own status and time."""
+    events = table(spark, sf_dir, "events").selectExpr(
+        "CAST(user_id AS STRING) AS run_id", "ts", "event_id AS seq", "event_type AS status"
+    )
+    with rocksdb_state(spark):
+        out = run_in_two_parts(
+            events, F.col("seq") % 3 != 0, "st2_late", lambda e: lifecycle_stream(e, 365 * 86_400, lateness=LATENESS)
+        )
+    return split_late(out)[1].select("run_id", "at", "status")
 
 
 @query(
@@ -131,7 +183,8 @@ def lifecycle_changes(spark, sf_dir):
                  WHEN 'click' THEN CASE WHEN value < 20 THEN 'cancelled' ELSE 'exited' END
                  WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status""",
         )
-        changes = run_to_parquet(lifecycle_stream(events, timeout_seconds=365 * 86_400), "st2")
+        stream = lifecycle_stream(events, timeout_seconds=365 * 86_400, lateness=LATENESS)
+        changes, _ = split_late(run_to_parquet(stream, "st2"))
     return changes.groupBy("run_id").agg(F.max_by("status", F.struct("at", "position")).alias("status"))
 
 

@@ -7,15 +7,17 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpuslens.fixed_values import (
     CANCELLED_QUEUED, CANCELLED_RUNNING, QUEUED_INTERRUPTED, RUNNING_INTERRUPTED, UNEXPECTED_EXIT,
 )
+from corpuslens.streaming import lateness as late_rows
+from corpuslens.streaming.lateness import is_late, with_event_time
 
-OUTPUT = "run_id STRING, status STRING, message STRING, at BIGINT, position BIGINT"
-COLUMNS = ["run_id", "status", "message", "at", "position"]
+OUTPUT = "run_id STRING, status STRING, message STRING, at BIGINT, position BIGINT, late BOOLEAN"
+COLUMNS = ["run_id", "status", "message", "at", "position", "late"]
 
 
 def next_status(current: str | None, event: str) -> str | None:
@@ -41,9 +43,19 @@ class Lifecycle(StatefulProcessor):
         self.state = handle.getValueState("state", "status STRING, at BIGINT, position BIGINT")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        arrived = pd.concat(list(rows))
+        behind = is_late(arrived["at"], timerValues)
+        if behind.any():
+            late = arrived[behind]
+            yield pd.DataFrame(
+                {"run_id": key[0], "status": late["status"], "message": None, "at": late["at"], "position": None, "late": True}
+            )
+        pending = arrived[~behind].astype({"at": "int64"}).sort_values(["at", "seq"])
+        if pending.empty:
+            return
         status, last, position = self.state.get() if self.state.exists() else (None, 0, 0)
         out = []
-        for row in pd.concat(list(rows)).sort_values(["at", "seq"]).itertuples():
+        for row in pending.itertuples():
             new = next_status(status, row.status)
             message = None
             if new == "failed" and row.status == "exited":
@@ -52,7 +64,7 @@ class Lifecycle(StatefulProcessor):
                 message = CANCELLED_RUNNING if status == "running" else CANCELLED_QUEUED
             if new != status:
                 position += 1
-                out.append((key[0], new, message, int(row.at), position))
+                out.append((key[0], new, message, int(row.at), position, False))
             status, last = new, max(last, int(row.at))
         self.state.update((status, last, position))
         for timer in list(self.handle.listTimers()):
@@ -69,17 +81,19 @@ class Lifecycle(StatefulProcessor):
         at = expiredTimerInfo.getExpiryTimeInMs() * 1000
         self.state.update(("failed", at, position + 1))
         self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.timeout)
-        yield pd.DataFrame([(key[0], "failed", message, at, position + 1)], columns=COLUMNS)
+        yield pd.DataFrame([(key[0], "failed", message, at, position + 1, False)], columns=COLUMNS)
 
     def close(self) -> None:
         pass
 
 
-def lifecycle_stream(events: DataFrame, timeout_seconds: int = 24 * 3600, lateness: str = "10 minutes") -> DataFrame:
-    """Status changes for a stream of (run_id STRING, ts TIMESTAMP, seq BIGINT, status STRING)."""
+def lifecycle_stream(events: DataFrame, timeout_seconds: int = 24 * 3600, *, lateness: str) -> DataFrame:
+    """Status changes for a stream of (run_id STRING, ts TIMESTAMP, seq BIGINT, status STRING).
+
+    Events later than ``lateness`` change nothing: they come out tagged as late, with their own status and time.
+    """
     return (
-        events.withWatermark("ts", lateness)
-        .withColumn("at", F.unix_micros("ts"))
+        with_event_time(events, lateness)
         .groupBy("run_id")
         .transformWithStateInPandas(Lifecycle(timeout_seconds), OUTPUT, outputMode="Append", timeMode="EventTime")
     )
@@ -87,3 +101,4 @@ def lifecycle_stream(events: DataFrame, timeout_seconds: int = 24 * 3600, latene
 
 # The processor travels to the workers as code, so they need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(late_rows)

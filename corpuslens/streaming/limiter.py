@@ -7,13 +7,15 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpuslens import fixed_values as fixed
 from corpuslens.operators.limiter import accepted_log, decide
+from corpuslens.streaming import lateness as late_rows
+from corpuslens.streaming.lateness import is_late, with_event_time
 
-OUTPUT = "caller STRING, request_id BIGINT, accepted BOOLEAN, retry_after BIGINT"
+OUTPUT = "caller STRING, request_id BIGINT, accepted BOOLEAN, retry_after BIGINT, late BOOLEAN"
 
 
 class SlidingLog(StatefulProcessor):
@@ -30,7 +32,14 @@ class SlidingLog(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # Rows of one micro-batch may come in several Arrow batches and in any order. Two numbers per request are
         # held; the source's own per-trigger limit bounds how many a caller can have in one micro-batch.
-        pending = pd.concat(list(rows)).sort_values(["at", "request_id"])
+        arrived = pd.concat(list(rows))
+        behind = is_late(arrived["at"], timerValues)
+        if behind.any():
+            late = arrived["request_id"][behind].to_numpy()
+            yield pd.DataFrame({"caller": key[0], "request_id": late, "accepted": None, "retry_after": None, "late": True})
+        pending = arrived[~behind].astype({"at": "int64"}).sort_values(["at", "request_id"])
+        if pending.empty:
+            return
         known = (value[0] for value in self.log.get()) if self.log.exists() else ()
         log = accepted_log(self.max_requests, known)
         accepted, wait = decide(log, pending["at"].to_numpy(), self.window)
@@ -46,6 +55,7 @@ class SlidingLog(StatefulProcessor):
                 "request_id": pending["request_id"].to_numpy(),
                 "accepted": accepted,
                 "retry_after": wait,
+                "late": False,
             }
         )
 
@@ -61,12 +71,15 @@ def rate_limited_stream(
     requests: DataFrame,
     max_requests: int = fixed.RATE_LIMIT_REQUESTS,
     window_seconds: int = fixed.RATE_LIMIT_WINDOW_SECONDS,
-    lateness: str = "10 minutes",
+    *,
+    lateness: str,
 ) -> DataFrame:
-    """Decisions for a stream of (caller STRING, ts TIMESTAMP, request_id BIGINT); later rows than ``lateness`` are dropped."""
+    """Decisions for a stream of (caller STRING, ts TIMESTAMP, request_id BIGINT).
+
+    Requests later than ``lateness`` have no decision: they come out tagged as late, for the caller to write and count.
+    """
     return (
-        requests.withWatermark("ts", lateness)
-        .withColumn("at", F.unix_micros("ts"))
+        with_event_time(requests, lateness)
         .groupBy("caller")
         .transformWithStateInPandas(
             SlidingLog(max_requests, window_seconds), OUTPUT, outputMode="Append", timeMode="EventTime"
@@ -76,3 +89,4 @@ def rate_limited_stream(
 
 # These functions travel to the workers as code, so they need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(late_rows)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpuslens import fixed_values as fixed
 from corpuslens.operators import history, limiter
 from corpuslens.streaming.incremental import append_new_work, append_unanswered, index_versions, maintain_index, new_work, read_index, unanswered
+from corpuslens.streaming.lateness import late_counts, split_late
 from corpuslens.streaming.lifecycle import lifecycle_stream
 from corpuslens.streaming.limiter import rate_limited_stream
 from corpuslens.streaming.redaction import redacted_stream
@@ -95,7 +96,7 @@ def test_stream_limiter_equals_batch(spark, tmp_path):
     rows, df = requests(spark, 2)
     schema = "caller string, ts timestamp, request_id bigint"
     stream = files_in_order(spark, df, str(tmp_path / "in"), ["ts", "request_id"], 4, schema)
-    got = drain(rate_limited_stream(stream, 3, 60), str(tmp_path))
+    got = drain(rate_limited_stream(stream, 3, 60, lateness="10 minutes"), str(tmp_path))
     assert {r.request_id: (r.accepted, r.retry_after) for r in got.collect()} == expected_decisions(rows, 3, 60)
 
 
@@ -111,7 +112,7 @@ def test_stream_lifecycle_equals_batch_and_times_out(spark, tmp_path):
     schema = "run_id string, ts timestamp, seq bigint, status string"
     df = spark.createDataFrame(rows, schema)
     stream = files_in_order(spark, df, str(tmp_path / "in"), ["ts", "seq"], 5, schema)
-    out = drain(lifecycle_stream(stream, timeout_seconds=3600), str(tmp_path))
+    out = drain(lifecycle_stream(stream, timeout_seconds=3600, lateness="10 minutes"), str(tmp_path))
     last = {r.run_id: r.status for r in out.groupBy("run_id").agg(F.max_by("status", "position").alias("status")).collect()}
     batch = {r.run_id: r.status for r in history.lifecycle(df).collect()}
     for run, status in batch.items():
@@ -218,3 +219,48 @@ def test_work_reads_the_index_alone_and_replays_change_nothing(spark, tmp_path):
     assert {path.split(str(tmp_path))[1].rsplit("/", 1)[0] for path in answered.inputFiles()} == {"/items", "/index/v=1/exact", "/index/v=1/fuzzy"}
     plan = answered._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 4 and "SortMergeJoin" not in plan and "Window" not in plan
+
+
+def test_every_late_row_is_in_the_side_output(spark, tmp_path):
+    """Decisions of the rows in time are those of a plain log; the others come out tagged, whatever their number."""
+    rng = random.Random(8)
+    batches, number = [], 0
+    for start in (0, 60, 120, 180):  # minutes; some rows of each batch are hours or seconds behind
+        rows = []
+        for _ in range(60):
+            minute = start + rng.choice([rng.uniform(0, 30), rng.uniform(-25, 0), rng.uniform(-180, -60)])
+            when = T0 + datetime.timedelta(minutes=max(0, minute)) if rng.random() > 0.05 else None
+            rows.append((rng.choice(["a", "b"]), when, number))
+            number += 1
+        batches.append(rows)
+    schema = "caller string, ts timestamp, request_id bigint"
+    source, mark, late, on_time = str(tmp_path / "in"), None, set(), []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = rate_limited_stream(spark.readStream.schema(schema).parquet(source), 2, 600, lateness="10 minutes")
+        out = drain(stream, str(tmp_path))  # one micro-batch a run
+        late |= {r[2] for r in rows if r[1] is None or (mark and r[1] < mark)}
+        on_time.append([r for r in rows if r[2] not in late])
+        newest = max(r[1] for r in rows if r[1])
+        newest = newest.replace(microsecond=newest.microsecond // 1000 * 1000) - datetime.timedelta(minutes=10)
+        mark = max(mark, newest) if mark else newest
+    results, side = split_late(out)
+    assert len(late) > 40 and {r.request_id for r in side.collect()} == late
+    assert {r.request_id for r in results.collect()} == {r[2] for rows in on_time for r in rows}
+    assert results.filter("accepted IS NULL").count() == 0 and side.filter("accepted IS NOT NULL").count() == 0
+    (counted,) = late_counts(out, []).collect()
+    assert (counted.n_rows, counted.n_late) == (240, len(late))
+
+
+def test_late_events_leave_a_run_as_it_is(spark, tmp_path):
+    schema = "run_id string, ts timestamp, seq bigint, status string"
+    source = str(tmp_path / "in")
+    hours = [[(0, "queued"), (3, "running")], [(1, "failed"), (4, "completed")], [(2, "cancelled")]]
+    for i, rows in enumerate(hours):
+        events = [("r", T0 + datetime.timedelta(hours=h), 10 * i + h, status) for h, status in rows]
+        spark.createDataFrame(events, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = lifecycle_stream(spark.readStream.schema(schema).parquet(source), lateness="10 minutes")
+        out = drain(stream, str(tmp_path))
+    results, side = split_late(out)
+    assert [r.status for r in results.orderBy("position").collect()] == ["queued", "running", "completed"]
+    assert sorted(r.status for r in side.collect()) == ["cancelled", "failed"]
