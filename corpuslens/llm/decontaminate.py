@@ -4,9 +4,10 @@ Words are runs of ASCII letters and digits and of all characters beyond ASCII, w
 words of a test item; a shorter item, if it has words, is one window. Document windows whose hash is in the set are verified word
 by word. A word inside any verified window is hit.
 
-The set is broadcast. Repeated rows of test items are dropped first. The windows of an item are dealt in pieces of consecutive words
-that overlap by ``n - 1``, and pieces of more than ``MOST_BYTES`` in slices under that bound; each slice scans the documents, and what
-was hit is put together per document. Only a single window beyond the bound is an error.
+Repeated rows of test items are dropped first. While the items' text is at most ``MOST_BYTES``, the set with its words is broadcast and
+windows are verified where they are found. Beyond that only a bitmap of the hashes is broadcast, of 16 MB at most; documents are
+still read once. The windows that pass it are known by the SHA-256 of their words from then on, which is joined with that of the test
+windows, so neither the size of the benchmark nor that of one window matters. Results are the same.
 
 A null text has no words; an item without words has no windows. Equal items under several ids all count. Repeated rows and null
 ids of documents stay, one result each. Empty tables give no rows, or no hits. Documents without hits are untouched.
@@ -14,21 +15,25 @@ ids of documents stay, one result each. Empty tables give no rows, or no hits. D
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpuslens.llm.common import free_name, written
 
 WINDOW = 10
-#: Text of the test items in one broadcast set. Windows and their hashes take a small multiple of it.
+#: Text of the test items in a broadcast set. Windows and their hashes take a small multiple of it.
 MOST_BYTES = 4_000_000
 #: Document bytes hashed at once; a longer document is hashed by itself, word by word and window by window.
 BLOCK_BYTES = 250_000
+#: Windows in one row of the joined scan.
+CHUNK = 4096
+SPANS = "array<struct<first:long,last:long,first_byte:long,last_byte:long>>"
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -68,6 +73,9 @@ class Words:
     def joined(self, first: int, n: int) -> bytes:
         return b" ".join(self.data[self.starts[i] : self.ends[i]].tobytes() for i in range(first, first + n))
 
+    def key(self, first: int, n: int) -> bytes:
+        return hashlib.sha256(self.joined(first, n)).digest()
+
 
 _POWERS: list[np.ndarray] = []
 
@@ -132,23 +140,6 @@ class Windows:
                     yield first, size, owners
 
 
-def _pieces(text: bytes, n: int, most: int) -> Iterator[bytes]:
-    """The words of a test item, with blanks between them, in pieces that hold each window once: as many words as ``most`` bytes
-    take, one window at least."""
-    words = Words(text)
-    count = len(words.starts)
-    ends = np.cumsum(words.ends - words.starts + 1)
-    first = 0
-    while first < count:
-        before = int(ends[first - 1]) if first else 0
-        last = int(np.searchsorted(ends, before + most + 1, side="right"))
-        last = min(count, max(last, first + n))
-        yield words.joined(first, last - first)
-        if last == count:
-            return
-        first = last - n + 1
-
-
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -159,101 +150,158 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _slices(benchmark: DataFrame, item_id: str, text: str, n: int) -> list[DataFrame]:
-    """The windows of the test items, as pieces of items in tables (id, text) under the bound."""
-    items = benchmark.select(F.col(item_id).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")).distinct()
-    schema = items.withColumns({"task": F.lit(0).cast("long"), "part": F.lit(0).cast("long")}).schema
-    most = MOST_BYTES
+def scan(docs: DataFrame, benchmark: DataFrame, columns: list[Column], text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = WINDOW) -> DataFrame:
+    """``columns`` of every document with n_words, ``spans`` (merged runs of hit words: first and last word, first and last
+    byte, ends exclusive) and ``items`` (sorted ids, as strings, of the items with windows in it)."""
+    name = F.coalesce(F.col(item_id).cast("string"), F.lit("None"))
+    items = benchmark.select(name.alias("id"), F.coalesce(F.col(item_text), F.lit("")).cast("binary").alias("text")).distinct()
+    source = docs.select(*columns, F.col(text).cast("binary").alias("_text"))
+    held = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    return _scan_broadcast(source, items, n) if held <= MOST_BYTES else _scan_joined(source, items, n)
+
+
+def _scan_broadcast(source: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """All windows of the items go to all tasks, with their words."""
+    kept = source.columns[:-1]
+    schema = source.drop("_text").withColumns({"n_words": F.lit(0).cast("long"), "spans": F.lit(None).cast(SPANS), "items": F.lit(None).cast("array<string>")}).schema
+    kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("first", "last", "first_byte", "last_byte")]))
+    rows = [(r["id"], bytes(r["text"])) for r in items.orderBy("id", "text").collect()]
+    shared = source.sparkSession.sparkContext.broadcast(Windows(rows, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, part, held = TaskContext.get().partitionId(), 0, 0
+        windows = shared.value
         for batch in batches:
-            rows, texts = [], []
+            n_words, found, owners = [], [], []
+            for value in batch.column(batch.num_columns - 1):
+                words = Words(value.as_py() or b"")
+                hits = list(windows.hits(words, words.hashes())) if len(words.starts) else []
+                n_words.append(len(words.starts))
+                merged = _merged([(first, first + size) for first, size, _ in hits])
+                found.append([{"first": a, "last": b, "first_byte": int(words.starts[a]), "last_byte": int(words.ends[b - 1])} for a, b in merged])
+                owners.append(sorted({windows.ids[i] for _, _, places in hits for i in places}))
+            own = [batch.column(i) for i in range(batch.num_columns - 1)]
+            arrays = [*own, pa.array(n_words, pa.int64()), pa.array(found, kind), pa.array(owners, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "n_words", "spans", "items"])
+
+    return source.mapInArrow(run, schema)
 
-            def ready(batch=batch, rows=rows, texts=texts) -> pa.RecordBatch:
-                arrays = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(texts, pa.binary())]
-                arrays += [pa.array([x] * len(rows), pa.int64()) for x in (task, part)]
-                rows.clear()
-                texts.clear()
-                return pa.RecordBatch.from_arrays(arrays, names=["id", "text", "task", "part"])
 
+def _test_windows(items: DataFrame, n: int) -> DataFrame:
+    """(id, size, hash, key) of every window of the items: ``key`` is the SHA-256 of its words, ``hash`` that of the prefilter."""
+    schema = items.select("id", F.lit(0).alias("size"), F.lit(0).cast("long").alias("hash"), F.col("text").alias("key")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             for row, value in enumerate(batch.column(1)):
-                for piece in _pieces(value.as_py(), n, most):
-                    if held and held + len(piece) > most:
-                        yield ready()
-                        part, held = part + 1, 0
-                    rows.append(row)
-                    texts.append(piece)
-                    held += len(piece)
-            yield ready()
+                words = Words(value.as_py())
+                size = min(n, len(words.starts))
+                if not size:
+                    continue
+                hashes = window_hashes(words.hashes(), size)
+                for low in range(0, len(hashes), CHUNK):
+                    some = hashes[low : low + CHUNK]
+                    keys = [words.key(first, size) for first in range(low, low + len(some))]
+                    ids = batch.column(0).take(pa.array(np.full(len(some), row)))
+                    arrays = [ids, pa.array(np.full(len(some), size, np.int32)), pa.array(some.view(np.int64)), pa.array(keys, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["id", "size", "hash", "key"])
+
+    return items.mapInArrow(run, schema).distinct()
+
+
+def _bitmap(windows: DataFrame) -> tuple[list[int], np.ndarray]:
+    """The sizes of the windows, and a bitmap of the first 27 bits of their hashes: at most 4096 rows of 4 KB."""
+    top = F.shiftrightunsigned("hash", 64 - 27)
+    per_block = F.lit(1 << 15)
+    rows = windows.groupBy(F.floor(top / per_block).alias("block")).agg(
+        F.bitmap_construct_agg(top % per_block).alias("bits"), F.collect_set("size").alias("sizes")
+    )
+    bits = np.zeros((1 << 12, 1 << 12), np.uint8)
+    sizes: set[int] = set()
+    for row in rows.collect():
+        bits[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+        sizes.update(row["sizes"])
+    return sorted(sizes), bits.reshape(-1)
 
-    # Written, so that pieces stay in their parts. A part is under the bound; neighbours that fit together are one slice.
-    pieces = written(items.mapInArrow(run, schema), "test-windows")
-    size = F.length("text")
-    parts = pieces.groupBy("task", "part").agg(F.sum(size).alias("size"), F.max(size).alias("longest")).orderBy("task", "part").collect()
-    longest = max((p["longest"] for p in parts), default=0)
-    if longest > most:
-        raise ValueError(f"a window of a test item has {longest} bytes; {most} are the most")
-    slices, held = [], most
-    for p in parts:
-        place = F.struct(F.lit(p["task"]).alias("task"), F.lit(p["part"]).alias("part"))
-        if held + p["size"] > most:
-            slices.append([place, place])
-            held = 0
-        slices[-1][1] = place
-        held += p["size"]
-    places = F.struct("task", "part")
-    return [pieces.filter(places.between(a, b)).select("id", "text") for a, b in slices] or [pieces.select("id", "text")]
 
+def _scan_joined(source: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """Windows that pass the bitmap are joined with those of the items.
 
-def scan(docs: DataFrame, benchmark: DataFrame, columns: list[Column], text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = WINDOW) -> DataFrame:
-    """``columns`` of every document with n_words, ``spans`` (merged runs of hit words: first and last word, first and last
-    byte, ends exclusive) and ``items`` (sorted ids, as strings, of the items with windows in it)."""
-    spark = docs.sparkSession
-    result = None
-    slices = _slices(benchmark, item_id, item_text, n)
-    source = docs.select(*columns, F.col(text).cast("binary").alias("_text"))
+    One pass over the documents writes a row for each, with its number, and its likely windows in further rows of at most CHUNK. All else
+    reads that table, so numbers hold whatever the partitions of the source. A window that many documents share is a hot key of a
+    semi join, which Spark splits.
+    """
     kept = source.columns[:-1]
-    if len(slices) > 1:
-        row = free_name(source, "_row")
-        source = source.select(F.monotonically_increasing_id().alias(row), *[F.col(c) for c in source.columns])
-        kept = [row, *kept]
-    spans = "array<struct<first:long,last:long,first_byte:long,last_byte:long>>"
-    schema = source.drop("_text").withColumns({"n_words": F.lit(0).cast("long"), "spans": F.lit(None).cast(spans), "items": F.lit(None).cast("array<string>")}).schema
-    kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("first", "last", "first_byte", "last_byte")]))
-    for pieces in slices:
-        items = [(r["id"], bytes(r["text"])) for r in pieces.orderBy("id", "text").collect()]
-        shared = spark.sparkContext.broadcast(Windows(items, n))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            windows = shared.value
-            for batch in batches:
-                n_words, found, owners = [], [], []
-                for value in batch.column(batch.num_columns - 1):
-                    words = Words(value.as_py() or b"")
-                    hits = list(windows.hits(words, words.hashes())) if len(words.starts) else []
-                    n_words.append(len(words.starts))
-                    merged = _merged([(first, first + size) for first, size, _ in hits])
-                    found.append([{"first": a, "last": b, "first_byte": int(words.starts[a]), "last_byte": int(words.ends[b - 1])} for a, b in merged])
-                    owners.append(sorted({str(windows.ids[i]) for _, _, places in hits for i in places}))
-                own = [batch.column(i) for i in range(batch.num_columns - 1)]
-                arrays = [*own, pa.array(n_words, pa.int64()), pa.array(found, kind), pa.array(owners, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "n_words", "spans", "items"])
-
-        part = source.mapInArrow(run, schema)
-        result = part if result is None else result.unionByName(part)
-    if len(slices) == 1:
-        return result
-    folded = result.groupBy(kept[0]).agg(
-        *[F.first(c).alias(c) for c in kept[1:]], F.first("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    windows = written(_test_windows(items, n), "test-windows")
+    shared = source.sparkSession.sparkContext.broadcast(_bitmap(windows))
+    likely = "array<struct<key:binary,first:long,last:long,first_byte:long,last_byte:long>>"
+    row, n_words, placed, key_row, own_spans, own_items = (free_name(source, x) for x in ("_row", "_n", "_likely", "_r", "_spans", "_items"))
+    schema = source.drop("_text").withColumns({row: F.lit(0).cast("long"), n_words: F.lit(None).cast("long"), placed: F.lit(None).cast(likely)}).schema
+    kind = pa.list_(pa.struct([("key", pa.binary()), *((x, pa.int64()) for x in ("first", "last", "first_byte", "last_byte"))]))
+
+    def candidates(words: Words) -> Iterator[list[dict]]:
+        sizes, bits = shared.value
+        hashes, out = words.hashes(), []
+        for size in sizes:
+            top = window_hashes(hashes, size) >> np.uint64(64 - 27)
+            marked = bits[(top >> np.uint64(3)).astype(np.int64)] >> (top & np.uint64(7)).astype(np.uint8) & 1
+            for first in np.flatnonzero(marked).tolist():
+                last = first + size
+                place = {"first": first, "last": last, "first_byte": int(words.starts[first]), "last_byte": int(words.ends[last - 1])}
+                out.append({"key": words.key(first, size), **place})
+                if len(out) == CHUNK:
+                    yield out
+                    out = []
+        yield out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            heads, numbers, counts, found = [], [], [], []
+
+            def ready(batch=batch, lists=(heads, numbers, counts, found)) -> pa.RecordBatch:
+                own = [batch.column(c).take(pa.array(heads, pa.int64())) for c in range(len(kept))]
+                arrays = [*own, pa.array(numbers, pa.int64()), pa.array(counts, pa.int64()), pa.array(found, kind)]
+                for x in lists:
+                    x.clear()
+                return pa.RecordBatch.from_arrays(arrays, names=[*kept, row, n_words, placed])
+
+            held = 0
+            for i, value in enumerate(batch.column(batch.num_columns - 1)):
+                words = Words(value.as_py() or b"")
+                for part, some in enumerate(candidates(words)):
+                    # The first row of a document has its columns and n_words; the others have neither.
+                    heads.append(None if part else i)
+                    counts.append(None if part else len(words.starts))
+                    numbers.append(number)
+                    found.append(some)
+                    held += len(some)
+                    if held >= CHUNK:
+                        yield ready()
+                        held = 0
+                number += 1
+            yield ready()
+
+    for field in schema.fields:
+        field.nullable = True
+    scanned = written(source.mapInArrow(run, schema), "likely-windows")
+    found = scanned.select(F.col(row).alias("_r"), F.explode(placed).alias("_w")).select("_r", "_w.*")
+    hits = written(found.join(windows.select("key"), "key", "left_semi"), "test-hits")
+    in_order = Window.partitionBy("_r").orderBy("first", "last")
+    reach = F.max("last").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = hits.select("_r", "first", "last", "first_byte", "last_byte", F.coalesce(F.col("first") > reach, F.lit(True)).alias("_new"))
+    runs = runs.withColumn("_run", F.sum(F.col("_new").cast("long")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = runs.groupBy("_r", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("first_byte").alias("first_byte"), F.max("last_byte").alias("last_byte"))
+    spans = merged.groupBy("_r").agg(F.array_sort(F.collect_list(F.struct("first", "last", "first_byte", "last_byte"))).alias(own_spans))
+    owners = hits.select("_r", "key").distinct().join(windows.select("key", "id"), "key")
+    owners = owners.groupBy("_r").agg(F.array_sort(F.collect_set("id")).alias(own_items))
+    verdicts = spans.join(owners, "_r").withColumnRenamed("_r", key_row)
+    heads = scanned.filter(F.col(n_words).isNotNull())
+    joined = heads.join(verdicts, heads[row] == verdicts[key_row], "left")
+    empty = F.array()
+    return joined.select(
+        *kept, F.col(n_words).alias("n_words"), F.coalesce(own_spans, empty.cast(SPANS)).alias("spans"),
+        F.coalesce(own_items, empty.cast("array<string>")).alias("items"),
     )
-    joined = F.expr(
-        "aggregate(spans, cast(array() as " + spans + "), (out, s) -> if(size(out) > 0 and s.first <= element_at(out, -1).last,"
-        " concat(slice(out, 1, size(out) - 1), array(named_struct('first', element_at(out, -1).first, 'last', greatest(s.last, element_at(out, -1).last),"
-        " 'first_byte', element_at(out, -1).first_byte, 'last_byte', greatest(s.last_byte, element_at(out, -1).last_byte)))), concat(out, array(s))))"
-    )
-    return folded.withColumn("spans", joined).drop(kept[0])
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -88,11 +88,42 @@ def test_empty_tables(spark):
     assert decontaminate.decontaminate(d, b.limit(0)).count() == len(docs)
 
 
-def test_an_item_beyond_the_bound_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "MOST_BYTES", 10)
-    b = spark.createDataFrame([(1, "more than ten bytes")], "item_id long, text string")
-    with pytest.raises(ValueError):
-        decontaminate.scan(b.withColumnRenamed("item_id", "doc_id"), b, [F.col("doc_id")])
+def test_one_window_beyond_the_bound_has_a_result(spark):
+    """Ten words of half a million letters each: 5 MB in one window."""
+    long = " ".join(c * 500_000 for c in "abcdefghij")
+    items = [(1, long), (2, "x y"), (None, "x y")]
+    docs = [(1, "p " + long.upper() + " q"), (2, long[1:]), (3, "x  y"), (4, None)]
+    assert len(long) > decontaminate.MOST_BYTES
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.digest(decontaminate.scan(d, b, [F.col("doc_id")]))
+    got = [tuple(r) for r in found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()]
+    assert sorted(got, key=str) == slow(docs, items)
+    assert [r.text for r in decontaminate.decontaminate(d, b, remove="spans").orderBy("doc_id").collect()] == ["p  q", long[1:], "", None]
+
+
+def test_documents_are_read_once_however_large_the_benchmark(spark, monkeypatch):
+    """Many times the bound, a passage in a third of the documents, names that clash, and long lists of windows in one text."""
+    monkeypatch.setattr(decontaminate, "MOST_BYTES", 100)
+    monkeypatch.setattr(decontaminate, "CHUNK", 16)
+    rng = random.Random(2)
+    items = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(40))) for i in range(50)]
+    docs = [(i, (items[0][1] if i % 3 == 0 else f"clean {i}") + f" tail{i} " + items[i % 50][1][:60]) for i in range(150)]
+    docs.append((999, " and ".join(text for _, text in items)))
+    read = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    d = spark.createDataFrame(docs, "_r long, text string").repartition(5).mapInPandas(count, "_r long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.digest(decontaminate.scan(d, b, [F.col("_r"), F.lit(1).alias("_spans"), F.lit(2).alias("_likely")]))
+    got = [tuple(r) for r in found.select("_r", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()]
+    assert sorted(got, key=str) == slow(docs, items)
+    assert found.agg(F.sum(F.col("_spans") + F.col("_likely"))).first()[0] == 3 * len(docs)
+    assert read.value == len(docs)
 
 
 def test_long_items_and_repeated_rows_have_a_result(spark, monkeypatch):
@@ -109,11 +140,3 @@ def test_long_items_and_repeated_rows_have_a_result(spark, monkeypatch):
     found = decontaminate.digest(decontaminate.scan(d, b, [F.col("doc_id")]))
     got = [tuple(r) for r in found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()]
     assert sorted(got, key=str) == slow(docs, items)
-
-
-def test_pieces_hold_each_window_once():
-    for text in ("", "..", "one", "a b c", " ".join(str(i) for i in range(400)), "x" * 50 + " " + "y " * 30):
-        for most in (1, 20, 64, 10_000):
-            windows = [tuple(w[i : i + 10]) for p in decontaminate._pieces(text.encode(), 10, most) for w in [words(p.decode())] for i in range(max(1, len(w) - 9))]
-            w = words(text)
-            assert windows == [tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))] * bool(w)
