@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -27,6 +28,37 @@ def test_corpus_scan_sees_every_file(spark, tmp_path):
     assert corpus.scan_corpus(spark, str(tmp_path / "none")).collect() == []
 
 
+def test_long_files_come_in_numbered_chunks(spark, tmp_path):
+    rng = random.Random(1)
+    texts = {
+        "lines": "".join("é日x"[i % 3] * rng.randrange(9) + "\n" for i in range(400)), "one": "日é\U0001f600" * 300, "short": "a\nb", "even": "x" * 64,
+    }
+    (tmp_path / "r").mkdir()
+    for name, text in texts.items():
+        (tmp_path / "r" / name).write_bytes(text.encode())
+    (tmp_path / "r" / "bad").write_bytes(b"x" * 300 + b"\xff" + b"y" * 300)
+    for size in (1, 64, 1000):
+        rows = corpus.scan_corpus(spark, str(tmp_path), chunk_bytes=size).orderBy("path", "chunk").collect()
+        for name, text in texts.items():
+            chunks = [r for r in rows if r.path == name]
+            assert "".join(r.content for r in chunks) == text and [r.chunk for r in chunks] == list(range(len(chunks)))
+            assert all(len(r.content.encode()) <= max(size, 8) for r in chunks)
+        assert [(r.content, r.chunk) for r in rows if r.path == "bad"] == [(None, 0)]
+
+
+def test_a_wide_tree_is_listed_by_many_tasks(spark, tmp_path):
+    """One provider holds everything; its folders are listed apart, and files read apart, though their rows are few bytes."""
+    for i in range(12):
+        folder = tmp_path / "github" / f"repo{i}" / "run"
+        folder.mkdir(parents=True)
+        for j in range(5):
+            (folder / f"{j}.txt").write_text("x")
+    listed = corpus.list_files(spark, str(tmp_path), name_glob="[1-3].t?t")
+    assert listed.count() == 36
+    assert len(listed.select(F.input_file_name()).distinct().collect()) > 3
+    assert corpus.scan_corpus(spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_listing_reads_no_bytes(spark, tmp_path):
     run = tmp_path / "github" / "o__r" / "app_1"
     run.mkdir(parents=True)
@@ -44,6 +76,34 @@ def test_analysis_csv(spark, tmp_path):
     assert [tuple(r) for r in reports.read_analysis_csv(spark, str(tmp_path / "csv")).collect()] == [row]
 
 
+def test_one_csv_with_line_breaks_is_read_by_many_tasks(spark, tmp_path):
+    rng = random.Random(6)
+    parts = ["\n", '"', ",", "é", "x", "\r\n", " ", '""', "\n\n", "日本"]
+    rows = [
+        (f"f{i}", rng.choice([None, "", "a,b"]), "".join(rng.choices(parts, k=rng.randrange(12))) + "." * rng.choice([0, 0, 400]) + "e",
+         "function", rng.random() < 0.5, rng.choice(["python", None]), rng.choice([None, i]))
+        for i in range(300)
+    ]
+    schema = "file_name string, file_path string, function_name string, block_type string, missing_docstring boolean, language string, line_number int"
+    folder = str(tmp_path / "csv")
+    reports.write_analysis_csv(spark.createDataFrame(rows, schema).coalesce(1), folder)
+    whole = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(folder)
+    expected = sorted(map(str, whole.collect()))
+    assert len(expected) == len(rows)
+    for size in (333, 5_000, 10**9):
+        got = reports.read_analysis_csv(spark, folder, split_bytes=size)
+        assert sorted(map(str, got.collect())) == expected, size
+    parts = reports.read_analysis_csv(spark, folder, split_bytes=5_000)
+    assert parts.select(F.spark_partition_id()).distinct().count() > 1
+
+    (tmp_path / "crlf.csv").write_bytes(b'a,b\r\n1,"x\r\ny"\r\n\r\n2,\r\n3,"last"')
+    got = reports.read_quoted_csv(spark, str(tmp_path / "crlf.csv"), "a int, b string", 3)
+    assert sorted((r.a, r.b) for r in got.collect()) == [(1, "x\r\ny"), (2, None), (3, "last")]
+    (tmp_path / "empty.csv").write_bytes(b"")
+    (tmp_path / "header.csv").write_bytes(b"a,b\n")
+    assert reports.read_quoted_csv(spark, str(tmp_path / "[eh]*.csv"), "a int, b string").collect() == []
+
+
 def test_suggestion_documents(spark, tmp_path):
     for run, branch, line in (("app_1", "main", "7"), ("app_2", "main", None), ("app_3", "dev", "x")):
         folder = tmp_path / run
