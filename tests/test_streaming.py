@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpuslens import fixed_values as fixed
 from corpuslens.operators import history, limiter
+from corpuslens.plans.streams import incremental_work, run_to_parquet, table_stream
 from corpuslens.streaming.incremental import append_new_work, append_unanswered, index_versions, maintain_index, new_work, read_index, unanswered
 from corpuslens.streaming.lateness import late_counts, split_late
 from corpuslens.streaming.lifecycle import lifecycle_stream
@@ -264,3 +265,13 @@ def test_late_events_leave_a_run_as_it_is(spark, tmp_path):
     results, side = split_late(out)
     assert [r.status for r in results.orderBy("position").collect()] == ["queued", "running", "completed"]
     assert sorted(r.status for r in side.collect()) == ["cancelled", "failed"]
+
+
+def test_table_of_many_files_streams_whole(spark, tmp_path, sf_dir):
+    """A table may be a folder of files."""
+    folder = tmp_path / "tables"
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "n_chars")
+    documents.repartition(3).write.parquet(str(folder / "documents.parquet"))
+    assert run_to_parquet(table_stream(spark, str(folder), "documents"), "many").count() == documents.count()
+    work = sorted(r.doc_id for r in incremental_work(spark, str(folder)).collect())
+    assert work and work == sorted(r.doc_id for r in incremental_work(spark, sf_dir).collect())
