@@ -100,3 +100,18 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     plan = quality.judged(df, quality.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_all_trusted_documents_count(spark):
+    """Where all documents are trusted, target and raw corpus are one, whatever their number."""
+    docs = spark.range(20_500).selectExpr("id AS doc_id", "'w' || id AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    assert quality.trusted_ids(labels).count() == 20_500
+    assert set(quality.fit(docs, labels).weights) == {0.0}
+
+
+def test_shuffled_ids_give_the_same_model(spark):
+    docs, labels = case()
+    df, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    sent, shuffled = quality.fit(df, marks), quality.fit(df, marks, broadcast_ids=0)
+    assert sent.threshold and (sent.weights, sent.threshold) == (shuffled.weights, shuffled.threshold)
