@@ -2,7 +2,8 @@
 
 ``row_number() <= n`` lets Spark keep only n rows per key and map task before the shuffle
 (WindowGroupLimit), so a hot key sends at most n rows per task to its reducer. Spark does that for
-n up to ``spark.sql.optimizer.windowGroupLimitThreshold``. A full rank spreads a hot key over many tasks, in order.
+n up to ``spark.sql.optimizer.windowGroupLimitThreshold``. Beyond it, rows are dealt over ``SHARES`` shares of a key, cut to n in each,
+and only what is left is ranked per key. A full rank spreads a hot key over many tasks, in order.
 """
 
 from __future__ import annotations
@@ -12,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpuslens.session import written
 
 
+#: Shares of a key for a top-n that Spark does not cut by itself; so many times n rows of a key at most meet in one task.
+SHARES = 128
+
+
 def _names(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
@@ -23,8 +28,13 @@ def _top(df: DataFrame, keys: list[str], order: list[Column], n: int, column: st
 
 def top_n_per_key(df: DataFrame, keys, order: list[Column], n: int, rank: str | None = None) -> DataFrame:
     """The first n rows of every key in a total order; with ``rank`` the 1-based rank is kept."""
-    column = rank or "_rank"
-    ranked = _top(df, _names(keys), order, n, column)
+    column, keys = rank or "_rank", _names(keys)
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        # Equal rows share a hash, which is as good for each: a share keeps n of its own. Maps can't be hashed.
+        hashed = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
+        shares = df.withColumn("_share", F.pmod(hashed, F.lit(SHARES)))
+        df = _top(shares, [*keys, "_share"], order, n, column).drop("_share", column)
+    ranked = _top(df, keys, order, n, column)
     return ranked if rank else ranked.drop(column)
 
 

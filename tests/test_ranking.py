@@ -26,6 +26,22 @@ def test_top_n_prunes_before_the_shuffle(spark):
     assert small.index("WindowGroupLimit") < small.index("Exchange") < small.rindex("WindowGroupLimit")
 
 
+def test_top_n_beyond_sparks_limit_deals_a_hot_key_over_shares(spark):
+    """Equal rows among them; no task ranks more of a key than its shares let through."""
+    df = skewed(spark, 6000).withColumn("pos", F.expr("pos % 50")).selectExpr("k", "pos", "id % 5000 AS id")
+    order, limit = [F.col("pos").desc(), F.col("id")], "spark.sql.optimizer.windowGroupLimitThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "10")
+    try:
+        got = ranking.top_n_per_key(df.repartition(5), "k", order, 700, "r")
+        rows, plan = sorted(map(tuple, got.collect())), got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(limit, before)
+    plain = df.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(*order))).filter("r <= 700")
+    assert rows == sorted(map(tuple, plain.collect())) and got.columns == ["k", "pos", "id", "r"]
+    assert plan.count("Window") >= 2 and "_share" in plan
+
+
 def test_hot_keys_are_split_at_run_time(spark):
     """AQE splits the hot partition of a join; thresholds are lowered to the size of the test."""
     settings = {
