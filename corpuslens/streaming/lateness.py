@@ -14,8 +14,13 @@ def with_event_time(rows: DataFrame, lateness: str, time: str = "ts") -> DataFra
     return rows.withWatermark(time, lateness).withColumn("at", F.unix_micros(time)).drop(time)
 
 
-def is_late(at, timer_values):
-    """Which of the times (a pandas column) lie behind the watermark; a row without a time cannot be placed and counts as late."""
+def is_late(at: int | None, timer_values) -> bool:
+    """Whether a time lies behind the watermark; a row without a time cannot be placed and counts as late."""
+    return at is None or at < timer_values.getCurrentWatermarkInMs() * 1000
+
+
+def are_late(at, timer_values):
+    """The same for a pandas column of times."""
     return at.isna() | (at < timer_values.getCurrentWatermarkInMs() * 1000)
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from operator import itemgetter
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpuslens.fixed_values import (
@@ -17,7 +17,7 @@ from corpuslens.streaming import lateness as late_rows
 from corpuslens.streaming.lateness import is_late, with_event_time
 
 OUTPUT = "run_id STRING, status STRING, message STRING, at BIGINT, position BIGINT, late BOOLEAN"
-COLUMNS = ["run_id", "status", "message", "at", "position", "late"]
+CHANGE = Row("run_id", "status", "message", "at", "position", "late")
 
 
 def next_status(current: str | None, event: str) -> str | None:
@@ -42,37 +42,37 @@ class Lifecycle(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("state", "status STRING, at BIGINT, position BIGINT")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows))
-        behind = is_late(arrived["at"], timerValues)
-        if behind.any():
-            late = arrived[behind]
-            yield pd.DataFrame(
-                {"run_id": key[0], "status": late["status"], "message": None, "at": late["at"], "position": None, "late": True}
-            )
-        pending = arrived[~behind].astype({"at": "int64"}).sort_values(["at", "seq"])
-        if pending.empty:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # Plain rows: most runs have a few events in a micro-batch, and frames for each run cost many times the work on them.
+        pending = []
+        for _, at, seq, event in rows:
+            if is_late(at, timerValues):
+                yield CHANGE(key[0], event, None, at, None, True)
+            else:
+                pending.append((at, seq is None, seq, event))
+        if not pending:
             return
-        status, last, position = self.state.get() if self.state.exists() else (None, 0, 0)
-        out = []
-        for row in pending.itertuples():
-            new = next_status(status, row.status)
+        pending.sort(key=itemgetter(0, 1, 2))
+        known = self.state.exists()
+        status, last, position = self.state.get() if known else (None, 0, 0)
+        for at, _, _, event in pending:
+            new = next_status(status, event)
             message = None
-            if new == "failed" and row.status == "exited":
+            if new == "failed" and event == "exited":
                 message = UNEXPECTED_EXIT
             elif new == "cancelled" and status != "cancelled":
                 message = CANCELLED_RUNNING if status == "running" else CANCELLED_QUEUED
             if new != status:
                 position += 1
-                out.append((key[0], new, message, int(row.at), position, False))
-            status, last = new, max(last, int(row.at))
+                yield CHANGE(key[0], new, message, at, position, False)
+            status, last = new, max(last, at)
         self.state.update((status, last, position))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if known:  # a run without state has no timer
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         self.handle.registerTimer(last // 1000 + self.timeout)
-        yield pd.DataFrame(out, columns=COLUMNS)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         status, _, position = self.state.get()
         if status not in ("queued", "running"):
             self.state.clear()
@@ -81,7 +81,7 @@ class Lifecycle(StatefulProcessor):
         at = expiredTimerInfo.getExpiryTimeInMs() * 1000
         self.state.update(("failed", at, position + 1))
         self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.timeout)
-        yield pd.DataFrame([(key[0], "failed", message, at, position + 1, False)], columns=COLUMNS)
+        yield CHANGE(key[0], "failed", message, at, position + 1, False)
 
     def close(self) -> None:
         pass
@@ -94,8 +94,9 @@ def lifecycle_stream(events: DataFrame, timeout_seconds: int = 24 * 3600, *, lat
     """
     return (
         with_event_time(events, lateness)
+        .select("run_id", "at", "seq", "status")
         .groupBy("run_id")
-        .transformWithStateInPandas(Lifecycle(timeout_seconds), OUTPUT, outputMode="Append", timeMode="EventTime")
+        .transformWithState(Lifecycle(timeout_seconds), OUTPUT, outputMode="Append", timeMode="EventTime")
     )
 
 

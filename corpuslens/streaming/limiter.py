@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from corpuslens import fixed_values as fixed
 from corpuslens.operators.limiter import accepted_log, decide
 from corpuslens.streaming import lateness as late_rows
-from corpuslens.streaming.lateness import is_late, with_event_time
+from corpuslens.streaming.lateness import are_late, with_event_time
 
 OUTPUT = "caller STRING, request_id BIGINT, accepted BOOLEAN, retry_after BIGINT, late BOOLEAN"
 
@@ -33,7 +33,7 @@ class SlidingLog(StatefulProcessor):
         # Rows of one micro-batch may come in several Arrow batches and in any order. Two numbers per request are
         # held; the source's own per-trigger limit bounds how many a caller can have in one micro-batch.
         arrived = pd.concat(list(rows))
-        behind = is_late(arrived["at"], timerValues)
+        behind = are_late(arrived["at"], timerValues)
         if behind.any():
             late = arrived["request_id"][behind].to_numpy()
             yield pd.DataFrame({"caller": key[0], "request_id": late, "accepted": None, "retry_after": None, "late": True})

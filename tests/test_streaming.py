@@ -1,17 +1,18 @@
 import datetime
 import random
-from collections import deque
+from collections import Counter, deque
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from corpuslens import fixed_values as fixed
 from corpuslens.operators import history, limiter
 from corpuslens.plans.streams import incremental_work, run_to_parquet, table_stream
 from corpuslens.streaming.incremental import append_new_work, append_unanswered, index_versions, maintain_index, new_work, read_index, unanswered
 from corpuslens.streaming.lateness import late_counts, split_late
-from corpuslens.streaming.lifecycle import lifecycle_stream
+from corpuslens.streaming.lifecycle import Lifecycle, lifecycle_stream
 from corpuslens.streaming.limiter import rate_limited_stream
 from corpuslens.streaming.redaction import redacted_stream
 
@@ -267,6 +268,69 @@ def test_late_events_leave_a_run_as_it_is(spark, tmp_path):
     assert sorted(r.status for r in side.collect()) == ["cancelled", "failed"]
 
 
+class CountedState:
+    """State and timers of one run, with the number of calls; each is a round trip to Spark."""
+
+    def __init__(self, value=None, timers=()):
+        self.value, self.timers, self.calls = value, set(timers), Counter()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def __getattribute__(self, name):
+        if name in ("exists", "get", "update", "listTimers", "deleteTimer", "registerTimer"):
+            self.calls[name] += 1
+        return object.__getattribute__(self, name)
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def listTimers(self):
+        return iter(sorted(self.timers))
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+def test_a_run_costs_few_state_calls_and_no_frames():
+    event = Row("run_id", "at", "seq", "status")
+
+    def handled(state, rows, watermark):
+        processor = Lifecycle(timeout_seconds=60)
+        processor.init(state)
+        out = list(processor.handleInputRows(("r",), iter(rows), TimerValues(0, watermark)))
+        assert all(isinstance(row, Row) for row in out)
+        return [tuple(row) for row in out]
+
+    fresh = CountedState()
+    big = 2**53  # neighbours beyond it are equal as floats, which a null beside them would make of whole numbers
+    rows = [event("r", 5_000, big + 1, "completed"), event("r", 5_000, None, "exited"), event("r", 5_000, big, "running"), event("r", 0, 9, "queued")]
+    assert handled(fresh, rows, 0) == [
+        ("r", "queued", None, 0, 1, False), ("r", "running", None, 5_000, 2, False), ("r", "completed", None, 5_000, 3, False)
+    ]
+    assert fresh.calls == {"exists": 1, "update": 1, "registerTimer": 1}
+    assert fresh.value == ("completed", 5_000, 3) and fresh.timers == {60_005}
+
+    late = CountedState(("running", 5_000, 2), [60_005])
+    assert handled(late, [event("r", 7_000, 1, "failed"), event("r", None, 2, "queued")], 8) == [
+        ("r", "failed", None, 7_000, None, True), ("r", "queued", None, None, None, True)
+    ]
+    assert not late.calls and late.value == ("running", 5_000, 2)
+
+    known = CountedState(("running", 5_000, 2), [60_005])
+    assert handled(known, [event("r", 9_000, 1, "cancelled")], 8) == [("r", "cancelled", fixed.CANCELLED_RUNNING, 9_000, 3, False)]
+    assert known.timers == {60_009} and known.value == ("cancelled", 9_000, 3)
+
+
 def test_table_of_many_files_streams_whole(spark, tmp_path, sf_dir):
     """A table may be a folder of files."""
     folder = tmp_path / "tables"
